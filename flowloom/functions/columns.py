@@ -15,9 +15,19 @@ def unsigned(data: Column, offset: Column | int, width: int) -> Column:
     return F.conv(F.hex(data.substr(start.cast("int"), F.lit(width))), 16, 10).cast("bigint")
 
 
-def dotted(data: Column, offset: int) -> Column:
-    """IPv4 text form of four bytes."""
-    return F.concat_ws(".", *[unsigned(data, offset + i, 1).cast("string") for i in range(4)])
+def bits(word: str, low: int, width: int) -> Column:
+    """``width`` bits of a whole-number column, from bit ``low`` up."""
+    return F.shiftright(F.col(word), low).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def dotted(address: Column) -> Column:
+    """IPv4 text form of a 32-bit value."""
+    return F.concat_ws(".", *[F.shiftright(address, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)])
+
+
+def once(value: Column) -> Column:
+    """The same value, computed once per row: filters on it are not rewritten into copies of its expression."""
+    return F.explode(F.array(value))
 
 
 def ip_to_long(ip: Column) -> Column:

@@ -31,6 +31,29 @@ def _groups(batches: Iterable[pa.RecordBatch], names: Sequence[str]):
                           for n in names]
 
 
+def ended(start: int, front: int) -> tuple:
+    """Label of a row that carries no packet: the flow ended by timeout."""
+    return (start, front, None, None, None, None, None, None, True, None, None, None)
+
+
+def advance(track: Track, num: int, ts: int, side: int, symbol: int, size: int) -> list[tuple]:
+    """Labels for one packet: none if it is dropped, and one more if it ends a silent flow."""
+    before, begun, front = track.pairs, track.start, track.front
+    outcome = track.step(num, ts, side, symbol, size)
+    if outcome == DROPPED:
+        return []
+    closes = ready = False
+    if outcome == ADDED:
+        ready = CLIENT_READY[front][before[0]]
+        if track.pairs[0] == BOTH_CLOSED:
+            closes = True
+            track.pairs = None
+    minima = track.minima
+    added = (track.start, track.front, track.gap, track.iat, track.span, track.burst, ready, closes, False,
+             minima[side], minima[2], minima[3 + side])
+    return [ended(begun, front), added] if outcome == EXPIRED else [added]
+
+
 def label(timeout: int, idle: int):
     """Arrow function: rows of (key, chunk) groups in arrival order to accepted packets with their flow."""
     def run(batches):
@@ -46,29 +69,13 @@ def label(timeout: int, idle: int):
                         track = Track.from_row(json.loads(entry), timeout, idle)
                         continue
                     track = Track(timeout, idle)
-                before, begun, front = track.pairs, track.start, track.front
-                outcome = track.step(num[i], ts[i], side[i], symbol[i], size[i])
-                if outcome == DROPPED:
-                    continue
-                closes = ready = False
-                if outcome == ADDED:
-                    ready = CLIENT_READY[front][before[0]]
-                    if track.pairs[0] == BOTH_CLOSED:
-                        closes = True
-                        track.pairs = None
-                elif outcome == EXPIRED:
-                    # a row for the flow that ended here: it carries no packet
+                for values in advance(track, num[i], ts[i], side[i], symbol[i], size[i]):
                     rows.append(i)
-                    labels.append((begun, front, None, None, None, None, None, None, True, None, None, None))
-                minima = track.minima
-                rows.append(i)
-                labels.append((track.start, track.front, track.gap, track.iat, track.span, track.burst, ready,
-                               closes, False, minima[side[i]], minima[2], minima[3 + side[i]]))
+                    labels.append(values)
             if rows:
                 kept = batch.take(pa.array(rows, pa.int32()))
-                columns = [kept.column(j) for j, n in enumerate(kept.schema.names)
-                           if n not in ("rank", "entry")]
                 names = [n for n in kept.schema.names if n not in ("rank", "entry")]
+                columns = [kept.column(n) for n in names]
                 for (name, kind, _), values in zip(LABELS, zip(*labels)):
                     names.append(name)
                     columns.append(pa.array(values, kind))
@@ -118,3 +125,20 @@ def chain(key: Sequence[str], timeout: int, idle: int, schema: pa.Schema):
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
     return run
+
+
+def anchor_starts(width: int, group: Sequence[str]):
+    """Arrow function: increasing timestamps of each group to the window starts among them."""
+    def run(batches):
+        current, start = None, None
+        for batch in batches:
+            keys = list(zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in group]))
+            times = batch.column(batch.schema.get_field_index("ts_us")).to_pylist()
+            kept = []
+            for i, (key, ts) in enumerate(zip(keys, times)):
+                if key != current or ts > start + width:
+                    current, start = key, ts
+                    kept.append(i)
+            if kept:
+                yield batch.take(pa.array(kept, pa.int32()))
+    return run

@@ -49,7 +49,7 @@ _SUMMARY = T.StructType([
     T.StructField("lane_pair", T.ArrayType(T.IntegerType())),
     T.StructField("states", T.ArrayType(_MINIMA)),
 ])
-def _symbol() -> Column:
+def symbol() -> Column:
     return (F.when(F.col("proto") == TCP, F.col("side") * 64 + F.col("flags").bitwiseAND(F.lit(63)))
             .otherwise(UDP_SYMBOL).cast("smallint"))
 
@@ -106,7 +106,7 @@ def segment(packets: DataFrame, within: Sequence[str] = (), timeout: int = FLOW_
     that its flow ended by timeout.
     """
     key = [*within, *KEY]
-    keyed = canonical(packets).withColumn("symbol", _symbol())
+    keyed = canonical(packets).withColumn("symbol", symbol())
     if hot_rows is None:
         rows = keyed.withColumn("chunk", F.lit(0).cast("bigint")).withColumn("entry", F.lit(None).cast(_ENTRY))
     else:
