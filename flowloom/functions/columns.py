@@ -41,25 +41,18 @@ def ip_to_long(ip: Column) -> Column:
     return F.when(valid, value)
 
 
-def floor_div(total: Column, count: Column, empty: int = 0) -> Column:
-    """Integer quotient of non-negative BIGINTs, ``empty`` when there is nothing to divide by."""
-    return F.coalesce(F.call_function("div", total, F.when(count > 0, count)), F.lit(empty).cast("bigint"))
+def whole_stddev(squares: str, total: str, count: str) -> str:
+    """SQL for the truncated sample deviation with floored integer quotients; 0 for fewer than two values.
 
-
-def whole_stddev(sq: Column, total: Column, count: Column) -> Column:
-    """Truncated sample deviation with floored integer quotients; 0 for fewer than two values.
-
-    ``sq`` and ``total`` are integers.  Quotients are taken in DECIMAL(38,0) after removing the remainder,
-    which is exact; ``div`` on wide decimals would be cut to 64 bits.
+    ``squares`` is DECIMAL, the others BIGINT expressions.  Quotients are taken in DECIMAL(38,0) after removing
+    the remainder, which is exact; ``div`` on wide decimals would be cut to 64 bits.
     """
     wide = "decimal(38,0)"
-    n = F.when(count > 1, count.cast("decimal(19,0)"))
-    square = (total.cast("decimal(19,0)") * total.cast("decimal(19,0)")).cast(wide)
-    mean_part = ((square - square % n) / n).cast(wide)
-    rest = sq.cast(wide) - mean_part
-    below = n - F.lit(1)
-    variance = ((rest - rest % below) / below).cast(wide)
-    return F.coalesce(F.floor(F.sqrt(variance.cast("double"))).cast("bigint"), F.lit(0).cast("bigint"))
+    n = f"cast({count} as decimal(19,0))"
+    square = f"cast(cast({total} as decimal(19,0)) * cast({total} as decimal(19,0)) as {wide})"
+    rest = f"({squares} - cast(({square} - {square} % {n}) / {n} as {wide}))"
+    variance = f"cast(({rest} - {rest} % ({n} - 1)) / ({n} - 1) as {wide})"
+    return f"if({count} > 1, cast(floor(sqrt(cast({variance} as double))) as bigint), 0L)"
 
 
 # The geohash alphabet.

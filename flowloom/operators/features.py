@@ -12,133 +12,106 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.functions.columns import floor_div, whole_stddev
-from flowloom.operators.packets import KEY, TCP, UDP, has_flag
+from flowloom.functions.columns import whole_stddev
+from flowloom.operators.packets import FLAG_BITS, KEY, TCP, UDP
 from flowloom.operators.segment import FLOW_TIMEOUT, IDLE_THRESHOLD, segment
 from flowloom.schema import RECORD_FIELDS
 
-_SPLIT_BITS = 24  # squares are summed in two BIGINT parts, which cannot overflow and stay in codegen
+# Squares are summed in two BIGINT parts: they cannot overflow and stay in generated code.
+_SPLIT = 24
+_TOP = f"cast({1 << _SPLIT} as decimal(38,0))"
+_NONE = "cast(0 as decimal(38,0))"
 
 
-def _when(condition: Column, value: Column) -> Column:
-    return F.when(condition, value)
+def _series(name: str, value: str, present: str, low: str) -> dict[str, str]:
+    """Partial sums of a packet value: count, sum, split square sum, largest, zero-is-unset minimum."""
+    held = f"if({present}, cast({value} as bigint), null)"
+    return {
+        f"{name}_n": f"count({held})", f"{name}_s": f"coalesce(sum({held}), 0L)",
+        f"{name}_qh": f"coalesce(sum(shiftright({held} * {held}, {_SPLIT})), 0L)",
+        f"{name}_ql": f"coalesce(sum(({held} * {held}) & {(1 << _SPLIT) - 1}L), 0L)",
+        f"{name}_max": f"coalesce(max({held}), 0L)",
+        f"{name}_min": f"coalesce(max_by({low}, if({present}, num, null)), 0L)",
+    }
 
 
-def _series(name: str, value: Column, present: Column, low: Column | None = None) -> list[Column]:
-    """Partial sums of one value: count, sum, split square sum, largest, and the zero-is-unset minimum."""
-    held = _when(present, value.cast("bigint"))
-    square = held * held
-    parts = [
-        F.count(held).alias(f"{name}_n"), F.sum(held).alias(f"{name}_s"),
-        F.sum(F.shiftright(square, _SPLIT_BITS)).alias(f"{name}_qh"),
-        F.sum(square.bitwiseAND(F.lit((1 << _SPLIT_BITS) - 1))).alias(f"{name}_ql"),
-        F.max(held).alias(f"{name}_max"),
-    ]
-    if low is not None:
-        parts.append(F.max_by(low, _when(present, F.col("num"))).alias(f"{name}_min"))
-    return parts
+def _wide_series(name: str, value: str) -> dict[str, str]:
+    """The same for burst spans and idle gaps, which are rare but may exceed 50 minutes."""
+    wide = f"cast({value} as decimal(19,0))"
+    return {
+        f"{name}_n": f"count({value})", f"{name}_s": f"coalesce(sum({value}), 0L)",
+        f"{name}_q": f"coalesce(sum(cast({wide} * {wide} as decimal(38,0))), {_NONE})",
+        f"{name}_max": f"coalesce(max({value}), 0L)", f"{name}_low": f"coalesce(min({value}), 0L)",
+    }
 
 
-def _wide_series(name: str, value: Column) -> list[Column]:
-    """As ``_series`` for burst spans and idle gaps, which are rare but may exceed 50 minutes."""
-    wide = value.cast("decimal(19,0)")
-    return [F.count(value).alias(f"{name}_n"), F.sum(value).alias(f"{name}_s"),
-            F.sum((wide * wide).cast("decimal(38,0)")).alias(f"{name}_q"),
-            F.min(value).alias(f"{name}_low"), F.max(value).alias(f"{name}_max")]
+def _mean(total: str, count: str, empty: int = 0) -> str:
+    return f"coalesce({total} div nullif({count}, 0L), {empty}L)"
 
 
-def _zero(value: Column) -> Column:
-    return F.coalesce(value, F.lit(0).cast("bigint"))
-
-
-def _square_sum(name: str) -> Column:
-    wide = "decimal(38,0)"
-    return (_zero(F.col(f"{name}_qh")).cast(wide) * F.lit(1 << _SPLIT_BITS)
-            + _zero(F.col(f"{name}_ql")).cast(wide)).cast(wide)
+def _square_sum(name: str) -> str:
+    return f"cast(cast({name}_qh as decimal(19,0)) * {_TOP} + {name}_ql as decimal(38,0))"
 
 
 def flow_statistics(segmented: DataFrame, within: Sequence[str] = (),
                     idle: int = IDLE_THRESHOLD) -> DataFrame:
     """Flow records from ``segment`` output: 45 fields, plus ``flow_start``, ``start_us``, ``last_us``,
     ``status`` (closed, timed_out, open), ``is_valid`` and ``bursts``."""
-    c = F.col
-    packet = ~c("expires")
-    forward = packet & (c("side") == c("front"))
-    backward = packet & (c("side") != c("front"))
-    tcp = c("proto") == TCP
-    opener = c("num") == c("flow_start")
-    header = (c("iphlen") + c("prhlen")).cast("bigint")
-    first_back = backward & c("iat").isNull() & (c("dscp") != 0)
-
-    aggregates = [
-        F.min(_when(packet, c("ts_us"))).alias("start_us"), F.max(_when(packet, c("ts_us"))).alias("last_us"),
-        F.max("burst").alias("last_burst"),
-        F.max_by("low_span", _when(packet, c("num"))).alias("burst_min"),
-        F.max("closes").alias("closed"), F.max("expires").alias("expired"),
-        F.max(packet & c("client_ready") & (c("len") > header)).alias("tcp_valid"),
-        F.max(packet & (c("len") > 8)).alias("has_data"),
-        F.max(_when(opener & packet, c("dscp"))).alias("first_dscp"),
-        F.min_by("dscp", _when(first_back, c("num"))).alias("back_dscp"),
-        *_wide_series("burst", c("span")),
-        *_wide_series("idle", _when(c("gap") > idle, c("gap"))),
-    ]
-    for d, going in (("f", forward), ("b", backward)):
-        aggregates += _series(f"{d}pktl", c("len"), going, c("low_len"))
-        aggregates += _series(f"{d}iat", c("iat"), going & c("iat").isNotNull(), c("low_iat"))
-        aggregates += [
-            F.sum(_when(going, header)).alias(f"total_{d}hlen"),
-            F.count_if(going & tcp & has_flag(c("flags"), "psh")).alias(f"{d}psh_cnt"),
-            F.count_if(going & tcp & has_flag(c("flags"), "urg")).alias(f"{d}urg_cnt"),
-        ]
-    flows = segmented.groupBy(*within, *KEY, "flow_start", "front").agg(*aggregates)
+    packet, header = "not expires", "cast(iphlen + prhlen as bigint)"
+    sums = {
+        "start_us": "min(if(not expires, ts_us, null))", "last_us": "max(if(not expires, ts_us, null))",
+        "last_burst": "max(burst)", "low_burst": "max_by(low_span, if(not expires, num, null))",
+        "closed": "max(closes)", "expired": "max(expires)",
+        "tcp_valid": f"max({packet} and client_ready and len > {header})",
+        "has_data": f"max({packet} and len > 8)",
+        "first_dscp": f"max(if({packet} and num = flow_start, dscp, null))",
+        "back_dscp": f"min_by(dscp, if({packet} and side <> front and iat is null and dscp <> 0, num, null))",
+        **_wide_series("span", "span"), **_wide_series("idle", f"if(gap > {idle}L, gap, null)"),
+    }
+    for d, going in (("f", f"({packet} and side = front)"), ("b", f"({packet} and side <> front)")):
+        tcp = f"{going} and proto = {TCP}"
+        sums |= _series(f"{d}pktl", "len", going, "low_len")
+        sums |= _series(f"{d}iat", "iat", f"({going} and iat is not null)", "low_iat")
+        sums |= {
+            f"total_{d}hlen": f"coalesce(sum(if({going}, {header}, null)), 0L)",
+            f"{d}psh_cnt": f"count_if({tcp} and flags & {FLAG_BITS['psh']} <> 0)",
+            f"{d}urg_cnt": f"count_if({tcp} and flags & {FLAG_BITS['urg']} <> 0)",
+        }
+    grouped = segmented.groupBy(*within, *KEY, "flow_start", "front").agg(
+        *[F.expr(e).alias(n) for n, e in sums.items()])
 
     # the last burst ends with the flow
-    final = c("last_us") - c("last_burst")
-    wide = final.cast("decimal(19,0)")
-    bursts = c("burst_n") + 1
-    burst_sum = _zero(c("burst_s")) + final
-    burst_sq = F.coalesce(c("burst_q"), F.lit(0).cast("decimal(38,0)")) + (wide * wide).cast("decimal(38,0)")
-    burst_min = F.when((_zero(c("burst_min")) == 0) | (final < c("burst_min")), final).otherwise(c("burst_min"))
-    swapped = c("front") == 1
-
-    columns = [
-        F.when(swapped, c("ip_b")).otherwise(c("ip_a")).alias("srcip"),
-        F.when(swapped, c("port_b")).otherwise(c("port_a")).alias("srcport"),
-        F.when(swapped, c("ip_a")).otherwise(c("ip_b")).alias("dstip"),
-        F.when(swapped, c("port_a")).otherwise(c("port_b")).alias("dstport"),
-        c("proto"),
-    ]
+    flows = grouped.selectExpr(
+        "*", "last_us - last_burst as final", "span_n + 1 as bursts",
+        "span_s + last_us - last_burst as active_s",
+        """cast(span_q + cast(last_us - last_burst as decimal(19,0)) * cast(last_us - last_burst as decimal(19,0))
+           as decimal(38,0)) as active_q""")
+    out = {
+        "srcip": "if(front = 1, ip_b, ip_a)", "srcport": "if(front = 1, port_b, port_a)",
+        "dstip": "if(front = 1, ip_a, ip_b)", "dstport": "if(front = 1, port_a, port_b)",
+        "duration": "last_us - start_us",
+        "min_active": "if(coalesce(low_burst, 0L) = 0 or final < low_burst, final, low_burst)",
+        "mean_active": _mean("active_s", "bursts"), "max_active": "greatest(span_max, final)",
+        "std_active": whole_stddev("active_q", "active_s", "bursts"),
+        "min_idle": "idle_low", "mean_idle": _mean("idle_s", "idle_n"), "max_idle": "idle_max",
+        "std_idle": whole_stddev("idle_q", "idle_s", "idle_n"),
+        "dscp": "cast(if(first_dscp <> 0, first_dscp, coalesce(back_dscp, 0)) as int)",
+        "status": "case when closed then 'closed' when expired then 'timed_out' else 'open' end",
+        "is_valid": f"if(proto = {UDP}, has_data and bpktl_n > 0, tcp_valid)",
+    }
     for d, empty in (("f", 0), ("b", -1)):
-        n, s = c(f"{d}pktl_n"), _zero(c(f"{d}pktl_s"))
-        gaps, waited = c(f"{d}iat_n"), _zero(c(f"{d}iat_s"))
-        columns += [
-            n.alias(f"total_{d}packets"), s.alias(f"total_{d}volume"),
-            _zero(c(f"{d}pktl_min")).alias(f"min_{d}pktl"), floor_div(s, n, empty).alias(f"mean_{d}pktl"),
-            _zero(c(f"{d}pktl_max")).alias(f"max_{d}pktl"),
-            whole_stddev(_square_sum(f"{d}pktl"), s, n).alias(f"std_{d}pktl"),
-            _zero(c(f"{d}iat_min")).alias(f"min_{d}iat"), floor_div(waited, gaps).alias(f"mean_{d}iat"),
-            _zero(c(f"{d}iat_max")).alias(f"max_{d}iat"),
-            whole_stddev(_square_sum(f"{d}iat"), waited, gaps).alias(f"std_{d}iat"),
-            floor_div(n, bursts).alias(f"sflow_{d}packets"), floor_div(s, bursts).alias(f"sflow_{d}bytes"),
-            c(f"{d}psh_cnt"), c(f"{d}urg_cnt"), _zero(c(f"total_{d}hlen")).alias(f"total_{d}hlen"),
-        ]
-    idle_s = _zero(c("idle_s"))
-    columns += [
-        (c("last_us") - c("start_us")).alias("duration"),
-        burst_min.alias("min_active"), floor_div(burst_sum, bursts).alias("mean_active"),
-        F.greatest(_zero(c("burst_max")), final).alias("max_active"),
-        whole_stddev(burst_sq, burst_sum, bursts).alias("std_active"),
-        _zero(c("idle_low")).alias("min_idle"), floor_div(idle_s, c("idle_n")).alias("mean_idle"),
-        _zero(c("idle_max")).alias("max_idle"),
-        whole_stddev(F.coalesce(c("idle_q"), F.lit(0).cast("decimal(38,0)")), idle_s, c("idle_n")).alias("std_idle"),
-        F.when(c("first_dscp") != 0, c("first_dscp")).otherwise(F.coalesce(c("back_dscp"), F.lit(0)))
-        .cast("int").alias("dscp"),
-        c("flow_start"), c("start_us"), c("last_us"), bursts.alias("bursts"),
-        F.when(c("closed"), "closed").when(c("expired"), "timed_out").otherwise("open").alias("status"),
-        F.when(c("proto") == UDP, c("has_data") & (c("bpktl_n") > 0)).otherwise(c("tcp_valid")).alias("is_valid"),
-    ]
-    return flows.select(*within, *columns).select(
-        *within, *RECORD_FIELDS, "flow_start", "start_us", "last_us", "bursts", "status", "is_valid")
+        n, s = f"{d}pktl_n", f"{d}pktl_s"
+        out |= {
+            f"total_{d}packets": n, f"total_{d}volume": s,
+            f"min_{d}pktl": f"{d}pktl_min", f"mean_{d}pktl": _mean(s, n, empty), f"max_{d}pktl": f"{d}pktl_max",
+            f"std_{d}pktl": whole_stddev(_square_sum(f"{d}pktl"), s, n),
+            f"min_{d}iat": f"{d}iat_min", f"mean_{d}iat": _mean(f"{d}iat_s", f"{d}iat_n"),
+            f"max_{d}iat": f"{d}iat_max",
+            f"std_{d}iat": whole_stddev(_square_sum(f"{d}iat"), f"{d}iat_s", f"{d}iat_n"),
+            f"sflow_{d}packets": f"{n} div bursts", f"sflow_{d}bytes": f"{s} div bursts",
+        }
+    wanted = [*RECORD_FIELDS, "flow_start", "start_us", "last_us", "bursts", "status", "is_valid"]
+    return flows.selectExpr(*within, *[f"{out.get(n, n)} as {n}" for n in wanted])
 
 
 def emit(flows: DataFrame, policy: str = "all") -> DataFrame:

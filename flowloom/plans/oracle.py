@@ -193,7 +193,7 @@ _FLOW_CELLS = _long("flows", "flow_start", MODEL_FIELDS)
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 # lineitem has no single key and is large: pairs come from one pass instead of a self-join
 _LINE_PAIRS = "pairs as (" + " union all ".join(
-    f"select {i} as i, {j} as j, " + ("1.0::double" if i == j else f"corr({a},{b})") + " as corr from lineitem"
+    f"select {i} as i, {j} as j, " + ("max(1.0::double)" if i == j else f"corr({a},{b})") + " as corr from lineitem"
     for i, a in enumerate(LINE_FEATURES) for j, b in enumerate(LINE_FEATURES)) + ")"
 _LINE_WEIGHTS = (_LINE_PAIRS + ", spread as (" + " union all ".join(
     f"select {i} as i, var_samp({a}) as variance from lineitem" for i, a in enumerate(LINE_FEATURES)) + """),
@@ -232,14 +232,14 @@ def _traffic(source: str) -> str:
 
 _ANCHORED = """rn as (select num, t, row_number() over (order by num) as rn from varied),
  later as (select num, t, rn, max(t) over (order by num rows between unbounded preceding and 1 preceding) as before from rn),
- cand as (select num, t, row_number() over (order by num) as cn from later where before is null or t>before),
- nxt as (select a.cn, (select min(b.cn) from cand b where b.t > a.t+2000000 and b.cn > a.cn) as ncn from cand a),
+ cand as materialized (select num, t, row_number() over (order by num) as cn from later where before is null or t>before),
+ nxt as materialized (select a.cn, b.cn as ncn from cand a asof left join cand b on a.t+2000000 < b.t),
  ch as (select cn from cand where cn=1 union all select ncn from ch join nxt using (cn) where ncn is not null),
  st as (select num as snum, t as window_start from ch join cand using (cn)),
  placed as (select varied.*, st.window_start from varied asof join st on varied.num >= st.snum)"""
 
 _REGR = """s as (select (start_us//86400000000)*86400 as bucket, sum(total_fpackets)::bigint as fpackets, sum(total_bpackets)::bigint as bpackets from scored group by 1),
- f as (select regr_slope(fpackets,bucket) as fm, regr_slope(bpackets,bucket) as bm, avg(fpackets) as fy, avg(bpackets) as b_y, avg(bucket) as mx from s)"""
+ f as (select case when count(*)>1 then regr_slope(fpackets,bucket) end as fm, case when count(*)>1 then regr_slope(bpackets,bucket) end as bm, avg(fpackets) as fy, avg(bpackets) as b_y, avg(bucket) as mx from s)"""
 
 
 def oracle_sql() -> dict[str, str]:
