@@ -6,7 +6,7 @@ date partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.columns import geohash2
@@ -76,19 +76,18 @@ def packet_series(scored: DataFrame, interval: str = "1 hour") -> DataFrame:
 def packet_trend(scored: DataFrame, interval: str = "1 day") -> DataFrame:
     """Packet sums per bucket, with the value of a linear fit over all buckets.
 
-    The fit runs over one row per bucket and joins back as two scalars.
+    The fit is a window over the whole series, which has one row per bucket of time.
     """
     sums = _bucketed(scored, interval, F.sum("total_fpackets").alias("fpackets"),
                      F.sum("total_bpackets").alias("bpackets"))
-    x = F.unix_seconds("bucket")
+    x, everything = F.unix_seconds("bucket"), Window.partitionBy(F.lit(0))
 
     def fitted(column: str) -> Column:
-        fit = F.struct(F.regr_slope(column, x).alias("slope"), F.avg(column).alias("y"), F.avg(x).alias("x"))
-        line = sums.agg(fit.alias("fit")).select("fit").scalar()
-        return F.coalesce(line["y"] + line["slope"] * (x - line["x"]), line["y"])
+        slope = F.regr_slope(column, x).over(everything)
+        level = F.avg(column).over(everything)
+        return F.coalesce(level + slope * (x - F.avg(x).over(everything)), level).alias(f"{column}_trend")
 
-    return sums.select("bucket", "fpackets", "bpackets", fitted("fpackets").alias("fpackets_trend"),
-                       fitted("bpackets").alias("bpackets_trend"))
+    return sums.select("bucket", "fpackets", "bpackets", fitted("fpackets"), fitted("bpackets"))
 
 
 def threats_detected(scored: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ A packet's flow depends on all earlier packets of its key, so keys are the unit
 key, one sort on arrival order, one pass in constant memory.  That alone would put a key holding a third of
 the rows into one task.  Such hot keys are cut into chunks by arrival number instead:
 
-1. ``_hot_keys``: keys above a task's fair share.  At most ``HOT_LIMIT`` keys can hold more than
-   1/HOT_LIMIT of the rows, so the list is safe to broadcast whatever the data looks like.
+1. ``hot_keys`` finds keys above a task's fair share.  At most ``HOT_LIMIT`` keys can hold more than
+   1/HOT_LIMIT of the rows each, so the list is short whatever the data looks like.
 2. ``_chunk_entries``: every chunk of a hot key is summarised independently, for all states it may be
    entered with; the short list of summaries is then chained per key and gives each chunk its real entry.
 3. The final pass treats (key, chunk) as its group; a chunk starts from its entry row, which sorts first.
@@ -54,12 +54,23 @@ def symbol() -> Column:
             .otherwise(UDP_SYMBOL).cast("smallint"))
 
 
-def _hot_keys(keyed: DataFrame, key: Sequence[str], hot_rows: int) -> DataFrame:
-    total = keyed.agg(F.count(F.lit(1)).alias("n")).select(
-        F.call_function("div", F.col("n"), F.lit(HOT_LIMIT))).scalar()
-    return (keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") > F.greatest(F.lit(hot_rows), total))
-            .select(*key, F.lit(True).alias("hot")))
+def hot_keys(packets: DataFrame, within: Sequence[str] = (), hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows and more than 1/HOT_LIMIT of all rows; None without any.
+
+    Runs a count, and a count per key only if some key can be that large.  Fewer than HOT_LIMIT keys qualify,
+    so the list may be fetched and broadcast.
+    """
+    total = packets.count()
+    floor = max(hot_rows, total // HOT_LIMIT)
+    key = [*within, *KEY]
+    found = []
+    if total > floor:
+        found = (canonical(packets).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+                 .filter(F.col("n") > floor).select(*key).collect())
+    if not found:
+        return None
+    fields = {f.name: f for f in canonical(packets).schema}
+    return packets.sparkSession.createDataFrame(found, T.StructType([fields[k] for k in key]))
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -97,7 +108,8 @@ def segment(packets: DataFrame, within: Sequence[str] = (), timeout: int = FLOW_
     """Accepted packets with the flow they belong to.
 
     ``within`` names extra grouping columns (a capture id, a capture window): flows never span them.
-    ``hot_rows=None`` skips hot-key handling, for groups that are bounded anyway.
+    Looking for hot keys runs a counting job over the packets; ``hot_rows=None`` skips it, for groups that are
+    bounded anyway.
 
     Adds ``flow_start`` (arrival number of the flow's first packet; with the key it identifies the flow),
     ``front`` (side that opened it), ``gap`` to the previous packet, ``iat`` to the previous packet of the
@@ -107,14 +119,14 @@ def segment(packets: DataFrame, within: Sequence[str] = (), timeout: int = FLOW_
     """
     key = [*within, *KEY]
     keyed = canonical(packets).withColumn("symbol", symbol())
-    if hot_rows is None:
-        rows = keyed.withColumn("chunk", F.lit(0).cast("bigint")).withColumn("entry", F.lit(None).cast(_ENTRY))
+    hot = None if hot_rows is None else hot_keys(packets, within, hot_rows)
+    if hot is None:
+        rows = keyed.withColumns({"chunk": F.lit(0).cast("bigint"), "entry": F.lit(None).cast(_ENTRY)})
     else:
-        hot = F.broadcast(_hot_keys(keyed, key, hot_rows))
         number = F.call_function("div", F.col("num"), F.lit(chunk_span))
-        marked = keyed.join(hot, key, "left").withColumn(
+        marked = keyed.join(F.broadcast(hot.withColumn("hot", F.lit(True))), key, "left").withColumn(
             "chunk", F.when(F.col("hot"), number).otherwise(0).cast("bigint")).drop("hot")
-        cut = keyed.join(hot, key, "left_semi").withColumn("chunk", number.cast("bigint"))
+        cut = keyed.join(F.broadcast(hot), key, "left_semi").withColumn("chunk", number.cast("bigint"))
         entries = _chunk_entries(cut, key, timeout, idle).withColumn("num", F.lit(-1).cast("bigint"))
         rows = marked.unionByName(entries, allowMissingColumns=True).fillna(
             0, ["ts_us", "side", "symbol", "len"])
