@@ -83,10 +83,10 @@ def label(timeout: int, idle: int):
     return run
 
 
-def summarise(key: Sequence[str], timeout: int, idle: int, schema: pa.Schema):
+def summarise(key: Sequence[str], timeout: int, idle: int, schema: pa.Schema, rows_per_batch: int = 256):
     """Arrow function: rows of (key, chunk) groups to one summary row each."""
     def run(batches):
-        summary, group = None, None
+        summary, group, done = None, None, []
         for batch, (rank, num, ts, side, symbol, size) in _groups(
                 batches, ["rank", "num", "ts_us", "side", "symbol", "len"]):
             peaks = batch.column(batch.schema.get_field_index("peak"))
@@ -94,21 +94,22 @@ def summarise(key: Sequence[str], timeout: int, idle: int, schema: pa.Schema):
             for i in range(batch.num_rows):
                 if rank[i] == 1:
                     if summary is not None:
-                        yield _one_row(group, summary.to_row(), schema)
-                    group = [k[i].as_py() for k in keys]
-                    summary = ChunkSummary(peaks[i].as_py(), timeout, idle)
-                    if peaks[i].is_valid:
+                        done.append({**group, **summary.to_row()})
+                        if len(done) == rows_per_batch:
+                            yield pa.RecordBatch.from_pylist(done, schema)
+                            done = []
+                    group = {n: k[i].as_py() for n, k in zip([*key, "chunk"], keys)}
+                    peak = peaks[i].as_py()
+                    summary = ChunkSummary(peak, timeout, idle)
+                    if peak is not None:
                         continue
                 summary.add(num[i], ts[i], side[i], symbol[i], size[i])
         if summary is not None:
-            yield _one_row(group, summary.to_row(), schema)
+            done.append({**group, **summary.to_row()})
+            yield pa.RecordBatch.from_pylist(done, schema)
     return run
 
 
-def _one_row(group: list, values: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([dict(zip(schema.names, [*group, *values.values()]))], schema)
-
-
 def chain(key: Sequence[str], timeout: int, idle: int, schema: pa.Schema):
     """Arrow function: a key's summaries in chunk order to the state on entry of every chunk but the first."""
     def run(batches):

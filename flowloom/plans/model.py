@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from py4j.protocol import Py4JJavaError
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
@@ -47,9 +48,13 @@ def labelled(flows: DataFrame, features: Sequence[str] = MODEL_FIELDS) -> DataFr
 
 def train(flows: DataFrame, k: int = 6, heuristic: str = "variance_ratio",
           features: Sequence[str] = MODEL_FIELDS) -> PipelineModel:
-    """Select features on labelled flows and fit the tree."""
-    points = labelled(flows, features)
-    return build_pipeline(select_features(points, features, k, heuristic), features).fit(points)
+    """Select features on labelled flows and fit the tree.  Both read the flows several times, so they are
+    kept on the executors meanwhile, on disk where memory is short."""
+    points = labelled(flows, features).select("label", *features).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return build_pipeline(select_features(points, features, k, heuristic), features).fit(points)
+    finally:
+        points.unpersist()
 
 
 def get_model(path: str, flows: DataFrame, **training) -> PipelineModel:

@@ -94,8 +94,8 @@ def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.short_frames(cut).select("num", "reason")
 
 
-def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames with more variety in their headers than flows need."""
+def _varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets with more variety in their headers than flows need."""
     num = F.col("num")
     varied = _packets(spark, sf_dir).select(
         "*", (num % 96 + 32).cast("int").alias("ttl"),
@@ -103,8 +103,24 @@ def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("fragment"), (num % 9).alias("icmp_type"), (num % 4).alias("icmp_code"))
     varied = varied.withColumn("flags", F.col("flags") + F.when(num % 7 == 0, 64).when(num % 11 == 0, 128).otherwise(0))
     varied = varied.withColumn("prhlen", F.when(F.col("proto") == 6, 20).otherwise(F.col("prhlen")))
-    varied = varied.withColumn("proto", F.when(num % 19 == 0, 1).otherwise(F.col("proto")))
-    return packets.decode_headers(packets.encode_frames(varied))
+    return varied.withColumn("proto", F.when(num % 19 == 0, 1).otherwise(F.col("proto")))
+
+
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets.decode_headers(packets.encode_frames(_varied(spark, sf_dir)))
+
+
+def _plain_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``_headers`` gives, without going through frames."""
+    icmp, tcp, c = F.col("proto") == 1, F.col("proto") == 6, F.col
+    return _varied(spark, sf_dir).select(
+        "num", (c("ts_us") / 1000000 * 1000000).cast("bigint").alias("ts_us"), "srcip", "dstip", "proto",
+        (c("dscp") * 4).alias("tos"), "ttl", c("iphlen").alias("header_len"), "len",
+        F.shiftright("fragment", 14).bitwiseAND(F.lit(1)).alias("df"),
+        F.shiftright("fragment", 13).bitwiseAND(F.lit(1)).alias("mf"),
+        c("fragment").bitwiseAND(F.lit(8191)).alias("fragment_offset"),
+        *[F.when(~icmp, c(n)).alias(n) for n in ("srcport", "dstport")], F.when(tcp, 5).alias("data_offset"),
+        F.when(tcp, c("flags")).alias("flags"), *[F.when(icmp, c(n)).alias(n) for n in ("icmp_type", "icmp_code")])
 
 
 def _traffic(windowed: DataFrame) -> DataFrame:
@@ -274,7 +290,7 @@ def queries() -> dict[str, Query]:
             "status", F.col("is_valid").cast("int").alias("is_valid")).agg(F.count(F.lit(1)).alias("flows")),
         "flow_windowed_2s": lambda s, p: _listed(meter.meter_windows(_packets(s, p))),
         "traffic_windows_aligned": lambda s, p: _traffic(windows.aligned_windows(_headers(s, p))),
-        "traffic_windows_anchored": lambda s, p: _traffic(windows.anchored_windows(_headers(s, p))),
+        "traffic_windows_anchored": lambda s, p: _traffic(windows.anchored_windows(_plain_headers(s, p))),
         "wire_encode": lambda s, p: encode_wire(_flows(s, p), "live", keep=["flow_start"]),
         "wire_roundtrip": lambda s, p: decode_wire(_wire(s, p)).select(*WIRE_FIELDS),
         "flows_written": _flow_files,
