@@ -7,20 +7,58 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import knn, mixing, simhash, warc
+from flowloom.llm import knn, language, mixing, pieces, simhash, sketch, tokenfiles, warc
 from flowloom.llm.common import new_path, table
 
+#: Folder of the public tokenizer files, readable on the driver.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", simhash.hexadecimal("code").alias("fingerprint"), "component_id")
 
 
+def op5_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketch.compare_with_edit(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                        "edited_fingerprint", "near_edited", "near_next")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
+    encoded = pieces.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), model)
+    return digests(encoded.withColumn("decoded", pieces.decoded("ids", model)))
+
+
+def digests(encoded: DataFrame) -> DataFrame:
+    """Length and digests of ``encoded`` (doc_id, ids, decoded)."""
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = knn.scaled(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
     return knn.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    tokenizer = tokenfiles.read_tokenizer(f"{TOKENIZERS}/word_bpe_49k.json")
+    tokenfiles.write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), path, tokenizer)
+    found = tokenfiles.read_tokens(spark, path).select(
+        "part", "number", "doc_id", "offset", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"))
+    return found.join(tokenfiles.file_starts(spark, path), ["part", "number"]).select(
+        "doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -34,7 +72,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash, op7_voronoi_knn, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (
+        op3_language, op4_simhash, op5_bottom_k, op6_sentencepiece, op7_voronoi_knn, op8_token_files, op9_mixing,
+        op10_warc)}
 
 
 ORACLE = {
