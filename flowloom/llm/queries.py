@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import knn, language, mixing, pieces, simhash, sketch, tokenfiles, warc
+from flowloom.llm import knn, language, lines, mixing, pieces, pii, simhash, sketch, tokenfiles, warc
 from flowloom.llm.common import new_path, table
 
 #: Folder of the public tokenizer files, readable on the driver.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.protect(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_recurring(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -71,13 +80,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it takes its stages' settings from this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op3_language, op4_simhash, op5_bottom_k, op6_sentencepiece, op7_voronoi_knn, op8_token_files, op9_mixing,
-        op10_warc)}
+        op1_pseudonyms, op2_line_templates, op3_language, op4_simhash, op5_bottom_k, op6_sentencepiece,
+        op7_voronoi_knn, op8_token_files, op9_mixing, op10_warc, pipeline)}
 
 
 ORACLE = {
+    "op2_line_templates": lines.ORACLE,
     "op7_voronoi_knn": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
