@@ -25,12 +25,14 @@ def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """``vectors`` (vec_id, embedding) with integer components floor(scale * x).
 
     Rows whose vec_id or vector is NULL, or that hold a NULL or non-finite component, are left out; so are those of
-    another length than most (the longest of the commonest lengths), which have no inner product with the others.
+    another length than most (of equally common lengths the longest counts), which have no inner product with them.
     """
     x = F.transform("embedding", lambda v: v.cast("double"))
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(
         x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = vectors.where(F.coalesce(fine, F.lit(False)))
+    rows = vectors.where(F.coalesce(fine, F.lit(False))).select("vec_id", "embedding")
+    usual = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    rows = rows.where(F.size("embedding") == (usual["n"] if usual else 0))
     return rows.select("vec_id", F.transform(x, lambda v: F.floor(v * scale).cast("double")).alias("vector"))
 
 

@@ -1,9 +1,9 @@
 """Line deduplication with a tree of log templates.
 
 The tree has a fixed depth: lines part by their number of tokens, then by their leading tokens, where a token with a
-digit is a variable field. At a leaf, the commonest token at each position makes the leaf's template; lines that agree
-with it at ``SIMILARITY`` of their positions or more belong to it, and what differs is a further variable field. Other
-lines are a template of their own, their variable fields generalised. A template found in several documents is dropped
+digit is a variable field. At a leaf, the commonest token at each position that several different lines share makes
+the leaf's template; lines that agree with it at ``SIMILARITY`` of their positions or more belong to it, and what
+differs is a further variable field. Other lines are a template of their own, their variable fields generalised. A template found in several documents is dropped
 from all but the one with the smallest doc_id. All steps are joins and aggregations, so no line waits for another.
 """
 
@@ -12,53 +12,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.llm.common import stored
+
 DEPTH = 3
 MIN_TOKENS = 3
 SIMILARITY = 0.8
+#: Up to this many leaves with several forms are broadcast (8 bytes each); beyond, the lines are joined by a shuffle.
+BROADCAST_LEAVES = 2_000_000
 FIELD = "<*>"
 _WHITE = r"[\x20\x09-\x0D]+"
 _WITH_DIGIT = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+_PLAIN = r"[0-9\x09\x0B-\x0D]"
 _TRIM = " \t\x0b\x0c\r"
 _SPLIT_LINES = "\n"
 
 
-def _tokens(line: Column) -> Column:
-    """The tokens of a line, those with a digit generalised."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _WITH_DIGIT, FIELD)).otherwise(line)
-    return F.split(F.btrim(masked, F.lit(_TRIM)), _WHITE)
+def _masked(line: Column) -> Column:
+    """A line with single spaces between its tokens, those with a digit generalised."""
+    blank = F.lit(" ")
+    odd = line.rlike(_PLAIN) | line.contains("  ") | line.startswith(blank) | line.endswith(blank)
+    clean = F.btrim(F.regexp_replace(F.regexp_replace(line, _WITH_DIGIT, FIELD), _WHITE, " "), F.lit(_TRIM))
+    return F.when(odd, clean).otherwise(line)
 
 
 def _parsed(documents: DataFrame) -> DataFrame:
     """A row for each line with enough tokens: doc_id, version, line number, and where the line goes in the tree."""
     lines = documents.select("doc_id", F.xxhash64("text").alias("version"),
                              F.posexplode(F.split("text", _SPLIT_LINES)).alias("line", "content"))
-    tokens = lines.select("doc_id", "version", "line", _tokens(F.col("content")).alias("tokens")).where(
-        F.size("tokens") >= MIN_TOKENS)
-    return tokens.select(
-        "doc_id", "version", "line", "tokens",
-        F.xxhash64(F.size("tokens"), F.array_join(F.slice("tokens", 1, DEPTH), " ")).alias("leaf"),
+    masked = lines.select("doc_id", "version", "line", _masked(F.col("content")).alias("masked"))
+    size = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    counted = masked.withColumn("size", size).where(F.col("size") >= MIN_TOKENS)
+    return counted.select(
+        "doc_id", "version", "line", "masked",
+        F.xxhash64("size", F.substring_index("masked", " ", DEPTH)).alias("leaf"),
         # 128 bits stand for the generalised line
-        F.xxhash64("tokens").alias("form"), F.xxhash64(F.lit("form"), "tokens").alias("form_2"))
+        F.xxhash64("masked").alias("form"), F.xxhash64(F.lit("form"), "masked").alias("form_2"))
 
 
-def _similar(documents: DataFrame, forms: DataFrame, similarity: float) -> DataFrame | None:
+def _similar(documents: DataFrame, forms: DataFrame, similarity: float, broadcast_leaves: int) -> DataFrame | None:
     """The lines' forms that belong to their leaf's template; None if no leaf has two forms."""
     several = forms.groupBy("leaf").count().where("count > 1").select("leaf").checkpoint()
-    if several.isEmpty():
+    leaves = several.count()
+    if not leaves:
         return None
-    members = _parsed(documents).select("leaf", "form", "form_2", "tokens").join(several, "leaf", "left_semi")
-    members = members.groupBy("leaf", "form", "form_2", "tokens").agg(F.count(F.lit(1))).select(
-        "leaf", "form", "form_2", "tokens").checkpoint()
+    several = F.broadcast(several) if leaves <= broadcast_leaves else several
+    members = _parsed(documents).join(several, "leaf", "left_semi").groupBy("leaf", "form", "form_2", "masked").agg(
+        F.count(F.lit(1))).select("leaf", "form", "form_2", F.split("masked", " ").alias("tokens")).checkpoint()
     seen = members.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy(
         "leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
-    common = seen.groupBy("leaf", "place").agg(F.max(F.struct("n", "token"))["token"].alias("token"))
+    common = seen.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("top")).select(
+        "leaf", "place", F.when(F.col("top.n") > 1, F.col("top.token")).alias("token"))
     templates = common.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("template"))
     agree = F.size(F.filter(F.zip_with(
-        "tokens", "template", lambda a, b: a == b["token"]), lambda same: same))
+        "tokens", "template", lambda a, b: F.coalesce(a == b["token"], F.lit(False))), lambda same: same))
     return members.join(templates, "leaf").where(agree >= similarity * F.size("tokens")).select("leaf", "form", "form_2")
 
 
-def drop_recurring(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def drop_recurring(documents: DataFrame, similarity: float = SIMILARITY,
+                   broadcast_leaves: int = BROADCAST_LEAVES) -> DataFrame:
     """``documents`` (doc_id, text) without recurring lines: doc_id, version, text, n_lines, n_dropped.
 
     ``version`` is a hash of the text as it came. Lines under ``MIN_TOKENS`` tokens are kept. The line endings that
@@ -66,12 +77,13 @@ def drop_recurring(documents: DataFrame, similarity: float = SIMILARITY) -> Data
     without doc_id comes after all others, so it keeps only lines that no document with an id has. Rows that are equal
     in doc_id and text count as one document, and each is returned.
     """
-    lines = _parsed(documents).select("doc_id", "version", "line", "leaf", "form", "form_2").checkpoint()
+    lines = stored(_parsed(documents).select("doc_id", "version", "line", "leaf", "form", "form_2"), "lines")
     forms = lines.groupBy("leaf", "form", "form_2").agg(
         F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
-        F.max(F.col("doc_id").isNull()).alias("nameless")).checkpoint()
+        F.max(F.col("doc_id").isNull()).alias("nameless"))
+    forms = stored(forms, "forms")
     key = ["leaf", "form", "form_2"]
-    similar = _similar(documents, forms, similarity)
+    similar = _similar(documents, forms, similarity, broadcast_leaves)
     if similar is None:
         ruled = forms
     else:
@@ -114,7 +126,7 @@ m as (select f.* from f join s using (n, head)),
 e as (select n, head, unnest(range(n)) as place, unnest(tokens) as token from m),
 c as (select n, head, place, token, count(*) as k from e group by all),
 r as (select *, row_number() over (partition by n, head, place order by k desc, token desc) as pick from c),
-d as (select n, head, list(token order by place) as template from r where pick = 1 group by n, head),
+d as (select n, head, list(case when k > 1 then token end order by place) as template from r where pick = 1 group by n, head),
 y as (
   select m.* from m join d using (n, head)
   where len(list_filter(range(n), lambda i: tokens[i + 1] = template[i + 1])) >= 0.8 * n),

@@ -176,11 +176,11 @@ def expand(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     times = mixed.where("copies > 0").select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"),
                                              F.col("size").alias("_size"), F.col("copies").alias("_copies"))
     # rows that share id, source and size may differ in copies: each copy count goes to one of them
-    place = Window.partitionBy("doc_id", "source", "_words").orderBy(F.xxhash64("text"))
+    place = Window.partitionBy("doc_id", "source", "_words").orderBy("_hash")
     other = Window.partitionBy("_doc_id", "_source", "_size").orderBy(F.desc("_copies"))
-    rows = documents.withColumn("_words", word_count(F.col("text"))).withColumn("_place", F.row_number().over(place))
+    rows = documents.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("_words"),
+                            F.xxhash64("text").alias("_hash")).withColumn("_place", F.row_number().over(place))
     times = times.withColumn("_number", F.row_number().over(other))
     joined = rows.join(times, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))
                        & (F.col("_words") == F.col("_size")) & (F.col("_place") == F.col("_number")))
-    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return repeated.select(*documents.columns)
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("row.*")

@@ -86,7 +86,7 @@ class Codes:
 
     def slice(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop``, reading only their own chunks at each level."""
-        parts = []
+        parts, start, stop = [], int(start), int(stop)
         for level in self.levels:
             first = start >> 3
             more = np.unpackbits(level.bitmap[first:(stop + 7) >> 3], bitorder="little")[start - 8 * first:stop - 8 * first]

@@ -57,15 +57,24 @@ def archive_records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> Dat
 
 
 def _cuts(payload: bytes, segment_bytes: int) -> Iterator[tuple[int, int]]:
-    """Where segments begin and end; an empty payload has one empty segment."""
-    mark, start = SEPARATOR.encode(), 0
-    found = payload.find(mark)
+    """Where segments begin and end; an empty payload has one empty segment.
+
+    Neither a segment nor the blank line before it with its first bytes makes a separator: a segment that would ends
+    after the ``W`` of the separator's version line.
+    """
+    version, line = VERSION.strip().encode(), VERSION[-2:].encode()
+    mark = END.encode() + version
+    start, found = 0, payload.find(mark)
     while True:
         end = min(start + segment_bytes, len(payload))
         while 0 <= found < start:
             found = payload.find(mark, found + 1)
-        if 0 <= found < end - len(mark) + 1:
-            end = found + len(END)
+        if payload.startswith(version, start):
+            end = start + 1
+        elif payload.startswith(line + version, start):
+            end = start + 3
+        elif 0 <= found and found + len(mark) <= end + len(version):
+            end = min(end, found + len(END) + 1)
         yield start, end
         start = end
         if start >= len(payload):
