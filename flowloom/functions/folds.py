@@ -10,8 +10,8 @@ from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
 
-from flowloom.functions.tracking import (ADDED, BOTH_CLOSED, CLIENT_READY, DROPPED, EXPIRED, ChunkSummary,
-                                         Track, apply_summary)
+from flowloom.functions.tracking import (ADDED, BOTH_CLOSED, CLIENT_READY, DROPPED, EXPIRED, HEAD_LIMIT,
+                                         ChunkSummary, Track, apply_summary, follow)
 
 # column, Arrow type and SQL type of what ``label`` adds
 LABELS = [
@@ -19,7 +19,7 @@ LABELS = [
     ("iat", pa.int64(), "bigint"), ("span", pa.int64(), "bigint"), ("burst", pa.int64(), "bigint"),
     ("client_ready", pa.bool_(), "boolean"), ("closes", pa.bool_(), "boolean"),
     ("expires", pa.bool_(), "boolean"), ("low_iat", pa.int64(), "bigint"), ("low_span", pa.int64(), "bigint"),
-    ("low_len", pa.int64(), "bigint"),
+    ("low_len", pa.int64(), "bigint"), ("burst_no", pa.int64(), "bigint"),
 ]
 
 
@@ -33,7 +33,7 @@ def _groups(batches: Iterable[pa.RecordBatch], names: Sequence[str]):
 
 def ended(start: int, front: int) -> tuple:
     """Label of a row that carries no packet: the flow ended by timeout."""
-    return (start, front, None, None, None, None, None, None, True, None, None, None)
+    return (start, front, None, None, None, None, None, None, True, None, None, None, None)
 
 
 def advance(track: Track, num: int, ts: int, side: int, symbol: int, size: int) -> list[tuple]:
@@ -50,7 +50,7 @@ def advance(track: Track, num: int, ts: int, side: int, symbol: int, size: int)
             track.pairs = None
     minima = track.minima
     added = (track.start, track.front, track.gap, track.iat, track.span, track.burst, ready, closes, False,
-             minima[side], minima[2], minima[3 + side])
+             minima[side], minima[2], minima[3 + side], track.bursts)
     return [ended(begun, front), added] if outcome == EXPIRED else [added]
 
 
@@ -83,7 +83,8 @@ def label(timeout: int, idle: int):
     return run
 
 
-def summarise(key: Sequence[str], timeout: int, idle: int, schema: pa.Schema, rows_per_batch: int = 256):
+def summarise(key: Sequence[str], timeout: int, idle: int, schema: pa.Schema, head_limit: int = HEAD_LIMIT,
+              rows_per_batch: int = 256):
     """Arrow function: rows of (key, chunk) groups to one summary row each."""
     def run(batches):
         summary, group, done = None, None, []
@@ -100,7 +101,7 @@ def summarise(key: Sequence[str], timeout: int, idle: int, schema: pa.Schema, ro
                             done = []
                     group = {n: k[i].as_py() for n, k in zip([*key, "chunk"], keys)}
                     peak = peaks[i].as_py()
-                    summary = ChunkSummary(peak, timeout, idle)
+                    summary = ChunkSummary(peak, timeout, idle, head_limit)
                     if peak is not None:
                         continue
                 summary.add(num[i], ts[i], side[i], symbol[i], size[i])
@@ -111,23 +112,57 @@ def summarise(key: Sequence[str], timeout: int, idle: int, schema: pa.Schema, ro
 
 
 def chain(key: Sequence[str], timeout: int, idle: int, schema: pa.Schema):
-    """Arrow function: a key's summaries in chunk order to the state on entry of every chunk but the first."""
+    """Arrow function: a key's summaries in chunk order to the state on entry of every chunk but the first.
+
+    A row's ``leaves`` is its state on leaving, where it is known already.  At a chunk whose summary can't tell,
+    ``stuck`` is set on the entry and the rest of the key is left for another round.
+    """
     def run(batches):
         group, track = None, None
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 this = [row[n] for n in key]
-                if this != group:
+                first = this != group
+                if first:
                     group, track = this, Track(timeout, idle)
+                elif track is None:
+                    continue
+                entry = json.dumps(track.to_row())
+                if row["leaves"] is not None:
+                    after = Track.from_row(json.loads(row["leaves"]), timeout, idle)
                 else:
-                    out.append({**{n: row[n] for n in key}, "chunk": row["chunk"], "entry": json.dumps(track.to_row())})
-                track = apply_summary(track, row)
+                    after = apply_summary(track, row)
+                if not first or after is None:
+                    out.append({**{n: row[n] for n in key}, "chunk": row["chunk"], "entry": entry, "stuck": after is None})
+                track = after
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
     return run
 
 
+def go_through(key: Sequence[str], timeout: int, idle: int, schema: pa.Schema):
+    """Arrow function: rows of (key, chunk) groups after their entry row to the state on leaving."""
+    def run(batches):
+        track, group, done = None, None, []
+        for batch, (rank, num, ts, side, symbol, size) in _groups(
+                batches, ["rank", "num", "ts_us", "side", "symbol", "len"]):
+            entries = batch.column(batch.schema.get_field_index("entry"))
+            keys = [batch.column(batch.schema.get_field_index(n)) for n in [*key, "chunk"]]
+            for i in range(batch.num_rows):
+                if rank[i] == 1:
+                    if track is not None:
+                        done.append({**group, "leaves": json.dumps(track.to_row())})
+                    group = {n: k[i].as_py() for n, k in zip([*key, "chunk"], keys)}
+                    track = Track.from_row(json.loads(entries[i].as_py()), timeout, idle)
+                    continue
+                follow(track, num[i], ts[i], side[i], symbol[i], size[i])
+        if track is not None:
+            done.append({**group, "leaves": json.dumps(track.to_row())})
+            yield pa.RecordBatch.from_pylist(done, schema)
+    return run
+
+
 def anchor_starts(width: int, group: Sequence[str]):
     """Arrow function: increasing timestamps of each group to the window starts among them."""
     def run(batches):

@@ -13,6 +13,7 @@ key is summarised before the state on entry is known (see ``ChunkSummary``).
 from __future__ import annotations
 
 import copy
+import json
 
 # TCP flag bits.
 FIN, SYN, RST, PSH, ACK, URG = 1, 2, 4, 8, 16, 32
@@ -67,8 +68,8 @@ class Track:
     The minima treat zero as "not set": after a zero the next value replaces it, whatever its size.
     """
 
-    __slots__ = ("timeout", "idle", "pairs", "last", "start", "front", "seen", "burst", "minima", "wiped",
-                 "early", "early_end", "gap", "iat", "span")
+    __slots__ = ("timeout", "idle", "pairs", "last", "start", "front", "seen", "burst", "bursts", "minima",
+                 "wiped", "early", "early_end", "gap", "iat", "span")
 
     def __init__(self, timeout: int, idle: int):
         self.timeout = timeout
@@ -76,6 +77,7 @@ class Track:
         self.pairs = None
         self.start = None
         self.last = self.front = self.burst = 0
+        self.bursts = 0  # bursts of the flow that ended so far
         self.seen = [None, None]
         self.minima = [0] * N_MINIMA
         self.wiped = 0
@@ -102,6 +104,7 @@ class Track:
                 self.span = self._lower(2, self.last - self.burst)
             seen[0] = seen[1] = None
             self.burst = ts
+            self.bursts += 1
         else:
             previous = seen[side]
             if previous is not None:
@@ -138,6 +141,7 @@ class Track:
         self.start = num
         self.front = side
         self.last = self.burst = ts
+        self.bursts = 0
         self.seen = [None, None]
         self.seen[side] = ts
         self.minima = [0] * N_MINIMA
@@ -152,15 +156,15 @@ class Track:
         return {
             "pair": -1 if self.pairs is None else self.pairs[0],
             "last": self.last, "start": self.start, "front": self.front,
-            "seen": list(self.seen), "burst": self.burst, "minima": list(self.minima),
+            "seen": list(self.seen), "burst": self.burst, "bursts": self.bursts, "minima": list(self.minima),
         }
 
     @classmethod
     def from_row(cls, row: dict, timeout: int, idle: int) -> Track:
         track = cls(timeout, idle)
         track.pairs = None if row["pair"] < 0 else bytes([row["pair"]])
-        track.last, track.start, track.front, track.burst = (
-            row["last"], row["start"], row["front"], row["burst"])
+        track.last, track.start, track.front, track.burst, track.bursts = (
+            row["last"], row["start"], row["front"], row["burst"], row["bursts"])
         track.seen = list(row["seen"])
         track.minima = list(row["minima"])
         return track
@@ -169,6 +173,15 @@ class Track:
 FRESH_LANE = 36
 
 
+HEAD_LIMIT = 4096
+
+
+def follow(track: Track, num: int, ts: int, side: int, symbol: int, size: int) -> None:
+    """One packet, and the close that it may bring."""
+    if track.step(num, ts, side, symbol, size) == ADDED and track.pairs[0] == BOTH_CLOSED:
+        track.pairs = None
+
+
 class ChunkSummary:
     """What one chunk does to every state a key may enter it with.
 
@@ -176,21 +189,42 @@ class ChunkSummary:
     accepted whatever the state is, and leaves ``last`` at its own timestamp, so from there on only the
     37 lanes (36 machine pairs, or "next packet opens") matter.  Packets up to and including that one are
     kept as the ``head`` and are replayed when chunks are put together.
+
+    A head longer than ``limit`` (a clock that jumped ahead) is not kept.  Two entries still have a known
+    result: a key whose next packet opens a flow is followed packet by packet (``opened``), and one whose last
+    packet is later than all of the head (``head_top``) drops it up to the packet that ended it.  A key that
+    enters between these must go through the chunk itself; ``apply_summary`` says so.
     """
 
-    def __init__(self, peak: int | None, timeout: int, idle: int):
+    def __init__(self, peak: int | None, timeout: int, idle: int, limit: int = HEAD_LIMIT):
         self.peak = peak
         self.timeout = timeout
         self.idle = idle
+        self.limit = limit
         self.head: list[tuple] = []
+        self.head_top: int | None = None
+        self.opened: Track | None = None
         self.tracks: list[tuple[Track, list[list[int]]]] | None = None
         self.fresh: list[int] = []
 
     def add(self, num: int, ts: int, side: int, symbol: int, size: int) -> None:
+        if self.opened is not None:
+            follow(self.opened, num, ts, side, symbol, size)
         if self.tracks is None:
-            self.head.append((num, ts, side, symbol, size))
-            if self.peak is None or ts >= self.peak:
+            ends = self.peak is None or ts >= self.peak
+            if self.opened is None:
+                self.head.append((num, ts, side, symbol, size))
+                if len(self.head) > self.limit:
+                    self.opened = Track(self.timeout, self.idle)
+                    for packet in self.head:
+                        follow(self.opened, *packet)
+                    self.head = []
+            if ends:
+                if self.opened is not None:
+                    self.head = [(num, ts, side, symbol, size)]
                 self._start(ts)
+            else:
+                self.head_top = ts if self.head_top is None else max(self.head_top, ts)
             return
         opening, self.fresh = self.fresh, []
         for position in range(len(self.tracks) - 1, -1, -1):
@@ -238,22 +272,30 @@ class ChunkSummary:
             for pair, group in zip(track.pairs, lanes):
                 for lane in group:
                     lane_track[lane], lane_pair[lane] = index, pair
-            states.append([track.last, track.start, track.front, *track.seen, track.burst, *track.early,
-                           track.early_end, track.wiped, *track.minima])
+            states.append([track.last, track.start, track.front, *track.seen, track.burst, track.bursts,
+                           *track.early, track.early_end, track.wiped, *track.minima])
         return {
             "head": [value for packet in self.head for value in packet],
+            "head_top": self.head_top,
+            "opened": None if self.opened is None else json.dumps(self.opened.to_row()),
             "synced": self.tracks is not None,
             "lane_track": lane_track, "lane_pair": lane_pair, "states": states,
         }
 
 
-def apply_summary(track: Track, row: dict) -> Track:
-    """State after a chunk, from the state before it and the chunk's ``ChunkSummary.to_row()``."""
+def apply_summary(track: Track, row: dict) -> Track | None:
+    """State after a chunk, from the state before it and the chunk's ``ChunkSummary.to_row()``.
+
+    None if the summary can't tell, so that this state must go through the chunk's packets.
+    """
+    if row["opened"] is not None:
+        if track.pairs is None:
+            return Track.from_row(json.loads(row["opened"]), track.timeout, track.idle)
+        if row["head_top"] is not None and track.last <= row["head_top"]:
+            return None
     head = row["head"]
     for at in range(0, len(head), 5):
-        outcome = track.step(*(int(v) for v in head[at:at + 5]))
-        if outcome == ADDED and track.pairs[0] == BOTH_CLOSED:
-            track.pairs = None
+        follow(track, *(int(v) for v in head[at:at + 5]))
     if not row["synced"]:
         return track
     lane = FRESH_LANE if track.pairs is None else track.pairs[0]
@@ -262,13 +304,15 @@ def apply_summary(track: Track, row: dict) -> Track:
     if index < 0:
         after.pairs = None
         return after
-    last, start, front, seen0, seen1, burst, early0, early1, early_end, wiped, *minima = row["states"][index]
+    (last, start, front, seen0, seen1, burst, bursts, early0, early1, early_end, wiped,
+     *minima) = row["states"][index]
     after.pairs = bytes([row["lane_pair"][lane]])
     after.last = last
     if start != INHERIT:
         after.start, after.front, after.seen, after.burst = start, front, [seen0, seen1], burst
-        after.minima = minima
+        after.bursts, after.minima = bursts, minima
         return after
+    after.bursts = track.bursts + bursts
     first = [None if early is None or track.seen[side] is None else early - track.seen[side]
              for side, early in enumerate((early0, early1))]
     first += [None if early_end is None else early_end - track.burst, None, None]

@@ -2,55 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.columns import UNKNOWN_LAT, UNKNOWN_LON, ip_to_long
 
 
-def _pieces(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cut ranges at address blocks so that the range condition becomes an equality.
+#: Up to this many pieces the cut table is broadcast (about 40 bytes each).
+BROADCAST_PIECES = 1_000_000
+BLOCK = 65536
 
-    Whole /16 blocks go to the first table, what is left over to the second, cut at /24: there a block
-    holds at most 256 pieces, so no lookup meets more candidates than that.
+
+def _pieces(ranges: DataFrame) -> DataFrame:
+    """Ranges cut at blocks of 65 536 addresses, so that the range condition becomes an equality.
+
+    At most one piece for each block that a range covers or touches: with ranges that don't overlap, no more
+    than the blocks there are (65 536) and twice the ranges.
     """
     c = F.col
-    cut = (ranges
-           .withColumn("b0", F.ceil(c("ip_from") / 65536).cast("bigint"))
-           .withColumn("b1", F.floor((c("ip_to") + 1) / 65536).cast("bigint") - 1)
-           .withColumn("whole", c("b0") <= c("b1")))
-    blocks = cut.filter("whole").select(
-        F.explode(F.sequence("b0", "b1")).alias("block"), F.struct("lat", "lon").alias("location"))
-    rests = cut.select("lat", "lon", F.explode(F.when(c("whole"), F.array(
-        F.struct(c("ip_from").alias("lo"), (c("b0") * 65536 - 1).alias("hi")),
-        F.struct(((c("b1") + 1) * 65536).alias("lo"), c("ip_to").alias("hi")),
-    )).otherwise(F.array(F.struct(c("ip_from").alias("lo"), c("ip_to").alias("hi"))))).alias("rest"))
-    parts = (rests.filter("rest.lo <= rest.hi")
-             .select("lat", "lon", "rest.lo", "rest.hi", F.explode(F.sequence(
-                 F.shiftright("rest.lo", 8), F.shiftright("rest.hi", 8))).alias("block"))
-             .select("block", F.greatest("lo", c("block") * 256).alias("lo"),
-                     F.least("hi", c("block") * 256 + 255).alias("hi"), F.struct("lat", "lon").alias("location")))
-    return blocks, parts
+    return ranges.select("lat", "lon", "ip_from", "ip_to", F.explode(F.sequence(
+        F.shiftright("ip_from", 16), F.shiftright("ip_to", 16))).alias("block")).select(
+            "block", F.greatest("ip_from", c("block") * BLOCK).alias("lo"),
+            F.least("ip_to", c("block") * BLOCK + BLOCK - 1).alias("hi"), F.struct("lat", "lon").alias("location"))
+
+
+def checked_pieces(ranges: DataFrame) -> DataFrame:
+    """The cut table, marked for broadcast if its size allows.  Overlapping ranges, which would give a flow two
+    locations, are an error."""
+    pieces = _pieces(ranges.filter("ip_from <= ip_to")).persist(StorageLevel.MEMORY_AND_DISK)
+    order = Window.partitionBy("block").orderBy("lo", "hi")
+    clash = pieces.withColumn("before", F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows, overlaps = clash.agg(F.count(F.lit(1)), F.count_if(F.col("before") >= F.col("lo"))).first()
+    if overlaps:
+        pieces.unpersist()
+        raise ValueError(f"{overlaps} address ranges overlap others")
+    return F.broadcast(pieces) if rows <= BROADCAST_PIECES else pieces
+
+
+def _locate(df: DataFrame, pieces: DataFrame, address: str, output: str) -> DataFrame:
+    taken = [c for c in df.columns if c != output]
+    found = df.withColumn("_ip", ip_to_long(F.col(address))).join(
+        pieces.select(F.col("block").alias("_block"), "lo", "hi", F.col("location").alias("_found")),
+        (F.shiftright("_ip", 16) == F.col("_block")) & F.col("_ip").between(F.col("lo"), F.col("hi")), "left")
+    default = F.struct(F.lit(UNKNOWN_LAT).alias("lat"), F.lit(UNKNOWN_LON).alias("lon"))
+    return found.select(*taken, F.coalesce("_found", default).alias(output))
 
 
 def locate(df: DataFrame, ranges: DataFrame, address: str, output: str) -> DataFrame:
     """Add ``output`` STRUCT<lat, lon> for an address column; unknown addresses get the default location.
 
-    ``ranges`` (ip_from, ip_to, lat, lon; inclusive, not overlapping).  Spark broadcasts the cut table while
-    it is under the broadcast threshold, and joins by block otherwise; AQE splits blocks that are hot.
+    ``ranges`` (ip_from, ip_to, lat, lon; inclusive, not overlapping).  One join per address, against a table
+    whose size is counted first: broadcast while it is small, by block otherwise (AQE splits hot blocks).
     """
-    blocks, parts = _pieces(ranges)
-    taken = [c for c in df.columns if c != output]
-    found = (df.withColumn("_ip", ip_to_long(F.col(address)))
-             .join(blocks.select(F.col("block").alias("_b16"), F.col("location").alias("_wide")),
-                   F.shiftright("_ip", 16) == F.col("_b16"), "left")
-             .join(parts.select(F.col("block").alias("_b24"), "lo", "hi", F.col("location").alias("_narrow")),
-                   (F.shiftright("_ip", 8) == F.col("_b24")) & F.col("_ip").between(F.col("lo"), F.col("hi")),
-                   "left"))
-    default = F.struct(F.lit(UNKNOWN_LAT).alias("lat"), F.lit(UNKNOWN_LON).alias("lon"))
-    return found.select(*taken, F.coalesce("_wide", "_narrow", default).alias(output))
+    return _locate(df, checked_pieces(ranges), address, output)
 
 
 def add_locations(flows: DataFrame, ranges: DataFrame) -> DataFrame:
     """``srclocation`` and ``dstlocation``, each from its own address."""
-    return locate(locate(flows, ranges, "srcip", "srclocation"), ranges, "dstip", "dstlocation")
+    pieces = checked_pieces(ranges)
+    return _locate(_locate(flows, pieces, "srcip", "srclocation"), pieces, "dstip", "dstlocation")

@@ -17,8 +17,9 @@ def add_class(flows: DataFrame, label: str = "live") -> DataFrame:
 
 
 def binary_label(label: Column) -> Column:
-    """``'0'`` is normal traffic, anything else an alert.  Text comparison: ``'0.0'`` is an alert."""
-    return F.when(label == "0", 0.0).otherwise(1.0)
+    """``'0'`` is normal traffic, anything else an alert.  Text comparison: ``'0.0'`` is an alert.  A missing
+    class has no label."""
+    return F.when(label == "0", 0.0).when(label.isNotNull(), 1.0)
 
 
 def to_float(df: DataFrame, columns: Sequence[str] = MODEL_FIELDS) -> DataFrame:
@@ -56,9 +57,25 @@ def named_features(flows: DataFrame, fields: Sequence[str] = RECORD_FIELDS[:44])
 
 def labelled_points(flows: DataFrame, features: Sequence[str] = MODEL_FIELDS,
                     output: str = "features") -> DataFrame:
-    """``label`` and a feature vector on the same row; nothing is joined by position."""
-    prepared = to_float(flows, features).withColumn("label", binary_label(F.col("class")))
-    return VectorAssembler(inputCols=list(features), outputCol=output, handleInvalid="skip").transform(prepared)
+    """``label`` and a feature vector on the same row; nothing is joined by position.  Rows without a label or
+    with a feature that is no number are left to ``unusable_rows``."""
+    good, _ = usable_rows(to_float(flows, features).withColumn("label", binary_label(F.col("class"))),
+                          ["label", *features])
+    return VectorAssembler(inputCols=list(features), outputCol=output, handleInvalid="error").transform(good)
+
+
+def usable_rows(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows in which all ``columns`` have a value, and the others; every row is in one of the two."""
+    gap = F.array_contains(F.array(*[F.col(c).isNull() | F.coalesce(F.isnan(F.col(c).cast("double")), F.lit(False))
+                                     for c in columns]), True)
+    return rows.filter(~gap), rows.filter(gap)
+
+
+def unusable_rows(flows: DataFrame, features: Sequence[str] = MODEL_FIELDS) -> DataFrame:
+    """Labelled flows that can't teach or be tested, with the ``reason``."""
+    typed = to_float(flows, features).withColumn("label", binary_label(F.col("class")))
+    _, bad = usable_rows(typed, ["label", *features])
+    return bad.withColumn("reason", F.when(F.col("label").isNull(), "no class").otherwise("feature"))
 
 
 def with_prediction(flows: DataFrame, predict: Column, at: Column | None = None) -> DataFrame:

@@ -4,10 +4,11 @@ A packet's flow depends on all earlier packets of its key, so keys are the unit
 key, one sort on arrival order, one pass in constant memory.  That alone would put a key holding a third of
 the rows into one task.  Such hot keys are cut into chunks by arrival number instead:
 
-1. ``hot_keys`` finds keys above a task's fair share.  At most ``HOT_LIMIT`` keys can hold more than
-   1/HOT_LIMIT of the rows each, so the list is short whatever the data looks like.
+1. ``hot_keys`` counts the packets of each key once and finds those above ``HOT_ROWS``, a fixed number.
 2. ``_chunk_entries``: every chunk of a hot key is summarised independently, for all states it may be
    entered with; the short list of summaries is then chained per key and gives each chunk its real entry.
+   A summary is bounded; where it can't tell (a clock ran far ahead and a flow closed meanwhile), the chunk is
+   followed from its entry and the chain goes on after it.
 3. The final pass treats (key, chunk) as its group; a chunk starts from its entry row, which sorts first.
 
 No packet row is collected, dropped or capped on either path, and both give the same rows.
@@ -18,14 +19,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom.functions import folds, tracking
-from flowloom.functions.folds import LABELS, chain, label, summarise
-from flowloom.functions.tracking import UDP_SYMBOL
+from flowloom.functions.folds import LABELS, chain, go_through, label, summarise
+from flowloom.functions.tracking import HEAD_LIMIT, UDP_SYMBOL
 from flowloom.operators.packets import KEY, TCP, canonical
 
 # executors need no copy of the package: the task-side helpers travel with the job
@@ -36,41 +38,42 @@ register_pickle_by_value(tracking)
 FLOW_TIMEOUT = 600_000_000
 IDLE_THRESHOLD = 1_000_000
 
-HOT_LIMIT = 4096
 HOT_ROWS = 4_000_000
+#: Up to this many hot keys (at least HOT_ROWS packets each) are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 CHUNK_SPAN = 4_000_000
 
 _MINIMA = T.ArrayType(T.LongType())
 # JSON text: a nullable struct column is slow to hand to Python when almost every row is NULL
 _ENTRY = T.StringType()
 _SUMMARY = T.StructType([
-    T.StructField("head", _MINIMA), T.StructField("synced", T.BooleanType()),
+    T.StructField("head", _MINIMA), T.StructField("head_top", T.LongType()), T.StructField("opened", _ENTRY),
+    T.StructField("synced", T.BooleanType()),
     T.StructField("lane_track", T.ArrayType(T.IntegerType())),
     T.StructField("lane_pair", T.ArrayType(T.IntegerType())),
     T.StructField("states", T.ArrayType(_MINIMA)),
 ])
+
+
 def symbol() -> Column:
     return (F.when(F.col("proto") == TCP, F.col("side") * 64 + F.col("flags").bitwiseAND(F.lit(63)))
             .otherwise(UDP_SYMBOL).cast("smallint"))
 
 
 def hot_keys(packets: DataFrame, within: Sequence[str] = (), hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows and more than 1/HOT_LIMIT of all rows; None without any.
+    """Keys with more than ``hot_rows`` rows; None without any.  One count over the packets' keys.
 
-    Runs a count, and a count per key only if some key can be that large.  Fewer than HOT_LIMIT keys qualify,
-    so the list may be fetched and broadcast.
+    The table has at most one row for every ``hot_rows`` packets.  It is marked for broadcast while its size,
+    which is known here, is below ``BROADCAST_KEYS``.
     """
-    total = packets.count()
-    floor = max(hot_rows, total // HOT_LIMIT)
     key = [*within, *KEY]
-    found = []
-    if total > floor:
-        found = (canonical(packets).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-                 .filter(F.col("n") > floor).select(*key).collect())
-    if not found:
+    found = (canonical(packets).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+             .filter(F.col("n") > hot_rows).select(*key).persist(StorageLevel.MEMORY_AND_DISK))
+    count = found.count()
+    if not count:
+        found.unpersist()
         return None
-    fields = {f.name: f for f in canonical(packets).schema}
-    return packets.sparkSession.createDataFrame(found, T.StructType([fields[k] for k in key]))
+    return F.broadcast(found) if count <= BROADCAST_KEYS else found
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -83,7 +86,8 @@ def _ranked(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("num")))
 
 
-def _chunk_entries(hot: DataFrame, key: Sequence[str], timeout: int, idle: int) -> DataFrame:
+def _chunk_entries(hot: DataFrame, key: Sequence[str], timeout: int, idle: int,
+                   head_limit: int = HEAD_LIMIT) -> DataFrame:
     """State on entry of each chunk of the hot keys (every chunk but a key's first)."""
     group = [*key, "chunk"]
     chunks = hot.groupBy(*group).agg(F.max("ts_us").alias("top"))
@@ -95,16 +99,31 @@ def _chunk_entries(hot: DataFrame, key: Sequence[str], timeout: int, idle: int)
     fields = {f.name: f.dataType for f in hot.schema}
     named = T.StructType([T.StructField(n, fields[n]) for n in group])
     summary = T.StructType(named.fields + _SUMMARY.fields)
-    entries = T.StructType(named.fields + [T.StructField("entry", _ENTRY)])
+    entry = T.StructType(named.fields + [T.StructField("entry", _ENTRY), T.StructField("stuck", T.BooleanType())])
+    leaving = T.StructType(named.fields + [T.StructField("leaves", _ENTRY)])
     summaries = _ranked(rows, group).mapInArrow(
-        summarise(key, timeout, idle, _arrow_schema(summary)), summary)
-    return (summaries.repartition(*key).sortWithinPartitions(*group)
-            .mapInArrow(chain(key, timeout, idle, _arrow_schema(entries)), entries))
+        summarise(key, timeout, idle, _arrow_schema(summary), head_limit), summary).persist(
+            StorageLevel.MEMORY_AND_DISK)
+    known = hot.sparkSession.createDataFrame([], leaving)
+    while True:
+        entries = (summaries.join(known, group, "left").repartition(*key).sortWithinPartitions(*group)
+                   .mapInArrow(chain(key, timeout, idle, _arrow_schema(entry)), entry)
+                   .persist(StorageLevel.MEMORY_AND_DISK))
+        stuck = entries.filter("stuck")
+        if stuck.isEmpty():
+            return entries.drop("stuck")
+        # one chunk of a key at a time, but all such keys together
+        start = stuck.select(*group, "entry").withColumn("num", F.lit(-1).cast("bigint"))
+        through = hot.select(*group, "num", "ts_us", "side", "symbol", "len").join(
+            stuck.select(*group), group, "left_semi").unionByName(start, allowMissingColumns=True).fillna(
+                0, ["ts_us", "side", "symbol", "len"])
+        more = _ranked(through, group).mapInArrow(go_through(key, timeout, idle, _arrow_schema(leaving)), leaving)
+        known = known.unionByName(more).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def segment(packets: DataFrame, within: Sequence[str] = (), timeout: int = FLOW_TIMEOUT,
             idle: int = IDLE_THRESHOLD, hot_rows: int | None = HOT_ROWS,
-            chunk_span: int = CHUNK_SPAN) -> DataFrame:
+            chunk_span: int = CHUNK_SPAN, head_limit: int = HEAD_LIMIT) -> DataFrame:
     """Accepted packets with the flow they belong to.
 
     ``within`` names extra grouping columns (a capture id, a capture window): flows never span them.
@@ -113,24 +132,25 @@ def segment(packets: DataFrame, within: Sequence[str] = (), timeout: int = FLOW_
 
     Adds ``flow_start`` (arrival number of the flow's first packet; with the key it identifies the flow),
     ``front`` (side that opened it), ``gap`` to the previous packet, ``iat`` to the previous packet of the
-    same direction in the same burst, ``span`` of the burst that ended before this packet, ``burst`` start,
-    ``client_ready``, ``closes``, and the minima so far.  A row with ``expires`` carries no packet: it says
+    same direction in the same burst, ``span`` of the burst that ended before this packet, ``burst`` start and
+    ``burst_no``, ``client_ready``, ``closes``, and the minima so far.  A row with ``expires`` carries no packet: it says
     that its flow ended by timeout.
     """
     key = [*within, *KEY]
-    keyed = canonical(packets).withColumn("symbol", symbol())
+    # the key and the side give the endpoints back, so they needn't go through the exchange
+    keyed = canonical(packets).withColumn("symbol", symbol()).drop("srcip", "srcport", "dstip", "dstport")
     hot = None if hot_rows is None else hot_keys(packets, within, hot_rows)
     if hot is None:
         rows = keyed.withColumns({"chunk": F.lit(0).cast("bigint"), "entry": F.lit(None).cast(_ENTRY)})
     else:
         number = F.call_function("div", F.col("num"), F.lit(chunk_span))
-        marked = keyed.join(F.broadcast(hot.withColumn("hot", F.lit(True))), key, "left").withColumn(
+        marked = keyed.join(hot.withColumn("hot", F.lit(True)), key, "left").withColumn(
             "chunk", F.when(F.col("hot"), number).otherwise(0).cast("bigint")).drop("hot")
-        cut = keyed.join(F.broadcast(hot), key, "left_semi").withColumn("chunk", number.cast("bigint"))
-        entries = _chunk_entries(cut, key, timeout, idle).withColumn("num", F.lit(-1).cast("bigint"))
+        cut = keyed.join(hot, key, "left_semi").withColumn("chunk", number.cast("bigint"))
+        entries = _chunk_entries(cut, key, timeout, idle, head_limit).withColumn("num", F.lit(-1).cast("bigint"))
         rows = marked.unionByName(entries, allowMissingColumns=True).fillna(
             0, ["ts_us", "side", "symbol", "len"])
     ranked = _ranked(rows, [*key, "chunk"])
     kept = [f for f in ranked.schema.fields if f.name not in ("rank", "entry")]
-    out = T.StructType(kept + [T.StructField(n, T._parse_datatype_string(t)) for n, _, t in LABELS])
+    out = T.StructType(kept + [T.StructField(n, T.StructType.fromDDL(f"x {t}")[0].dataType) for n, _, t in LABELS])
     return ranked.mapInArrow(label(timeout, idle), out)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 @contextmanager
 def _vectors(df: DataFrame, features: Sequence[str]):
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in features])
-    vectors = (VectorAssembler(inputCols=list(features), outputCol="v", handleInvalid="skip")
+    vectors = (VectorAssembler(inputCols=list(features), outputCol="v", handleInvalid="error")
                .transform(doubles).select("v").persist(StorageLevel.MEMORY_AND_DISK))
     try:
         yield vectors

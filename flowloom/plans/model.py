@@ -10,23 +10,20 @@ from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from flowloom.operators.evaluate import overall_metrics
-from flowloom.operators.prepare import binary_label, to_float
+from flowloom.operators.prepare import binary_label, to_float, usable_rows
 from flowloom.operators.select import select_features
 from flowloom.schema import KEY_FIELDS, MODEL_FIELDS
 
 
-def train_test_split(df: DataFrame, train: float = 0.7, seed: int = 7) -> list[DataFrame]:
-    """Random split; repeatable for the same input files and partitioning."""
-    return df.randomSplit([train, 1.0 - train], seed)
-
-
 def keyed_split(df: DataFrame, key: Sequence[str], train_tenths: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Split by a hash of the key: repeatable whatever the partitioning."""
-    tenth = F.pmod(F.xxhash64(*key), F.lit(10))
+    """Split by the MD5 digest of the key's text: repeatable whatever the partitioning, and by other engines."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
+    tenth = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 10
     return df.filter(tenth < train_tenths), df.filter(tenth >= train_tenths)
 
 
@@ -35,7 +32,7 @@ def build_pipeline(indices: Sequence[int], features: Sequence[str] = MODEL_FIELD
     """Assemble all features, slice the chosen ones, fit a decision tree.  The feature choice is a stage, so
     it is stored with the model."""
     return Pipeline(stages=[
-        VectorAssembler(inputCols=list(features), outputCol="all_features", handleInvalid="skip"),
+        VectorAssembler(inputCols=list(features), outputCol="all_features", handleInvalid="error"),
         VectorSlicer(inputCol="all_features", outputCol="features", indices=list(indices)),
         DecisionTreeClassifier(labelCol="label", featuresCol="features", maxDepth=depth, maxBins=bins,
                                impurity="gini"),
@@ -43,7 +40,9 @@ def build_pipeline(indices: Sequence[int], features: Sequence[str] = MODEL_FIELD
 
 
 def labelled(flows: DataFrame, features: Sequence[str] = MODEL_FIELDS) -> DataFrame:
-    return to_float(flows, features).withColumn("label", binary_label(F.col("class")))
+    """Flows with a label and all features; ``prepare.unusable_rows`` has the others."""
+    typed = to_float(flows, features).withColumn("label", binary_label(F.col("class")))
+    return usable_rows(typed, ["label", *features])[0]
 
 
 def train(flows: DataFrame, k: int = 6, heuristic: str = "variance_ratio",
@@ -85,21 +84,41 @@ def describe_model(spark: SparkSession, model: PipelineModel) -> DataFrame:
 
 
 def score(model: PipelineModel, flows: DataFrame, features: Sequence[str] = MODEL_FIELDS) -> DataFrame:
-    """Flows with ``predict``; works on streams too.  Key, features and prediction stay on one row."""
-    typed = {f"_in_{c}": F.col(c) for c in features}
-    scored = model.transform(to_float(flows.withColumns(typed), features))
-    kept = [F.col(f"_in_{c}").alias(c) if c in features else F.col(c) for c in flows.columns]
+    """Flows with ``predict``; works on streams too.  Key, features and prediction stay on one row.  A feature
+    that is missing or no number fails the query."""
+    kinds = {f.name: f.dataType for f in flows.schema.fields}
+    texts = [c for c in features if not isinstance(kinds[c], NumericType)]
+    if not texts:
+        return model.transform(flows).select(*flows.columns, F.col("prediction").alias("predict"))
+    typed = {f"_in_{c}": F.col(c) for c in texts}
+    scored = model.transform(to_float(flows.withColumns(typed), texts))
+    kept = [F.col(f"_in_{c}").alias(c) if c in texts else F.col(c) for c in flows.columns]
     return scored.select(*kept, F.col("prediction").alias("predict"))
 
 
-def evaluate(model: PipelineModel, flows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rules_column(model: PipelineModel, features: Sequence[str] = MODEL_FIELDS) -> Column:
+    """The tree's rules as one column expression over the features: the prediction without the model."""
+    tree, names = tree_of(model), [features[i] for i in selected_indices(model)]
+
+    def rule(node) -> Column:
+        if node.subtreeDepth() == 0:
+            return F.lit(float(node.prediction()))
+        split = node.split()
+        below = F.col(names[split.featureIndex()]).cast("double") <= F.lit(float(split.threshold()))
+        return F.when(below, rule(node.leftChild())).otherwise(rule(node.rightChild()))
+
+    return rule(tree._call_java("rootNode"))
+
+
+def evaluate(model: PipelineModel, flows: DataFrame,
+             features: Sequence[str] = MODEL_FIELDS) -> tuple[DataFrame, DataFrame]:
     """Predictions (label, prediction) on labelled flows, and their overall metrics."""
-    predictions = model.transform(labelled(flows)).select(*KEY_FIELDS, "label", "prediction")
+    predictions = model.transform(labelled(flows, features)).select(*KEY_FIELDS, "label", "prediction")
     return predictions, overall_metrics(predictions)
 
 
-def offline_run(flows: DataFrame, seed: int = 7) -> tuple[PipelineModel, DataFrame, DataFrame]:
-    """Offline training and evaluation on labelled flows: 70/30 split, model, predictions, metrics."""
-    training, testing = train_test_split(flows, seed=seed)
-    model = train(training)
-    return (model, *evaluate(model, testing))
+def offline_run(flows: DataFrame, key: Sequence[str], **training) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """Offline training and evaluation on labelled flows: 70/30 split by ``key``, model, predictions, metrics."""
+    for_training, for_testing = keyed_split(flows, key)
+    model = train(for_training, **training)
+    return (model, *evaluate(model, for_testing, training.get("features", MODEL_FIELDS)))

@@ -242,6 +242,10 @@ _REGR = """s as (select (start_us//86400000000)*86400 as bucket, sum(total_fpack
  f as (select case when count(*)>1 then regr_slope(fpackets,bucket) end as fm, case when count(*)>1 then regr_slope(bpackets,bucket) end as bm, avg(fpackets) as fy, avg(bpackets) as b_y, avg(bucket) as mx from s)"""
 
 
+_STORED = "start_us >= epoch_us(timestamp '2024-01-01 00:00:00') and start_us < epoch_us(timestamp '2024-01-01 02:00:00')"
+_TESTED = "('0x' || substr(md5(concat_ws('|', srcip, srcport, dstip, dstport, flow_start)), 1, 8))::bigint % 10 >= 7"
+
+
 def oracle_sql() -> dict[str, str]:
     flows = f"select {_FLOW_COLUMNS} from flows"
     q = {
@@ -257,6 +261,20 @@ def oracle_sql() -> dict[str, str]:
         "flows_udp": with_flows(flows + " where proto=17"),
         "flows_all": with_flows(flows),
         "flows_hot_keys": with_flows(flows),
+        "flows_clock_jump": with_flows(flows).replace("select num, ts_us,", "select num, ts_us + case when num % 1688 = 800 then 3600000000 else 0 end as ts_us,", 1),
+        "wire_accepted": with_flows(f"select flow_start, {', '.join(RECORD_FIELDS)} from flows where flow_start % 17 not in (3, 7, 11, 13)"),
+        "wire_rejects": with_flows(f""", m as (select flow_start, proto, concat_ws(',', {', '.join(RECORD_FIELDS)}) as line from flows)
+            select flow_start, proto, case flow_start % 17 when 3 then '"' || substr(line, 1, 39) || '"' when 7 then '"x,9' || line || ',live,9"'
+                when 11 then line || ',live' else '"' || line || ',"' end as raw,
+              case flow_start % 17 when 3 then 'fields' when 7 then 'fields' when 11 then 'no text in quotes' else 'no class' end as reason
+            from m where flow_start % 17 in (3, 7, 11, 13)"""),
+        "scored_replayed": with_scored("select flow_start, srcip, dstip, predict, start_us//1000 + 86400000 as timestamp_ms from scored"),
+        "dash_stored_dst_ip": with_scored(f"select dstip, count(*) as flows from scored where {_STORED} group by 1 order by flows desc, dstip limit 10"),
+        "dash_stored_threats": with_scored(f"select sum(predict) as threats from scored where {_STORED}"),
+        "offline_metrics": with_flows(f"select 1.0::double as accuracy, 1.0::double as precision, 1.0::double as recall, 1.0::double as f_measure, 0.0::double as test_error, count(*) as \"rows\" from flows where {_TESTED}"),
+        "dt_rules_agree": with_flows(f"select case when total_bpackets>0 then 0.0::double else 1.0::double end as label, count(*) as flows, 0::bigint as mismatches from flows where {_TESTED} group by 1"),
+        "stream_score_model": with_flows("""select case when total_bpackets>0 then 0.0::double else 1.0::double end as predict, count(*) as flows, sum(duration)::bigint as duration,
+            (select count(*) from flows where flow_start % 17 in (3, 7, 11, 13)) as rejected from flows where flow_start % 17 not in (3, 7, 11, 13) group by 1"""),
         "flow_valid": with_flows(flows + " where is_valid"),
         "flow_open": with_flows(flows + " where status='open'"),
         "flow_expire_idle": with_flows("""select flow_start, srcip, dstip, last_us from flows, (select max(ts_us) as now from packets) t

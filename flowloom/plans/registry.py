@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -16,10 +15,11 @@ from flowloom.operators.segment import segment
 from flowloom.plans import model as models
 from flowloom.plans.scoring import rule_predict, scored_flows
 from flowloom.schema import KEY_FIELDS, MODEL_FIELDS, PACKET_SCHEMA, RECORD_FIELDS, WIRE_FIELDS
+from flowloom.session import new_path
 from flowloom.session import prepare as prepare_session
 from flowloom.sources.fixtures import geo_ranges, packets_from_events
-from flowloom.sources.flows import decode_wire, encode_wire, read_flows, write_flows
-from flowloom.sources.sinks import write_scored
+from flowloom.sources.flows import decode_wire, encode_wire, read_flows, wire_rejects, write_flows
+from flowloom.sources.sinks import read_scored, write_metrics, write_scored
 from flowloom.streaming import detect, meter
 
 FLOW_COLUMNS = [*RECORD_FIELDS, "flow_start", "start_us", "last_us", "bursts", "status"]
@@ -28,12 +28,6 @@ LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder path in the cluster's shared checkpoint folder, or locally where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets_from_events(prepare_session(spark), sf_dir)
 
@@ -129,12 +123,10 @@ def _traffic(windowed: DataFrame) -> DataFrame:
 
 
 def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
     rows = segment(_packets(spark, sf_dir)).filter(~F.col("expires"))
-    order = Window.partitionBy(*packets.KEY, "flow_start").orderBy("num")
     return rows.select(
         "num", "flow_start", F.when(F.col("side") == F.col("front"), "f").otherwise("b").alias("dir"), "gap", "iat",
-        F.count_if(F.col("gap") > 1_000_000).over(order).alias("burst_no"), F.col("closes").cast("int").alias("closes"))
+        "burst_no", F.col("closes").cast("int").alias("closes"))
 
 
 def _expire(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,13 +140,13 @@ def _wire(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "flow-csv")
+    path = new_path(spark, "flow-csv")
     write_flows(prepare.add_class(_flows(spark, sf_dir)), path)
     return read_flows(spark, path)
 
 
 def _relay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = scratch(spark, "relay")
+    base = new_path(spark, "relay")
     _wire(spark, sf_dir).write.text(f"{base}/in")
     detect.relay_lines(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.text(f"{base}/out")
@@ -195,9 +187,9 @@ def _document(scored: DataFrame) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "scored")
+    path = new_path(spark, "scored")
     write_scored(_scored(spark, sf_dir), path)
-    return spark.read.parquet(path).select("flow_start", "srcip", "dstip", "predict",
+    return read_scored(spark, path).select("flow_start", "srcip", "dstip", "predict",
                                            F.unix_millis("timestamp").alias("timestamp_ms"))
 
 
@@ -223,7 +215,7 @@ def _predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "model")
+    path = new_path(spark, "model")
     model = models.get_model(path, _labelled(_flows(spark, sf_dir)))
     again = models.get_model(path, _labelled(_flows(spark, sf_dir)))
     return models.describe_model(spark, again).withColumn(
@@ -231,19 +223,91 @@ def _describe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(models.tree_of(again).toDebugString.split("\n", 1)[1]))
 
 
+def _jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets, some of them with a clock an hour ahead."""
+    ahead = F.when(F.col("num") % 1688 == 800, 3_600_000_000).otherwise(0)
+    return _packets(spark, sf_dir).withColumn("ts_us", F.col("ts_us") + ahead)
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wire messages, some of them cut, garbled or without class."""
+    number = F.col("flow_start")
+    broken = (F.when(number % 17 == 3, F.concat(F.substring("value", 1, 40), F.lit('"')))
+              .when(number % 17 == 7, F.concat(F.lit('"x'), F.replace("value", F.lit('"'), F.lit(",9")), F.lit('"')))
+              .when(number % 17 == 11, F.replace("value", F.lit('"'), F.lit("")))
+              .when(number % 17 == 13, F.replace("value", F.lit(',live"'), F.lit(',"'))))
+    return encode_wire(_flows(spark, sf_dir), "live", keep=["flow_start", "proto"]).withColumn(
+        "value", F.coalesce(broken, "value"))
+
+
+def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch stored, and stored again after midnight."""
+    path, scored = new_path(spark, "replayed"), _scored(spark, sf_dir)
+    write_scored(scored, path, 7)
+    write_scored(scored.withColumn("timestamp", F.col("timestamp") + F.expr("interval 1 day")), path, 7)
+    return read_scored(spark, path).select("flow_start", "srcip", "dstip", "predict",
+                                           F.unix_millis("timestamp").alias("timestamp_ms"))
+
+
+STORED_RANGE = ("2024-01-01 00:00:00", "2024-01-01 02:00:00")
+
+
+def _stored_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "scored")
+    write_scored(_scored(spark, sf_dir), path, 0)
+    return read_scored(spark, path, *STORED_RANGE)
+
+
+SIMPLE_FEATURES = ["proto", "total_bpackets", "dscp"]
+
+
+def _offline(spark: SparkSession, sf_dir: str):
+    """Few features with few values: whether anything came back is one of them, so the tree must find the label."""
+    flows = _labelled(_flows(spark, sf_dir))
+    return models.offline_run(flows, [*KEY_FIELDS, "flow_start"], features=SIMPLE_FEATURES, k=3)
+
+
+def _offline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "metrics")
+    write_metrics(_offline(spark, sf_dir)[2], path)
+    return spark.read.json(path).select(
+        *_r6("accuracy", "precision", "recall", "f_measure", "test_error"), F.col("rows").cast("bigint").alias("rows"))
+
+
+def _rules_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flows = _labelled(_flows(spark, sf_dir))
+    training, testing = models.keyed_split(flows, [*KEY_FIELDS, "flow_start"])
+    model = models.train(training)
+    both = model.transform(models.labelled(testing)).withColumn("by_rule", models.rules_column(model))
+    return both.groupBy("label").agg(F.count(F.lit(1)).alias("flows"), F.count_if(
+        F.col("by_rule") != F.col("prediction")).alias("mismatches"))
+
+
+def _stream_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, model = new_path(spark, "detect-model"), _offline(spark, sf_dir)[0]
+    _damaged(spark, sf_dir).select("value").repartition(4).write.text(f"{base}/in")
+    messages = detect.read_flow_stream(spark, "text", {"maxFilesPerTrigger": "2"}, f"{base}/in")
+    detect.run_detection(messages, model, geo_ranges(spark), f"{base}/store", f"{base}/state", interval=None,
+                         rejects=f"{base}/rejects", features=SIMPLE_FEATURES).awaitTermination()
+    good = read_scored(spark, f"{base}/store").select(*KEY_FIELDS, "proto", "duration", "total_bpackets", "predict")
+    bad = spark.read.parquet(f"{base}/rejects").agg(F.count(F.lit(1)).alias("rejected"))
+    return good.groupBy("predict").agg(F.count(F.lit(1)).alias("flows"), F.sum("duration").alias("duration")).join(
+        F.broadcast(bad))
+
+
 def _stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = scratch(spark, "detect")
+    base = new_path(spark, "detect")
     _wire(spark, sf_dir).repartition(4).write.text(f"{base}/in")
     messages = detect.read_flow_stream(spark, "text", {"maxFilesPerTrigger": "2"}, f"{base}/in")
     detect.run_detection(messages, rule_predict(), geo_ranges(spark), f"{base}/store", f"{base}/state",
                          blocked=f"{base}/blocked", interval=None).awaitTermination()
-    return spark.read.parquet(f"{base}/store").select(
+    return read_scored(spark, f"{base}/store").select(
         *KEY_FIELDS, "duration", "total_fvolume", "predict", F.col("dstlocation.lat").alias("dst_lat"),
         F.col("dstlocation.lon").alias("dst_lon"))
 
 
 def _stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = scratch(spark, "meter")
+    base = new_path(spark, "meter")
     rows = _packets(spark, sf_dir)
     step = rows.agg(F.max("num")).head()[0] // 4 + 1
     for part in range(4):  # in arrival order: files are streamed by age
@@ -255,7 +319,7 @@ def _stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = scratch(spark, "counts")
+    base = new_path(spark, "counts")
     wanted = _scored(spark, sf_dir).select("timestamp", "predict", "total_fpackets", "total_bpackets",
                                            "total_bvolume", "total_fvolume")
     wanted.repartition(4).write.parquet(f"{base}/in")
@@ -283,6 +347,17 @@ def queries() -> dict[str, Query]:
         "flows_udp": lambda s, p: _listed(features.flow_records(_packets(s, p).filter("proto = 17"))),
         "flows_all": lambda s, p: _listed(_flows(s, p)),
         "flows_hot_keys": lambda s, p: _listed(features.flow_records(_packets(s, p), hot_rows=200, chunk_span=5000)),
+        "flows_clock_jump": lambda s, p: _listed(features.flow_records(
+            _jumps(s, p), hot_rows=200, chunk_span=5000, head_limit=32)),
+        "wire_accepted": lambda s, p: decode_wire(_damaged(s, p).drop("proto")).select(
+            "flow_start", *RECORD_FIELDS),
+        "wire_rejects": lambda s, p: wire_rejects(_damaged(s, p)).select("flow_start", "proto", "raw", "reason"),
+        "scored_replayed": _replayed,
+        "dash_stored_dst_ip": lambda s, p: d.top_terms(_stored_range(s, p), "dstip"),
+        "dash_stored_threats": lambda s, p: d.threats_detected(_stored_range(s, p)),
+        "offline_metrics": _offline_metrics,
+        "dt_rules_agree": _rules_agree,
+        "stream_score_model": _stream_model,
         "flow_valid": lambda s, p: _listed(features.emit(_flows(s, p), "valid")),
         "flow_open": lambda s, p: _listed(features.emit(_flows(s, p), "open")),
         "flow_expire_idle": _expire,

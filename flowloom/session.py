@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -28,3 +31,28 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Set the runtime options that results depend on in a session made elsewhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    The session names it (``spark.checkpoint.dir``, or a checkpoint folder set in code).  A temporary folder is
+    made only where neither is set and driver and executors are one process.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    current = context.getCheckpointDir()
+    if named or current:
+        if not current:
+            context.setCheckpointDir(named)
+        return (named or current).rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    made = tempfile.mkdtemp(prefix="flowloom-")
+    context.setCheckpointDir(made)
+    return made
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -47,9 +47,34 @@ def encode_wire(flows: DataFrame, label: str | None = None, keep: Sequence[str]
     return flows.select(*keep, F.concat(F.lit('"'), escaped, F.lit('"')).alias("value"))
 
 
+def _parsed(messages: DataFrame, column: str) -> DataFrame:
+    """Each message with its ``flow`` and the ``reason`` why it is no flow record, parsed once."""
+    raw = F.col(column).cast("string")
+    read = F.from_csv(F.get_json_object(raw, "$"), f"{WIRE_SCHEMA.toDDL()}, _bad string",
+                      {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    kept = [c for c in messages.columns if c != column]
+    # one pass through an array keeps Spark from writing the parser into every field
+    once = messages.select(*kept, raw.alias("raw"), F.inline(F.array(F.struct(
+        F.get_json_object(raw, "$").alias("line"), read.alias("flow")))))
+    missing = [F.col(f"flow.{f}").isNull() for f in RECORD_FIELDS]
+    any_missing = F.array_contains(F.array(*missing), True)
+    reason = (F.when(F.col("line").isNull(), "no text in quotes").when(F.col("flow._bad").isNotNull(), "fields")
+              .when(any_missing, "empty field").when(F.coalesce(F.col("flow.class"), F.lit("")) == "", "no class"))
+    # as a column of its own, the reason brings no conditions on every field into the plans that filter by it
+    return once.select(*kept, "raw", F.inline(F.array(F.struct(F.col("flow"), reason.alias("reason")))))
+
+
 def decode_wire(messages: DataFrame, column: str = "value") -> DataFrame:
-    """Messages back to typed flow records; the other columns of ``messages`` are kept."""
-    parts = F.split(F.get_json_object(F.col(column).cast("string"), "$"), ",")
-    fields = [F.try_element_at(parts, F.lit(i + 1)).try_cast(f.dataType).alias(f.name)
-              for i, f in enumerate(WIRE_SCHEMA.fields)]
-    return messages.select(*[c for c in messages.columns if c != column], *fields)
+    """Messages back to typed flow records; the other columns of ``messages`` are kept.
+
+    Messages that are no complete record are left to ``wire_rejects``; no message is in both or in neither.
+    """
+    kept = [c for c in messages.columns if c != column]
+    good = _parsed(messages, column).filter("reason is null")
+    return good.select(*kept, *[F.col(f"flow.{n}").alias(n) for n in WIRE_FIELDS])
+
+
+def wire_rejects(messages: DataFrame, column: str = "value") -> DataFrame:
+    """Messages that are no complete flow record: the other columns, the ``raw`` message and the ``reason``."""
+    kept = [c for c in messages.columns if c != column]
+    return _parsed(messages, column).filter("reason is not null").select(*kept, "raw", "reason")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from flowloom.operators.geo import add_locations
 from flowloom.plans.model import score
-from flowloom.sources.flows import decode_wire
-from flowloom.sources.sinks import write_blocklist, write_scored
+from flowloom.schema import MODEL_FIELDS
+from flowloom.sources.flows import decode_wire, wire_rejects
+from flowloom.sources.sinks import write_blocklist, write_rejects, write_scored
 
 BATCH_INTERVAL = "1 second"
 
@@ -37,33 +38,41 @@ def relay_lines(spark: SparkSession, source: str, sink: str, checkpoint: str, fm
     return _trigger(writer, interval).start()
 
 
+def score_flows(flows: DataFrame, model: PipelineModel | Column, ranges: DataFrame, at: Column | None = None,
+                features: Sequence[str] = MODEL_FIELDS) -> DataFrame:
+    """Scored documents of typed flows.  ``model`` is a fitted pipeline or a prediction expression."""
+    scored = (flows.withColumn("predict", model) if isinstance(model, Column) else score(model, flows, features))
+    return add_locations(scored, ranges).withColumn("timestamp", F.current_timestamp() if at is None else at)
+
+
 def score_messages(messages: DataFrame, model: PipelineModel | Column, ranges: DataFrame,
                    at: Column | None = None) -> DataFrame:
-    """One stateless plan from messages to scored documents, for batches and streams alike.
-
-    ``model`` is a fitted pipeline or a prediction expression over the flow fields.
-    """
-    flows = decode_wire(messages)
-    scored = (flows.withColumn("predict", model) if isinstance(model, Column) else score(model, flows))
-    return add_locations(scored, ranges).withColumn("timestamp", F.current_timestamp() if at is None else at)
+    """One stateless plan from messages to scored documents, for batches and streams alike; messages that are
+    no flow records are left to ``wire_rejects``."""
+    return score_flows(decode_wire(messages), model, ranges, at)
 
 
 def run_detection(messages: DataFrame, model: PipelineModel | Column, ranges: DataFrame, store: str,
                   checkpoint: str, blocked: str | None = None, interval: str | None = BATCH_INTERVAL,
-                  at: Column | None = None) -> StreamingQuery:
+                  at: Column | None = None, rejects: str | None = None,
+                  features: Sequence[str] = MODEL_FIELDS) -> StreamingQuery:
     """Start detection.  Sinks are keyed by batch, so a batch replayed after a failure is not doubled.
-    ``interval=None`` drains what is there and stops."""
+    ``rejects`` is where messages go that are no flow records.  ``interval=None`` drains what is there and
+    stops."""
     def store_batch(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
+        scored = score_flows(decode_wire(batch), model, ranges, at, features).persist()
         try:
-            write_scored(batch, store, batch_id)
+            write_scored(scored, store, batch_id)
             if blocked:
-                write_blocklist(batch, blocked, batch_id)
+                write_blocklist(scored, blocked, batch_id)
+            if rejects:
+                write_rejects(wire_rejects(batch), rejects, batch_id)
         finally:
+            scored.unpersist()
             batch.unpersist()
 
-    writer = (score_messages(messages, model, ranges, at).writeStream.foreachBatch(store_batch)
-              .option("checkpointLocation", checkpoint))
+    writer = messages.writeStream.foreachBatch(store_batch).option("checkpointLocation", checkpoint)
     return _trigger(writer, interval).start()
 
 

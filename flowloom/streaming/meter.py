@@ -56,7 +56,7 @@ def segment_stream(packets: DataFrame, timeout: int = FLOW_TIMEOUT, idle: int =
              .withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", lateness))
     kept = [f for f in keyed.schema.fields if f.name != "event_time"]
     names = [f.name for f in kept]
-    out = T.StructType(kept + [T.StructField(n, T._parse_datatype_string(t)) for n, _, t in folds.LABELS])
+    out = T.StructType(kept + [T.StructField(n, T.StructType.fromDDL(f"x {t}")[0].dataType) for n, _, t in folds.LABELS])
     added = [n for n, _, _ in folds.LABELS]
     nullable = {f.name: "Int64" for f in out if isinstance(f.dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))}
     nullable.update({f.name: "boolean" for f in out if isinstance(f.dataType, T.BooleanType)})

@@ -8,8 +8,9 @@ from flowloom.operators.geo import locate
 from flowloom.plans import model as models
 from flowloom.plans.scoring import document_time
 from flowloom.schema import GEO_SCHEMA, MODEL_FIELDS, WIRE_FIELDS
-from flowloom.sources.flows import decode_wire, encode_wire, read_feature_dictionary, read_flows, write_flows
-from flowloom.sources.sinks import write_metrics, write_scored
+from flowloom.sources.flows import (decode_wire, encode_wire, read_feature_dictionary, read_flows, wire_rejects,
+                                    write_flows)
+from flowloom.sources.sinks import compact_scored, read_scored, write_metrics, write_scored
 from pyspark.sql import functions as F
 
 
@@ -78,8 +79,8 @@ def test_wire_and_files(spark, labelled_flows, tmp_path):
 
 
 def test_labels(spark):
-    table = spark.createDataFrame([("0",), ("0.0",), ("dos",)], "class string")
-    assert [r[0] for r in table.select(prepare.binary_label(F.col("class"))).collect()] == [0.0, 1.0, 1.0]
+    table = spark.createDataFrame([("0",), ("0.0",), ("dos",), (None,)], "class string")
+    assert [r[0] for r in table.select(prepare.binary_label(F.col("class"))).collect()] == [0.0, 1.0, 1.0, None]
 
 
 def test_model(spark, labelled_flows, tmp_path):
@@ -95,16 +96,63 @@ def test_model(spark, labelled_flows, tmp_path):
     write_metrics(metrics, str(tmp_path / "metrics"))
     assert spark.read.json(str(tmp_path / "metrics")).head().accuracy == 1.0
     assert models.describe_model(spark, model).head().nodes >= 3
+    cut = labelled_flows.withColumns({"class": F.when(F.col("srcport") > 500, F.col("class")),
+                                      "duration": F.when(F.col("dstport") > 100, F.col("duration"))})
+    good, bad = models.labelled(cut).count(), prepare.unusable_rows(cut).count()
+    assert good + bad == 300 and 0 < good < 300
+    with pytest.raises(Exception, match="null|NaN|null values"):
+        models.score(again, cut).collect()
+    rules = labelled_flows.withColumn("by_rule", models.rules_column(model))
+    assert models.score(model, rules).filter("by_rule <> predict").count() == 0
     training, testing = models.keyed_split(labelled_flows, ["srcip", "duration"])
     assert training.count() + testing.count() == 300
     assert len(MODEL_FIELDS) == 41
 
 
+def test_every_message_is_accepted_or_rejected(spark, labelled_flows):
+    good = encode_wire(labelled_flows.limit(3)).collect()
+    text = good[0][0]
+    odd = ["", "x", '""', text[1:-1], text.replace(",", ",,", 1), text[:-1], '"' + text[9:], text.replace(text.split(",")[4], "1e3", 1),
+           text.replace(text.split(",")[-1], '"'), '{"a": 1}', "[1]"]
+    messages = spark.createDataFrame([(r[0],) for r in good] + [(o,) for o in odd] + [(None,)], "value string")
+    assert decode_wire(messages).count() == 3
+    rejected = wire_rejects(messages)
+    assert rejected.count() == len(odd) + 1 and rejected.filter("reason is null").count() == 0
+
+
+def test_overlapping_ranges_are_refused(spark):
+    table = spark.createDataFrame([("0.0.0.7",)], "ip string")
+    ranges = spark.createDataFrame([(5, 9, 1.0, 1.0), (7, 70_000, 2.0, 2.0)], GEO_SCHEMA)
+    with pytest.raises(ValueError, match="overlap"):
+        locate(table, ranges, "ip", "at")
+
+
+def test_stored_range_prunes_days(spark, tmp_path):
+    table = spark.range(96).selectExpr("1.0D as predict", "timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,id) as timestamp",
+                                       "'10.0.0.1' as srcip", "'10.0.0.2' as dstip", "1 as dstport", "1L as total_fpackets",
+                                       "1L as total_bpackets", "named_struct('lat', 1D, 'lon', 2D) as srclocation",
+                                       "named_struct('lat', 1D, 'lon', 2D) as dstlocation")
+    write_scored(table, str(tmp_path / "s"), 3)
+    write_scored(table.limit(2), str(tmp_path / "s"))
+    part = read_scored(spark, str(tmp_path / "s"), "2024-01-02 05:00:00", "2024-01-03 00:00:00")
+    assert part.count() == 19
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    panels = dashboards.dashboard(part)
+    assert set(panels) == {"dst_ip", "threats_detected", "dst_port", "destinations", "sources", "packet_series"}
+    assert panels["threats_detected"].head()[0] == 19 and all(p.count() for p in panels.values())
+    compact_scored(spark, str(tmp_path / "s"), str(tmp_path / "days"), 4)
+    assert spark.read.parquet(str(tmp_path / "days")).count() == 98
+
+
 def test_replayed_batch_is_stored_once(spark, tmp_path):
     table = spark.sql("select 1 as predict, timestamp'2024-01-02 03:04:05' as timestamp")
     for batch in (0, 1, 1):
         write_scored(table, str(tmp_path / "s"), batch)
     assert spark.read.parquet(str(tmp_path / "s")).count() == 2
+    later = table.selectExpr("predict", "timestamp + interval 1 day as timestamp")
+    write_scored(later, str(tmp_path / "s"), 1)
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 2
 
 
 def test_times_and_intervals(spark):

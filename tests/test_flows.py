@@ -2,6 +2,7 @@ import pytest
 from helpers import ACK, CLIENT, DATA, FINACK, RST, SYN, URG, frame_of, handshake, tcp, udp
 
 from flowloom.operators.features import emit, expire_idle, flow_records
+from flowloom.operators.segment import hot_keys
 from flowloom.schema import RECORD_FIELDS
 from flowloom.sources.fixtures import packets_from_events
 
@@ -104,6 +105,22 @@ def test_hot_keys_give_the_same_flows(spark, plain, hot_rows, span):
     assert sorted(rows, key=lambda r: (r.flow_start, r.proto)) == plain
 
 
+@pytest.mark.parametrize("limit", [1, 16])
+def test_clocks_that_jump(spark, limit):
+    rows = packets_from_events(spark, SF).selectExpr(
+        "* except (ts_us)", "ts_us + if(num % 1688 = 800, 3600000000, 0) as ts_us")
+    plain = flow_records(rows, hot_rows=None)
+    chunked = flow_records(rows, hot_rows=20, chunk_span=100, head_limit=limit)
+    assert sorted(map(str, chunked.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_a_large_key_is_hot_whatever_the_total(spark):
+    packets = [udp(i, i * 10) for i in range(40)] + [
+        udp(1000 + i, i * 10, ends=((f"10.1.{i // 250}.{i % 250}", 5), ("10.2.2.2", 6))) for i in range(3000)]
+    assert [r.ip_a for r in hot_keys(frame_of(spark, packets), hot_rows=30).collect()] == ["10.0.0.1"]
+    assert hot_keys(frame_of(spark, packets), hot_rows=40) is None
+
+
 def test_row_order_does_not_matter(spark, plain):
     rows = flow_records(packets_from_events(spark, SF).orderBy("len", "ts_us").repartition(3)).collect()
     assert sorted(rows, key=lambda r: (r.flow_start, r.proto)) == plain

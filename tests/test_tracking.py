@@ -4,11 +4,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from flowloom.functions.tracking import (ADDED, BOTH_CLOSED, CLOSED, ESTABLISHED, FINISHING, START, SYN_ACKED,
-                                         SYN_SENT, UDP_SYMBOL, ChunkSummary, Track, apply_summary, endpoint_next)
+                                         SYN_SENT, UDP_SYMBOL, ChunkSummary, Track, apply_summary, endpoint_next,
+                                         follow)
 
 TIMEOUT, IDLE = 1000, 100
 
-steps = st.tuples(st.sampled_from([0, 1, 5, 20, -7, -300, 150, 1000, 1001]), st.integers(0, 1),
+steps = st.tuples(st.sampled_from([0, 1, 5, 20, -7, -300, 150, 1000, 1001, 4000, -4000]), st.integers(0, 1),
                   st.sampled_from([2, 18, 16, 24, 17, 17, 4, 0, 1]), st.sampled_from([0, 5, 7, 40]))
 
 
@@ -19,8 +20,9 @@ def _replay(track, packets):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(steps, min_size=2, max_size=60), st.integers(1, 9), st.booleans())
-def test_chunks_compose(moves, size, is_udp):
+@given(st.lists(steps, min_size=2, max_size=60), st.integers(1, 9), st.booleans(),
+       st.sampled_from([0, 1, 2, 4096]))
+def test_chunks_compose(moves, size, is_udp, limit):
     packets, ts = [], 5000
     for num, (move, side, flags, length) in enumerate(moves):
         ts = max(0, ts + move)
@@ -28,10 +30,16 @@ def test_chunks_compose(moves, size, is_udp):
     whole, chained, peak = Track(TIMEOUT, IDLE), Track(TIMEOUT, IDLE), None
     for begin in range(0, len(packets), size):
         chunk = packets[begin:begin + size]
-        summary = ChunkSummary(peak, TIMEOUT, IDLE)
+        summary = ChunkSummary(peak, TIMEOUT, IDLE, limit)
         for packet in chunk:
             summary.add(*packet)
+        assert len(summary.head) <= max(limit, 1)
+        entry = Track.from_row(chained.to_row(), TIMEOUT, IDLE)
         chained = apply_summary(chained, summary.to_row())
+        if chained is None:  # the summary can't tell: through the chunk
+            chained = entry
+            for packet in chunk:
+                follow(chained, *packet)
         _replay(whole, chunk)
         peak = max([p[1] for p in chunk] + ([] if peak is None else [peak]))
         if whole.pairs is None:
