@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.session import new_path, shared_folder
+
 BATCH_ROWS = "1000"
 BATCH_BYTES = str(16 << 20)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,31 +25,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The session names it (``spark.checkpoint.dir``, or a checkpoint folder set in code). A temporary folder is made
-    only where neither is set and driver and executors are one process.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    current = context.getCheckpointDir()
-    if named or current:
-        if not current:
-            context.setCheckpointDir(named)
-        return (named or current).rstrip("/")
-    if not context.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = tempfile.mkdtemp(prefix="flowloom-")
-    context.setCheckpointDir(made)
-    return made
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read from there, column by column."""
     path = new_path(df.sparkSession, name)

@@ -68,14 +68,12 @@ def _similar(documents: DataFrame, forms: DataFrame, similarity: float, broadcas
     return members.join(templates, "leaf").where(agree >= similarity * F.size("tokens")).select("leaf", "form", "form_2")
 
 
-def drop_recurring(documents: DataFrame, similarity: float = SIMILARITY,
-                   broadcast_leaves: int = BROADCAST_LEAVES) -> DataFrame:
-    """``documents`` (doc_id, text) without recurring lines: doc_id, version, text, n_lines, n_dropped.
+def recurring_lines(documents: DataFrame, similarity: float = SIMILARITY,
+                    broadcast_leaves: int = BROADCAST_LEAVES) -> DataFrame:
+    """The lines of ``documents`` (doc_id, text) to drop: doc_id, version, dropped (their numbers, from 0).
 
-    ``version`` is a hash of the text as it came. Lines under ``MIN_TOKENS`` tokens are kept. The line endings that
-    remain are single line feeds; a text that loses all its lines is empty. NULL text stays NULL, with no lines. A row
-    without doc_id comes after all others, so it keeps only lines that no document with an id has. Rows that are equal
-    in doc_id and text count as one document, and each is returned.
+    ``version`` is the hash of the text (``xxhash64``). Only hashes and numbers are exchanged, and the text of lines
+    whose leaf several forms share.
     """
     lines = stored(_parsed(documents).select("doc_id", "version", "line", "leaf", "form", "form_2"), "lines")
     forms = lines.groupBy("leaf", "form", "form_2").agg(
@@ -95,18 +93,34 @@ def drop_recurring(documents: DataFrame, similarity: float = SIMILARITY,
         ruled = own.select(*key, "first", "last", "nameless").union(
             shared.select(*key).join(leaf, "leaf").select(*key, "first", "last", "nameless"))
     recurring = ruled.where("first < last or (nameless and first is not null)").select(*key, "first")
-    dropped = lines.join(recurring, key).where("doc_id is null or doc_id > first").groupBy("doc_id", "version").agg(
+    return lines.join(recurring, key).where("doc_id is null or doc_id > first").groupBy("doc_id", "version").agg(
         F.collect_set("line").alias("dropped"))
-    dropped = dropped.select(F.col("doc_id").alias("_doc_id"), F.col("version").alias("_version"), "dropped")
+
+
+def kept_text(text: Column, dropped: Column) -> Column:
+    """``text`` without the lines whose numbers are in ``dropped``, which isn't NULL."""
+    split = F.split(text, _SPLIT_LINES)
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), dropped)
+    return F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
+
+
+def drop_recurring(documents: DataFrame, similarity: float = SIMILARITY,
+                   broadcast_leaves: int = BROADCAST_LEAVES) -> DataFrame:
+    """``documents`` (doc_id, text) without recurring lines: doc_id, text, n_lines, n_dropped.
+
+    Lines under ``MIN_TOKENS`` tokens are kept. A text that loses all its lines is empty. NULL text stays NULL, with
+    no lines. A row without doc_id comes after all others, so it keeps only lines that no document with an id has. Rows
+    that are equal in doc_id and text count as one document, and each is returned.
+    """
+    dropped = recurring_lines(documents, similarity, broadcast_leaves).select(
+        F.col("doc_id").alias("_doc_id"), F.col("version").alias("_version"), "dropped")
     whole = documents.select("doc_id", "text", F.xxhash64("text").alias("version"))
     joined = whole.join(dropped, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("version") == F.col("_version")),
                         "left")
-    split = F.split("text", _SPLIT_LINES)
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("dropped"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
     return joined.select(
-        "doc_id", "version", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
+        "doc_id", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(
+            kept_text(F.col("text"), F.col("dropped"))).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", _SPLIT_LINES))).cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
