@@ -6,6 +6,7 @@ Imports stay light on purpose: every Python worker loads this module.
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
@@ -163,6 +164,75 @@ def go_through(key: Sequence[str], timeout: int, idle: int, schema: pa.Schema):
     return run
 
 
+def block_starts(width: int, place: Sequence[str]):
+    """Arrow function: increasing timestamps of each block to its map from possible first starts to last starts.
+
+    Possible first starts are those up to one width after the block's first timestamp, and the next one after.
+    Chains that meet go on as one, so what is held is bounded by the timestamps within one width.
+    """
+    def run(batches):
+        current, edge, names = None, None, None
+        waiting: deque = deque()  # (current start, the first starts whose chains are there), ascending
+        out: list[tuple] = []
+
+        def flush() -> None:
+            for start, firsts in waiting:
+                out.extend((*current, first, start) for first in firsts)
+            waiting.clear()
+
+        for batch in batches:
+            schema = batch.schema
+            columns = [batch.column(schema.get_field_index(n)) for n in place]
+            names = [schema.field(n) for n in place]
+            keys = list(zip(*[c.to_pylist() for c in columns]))
+            for key, ts in zip(keys, batch.column(schema.get_field_index("ts_us")).to_pylist()):
+                if key != current:
+                    flush()
+                    current, edge, opened = key, ts + width, True
+                moved = []
+                while waiting and ts > waiting[0][0] + width:
+                    moved += waiting.popleft()[1]
+                if opened:  # the first timestamp beyond the edge is the last that may come first
+                    moved.append(ts)
+                    opened = ts <= edge
+                if moved:
+                    waiting.append((ts, moved))
+            if out:
+                yield _mapped(out, names)
+                out = []
+        flush()
+        if out:
+            yield _mapped(out, names)
+    return run
+
+
+def _mapped(rows: list[tuple], keys: list[pa.Field]) -> pa.RecordBatch:
+    fields = [*keys, pa.field("first", pa.int64()), pa.field("last", pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=pa.schema(fields))
+
+
+def chain_blocks(width: int, group: Sequence[str]):
+    """Arrow function: the blocks' maps in order to the true first start of each block that has a start."""
+    def run(batches):
+        current, block, start, settled = None, None, None, False
+        for batch in batches:
+            schema = batch.schema
+            keys = list(zip(*[batch.column(schema.get_field_index(n)).to_pylist() for n in group]))
+            blocks, firsts, lasts = (batch.column(schema.get_field_index(n)).to_pylist() for n in ("_block", "first", "last"))
+            kept = []
+            for i, key in enumerate(keys):
+                if key != current:
+                    current, block, start = key, None, None
+                if blocks[i] != block:
+                    block, settled = blocks[i], False
+                if not settled and (start is None or firsts[i] > start + width):
+                    settled, start = True, lasts[i]
+                    kept.append(i)
+            if kept:
+                yield batch.take(pa.array(kept, pa.int32()))
+    return run
+
+
 def anchor_starts(width: int, group: Sequence[str]):
     """Arrow function: increasing timestamps of each group to the window starts among them."""
     def run(batches):

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.functions import folds
 from flowloom.functions.scans import running_max
@@ -16,6 +18,7 @@ register_pickle_by_value(folds)
 
 WINDOW_US = 2_000_000
 SCAN_SPAN = 4_000_000
+BLOCK_WINDOWS = 256
 
 
 def aligned_windows(packets: DataFrame, width_us: int = WINDOW_US) -> DataFrame:
@@ -24,25 +27,31 @@ def aligned_windows(packets: DataFrame, width_us: int = WINDOW_US) -> DataFrame:
 
 
 def anchored_windows(packets: DataFrame, within: Sequence[str] = (), width_us: int = WINDOW_US,
-                     scan_span: int = SCAN_SPAN) -> DataFrame:
+                     scan_span: int = SCAN_SPAN, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Add ``window_start``: a window opens with a packet, and the first later packet beyond its width closes
     it and opens the next.  Starts anew for each value of ``within`` (a capture).
 
-    A packet can only open a window if it is later than all packets before it, and it surely does if that is
-    by more than the width.  So the chain of starts is followed only among such packets, separately between
-    those silences, on one timestamp per row; all other steps are scans in bounded stretches.
+    A packet can only open a window if it is later than all packets before it.  Such packets are cut into blocks
+    of ``block_windows`` widths of time.  Each block, on its own, follows the chain from every packet that may be
+    its first start (those within one width of its beginning) to its last start; these short maps are chained per
+    capture and give each block its true first start, from where its starts are found, again block by block.
     """
     rows = packets.withColumn("_all", F.lit(0)) if not within else packets
     group = list(within) or ["_all"]
     before = running_max(rows.select(*group, "num", "ts_us"), group, "num", "ts_us", "_before", scan_span,
                          inclusive=False)
-    later = before.filter(F.col("_before").isNull() | (F.col("ts_us") > F.col("_before")))
-    cut = F.col("_before").isNull() | (F.col("ts_us") - F.col("_before") > width_us)
-    parted = running_max(later.withColumn("_cut", F.when(cut, F.col("ts_us"))), group, "ts_us", "_cut",
-                         "_section", scan_span * 250)
-    chain = parted.select(*group, "_section", "ts_us", "num").repartition(*group, "_section")
-    place = [*group, "_section"]
-    starts = (chain.sortWithinPartitions(*place, "ts_us")
+    later = (before.filter(F.col("_before").isNull() | (F.col("ts_us") > F.col("_before")))
+             .select(*group, F.call_function("div", F.col("ts_us"), F.lit(width_us * block_windows)).alias("_block"),
+                     "ts_us", "num").persist(StorageLevel.MEMORY_AND_DISK))
+    place = [*group, "_block"]
+    maps = T.StructType([*[later.schema[c] for c in place], T.StructField("first", T.LongType()),
+                         T.StructField("last", T.LongType())])
+    followed = (later.repartition(*place).sortWithinPartitions(*place, "ts_us")
+                .mapInArrow(folds.block_starts(width_us, place), maps))
+    entered = (followed.repartition(*group).sortWithinPartitions(*place, "first")
+               .mapInArrow(folds.chain_blocks(width_us, group), maps).select(*place, F.col("first").alias("_first")))
+    chain = later.join(entered, place).filter("ts_us >= _first").drop("_first")
+    starts = (chain.repartition(*place).sortWithinPartitions(*place, "ts_us")
               .mapInArrow(folds.anchor_starts(width_us, place), chain.schema)
               .select(*group, "num", F.col("ts_us").alias("_start"), F.lit(False).alias("_packet")))
     merged = rows.withColumn("_packet", F.lit(True)).unionByName(starts, allowMissingColumns=True)

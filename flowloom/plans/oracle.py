@@ -328,8 +328,12 @@ def oracle_sql() -> dict[str, str]:
         "dash_filter_attacks": with_scored("select flow_start, srcip, dstip from scored where predict=1"),
         "blocklist": with_scored("select distinct srcip, dstip from scored where predict<>0"),
         "stream_score": with_scored("select srcip, srcport, dstip, dstport, duration, total_fvolume, predict, dst_lat, dst_lon from scored"),
-        "stream_flows": with_flows(flows),
-        "stream_windowed_counts": with_scored("select (start_us//60000000)*60 as bucket, count(*) filter (where predict=1) as attacks, count(*) filter (where predict=0) as normal, "
-                                              "sum(total_fpackets)::bigint as fpackets, sum(total_bpackets)::bigint as bpackets, sum(total_bvolume)::bigint as rx_bytes, sum(total_fvolume)::bigint as tx_bytes from scored group by 1"),
+        # the last watermark ends what has been silent for longer than the timeout by then
+        "stream_flows": with_flows(f"""select {_FLOW_COLUMNS} from (select * replace (case when status='open'
+            and last_us//1000 + 600001 < (select max(ts_us)//1000 from packets) - 600000 then 'timed_out' else status end as status) from flows) flows"""),
+        "stream_windowed_counts": with_scored(""", w as (select max(start_us)//1000 - 600000 as last, min(start_us) + (max(start_us) - min(start_us))//2 as middle from scored)
+            select (start_us//60000000)*60 as bucket, count(*) filter (where predict=1) as attacks, count(*) filter (where predict=0) as normal,
+            sum(total_fpackets)::bigint as fpackets, sum(total_bpackets)::bigint as bpackets, sum(total_bvolume)::bigint as rx_bytes, sum(total_fvolume)::bigint as tx_bytes
+            from scored, w where not (flow_start % 50 = 7 and start_us < middle) and (start_us//60000000)*60000 + 60000 <= last group by 1"""),
     }
     return q

@@ -86,8 +86,21 @@ def test_anchored_windows_follow_arrival(spark):
         ts += r.choice([0, 1, 3, 9, 40, -15, 400 if r.random() < 0.1 else 2])
         rows.append((num, max(ts, 0), num % 2))
     table = spark.createDataFrame(rows, "num bigint, ts_us bigint, capture int")
-    got = {x.num: x.window_start for x in anchored_windows(table, ["capture"], 50, scan_span=16).collect()}
     want = {}
     for capture in (0, 1):
         want |= _chain([(n, t) for n, t, c in rows if c == capture], 50)
-    assert got == want
+    for blocks in (1, 3, 256):
+        placed = anchored_windows(table, ["capture"], 50, scan_span=16, block_windows=blocks)
+        assert {x.num: x.window_start for x in placed.collect()} == want
+
+
+def test_anchored_windows_without_silence(spark):
+    import random
+    r = random.Random(8)
+    ts, rows = 0, []
+    for num in range(4000):
+        ts += r.choice([1, 2, 3])
+        rows.append((num, ts))
+    table = spark.createDataFrame(rows, "num bigint, ts_us bigint")
+    placed = anchored_windows(table, [], 50, scan_span=64, block_windows=4)
+    assert {x.num: x.window_start for x in placed.collect()} == _chain(rows, 50)
