@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowloom.functions import pcap
 from flowloom.schema import FRAME_SCHEMA
@@ -15,14 +16,29 @@ register_pickle_by_value(pcap)
 CAPTURE_SCHEMA = "capture string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in FRAME_SCHEMA)
 
 
-def read_captures(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def _stretches(spark: SparkSession, paths: str | Sequence[str], span: int) -> DataFrame:
+    files = spark.read.format("binaryFile").load(paths).select("path", "length").filter("length > 0")
+    parts = files.withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"(length - 1) div {span}"))))
+    probed = parts.withColumn("span", F.lit(span).cast("bigint")).repartition("path", "part").mapInArrow(
+        pcap.probe_stretches, "path string, length bigint, part bigint, stop bigint, guess bigint, count bigint, "
+        "after bigint, cut boolean")
+    return probed.repartition("path").sortWithinPartitions("path", "part").mapInArrow(
+        pcap.number_stretches, "path string, begin bigint, stop bigint, first bigint, cut_at bigint")
+
+
+def read_captures(spark: SparkSession, paths: str | Sequence[str], span: int = pcap.STRETCH) -> DataFrame:
     """Frames of pcap files: ``capture`` (file), ``num`` (record number in it, from 1), ``ts``, ``frame``.
 
-    Only the file listing goes through the driver.  A first pass hops over the record headers and cuts each
-    file into stretches, so a large file is decoded by many tasks; frames are streamed, never held as a file.
-    ``capture`` belongs in ``within`` when flows must not span files.
+    Only the file listing goes through the driver.  Files are cut into stretches of ``span`` bytes.  Each stretch
+    finds, on its own, where its first record seems to begin and counts from there; one row per stretch is then
+    put together per file, where a wrong guess is noticed and mended.  No task reads a whole file, frames are
+    streamed.  ``capture`` belongs in ``within`` when flows must not span files.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path", "length")
-    stretches = files.repartition("path").mapInArrow(
-        pcap.index_files, "path string, begin bigint, stop bigint, first bigint")
-    return stretches.repartition("path", "first").mapInArrow(pcap.read_stretches, CAPTURE_SCHEMA)
+    return _stretches(spark, paths, span).drop("cut_at").repartition("path", "first").mapInArrow(
+        pcap.read_stretches, CAPTURE_SCHEMA)
+
+
+def cut_captures(spark: SparkSession, paths: str | Sequence[str], span: int = pcap.STRETCH) -> DataFrame:
+    """Files that end within a record: ``capture`` and the ``offset`` of that record."""
+    return _stretches(spark, paths, span).filter("cut_at is not null").select(
+        F.col("path").alias("capture"), F.col("cut_at").alias("offset"))

@@ -1,12 +1,14 @@
 import struct
 
+import pytest
+
 from helpers import frame_of, tcp, udp
 
 from flowloom.operators.packets import (canonical, decode_frames, decode_headers, encode_frames, short_frames,
                                         strip_encapsulation)
 from flowloom.operators.windows import anchored_windows
 from flowloom.schema import FRAME_SCHEMA, PACKET_SCHEMA
-from flowloom.sources.captures import read_captures
+from flowloom.sources.captures import cut_captures, read_captures
 
 IPV4 = b"\0" * 12 + b"\x08\x00"
 
@@ -51,22 +53,26 @@ def test_canonical_key(spark):
     assert {a.side, b.side} == {0, 1}
 
 
-def test_capture_files(spark, tmp_path, monkeypatch):
-    frames = [ip(17, struct.pack(">HHHH", 53, 54, 9, 0) + bytes(i % 7)) for i in range(300)]
+@pytest.mark.parametrize("span", [40, 333, 1000, 1 << 26])
+def test_capture_files(spark, tmp_path, span):
+    """Both byte orders, records across stretches, contents that look like headers, a cut end."""
+    like = struct.pack("<IIII", 5, 6, 7, 8) * 6
+    frames = [ip(17, struct.pack(">HHHH", 53, 54, 9, 0) + bytes(i % 7) + (like if i % 11 == 0 else b"")) for i in range(300)]
     for name, order in (("a.pcap", "<"), ("b.pcap", ">")):
         with open(tmp_path / name, "wb") as out:
             out.write(struct.pack(order + "IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
             for i, frame in enumerate(frames):
                 out.write(struct.pack(order + "IIII", 100 + i, i, len(frame), len(frame)) + frame)
-            out.write(b"cut")
-    from flowloom.functions import pcap
-    monkeypatch.setattr(pcap, "STRETCH", 1000)
-    rows = read_captures(spark, str(tmp_path)).collect()
+            end = out.tell()
+            out.write(b"cut" if name == "a.pcap" else b"")
+    rows = read_captures(spark, str(tmp_path), span).collect()
     for name in ("a.pcap", "b.pcap"):
         mine = sorted((r for r in rows if r.capture.endswith(name)), key=lambda r: r.num)
         assert [r.num for r in mine] == list(range(1, 301))
         assert [bytes(r.frame) for r in mine] == frames
         assert mine[9].ts == 109 + 9 / 1_000_000
+    (cut,) = cut_captures(spark, str(tmp_path), span).collect()
+    assert cut.capture.endswith("a.pcap") and cut.offset == end
 
 
 def _chain(packets, width):
