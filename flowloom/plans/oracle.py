@@ -298,12 +298,12 @@ def oracle_sql() -> dict[str, str]:
         "to_text": with_flows("select flow_start, " + ", ".join(f"{f}::varchar as {f}" for f in MODEL_FIELDS) + " from flows"),
         "labelled_points": with_flows(f", {_FLOW_CELLS} select flow_start, case when total_bpackets>0 then 0.0::double else 1.0::double end as label, i as idx, v as value from cells join flows on row_key=flow_start"),
         "corr_pairs": with_flows(f", {_FLOW_CELLS}, {_MATRIX} select i, j, round(corr,6)+0.0 as corr from pairs"),
-        "feature_variance": with_flows(f", {_FLOW_CELLS}, {_MATRIX} select i, round(ln(1+variance),6) as log_variance from spread"),
-        "feature_weights": with_flows(f", {_FLOW_CELLS}, {_MATRIX} select idx, {_NAME_OF} as name, round(ln(1+weight),6) as log_weight from weights"),
+        "feature_variance": with_flows(f", {_FLOW_CELLS}, {_MATRIX} select i, (case when variance>0 then floor(log10(variance)) else 0 end)::int as variance_power, round(variance/pow(10.0::double, case when variance>0 then floor(log10(variance)) else 0 end),5) as variance_digits from spread"),
+        "feature_weights": with_flows(f", {_FLOW_CELLS}, {_MATRIX} select idx, {_NAME_OF} as name, (case when weight>0 then floor(log10(weight)) else 0 end)::int as weight_power, round(weight/pow(10.0::double, case when weight>0 then floor(log10(weight)) else 0 end),5) as weight_digits from weights"),
         "feature_weights_corr_sum": with_flows(f", {_FLOW_CELLS}, {_MATRIX} select idx, {_NAME_OF} as name, round(corr_sum,6) as weight from weights"),
         "feature_topk": with_flows(f", {_FLOW_CELLS}, {_MATRIX} select idx, {_NAME_OF} as name from weights order by weight desc, idx desc limit 6"),
         "corr_pairs_lineitem": f"with {_LINE_PAIRS} select i, j, round(corr,6)+0.0 as corr from pairs",
-        "feature_topk_lineitem": f"with {_LINE_WEIGHTS} select idx, round(ln(1+weight),6) as log_weight from weights order by weight desc, idx desc limit 3",
+        "feature_topk_lineitem": f"with {_LINE_WEIGHTS} select idx, (case when weight>0 then floor(log10(weight)) else 0 end)::int as weight_power, round(weight/pow(10.0::double, case when weight>0 then floor(log10(weight)) else 0 end),5) as weight_digits from weights order by weight desc, idx desc limit 3",
         "geo_enrich": with_scored("select flow_start, srcip, dstip, src_lat, src_lon, dst_lat, dst_lon from scored"),
         "scored_flows": with_scored("select flow_start, srcip, dstip, total_fvolume, dst_lat, dst_lon, predict, start_us//1000 as timestamp_ms from scored"),
         "scored_written": with_scored("select flow_start, srcip, dstip, predict, start_us//1000 as timestamp_ms from scored"),

@@ -48,6 +48,12 @@ def _r6(*columns: str) -> list[Column]:
     return [F.round(c, 6).alias(c) for c in columns]
 
 
+def _scaled(name: str) -> list[Column]:
+    """A value of any magnitude as digits and power of ten."""
+    power = F.when(F.col(name) > 0, F.floor(F.log10(name))).otherwise(0)
+    return [power.cast("int").alias(f"{name}_power"), F.round(F.col(name) / F.pow(F.lit(10.0), power), 5).alias(f"{name}_digits")]
+
+
 def _bucket() -> Column:
     return F.unix_seconds("bucket").alias("bucket")
 
@@ -395,16 +401,16 @@ def queries() -> dict[str, Query]:
             prepare.labelled_points(_labelled(_flows(s, p))), ["flow_start", "label"], vector_to_array("features")),
         "corr_pairs": lambda s, p: _corr(select.correlation_pairs(_flows(s, p), MODEL_FIELDS)),
         "feature_variance": lambda s, p: select.feature_variance(_flows(s, p), MODEL_FIELDS).select(
-            "i", F.round(F.log1p("variance"), 6).alias("log_variance")),
+            "i", *_scaled("variance")),
         "feature_weights": lambda s, p: _weights(s, p).select(
-            "idx", "name", F.round(F.log1p("weight"), 6).alias("log_weight")),
+            "idx", "name", *_scaled("weight")),
         "feature_weights_corr_sum": lambda s, p: _weights(s, p, "corr_sum").select("idx", "name", *_r6("weight")),
         "feature_topk": lambda s, p: select.top_features(_weights(s, p)).select("idx", "name"),
         "feature_clusters": lambda s, p: select.cluster_features(_flows(s, p), MODEL_FIELDS),
         "corr_pairs_lineitem": lambda s, p: _corr(select.correlation_pairs(_lines(s, p), LINE_FEATURES)),
         "feature_topk_lineitem": lambda s, p: select.top_features(
             select.feature_weights(_lines(s, p), LINE_FEATURES), 3).select(
-                "idx", F.round(F.log1p("weight"), 6).alias("log_weight")),
+                "idx", *_scaled("weight")),
         "geo_enrich": _geo,
         "scored_flows": lambda s, p: _document(_scored(s, p)),
         "scored_written": _stored,
