@@ -248,3 +248,69 @@ def anchor_starts(width: int, group: Sequence[str]):
             if kept:
                 yield batch.take(pa.array(kept, pa.int32()))
     return run
+
+
+SPLIT = 24
+_ZERO = ("span_n", "span_s", "span_q", "span_max", "span_low", "idle_n", "idle_s", "idle_q", "idle_max", "idle_low",
+         *(f"{d}{v}_{p}" for d in "fb" for v in ("pktl", "iat") for p in ("n", "s", "qh", "ql", "max", "min")),
+         *(n for d in "fb" for n in (f"total_{d}hlen", f"{d}psh_cnt", f"{d}urg_cnt")))
+
+
+class FlowSums:
+    """The sums of one flow, packet by packet: the row that ``sum_flows`` makes of all its packets."""
+
+    def __init__(self, values: dict):
+        self.values = values
+
+    @classmethod
+    def opened(cls, start: int, front: int) -> FlowSums:
+        return cls(dict.fromkeys(_ZERO, 0) | {
+            "flow_start": start, "front": front, "start_us": None, "last_us": None, "last_burst": None, "low_burst": None,
+            "closed": False, "expired": False, "tcp_valid": False, "has_data": False, "first_dscp": None,
+            "back_dscp": None})
+
+    def _wide(self, name: str, value: int) -> None:
+        v, first = self.values, not self.values[f"{name}_n"]
+        v[f"{name}_n"] += 1
+        v[f"{name}_s"] += value
+        v[f"{name}_q"] += value * value
+        v[f"{name}_max"] = max(v[f"{name}_max"], value)
+        v[f"{name}_low"] = value if first else min(v[f"{name}_low"], value)
+
+    def _value(self, name: str, value: int, low: int) -> None:
+        v = self.values
+        v[f"{name}_n"] += 1
+        v[f"{name}_s"] += value
+        v[f"{name}_qh"] += value * value >> SPLIT
+        v[f"{name}_ql"] += value * value & (1 << SPLIT) - 1
+        v[f"{name}_max"] = max(v[f"{name}_max"], value)
+        v[f"{name}_min"] = low
+
+    def add(self, packet: dict, label: tuple, idle: int, tcp: int, psh: int, urg: int) -> None:
+        """One packet with its label, as ``advance`` gives it."""
+        v = self.values
+        start, front, gap, iat, span, burst, ready, closes, _, low_iat, low_span, low_len, _ = label
+        ts, size, header = packet["ts_us"], packet["len"], packet["iphlen"] + packet["prhlen"]
+        v["start_us"] = ts if v["start_us"] is None else min(v["start_us"], ts)
+        v["last_us"] = ts if v["last_us"] is None else max(v["last_us"], ts)
+        v["last_burst"] = burst if v["last_burst"] is None else max(v["last_burst"], burst)
+        v["low_burst"] = low_span
+        v["closed"] = v["closed"] or closes
+        v["tcp_valid"] = v["tcp_valid"] or (ready and size > header)
+        v["has_data"] = v["has_data"] or size > 8
+        d = "f" if packet["side"] == front else "b"
+        if packet["num"] == start:
+            v["first_dscp"] = packet["dscp"]
+        elif d == "b" and iat is None and packet["dscp"] and v["back_dscp"] is None:
+            v["back_dscp"] = packet["dscp"]
+        if span is not None:
+            self._wide("span", span)
+        if gap is not None and gap > idle:
+            self._wide("idle", gap)
+        self._value(f"{d}pktl", size, low_len)
+        if iat is not None:
+            self._value(f"{d}iat", iat, low_iat)
+        v[f"total_{d}hlen"] += header
+        if packet["proto"] == tcp:
+            v[f"{d}psh_cnt"] += packet["flags"] & psh != 0
+            v[f"{d}urg_cnt"] += packet["flags"] & urg != 0

@@ -57,6 +57,11 @@ def flow_statistics(segmented: DataFrame, within: Sequence[str] = (),
                     idle: int = IDLE_THRESHOLD) -> DataFrame:
     """Flow records from ``segment`` output: 45 fields, plus ``flow_start``, ``start_us``, ``last_us``,
     ``status`` (closed, timed_out, open), ``is_valid`` and ``bursts``."""
+    return finish_flows(sum_flows(segmented, within, idle), within)
+
+
+def sum_flows(segmented: DataFrame, within: Sequence[str] = (), idle: int = IDLE_THRESHOLD) -> DataFrame:
+    """Sums, extremes and counts of each flow: what ``finish_flows`` needs."""
     packet, header = "not expires", "cast(iphlen + prhlen as bigint)"
     sums = {
         "start_us": "min(if(not expires, ts_us, null))", "last_us": "max(if(not expires, ts_us, null))",
@@ -77,9 +82,12 @@ def flow_statistics(segmented: DataFrame, within: Sequence[str] = (),
             f"{d}psh_cnt": f"count_if({tcp} and flags & {FLAG_BITS['psh']} <> 0)",
             f"{d}urg_cnt": f"count_if({tcp} and flags & {FLAG_BITS['urg']} <> 0)",
         }
-    grouped = segmented.groupBy(*within, *KEY, "flow_start", "front").agg(
+    return segmented.groupBy(*within, *KEY, "flow_start", "front").agg(
         *[F.expr(e).alias(n) for n, e in sums.items()])
 
+
+def finish_flows(grouped: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """Flow records from their sums, row by row; works on streams too."""
     # the last burst ends with the flow
     flows = grouped.selectExpr(
         "*", "last_us - last_burst as final", "span_n + 1 as bursts",

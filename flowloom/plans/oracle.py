@@ -242,6 +242,9 @@ _REGR = """s as (select (start_us//86400000000)*86400 as bucket, sum(total_fpack
  f as (select case when count(*)>1 then regr_slope(fpackets,bucket) end as fm, case when count(*)>1 then regr_slope(bpackets,bucket) end as bm, avg(fpackets) as fy, avg(bpackets) as b_y, avg(bucket) as mx from s)"""
 
 
+# the last watermark ends what has been silent for longer than the timeout by then
+_AFTER_WATERMARK = """select * replace (case when status='open'
+    and last_us//1000 + 600001 < (select max(ts_us)//1000 from packets) - 600000 then 'timed_out' else status end as status) from flows"""
 _STORED = "start_us >= epoch_us(timestamp '2024-01-01 00:00:00') and start_us < epoch_us(timestamp '2024-01-01 02:00:00')"
 _TESTED = "('0x' || substr(md5(concat_ws('|', srcip, srcport, dstip, dstport, flow_start)), 1, 8))::bigint % 10 >= 7"
 
@@ -328,9 +331,8 @@ def oracle_sql() -> dict[str, str]:
         "dash_filter_attacks": with_scored("select flow_start, srcip, dstip from scored where predict=1"),
         "blocklist": with_scored("select distinct srcip, dstip from scored where predict<>0"),
         "stream_score": with_scored("select srcip, srcport, dstip, dstport, duration, total_fvolume, predict, dst_lat, dst_lon from scored"),
-        # the last watermark ends what has been silent for longer than the timeout by then
-        "stream_flows": with_flows(f"""select {_FLOW_COLUMNS} from (select * replace (case when status='open'
-            and last_us//1000 + 600001 < (select max(ts_us)//1000 from packets) - 600000 then 'timed_out' else status end as status) from flows) flows"""),
+        "stream_flows": with_flows(f"select {_FLOW_COLUMNS} from ({_AFTER_WATERMARK}) flows"),
+        "stream_flows_ended": with_flows(f"select {_FLOW_COLUMNS} from ({_AFTER_WATERMARK}) flows where status <> 'open'"),
         "stream_windowed_counts": with_scored(""", w as (select max(start_us)//1000 - 600000 as last, min(start_us) + (max(start_us) - min(start_us))//2 as middle from scored)
             select (start_us//60000000)*60 as bucket, count(*) filter (where predict=1) as attacks, count(*) filter (where predict=0) as normal,
             sum(total_fpackets)::bigint as fpackets, sum(total_bpackets)::bigint as bpackets, sum(total_bvolume)::bigint as rx_bytes, sum(total_fvolume)::bigint as tx_bytes

@@ -314,18 +314,30 @@ def _stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 LATENESS = "10 minutes"
 
 
-def _stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = new_path(spark, "meter")
+def _packet_stream(spark: SparkSession, sf_dir: str, base: str) -> DataFrame:
+    """The packets in four files, streamed by age, so in arrival order."""
     rows = _packets(spark, sf_dir)
     step = rows.agg(F.max("num")).head()[0] // 4 + 1
-    for part in range(4):  # in arrival order: files are streamed by age
+    for part in range(4):
         rows.filter(F.col("num").between(part * step, (part + 1) * step - 1)).coalesce(1).write.mode("append").parquet(
             f"{base}/in")
-    stream = spark.readStream.schema(PACKET_SCHEMA).option("maxFilesPerTrigger", "1").parquet(f"{base}/in")
-    meter.run_meter(stream, f"{base}/out", f"{base}/state", interval=None, lateness=LATENESS).awaitTermination()
+    return spark.readStream.schema(PACKET_SCHEMA).option("maxFilesPerTrigger", "1").parquet(f"{base}/in")
+
+
+def _stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = new_path(spark, "meter")
+    meter.run_meter(_packet_stream(spark, sf_dir, base), f"{base}/out", f"{base}/state", interval=None,
+                    lateness=LATENESS).awaitTermination()
     return _listed(features.flow_statistics(spark.read.parquet(f"{base}/out")))
 
 
+def _stream_ended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = new_path(spark, "flow-meter")
+    meter.run_flow_meter(_packet_stream(spark, sf_dir, base), f"{base}/out", f"{base}/state", interval=None,
+                         lateness=LATENESS).awaitTermination()
+    return _listed(spark.read.parquet(f"{base}/out"))
+
+
 def _stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished buckets of a stream in time order; some flows of its first half come after all others, too late."""
     base = new_path(spark, "counts")
@@ -439,6 +451,7 @@ def queries() -> dict[str, Query]:
         "dt_describe_model": _describe,
         "stream_score": _stream_score,
         "stream_flows": _stream_flows,
+        "stream_flows_ended": _stream_ended,
         "stream_windowed_counts": _stream_counts,
     }
     return q

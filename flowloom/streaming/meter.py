@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
@@ -13,8 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from flowloom.functions import folds, tracking
-from flowloom.operators.features import capture_windows, flow_records
-from flowloom.operators.packets import KEY, canonical
+from flowloom.operators.features import capture_windows, finish_flows, flow_records, sum_flows
+from flowloom.operators.packets import FLAG_BITS, KEY, TCP, canonical
 from flowloom.operators.segment import FLOW_TIMEOUT, IDLE_THRESHOLD, symbol
 
 register_pickle_by_value(folds)
@@ -45,6 +46,29 @@ def meter_windows(packets: DataFrame, seconds: int = 2, policy: str = "all") ->
                         hot_rows=None).withColumn("window_start_us", F.col("capture_window") * seconds * 1_000_000)
 
 
+def _numbered(schema: T.StructType) -> dict[str, str]:
+    """Pandas kinds that keep whole numbers and booleans beside NULLs."""
+    kinds = {f.name: "Int64" for f in schema
+             if isinstance(f.dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))}
+    return kinds | {f.name: "boolean" for f in schema if isinstance(f.dataType, T.BooleanType)}
+
+
+def _labelled_schema(fields: list) -> T.StructType:
+    return T.StructType(fields + [T.StructField(n, T.StructType.fromDDL(f"x {t}")[0].dataType)
+                                  for n, _, t in folds.LABELS])
+
+
+def _keyed(packets: DataFrame, lateness: str) -> DataFrame:
+    return (canonical(packets).withColumn("symbol", symbol()).drop("srcip", "srcport", "dstip", "dstport")
+            .withColumn("chunk", F.lit(0).cast("bigint"))
+            .withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", lateness))
+
+
+def _wake(state, last_us: int, timeout: int) -> None:
+    """Call again once the watermark says that the flow has been silent for too long."""
+    state.setTimeoutTimestamp(max(last_us // 1000 + timeout // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+
 def segment_stream(packets: DataFrame, timeout: int = FLOW_TIMEOUT, idle: int = IDLE_THRESHOLD,
                    lateness: str = "10 minutes") -> DataFrame:
     """``segment`` on a stream: flows go on across batches, with one small state per key.
@@ -52,14 +76,12 @@ def segment_stream(packets: DataFrame, timeout: int = FLOW_TIMEOUT, idle: int =
     Packets of a batch are taken in arrival order.  A key that has been silent for longer than the timeout
     (by the watermark) leaves the state, after a row that says its flow expired.
     """
-    keyed = (canonical(packets).withColumn("symbol", symbol()).withColumn("chunk", F.lit(0).cast("bigint"))
-             .withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", lateness))
+    keyed = _keyed(packets, lateness)
     kept = [f for f in keyed.schema.fields if f.name != "event_time"]
     names = [f.name for f in kept]
-    out = T.StructType(kept + [T.StructField(n, T.StructType.fromDDL(f"x {t}")[0].dataType) for n, _, t in folds.LABELS])
+    out = _labelled_schema(kept)
     added = [n for n, _, _ in folds.LABELS]
-    nullable = {f.name: "Int64" for f in out if isinstance(f.dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))}
-    nullable.update({f.name: "boolean" for f in out if isinstance(f.dataType, T.BooleanType)})
+    nullable = _numbered(out)
 
     def frame(rows: list) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=[*names, *added], dtype=object).astype(nullable)
@@ -82,8 +104,7 @@ def segment_stream(packets: DataFrame, timeout: int = FLOW_TIMEOUT, idle: int =
                                        at["len"][i]):
                 rows.append([column[i] for column in columns] + list(label))
         state.update((folds.json.dumps(track.to_row()),))
-        state.setTimeoutTimestamp(max(track.last // 1000 + timeout // 1000 + 1,
-                                      state.getCurrentWatermarkMs() + 1))
+        _wake(state, track.last, timeout)
         if rows:
             yield frame(rows)
 
@@ -97,3 +118,68 @@ def run_meter(packets: DataFrame, path: str, checkpoint: str, interval: str | No
     writer = (segment_stream(packets, lateness=lateness, **limits).writeStream.format("parquet")
               .option("path", path).option("checkpointLocation", checkpoint))
     return _start(writer, interval)
+
+
+def flow_stream(packets: DataFrame, timeout: int = FLOW_TIMEOUT, idle: int = IDLE_THRESHOLD,
+                lateness: str = "10 minutes") -> DataFrame:
+    """Flow records of a packet stream: each flow leaves when it closes or times out.
+
+    The state of a key is its machine and the sums of its open flow, a few hundred numbers however long the flow
+    is.  A flow that only silence ends leaves once the watermark is past its timeout.
+    """
+    keyed = _keyed(packets, lateness)
+    kept = [f for f in keyed.schema.fields if f.name != "event_time"]
+    nothing = packets.sparkSession.createDataFrame([], _labelled_schema(kept))
+    out = sum_flows(nothing, idle=idle).schema
+    names, nullable = [f.name for f in kept], _numbered(out)
+    wide = [f.name for f in out if isinstance(f.dataType, T.DecimalType)]
+    psh, urg = FLAG_BITS["psh"], FLAG_BITS["urg"]
+
+    def frame(key: tuple, done: list[folds.FlowSums]) -> pd.DataFrame:
+        named = dict(zip(KEY, key))
+        rows = [named | flow.values | {n: Decimal(flow.values[n]) for n in wide} for flow in done]
+        return pd.DataFrame(rows, columns=out.names, dtype=object).astype(nullable)
+
+    def update(key, batches, state):
+        track, flow = tracking.Track(timeout, idle), None
+        if state.exists:
+            held, sums = folds.json.loads(state.get[0])
+            track = tracking.Track.from_row(held, timeout, idle)
+            flow = None if sums is None else folds.FlowSums(sums)
+        if state.hasTimedOut:
+            state.remove()
+            if flow is not None:
+                flow.values["expired"] = True
+                yield frame(key, [flow])
+            return
+        done = []
+        for packet in pd.concat(list(batches))[names].sort_values("num").to_dict("records"):
+            for label in folds.advance(track, packet["num"], packet["ts_us"], packet["side"], packet["symbol"],
+                                       packet["len"]):
+                if label[8]:
+                    flow.values["expired"] = True
+                    done.append(flow)
+                    flow = None
+                    continue
+                if flow is None:
+                    flow = folds.FlowSums.opened(label[0], label[1])
+                flow.add(packet, label, idle, TCP, psh, urg)
+                if label[7]:
+                    done.append(flow)
+                    flow = None
+        state.update((folds.json.dumps([track.to_row(), None if flow is None else flow.values]),))
+        _wake(state, track.last, timeout)
+        if done:
+            yield frame(key, done)
+
+    sums = keyed.groupBy(*KEY).applyInPandasWithState(
+        update, out, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    return finish_flows(sums)
+
+
+def run_flow_meter(packets: DataFrame, path: str, checkpoint: str, interval: str | None = "2 seconds",
+                   lateness: str = "10 minutes", **limits) -> StreamingQuery:
+    """Store the flows of a packet stream as they end."""
+    writer = (flow_stream(packets, lateness=lateness, **limits).writeStream.format("parquet")
+              .option("path", path).option("checkpointLocation", checkpoint))
+    return _start(writer, interval)
