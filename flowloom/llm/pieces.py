@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SPACE = "▁"
-KNOWN_CHUNKS = 800_000
-KNOWN_PAIRS = 1_000_000
+KNOWN_CHUNKS = 600_000
+KNOWN_PAIRS = 400_000
+LONG_CHUNK = 1 << 16
 FLUSH_IDS = 1 << 20
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
@@ -71,8 +72,9 @@ class Pieces(dict):
         inner = sorted({c for p in self.scores if len(p) > 1 for c in p} - {SPACE})
         whole = any(SPACE in p.lstrip(SPACE) for p in self.scores)
         word = f"[{re.escape(''.join(inner))}]"
-        # no piece reaches over the end of a chunk, so chunks are encoded one by one
-        self.chunks = re.compile("(?s).+" if whole or not inner else f"{SPACE}*{word}+|{SPACE}+|(?s:.)").findall
+        # no piece reaches over the end of a chunk, so chunks are encoded one by one; in memory they keep plain spaces
+        self.chunks = re.compile("(?s).+" if whole or not inner else f" *{word}+| +|(?s:.)").findall
+        self.same = {p: p for p in self.scores}.get
 
     def merge(self, text: str) -> list[str]:
         """Merging as defined: the best-scored joined pair first, the leftmost of equals."""
@@ -98,19 +100,24 @@ class Pieces(dict):
             self.fits[pair] = known = self.merge(left + right) == [left, right]
         return known
 
+    def lengths(self, chunk: str) -> list[list[int]]:
+        """For each position, the lengths of the pieces that begin there, ascending; a single character always may."""
+        starts: list[list[int]] = [[] for _ in chunk]
+        for end, length in self.matches.iter(chunk):
+            starts[end - length + 1].append(length)
+        for found in starts:
+            if not found or found[0] != 1:
+                found.insert(0, 1)
+        return starts
+
     def split(self, chunk: str) -> list[str]:
         """The pieces of a chunk, unknown characters as themselves."""
         if len(chunk) == 1:
             return [chunk]
-        starts: list[list[int]] = [[] for _ in chunk]
-        for end, length in self.matches.iter(chunk):
-            starts[end - length + 1].append(length)
-        for i, lengths in enumerate(starts):
-            if not lengths or lengths[0] != 1:
-                lengths.insert(0, 1)
+        starts = self.lengths(chunk) if len(chunk) <= LONG_CHUNK else _Starts(self, chunk)
         failed, at, size = bytearray(len(chunk) // 8 + 1), 0, len(chunk)
         taken: list[tuple[str, int]] = []  # the piece, and how many shorter ones are left to try at its place
-        left, tries, known = None, len(starts[0]), self.fits.get
+        left, tries, known, same = None, len(starts[0]), self.fits.get, self.same
         while at < size:
             lengths, piece = starts[at], None
             while tries:
@@ -118,7 +125,7 @@ class Pieces(dict):
                 end = at + lengths[tries]
                 if end < size and failed[end >> 3] >> (end & 7) & 1:
                     continue
-                piece = chunk[at:end]
+                piece = same(chunk[at:end], "") or chunk[at:end]  # one object for each piece
                 if left is None:
                     break
                 fits = known((left, piece))
@@ -142,7 +149,7 @@ class Pieces(dict):
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
         out: list[int] = []
-        for piece in self.split(chunk):
+        for piece in self.split(chunk.replace(" ", SPACE)):
             known = self.ids.get(piece)
             if known is not None:
                 out.append(known)
@@ -156,7 +163,7 @@ class Pieces(dict):
 
     def encode(self, text: str, end: bool = False) -> np.ndarray:
         """The ids of a text, with the end id last if asked for."""
-        marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE) if text else ""
+        marked = (" " if self.prefix else "") + text.replace(SPACE, " ") if text else ""
         ids = chain.from_iterable(map(self.__getitem__, self.chunks(marked)))
         return np.fromiter(chain(ids, (self.end_id,)) if end else ids, dtype=np.int32)
 
@@ -177,6 +184,23 @@ class Pieces(dict):
         return text[1:] if self.prefix and first in self.leads else text
 
 
+class _Starts:
+    """``Pieces.lengths`` of a very long chunk, worked out stretch by stretch where it is asked for."""
+
+    def __init__(self, pieces: Pieces, chunk: str):
+        self.pieces, self.chunk, self.known = pieces, chunk, {}
+        self.reach = max(map(len, pieces.scores))
+
+    def __getitem__(self, at: int) -> list[int]:
+        stretch, place = divmod(at, LONG_CHUNK)
+        if stretch not in self.known:
+            begin = stretch * LONG_CHUNK
+            # a step back seldom leaves the stretch before
+            self.known = {k: v for k, v in self.known.items() if abs(k - stretch) <= 1}
+            self.known[stretch] = self.pieces.lengths(self.chunk[begin:begin + LONG_CHUNK + self.reach])
+        return self.known[stretch][place]
+
+
 @lru_cache(2)
 def load(model: bytes) -> Pieces:
     """The model, built once in each process."""
