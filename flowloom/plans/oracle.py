@@ -265,6 +265,9 @@ def oracle_sql() -> dict[str, str]:
         "flows_all": with_flows(flows),
         "flows_hot_keys": with_flows(flows),
         "flows_clock_jump": with_flows(flows).replace("select num, ts_us,", "select num, ts_us + case when num % 1688 = 800 then 3600000000 else 0 end as ts_us,", 1),
+        "flows_many_keys": with_flows(flows).replace("1024+k", "1024+user_id%40000"),
+        "flows_urgent": with_flows(flows).replace("end)::int as flags", "end + case when proto=6 and num%9=0 then 32 else 0 end)::int as flags", 1),
+        "decode_unwanted": with_packets("select * from packets where num % 10 not in (3, 5, 7, 9)"),
         "wire_accepted": with_flows(f"select flow_start, {', '.join(RECORD_FIELDS)} from flows where flow_start % 17 not in (3, 7, 11, 13)"),
         "wire_rejects": with_flows(f""", m as (select flow_start, proto, concat_ws(',', {', '.join(RECORD_FIELDS)}) as line from flows)
             select flow_start, proto, case flow_start % 17 when 3 then '"' || substr(line, 1, 39) || '"' when 7 then '"x,9' || line || ',live,9"'

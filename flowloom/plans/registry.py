@@ -245,6 +245,22 @@ def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value", F.coalesce(broken, "value"))
 
 
+def _urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urgent = F.when((F.col("proto") == 6) & (F.col("num") % 9 == 0), 32).otherwise(0)
+    return _packets(spark, sf_dir).withColumn("flags", (F.col("flags") + urgent).cast("int"))
+
+
+def _unwanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames, some of them of another protocol, of another version, or cut."""
+    frame, kind = F.col("frame"), F.col("num") % 10
+    rest = frame.substr(F.lit(15), F.length("frame"))
+    return _frames(spark, sf_dir).withColumn("frame", F.when(
+        kind == 3, F.concat(frame.substr(1, 12), F.lit(b"\x86\xdd"), rest)).when(
+        kind == 5, F.concat(frame.substr(1, 14), F.lit(b"\x65"), rest.substr(F.lit(2), F.length("frame")))).when(
+        kind == 7, F.concat(frame.substr(1, 23), F.lit(b"\x01"), frame.substr(F.lit(25), F.length("frame")))).when(
+        kind == 9, frame.substr(1, 36)).otherwise(frame))
+
+
 def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch stored, and stored again after midnight."""
     path, scored = new_path(spark, "replayed"), _scored(spark, sf_dir)
@@ -377,6 +393,10 @@ def queries() -> dict[str, Query]:
         "flows_hot_keys": lambda s, p: _listed(features.flow_records(_packets(s, p), hot_rows=200, chunk_span=5000)),
         "flows_clock_jump": lambda s, p: _listed(features.flow_records(
             _jumps(s, p), hot_rows=200, chunk_span=5000, head_limit=32)),
+        "flows_many_keys": lambda s, p: _listed(features.flow_records(
+            packets_from_events(prepare_session(s), p, many_keys=True))),
+        "flows_urgent": lambda s, p: _listed(features.flow_records(_urgent(s, p))),
+        "decode_unwanted": lambda s, p: _decoded(_unwanted(s, p)),
         "wire_accepted": lambda s, p: decode_wire(_damaged(s, p).drop("proto")).select(
             "flow_start", *RECORD_FIELDS),
         "wire_rejects": lambda s, p: wire_rejects(_damaged(s, p)).select("flow_start", "proto", "raw", "reason"),

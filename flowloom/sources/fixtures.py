@@ -20,22 +20,24 @@ GEO_RANGES = [
 ]
 
 
-def packets_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packets_from_events(spark: SparkSession, sf_dir: str, many_keys: bool = False) -> DataFrame:
     """Each event becomes a burst of one to six packets between a client and a server.
 
     Time is compressed 200 times so that flow timeouts and idle gaps both occur; bursts with one timestamp,
-    reordered packets and resets on the first packet are included.
+    reordered packets and resets on the first packet are included.  There are about 80 keys, or with ``many_keys``
+    as many as users (up to 40 000).
     """
     c = F.col
     event = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         "event_id", F.floor("value").cast("int").alias("size"),
         F.call_function("div", F.unix_micros(c("ts").cast("timestamp")) - ORIGIN_US, F.lit(200)).alias("t0"),
-        (c("user_id") % 40).alias("k"), F.when(c("user_id") % 3 == 0, 17).otherwise(6).alias("proto"))
+        (c("user_id") % 40).alias("k"),
+        (c("user_id") % 40_000 if many_keys else c("user_id") % 40).alias("port"), F.when(c("user_id") % 3 == 0, 17).otherwise(6).alias("proto"))
     e, i, k, udp = c("event_id"), c("i"), c("k"), c("proto") == 17
     step = (F.when(e % 13 == 0, 0).when((e % 11 == 0) & (i == 2), -3000).otherwise((e % 7 + 1) * 40000))
     client = F.concat(F.lit("10.0."), (k % 4).cast("string"), F.lit("."), (k + 1).cast("string"))
     server = F.concat(F.lit("10.1.0."), (k + 1).cast("string"))
-    client_port, server_port = (k + 1024).cast("int"), F.when(udp, 53).otherwise(443)
+    client_port, server_port = (c("port") + 1024).cast("int"), F.when(udp, 53).otherwise(443)
     reply = i % 2 == 1
     return (event.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), e % 6))).select(
         (e * 8 + i).alias("num"),
