@@ -37,8 +37,9 @@ def _masked(line: Column) -> Column:
 
 def _parsed(documents: DataFrame) -> DataFrame:
     """A row for each line with enough tokens: doc_id, version, line number, and where the line goes in the tree."""
-    lines = documents.select("doc_id", F.xxhash64("text").alias("version"),
-                             F.posexplode(F.split("text", _SPLIT_LINES)).alias("line", "content"))
+    # the hash of a text is taken before its lines are dealt out, so once for each document
+    whole = documents.select("doc_id", "text", F.xxhash64("text").alias("version"))
+    lines = whole.select("doc_id", "version", F.posexplode(F.split("text", _SPLIT_LINES)).alias("line", "content"))
     masked = lines.select("doc_id", "version", "line", _masked(F.col("content")).alias("masked"))
     size = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     counted = masked.withColumn("size", size).where(F.col("size") >= MIN_TOKENS)
@@ -49,15 +50,21 @@ def _parsed(documents: DataFrame) -> DataFrame:
         F.xxhash64("masked").alias("form"), F.xxhash64(F.lit("form"), "masked").alias("form_2"))
 
 
+def _span() -> list[Column]:
+    """The documents that rows stand in: smallest and largest id, and whether any is without."""
+    return [F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+            F.max(F.col("doc_id").isNull()).alias("nameless")]
+
+
 def _similar(documents: DataFrame, forms: DataFrame, similarity: float, broadcast_leaves: int) -> DataFrame | None:
-    """The lines' forms that belong to their leaf's template; None if no leaf has two forms."""
+    """The lines' forms that belong to their leaf's template, with the documents they span; None if no leaf has two."""
     several = forms.groupBy("leaf").count().where("count > 1").select("leaf").checkpoint()
     leaves = several.count()
     if not leaves:
         return None
     several = F.broadcast(several) if leaves <= broadcast_leaves else several
     members = _parsed(documents).join(several, "leaf", "left_semi").groupBy("leaf", "form", "form_2", "masked").agg(
-        F.count(F.lit(1))).select("leaf", "form", "form_2", F.split("masked", " ").alias("tokens")).checkpoint()
+        *_span()).select("leaf", "form", "form_2", "first", "last", "nameless", F.split("masked", " ").alias("tokens")).checkpoint()
     seen = members.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy(
         "leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
     common = seen.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("top")).select(
@@ -65,7 +72,7 @@ def _similar(documents: DataFrame, forms: DataFrame, similarity: float, broadcas
     templates = common.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("template"))
     agree = F.size(F.filter(F.zip_with(
         "tokens", "template", lambda a, b: F.coalesce(a == b["token"], F.lit(False))), lambda same: same))
-    return members.join(templates, "leaf").where(agree >= similarity * F.size("tokens")).select("leaf", "form", "form_2")
+    return members.join(templates, "leaf").where(agree >= similarity * F.size("tokens")).drop("tokens", "template")
 
 
 def recurring_lines(documents: DataFrame, similarity: float = SIMILARITY,
@@ -76,23 +83,19 @@ def recurring_lines(documents: DataFrame, similarity: float = SIMILARITY,
     whose leaf several forms share.
     """
     lines = stored(_parsed(documents).select("doc_id", "version", "line", "leaf", "form", "form_2"), "lines")
-    forms = lines.groupBy("leaf", "form", "form_2").agg(
-        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
-        F.max(F.col("doc_id").isNull()).alias("nameless"))
-    forms = stored(forms, "forms")
     key = ["leaf", "form", "form_2"]
+    forms = stored(lines.groupBy(*key).agg(*_span()), "forms")
+    recurs = "first < last or (nameless and first is not null)"
     similar = _similar(documents, forms, similarity, broadcast_leaves)
     if similar is None:
-        ruled = forms
+        recurring = forms.where(recurs).select(*key, "first")
     else:
         similar = similar.checkpoint()
-        own = forms.join(similar, key, "left_anti")
-        shared = forms.join(similar, key, "left_semi")
-        leaf = shared.groupBy("leaf").agg(F.min("first").alias("first"), F.max("last").alias("last"),
-                                          F.max("nameless").alias("nameless"))
-        ruled = own.select(*key, "first", "last", "nameless").union(
-            shared.select(*key).join(leaf, "leaf").select(*key, "first", "last", "nameless"))
-    recurring = ruled.where("first < last or (nameless and first is not null)").select(*key, "first")
+        own = forms.where(recurs).join(similar.select(*key), key, "left_anti")
+        leaf = similar.groupBy("leaf").agg(F.min("first").alias("first"), F.max("last").alias("last"),
+                                           F.max("nameless").alias("nameless")).where(recurs)
+        recurring = own.select(*key, "first").union(
+            similar.select(*key).join(leaf, "leaf").select(*key, "first"))
     return lines.join(recurring, key).where("doc_id is null or doc_id > first").groupBy("doc_id", "version").agg(
         F.collect_set("line").alias("dropped"))
 
