@@ -339,6 +339,17 @@ def test_pieces_are_those_of_the_library(library):
         assert model.decode(ids) == library.decode(ids)
 
 
+def test_long_chunks_are_read_in_stretches(library, monkeypatch):
+    model = pieces.Pieces(pieces.read_model(PIECES))
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("theinaors"), 5000)), "ab" * 3000, " " * 3000, "e" * 4000]
+    for length in (7, 100, 1000):
+        monkeypatch.setattr(pieces, "LONG_CHUNK", length)
+        model.clear()
+        for text in texts:
+            assert model.encode(text).tolist() == library.encode(text)
+
+
 def test_pieces_of_all_rows(docs, empty, library):
     model = pieces.read_model(PIECES)
     encoded = pieces.encode_documents(docs, model)
