@@ -279,13 +279,14 @@ def _stored_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_scored(spark, path, *STORED_RANGE)
 
 
-SIMPLE_FEATURES = ["proto", "total_bpackets", "dscp"]
+SIMPLE_FEATURES = ["proto", "dscp"]
 
 
 def _offline(spark: SparkSession, sf_dir: str):
-    """Few features with few values: whether anything came back is one of them, so the tree must find the label."""
-    flows = _labelled(_flows(spark, sf_dir))
-    return models.offline_run(flows, [*KEY_FIELDS, "flow_start"], features=SIMPLE_FEATURES, k=3)
+    """Features with so few values that every split is tried, and a label that two splits give."""
+    alert = (F.col("proto") == 6) & (F.col("dscp") == 0)
+    flows = _flows(spark, sf_dir).withColumn("class", F.when(alert, "1").otherwise("0"))
+    return models.offline_run(flows, [*KEY_FIELDS, "flow_start"], features=SIMPLE_FEATURES, k=2)
 
 
 def _offline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +311,7 @@ def _stream_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = detect.read_flow_stream(spark, "text", {"maxFilesPerTrigger": "2"}, f"{base}/in")
     detect.run_detection(messages, model, geo_ranges(spark), f"{base}/store", f"{base}/state", interval=None,
                          rejects=f"{base}/rejects", features=SIMPLE_FEATURES).awaitTermination()
-    good = read_scored(spark, f"{base}/store").select(*KEY_FIELDS, "proto", "duration", "total_bpackets", "predict")
+    good = read_scored(spark, f"{base}/store").select("duration", "predict")
     bad = spark.read.parquet(f"{base}/rejects").agg(F.count(F.lit(1)).alias("rejected"))
     return good.groupBy("predict").agg(F.count(F.lit(1)).alias("flows"), F.sum("duration").alias("duration")).join(
         F.broadcast(bad))
