@@ -66,6 +66,8 @@ def labelled_points(flows: DataFrame, features: Sequence[str] = MODEL_FIELDS,
 
 def usable_rows(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Rows in which all ``columns`` have a value, and the others; every row is in one of the two."""
+    # as settled values: conditions on them must not repeat the expressions that made them
+    rows = rows.select(F.inline(F.array(F.struct(*[F.col(c) for c in rows.columns]))))
     gap = F.array_contains(F.array(*[F.col(c).isNull() | F.coalesce(F.isnan(F.col(c).cast("double")), F.lit(False))
                                      for c in columns]), True)
     return rows.filter(~gap), rows.filter(gap)
