@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 import xxhash
 from conftest import SF
-from flowloom.llm import knn, language, lines, mixing, pieces, pii, simhash, sketch, tokenfiles, warc
+from flowloom.llm import knn, language, lines, mixing, overlap, pieces, pii, simhash, sketch, tokenfiles, warc
 from flowloom.llm.common import components, new_path, prepare, word_blocks
 from flowloom.llm.queries import oracle_sql, queries
 from tokenizers import Tokenizer
@@ -255,6 +255,61 @@ def test_components_of_a_chain(spark):
     assert components(edges.where("false")).collect() == []
 
 
+def plain_overlap(texts):
+    sets = []
+    for text in texts:
+        words = words_of(text)
+        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                parent[root(i)] = root(j)
+    return [root(i) for i in range(len(sets))]
+
+
+def check_overlap(rows, found):
+    roots, least = plain_overlap([r["text"] for r in rows]), {}
+    for r, c in zip(rows, roots, strict=True):
+        if r["doc_id"] is not None:
+            least[c] = min(least.get(c, 1 << 62), r["doc_id"])
+    assert key((r["doc_id"], r["component_id"]) for r in found) == key(
+        (r["doc_id"], least.get(c)) for r, c in zip(rows, roots, strict=True))
+
+
+def test_near_copies_against_brute_force(spark, docs, empty, monkeypatch):
+    import corpus_pipeline
+
+    check_overlap(docs.collect(), overlap.near_copies(docs).collect())
+    assert overlap.near_copies(empty).collect() == []
+    rng = np.random.default_rng(11)
+    texts, common = [], " ".join(f"c{i}" for i in range(30))
+    for base in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        texts.append(" ".join(words) + " " + common)
+        for edits in (1, 2, 3, 4, 5, 6, 8):
+            changed = list(words)
+            for place in rng.choice(120, edits, replace=False):
+                changed[place] = f"e{rng.integers(0, 1 << 30)}"
+            texts.append(" ".join(changed) + " " + common)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_overlap(rows.collect(), overlap.near_copies(rows).collect())
+    monkeypatch.setattr(overlap, "SAMPLED", 1)  # every shingle is counted, and common ones come last
+    monkeypatch.setattr(overlap, "BROADCAST_TEXTS", 0)
+    check_overlap(rows.collect(), overlap.near_copies(rows).collect())
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    roots, ids = plain_overlap([r["text"] for r in given.collect()]), [r["doc_id"] for r in given.collect()]
+    left = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, given, SF).collect()}
+    assert left == {min(i for i, c in zip(ids, roots, strict=True) if c == root) for root in roots}
+    assert len(left) < len({r["component_id"] for r in simhash.near_duplicates(given).collect()})
+
+
 # --- 5
 
 
