@@ -2,8 +2,9 @@
 
 The tree has a fixed depth: lines part by their number of tokens, then by their leading tokens, where a token with a
 digit is a variable field. At a leaf, the commonest token at each position that several different lines share makes
-the leaf's template; lines that agree with it at ``SIMILARITY`` of their positions or more belong to it, and what
-differs is a further variable field. Other lines are a template of their own, their variable fields generalised. A template found in several documents is dropped
+a template of the leaf; lines that agree with it at ``SIMILARITY`` of their positions or more belong to it, and what
+differs is a further variable field. The lines it leaves make the leaf's next template, until one takes no line. Other
+lines are a template of their own, their variable fields generalised. A template found in several documents is dropped
 from all but the one with the smallest doc_id. All steps are joins and aggregations, so no line waits for another.
 """
 
@@ -57,7 +58,10 @@ def _span() -> list[Column]:
 
 
 def _similar(documents: DataFrame, forms: DataFrame, similarity: float, broadcast_leaves: int) -> DataFrame | None:
-    """The lines' forms that belong to their leaf's template, with the documents they span; None if no leaf has two."""
+    """The lines' forms that belong to a template of their leaf, its number and the documents they span.
+
+    None if no leaf has two forms. Each round makes one template for every leaf whose last one took some of its forms.
+    """
     several = forms.groupBy("leaf").count().where("count > 1").select("leaf").checkpoint()
     leaves = several.count()
     if not leaves:
@@ -65,14 +69,23 @@ def _similar(documents: DataFrame, forms: DataFrame, similarity: float, broadcas
     several = F.broadcast(several) if leaves <= broadcast_leaves else several
     members = _parsed(documents).join(several, "leaf", "left_semi").groupBy("leaf", "form", "form_2", "masked").agg(
         *_span()).select("leaf", "form", "form_2", "first", "last", "nameless", F.split("masked", " ").alias("tokens")).checkpoint()
-    seen = members.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy(
-        "leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
-    common = seen.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("top")).select(
-        "leaf", "place", F.when(F.col("top.n") > 1, F.col("top.token")).alias("token"))
-    templates = common.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("template"))
-    agree = F.size(F.filter(F.zip_with(
-        "tokens", "template", lambda a, b: F.coalesce(a == b["token"], F.lit(False))), lambda same: same))
-    return members.join(templates, "leaf").where(agree >= similarity * F.size("tokens")).drop("tokens", "template")
+    key, left, found, number = ["leaf", "form", "form_2"], members, None, 0
+    while True:
+        seen = left.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy(
+            "leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
+        common = seen.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("top")).select(
+            "leaf", "place", F.when(F.col("top.n") > 1, F.col("top.token")).alias("token"))
+        templates = common.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("template"))
+        agree = F.size(F.filter(F.zip_with(
+            "tokens", "template", lambda a, b: F.coalesce(a == b["token"], F.lit(False))), lambda same: same))
+        taken = left.join(templates, "leaf").where(agree >= similarity * F.size("tokens")).drop("tokens").withColumn(
+            "template", F.lit(number)).checkpoint()
+        if taken.isEmpty():
+            return taken if found is None else found
+        found = taken if found is None else found.union(taken)
+        left = left.join(taken.select("leaf").distinct(), "leaf", "left_semi").join(
+            taken.select(*key), key, "left_anti").checkpoint()
+        number += 1
 
 
 def recurring_lines(documents: DataFrame, similarity: float = SIMILARITY,
@@ -90,12 +103,11 @@ def recurring_lines(documents: DataFrame, similarity: float = SIMILARITY,
     if similar is None:
         recurring = forms.where(recurs).select(*key, "first")
     else:
-        similar = similar.checkpoint()
         own = forms.where(recurs).join(similar.select(*key), key, "left_anti")
-        leaf = similar.groupBy("leaf").agg(F.min("first").alias("first"), F.max("last").alias("last"),
-                                           F.max("nameless").alias("nameless")).where(recurs)
+        template = similar.groupBy("leaf", "template").agg(F.min("first").alias("first"), F.max("last").alias("last"),
+                                                           F.max("nameless").alias("nameless")).where(recurs)
         recurring = own.select(*key, "first").union(
-            similar.select(*key).join(leaf, "leaf").select(*key, "first"))
+            similar.select(*key, "template").join(template, ["leaf", "template"]).select(*key, "first"))
     return lines.join(recurring, key).where("doc_id is null or doc_id > first").groupBy("doc_id", "version").agg(
         F.collect_set("line").alias("dropped"))
 

@@ -134,6 +134,17 @@ def test_lines_of_all_rows(docs, empty):
     assert lines.drop_recurring(empty).collect() == []
 
 
+def test_leaf_with_two_templates(spark):
+    prepare(spark)
+    first = [f"User logged in from desk {w} at noon sharp today" for w in ("a", "b", "c", "d", "e")]
+    second = [f"User logged in over the {w} after closing hours yesterday" for w in ("x", "y", "z")]
+    alone = "User logged in once more but nobody knows why"
+    texts = [t for pair in zip(first, [*second, alone, "ok"], strict=True) for t in pair]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["text"] for r in lines.drop_recurring(rows).collect()} - {""}
+    assert kept == {first[0], second[0], alone, "ok"}
+
+
 def test_line_without_id_yields_to_those_with_one(spark):
     prepare(spark)
     rows = spark.createDataFrame([(None, "one two three"), (4, "one two three"), (None, "other two three")],
