@@ -127,6 +127,27 @@ def _card(key: bytes, found: str) -> str | None:
     return _refill(found, payload + luhn_digit(payload))
 
 
+def _card_spans(found: re.Match) -> list[tuple[int, int]]:
+    """Where in a run of digit groups the card numbers lie: whole groups, the most digits first, none in another."""
+    groups = [m.span() for m in re.finditer(r"\d+", found[0])]
+    fitting = []
+    for i, (start, _) in enumerate(groups):
+        size = 0
+        for low, stop in groups[i:]:
+            size += stop - low
+            if size > 19:
+                break
+            if size >= 13:
+                fitting.append((-size, start, stop))
+    spans: list[tuple[int, int]] = []
+    for _, start, stop in sorted(fitting):
+        digits = re.sub(r"\D", "", found[0][start:stop])
+        if luhn_digit(digits[:-1]) == digits[-1] and digits.strip("0") and all(
+                stop <= low or high <= start for low, high in spans):
+            spans.append((start, stop))
+    return [(found.start() + start, found.start() + stop) for start, stop in sorted(spans)]
+
+
 def _iban_rest(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
@@ -190,28 +211,34 @@ def _mail(key: bytes, found: str) -> str | None:
 
 
 def _secret(key: bytes, found: str) -> str | None:
-    return permute_text(key, "secret", found, _HEX if re.fullmatch(r"[0-9a-f]{16,}", found) else None)
+    alphabet = None
+    if re.fullmatch(r"[0-9A-Fa-f]{16,}", found):
+        alphabet = _HEX if found == found.lower() else _HEX.upper() if found == found.upper() else _HEX + "ABCDEF"
+    return permute_text(key, "secret", found, alphabet)
 
 
 #: Kinds in the order in which they are tried at a place; each function says None where the value doesn't validate.
 KINDS: dict[str, tuple[str, Callable[[bytes, str], str | None]]] = {
     "mail": (r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,6}[A-Za-z]{2,24}", _mail),
-    "named": (r"(?<=password=)[^\s\"'<>,;]{4,}|(?<=token=)[^\s\"'<>,;]{4,}|(?<=api_key=)[^\s\"'<>,;]{4,}"
+    "named": (r"(?i:(?<=password=)[^\s\"'<>,;]{4,}|(?<=token=)[^\s\"'<>,;]{4,}|(?<=api_key=)[^\s\"'<>,;]{4,}"
               r"|(?<=secret=)[^\s\"'<>,;]{4,}|(?<=password = \")[^\s\"]{4,}|(?<=token = \")[^\s\"]{4,}"
-              r"|(?<=api_key = \")[^\s\"]{4,}|(?<=secret = \")[^\s\"]{4,}", _secret),
+              r"|(?<=api_key = \")[^\s\"]{4,}|(?<=secret = \")[^\s\"]{4,})", _secret),
     "access": (r"(?<=(?<![A-Za-z0-9])AKIA)[0-9A-Z]{16}(?![A-Za-z0-9])", _secret),
-    "hexadecimal": (r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])", _secret),
+    "hexadecimal": (r"(?<![A-Za-z0-9])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,128}(?![A-Za-z0-9])", _secret),
     "account": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _account),
     "machine": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", _machine),
     "date": (r"(?<![\w.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?:(?![\w-])|(?=T\d))", _date),
     "social": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _social),
-    "card": (r"(?<![\w])\d(?:[ -]?\d){12,18}(?![\w])", _card),
+    "card": (r"(?<![\w])\d(?:[ -]?\d){12,}(?![\w])", _card),
     "telephone": (r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)"
                   r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"
                   r"|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])", _telephone),
 }
-_HINT = re.compile(r"[0-9@]|(?:password|token|api_key|secret) ?=")
-_SEARCHES = {name: (re.compile(pattern), replace) for name, (pattern, replace) in KINDS.items()}
+_HINT = re.compile(r"[0-9@]|(?i:password|token|api_key|secret) ?=")
+#: Kinds whose pattern finds a run that can hold several values, or values beside something else.
+_SPANS: dict[str, Callable[[re.Match], list[tuple[int, int]]]] = {"card": _card_spans}
+_SEARCHES = {name: (re.compile(pattern), replace, _SPANS.get(name, lambda found: [found.span()]))
+             for name, (pattern, replace) in KINDS.items()}
 
 
 def _windows(text: str):
@@ -242,19 +269,19 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, int]:
     for start, stop in _windows(text):
         out.append(text[done:start])
         parts: list[tuple[str, bool]] = [(text[start:stop], False)]
-        for search, replace in _SEARCHES.values():
+        for search, replace, spans in _SEARCHES.values():
             fresh: list[tuple[str, bool]] = []
             for part, fixed in parts:
                 if fixed:
                     fresh.append((part, True))
                     continue
                 at = 0
-                for found in search.finditer(part):
-                    other = replace(key, found[0])
+                for low, high in (span for found in search.finditer(part) for span in spans(found)):
+                    other = replace(key, part[low:high])
                     if other is None:
                         continue
-                    fresh += [(part[at:found.start()], False), (other, True)]
-                    at = found.end()
+                    fresh += [(part[at:low], False), (other, True)]
+                    at = high
                     count += 1
                 fresh.append((part[at:], False))
             parts = fresh

@@ -99,6 +99,23 @@ def test_pseudonyms_of_all_rows(docs, empty):
 # --- 2
 
 
+def test_cards_beside_other_numbers_and_secrets_in_capitals():
+    card, value = "4111 1111 1111 1111", "9233A8EC71B04D5F9233A8EC71B04D5F"
+    for text in (f"{card} 12/25", f"{card} 123", f"order 7 {card}", f"12 35 {card} 12/25 or", f"{card}-5500-0000-0000-0004"):
+        out, count = pii.pseudonymise(text)
+        assert count == 1 + text.count("5500") and card not in out and "5500" not in out
+        assert re.sub(r"\d", "0", out) == re.sub(r"\d", "0", text)
+        left, right = text.split(card)
+        assert out.startswith(left) and (count > 1 or out.endswith(right))
+        number = re.sub(r"\D", "", out[len(left):len(left) + len(card)])
+        assert pii.luhn_digit(number[:-1]) == number[-1]
+    for text in (f'TOKEN = "{value}"', f"Password={value}", f"seen {value} here", f"seen {value.lower()[:16]}{value[16:]} here"):
+        out, count = pii.pseudonymise(text)
+        assert count == 1 and value[16:] not in out and len(out) == len(text)
+        assert re.search(r"[0-9A-F]{32}" if value in text else r"[0-9A-Fa-f]{32}", out)
+    assert pii.pseudonymise("4111 1111 1111 1112 12/25") == ("4111 1111 1111 1112 12/25", 0)
+
+
 def duck_lines(rows):
     frame = pd.DataFrame([(r["doc_id"], r["text"]) for r in rows], columns=["doc_id", "text"])
     con = duckdb.connect()
