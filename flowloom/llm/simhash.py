@@ -171,7 +171,7 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     coded = documents.select("doc_id", fingerprint("text").alias("code")).checkpoint()
     codes = coded.groupBy("code").agg(F.min("doc_id").alias("first"))
-    roots = components(links(codes.select("code")))
+    roots = components(links(codes.select("code"), radius))
     rooted = codes.join(roots, codes["code"] == roots["node"], "left").select(
         "code", "first", F.coalesce("root", "code").alias("root")).checkpoint()
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(

@@ -256,6 +256,15 @@ def test_long_text_has_the_fingerprint_of_its_words(monkeypatch):
     assert [w for block in word_blocks(text.encode(), 500) for w in block] == text.encode().split()
 
 
+def test_radius_reaches_the_links(spark):
+    prepare(spark)
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    classes = {r["code"]: r["component_id"] for r in simhash.near_duplicates(given, radius=0).collect()}
+    assert len(set(classes.values())) == len(classes)
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(given, radius=4)
+
+
 def test_crowded_shards_are_split(spark):
     prepare(spark)
     rng = np.random.default_rng(3)
