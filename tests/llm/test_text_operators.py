@@ -347,6 +347,16 @@ def test_near_copies_against_brute_force(spark, docs, empty, monkeypatch):
     assert len(left) < len({r["component_id"] for r in simhash.near_duplicates(given).collect()})
 
 
+def test_parities_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 60, 64, 65, 500, 900):
+        found = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        for change in (0, 1, 20, 200):
+            other = np.unique(np.append(found[change:], rng.integers(0, 1 << 63, change * 2, dtype=np.uint64)))
+            apart = overlap.differing(overlap.parity(found), overlap.parity(other))
+            assert apart <= len(np.setxor1d(found, other))
+
+
 # --- 5
 
 
