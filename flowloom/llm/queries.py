@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import knn, language, lines, mixing, pieces, pii, simhash, sketch, tokenfiles, warc
+from flowloom.llm import knn, language, lines, mixing, pieces, pii, simhash, sketch, spelling, tokenfiles, warc
 from flowloom.llm.common import new_path, table
 
 #: Folder of the public tokenizer files, readable on the driver.
@@ -80,6 +80,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it takes its stages' settings from this module
 
@@ -89,11 +93,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_pseudonyms, op2_line_templates, op3_language, op4_simhash, op5_bottom_k, op6_sentencepiece,
-        op7_voronoi_knn, op8_token_files, op9_mixing, op10_warc, pipeline)}
+        op7_voronoi_knn, op8_token_files, op9_mixing, op10_warc, op11_spelling, pipeline)}
 
 
 ORACLE = {
     "op2_line_templates": lines.ORACLE,
+    "op11_spelling": spelling.ORACLE,
     "op7_voronoi_knn": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
