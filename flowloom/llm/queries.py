@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import knn, language, lines, mixing, pieces, pii, simhash, sketch, spelling, tokenfiles, warc
+from flowloom.llm import (knn, language, lines, mixing, negatives, pieces, pii, quality, simhash, sketch, spelling, tokenfiles,
+                          warc)
 from flowloom.llm.common import new_path, table
 
 #: Folder of the public tokenizer files, readable on the driver.
@@ -84,6 +85,16 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents", "doc_id", "text", "n_chars"),
+                         table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = negatives.labelled(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return negatives.mine(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it takes its stages' settings from this module
 
@@ -93,12 +104,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_pseudonyms, op2_line_templates, op3_language, op4_simhash, op5_bottom_k, op6_sentencepiece,
-        op7_voronoi_knn, op8_token_files, op9_mixing, op10_warc, op11_spelling, pipeline)}
+        op7_voronoi_knn, op8_token_files, op9_mixing, op10_warc, op11_spelling, op12_quality, op13_hard_negatives, pipeline)}
 
 
 ORACLE = {
     "op2_line_templates": lines.ORACLE,
     "op11_spelling": spelling.ORACLE,
+    "op13_hard_negatives": negatives.ORACLE,
     "op7_voronoi_knn": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
