@@ -3,8 +3,9 @@
 The tree has a fixed depth: lines part by their number of tokens, then by their leading tokens, where a token with a
 digit is a variable field. At a leaf, the commonest token at each position that several different lines share makes
 a template of the leaf; lines that agree with it at ``SIMILARITY`` of their positions or more belong to it, and what
-differs is a further variable field. The lines it leaves make the leaf's next template, until one takes no line. Other
-lines are a template of their own, their variable fields generalised. A template found in several documents is dropped
+differs is a further variable field. The lines it leaves are parted by their token at one more position, that with the
+fewest different tokens, and each part makes a template of its own, until no two lines are left together. Other lines
+are a template of their own, their variable fields generalised. A template found in several documents is dropped
 from all but the one with the smallest doc_id. All steps are joins and aggregations, so no line waits for another.
 """
 
@@ -22,7 +23,8 @@ SIMILARITY = 0.8
 BROADCAST_LEAVES = 2_000_000
 FIELD = "<*>"
 _WHITE = r"[\x20\x09-\x0D]+"
-_WITH_DIGIT = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+# a match begins where a token does, so no token is scanned twice
+_WITH_DIGIT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 _PLAIN = r"[0-9\x09\x0B-\x0D]"
 _TRIM = " \t\x0b\x0c\r"
 _SPLIT_LINES = "\n"
@@ -57,34 +59,39 @@ def _span() -> list[Column]:
             F.max(F.col("doc_id").isNull()).alias("nameless")]
 
 
-def _similar(documents: DataFrame, forms: DataFrame, similarity: float, broadcast_leaves: int) -> DataFrame | None:
-    """The lines' forms that belong to a template of their leaf, its number and the documents they span.
+def _similar(lines: DataFrame, forms: DataFrame, similarity: float, broadcast_leaves: int) -> DataFrame | None:
+    """The lines' forms that belong to a template, its number and the documents they span; None if no leaf has two forms.
 
-    None if no leaf has two forms. Each round makes one template for every leaf whose last one took some of its forms.
+    Each round makes one template for every node of the tree and parts the lines that it leaves, so there are at most as
+    many rounds as a line has tokens.
     """
     several = forms.groupBy("leaf").count().where("count > 1").select("leaf").checkpoint()
     leaves = several.count()
     if not leaves:
         return None
     several = F.broadcast(several) if leaves <= broadcast_leaves else several
-    members = _parsed(documents).join(several, "leaf", "left_semi").groupBy("leaf", "form", "form_2", "masked").agg(
-        *_span()).select("leaf", "form", "form_2", "first", "last", "nameless", F.split("masked", " ").alias("tokens")).checkpoint()
-    key, left, found, number = ["leaf", "form", "form_2"], members, None, 0
+    key, found, number = ["leaf", "form", "form_2"], None, 0
+    left = lines.join(several, "leaf", "left_semi").groupBy(*key).agg(
+        *_span(), F.min("masked").alias("masked")).select(
+        *key, "first", "last", "nameless", F.col("leaf").alias("node"), F.split("masked", " ").alias("tokens")).checkpoint()
     while True:
-        seen = left.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy(
-            "leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
-        common = seen.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("top")).select(
-            "leaf", "place", F.when(F.col("top.n") > 1, F.col("top.token")).alias("token"))
-        templates = common.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("template"))
+        seen = left.select("node", F.posexplode("tokens").alias("place", "token")).groupBy(
+            "node", "place", "token").agg(F.count(F.lit(1)).alias("n"))
+        common = seen.groupBy("node", "place").agg(F.max(F.struct("n", "token")).alias("top"), F.count(F.lit(1)).alias("different"))
+        templates = common.groupBy("node").agg(
+            F.sort_array(F.collect_list(F.struct("place", F.when(F.col("top.n") > 1, F.col("top.token")).alias("token")))).alias("template"),
+            F.min(F.when((F.col("different") > 1) & (F.col("top.n") > 1), F.struct("different", "place")))["place"].alias("part"))
         agree = F.size(F.filter(F.zip_with(
             "tokens", "template", lambda a, b: F.coalesce(a == b["token"], F.lit(False))), lambda same: same))
-        taken = left.join(templates, "leaf").where(agree >= similarity * F.size("tokens")).drop("tokens").withColumn(
-            "template", F.lit(number)).checkpoint()
-        if taken.isEmpty():
-            return taken if found is None else found
+        judged = left.join(templates, "node").withColumn("taken", agree >= similarity * F.size("tokens")).drop("template").checkpoint()
+        taken = judged.where("taken").select(*key, "first", "last", "nameless", F.xxhash64("node", F.lit(number)).alias("template"))
         found = taken if found is None else found.union(taken)
-        left = left.join(taken.select("leaf").distinct(), "leaf", "left_semi").join(
-            taken.select(*key), key, "left_anti").checkpoint()
+        parted = judged.where("not taken and part is not null").withColumn(
+            "node", F.xxhash64("node", "part", F.get("tokens", F.col("part")))).drop("part", "taken")
+        together = parted.groupBy("node").count().where("count > 1").select("node")
+        left = parted.join(together, "node", "left_semi").select(left.columns).checkpoint()
+        if left.isEmpty():
+            return found
         number += 1
 
 
@@ -93,30 +100,33 @@ def recurring_lines(documents: DataFrame, similarity: float = SIMILARITY,
     """The lines of ``documents`` (doc_id, text) to drop: doc_id, version, dropped (their numbers, from 0).
 
     ``version`` is the hash of the text (``xxhash64``). Only hashes and numbers are exchanged, and the text of lines
-    whose leaf several forms share.
+    whose leaf several forms share; the parsed lines are written once, so each text is split and generalised once.
     """
-    lines = stored(_parsed(documents).select("doc_id", "version", "line", "leaf", "form", "form_2"), "lines")
+    lines = stored(_parsed(documents), "lines", "zstd")
     key = ["leaf", "form", "form_2"]
     forms = stored(lines.groupBy(*key).agg(*_span()), "forms")
     recurs = "first < last or (nameless and first is not null)"
-    similar = _similar(documents, forms, similarity, broadcast_leaves)
+    similar = _similar(lines, forms, similarity, broadcast_leaves)
     if similar is None:
         recurring = forms.where(recurs).select(*key, "first")
     else:
         own = forms.where(recurs).join(similar.select(*key), key, "left_anti")
-        template = similar.groupBy("leaf", "template").agg(F.min("first").alias("first"), F.max("last").alias("last"),
-                                                           F.max("nameless").alias("nameless")).where(recurs)
+        template = similar.groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last"),
+                                                   F.max("nameless").alias("nameless")).where(recurs)
         recurring = own.select(*key, "first").union(
-            similar.select(*key, "template").join(template, ["leaf", "template"]).select(*key, "first"))
-    return lines.join(recurring, key).where("doc_id is null or doc_id > first").groupBy("doc_id", "version").agg(
+            similar.select(*key, "template").join(template, "template").select(*key, "first"))
+    return lines.drop("masked").join(recurring, key).where("doc_id is null or doc_id > first").groupBy("doc_id", "version").agg(
         F.collect_set("line").alias("dropped"))
 
 
 def kept_text(text: Column, dropped: Column) -> Column:
     """``text`` without the lines whose numbers are in ``dropped``, which isn't NULL."""
-    split = F.split(text, _SPLIT_LINES)
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), dropped)
-    return F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
+    def joined(split: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), dropped)
+        return F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
+
+    # an array of one, so that the text is split once and not for each line
+    return F.transform(F.array(F.split(text, _SPLIT_LINES)), joined)[0]
 
 
 def drop_recurring(documents: DataFrame, similarity: float = SIMILARITY,
@@ -139,6 +149,25 @@ def drop_recurring(documents: DataFrame, similarity: float = SIMILARITY,
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
+_ROUNDS = 8
+#: One round of the tree in SQL: m is what goes in, y what the nodes' templates take, and the next m what is parted.
+_ROUND = """
+c{r} as materialized (
+  select node, place, token, count(*) as k
+  from (select node, unnest(range(n)) as place, unnest(tokens) as token from m{r}) group by all),
+r{r} as (
+  select node, place, arg_max(token, (k, token)) as token, max(k) as k, count(*) as different from c{r} group by all),
+d{r} as materialized (
+  select node, list(case when k > 1 then token end order by place) as template,
+    arg_min(place, (different, place)) filter (where different > 1 and k > 1) as part
+  from r{r} group by node),
+j{r} as materialized (
+  select m{r}.*, part, len(list_filter(range(n), lambda i: tokens[i + 1] = template[i + 1])) >= 0.8 * n as taken
+  from m{r} join d{r} using (node)),
+p{r} as materialized (
+  select n, tokens, first, last, hash(node, part, tokens[part + 1]) as node from j{r} where not taken and part is not null),
+m{s} as materialized (select * from p{r} where node in (select node from p{r} group by node having count(*) > 1)),"""
+
 ORACLE = r"""
 with l as (
   select doc_id, text, unnest(range(len(string_split(text, chr(10))))) as line, string_split(text, chr(10)) as split
@@ -151,17 +180,11 @@ t as (
 p as (select doc_id, line, tokens, len(tokens) as n, tokens[1:3] as head from t where len(tokens) >= 3),
 f as (select n, head, tokens, min(doc_id) as first, max(doc_id) as last from p group by all),
 s as (select n, head from f group by n, head having count(*) > 1),
-m as (select f.* from f join s using (n, head)),
-e as (select n, head, unnest(range(n)) as place, unnest(tokens) as token from m),
-c as (select n, head, place, token, count(*) as k from e group by all),
-r as (select *, row_number() over (partition by n, head, place order by k desc, token desc) as pick from c),
-d as (select n, head, list(case when k > 1 then token end order by place) as template from r where pick = 1 group by n, head),
-y as (
-  select m.* from m join d using (n, head)
-  where len(list_filter(range(n), lambda i: tokens[i + 1] = template[i + 1])) >= 0.8 * n),
-g as (select n, head, min(first) as first, max(last) as last from y group by n, head),
+m0 as (select n, tokens, first, last, hash(n, head) as node from f join s using (n, head)),""" + "".join(_ROUND.format(r=r, s=r + 1) for r in range(_ROUNDS)) + " y as materialized (" + " union all ".join(
+    f"select tokens, first, last, hash(node, {r}) as template from j{r} where taken" for r in range(_ROUNDS)) + r"""),
+g as (select template, min(first) as first, max(last) as last from y group by template),
 w as (
-  select tokens, g.first, g.last from y join g using (n, head)
+  select tokens, g.first, g.last from y join g using (template)
   union all
   select tokens, first, last from f where tokens not in (select tokens from y)),
 x as (

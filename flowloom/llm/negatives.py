@@ -30,6 +30,8 @@ SAMPLE = 8192
 #: Rows a cell should hold; code words of each half, at most.
 CELL_ROWS, WORDS = 256, 64
 SHARD_ROWS, SLICE_ROWS = 16_384, 1024
+#: Anchors whose way through the cells one task finds.
+ROUTED = 512
 ROUNDS = 12
 _EXACT = 2.0 ** 53
 _FOUND = "anchor_id long, place int, vec_id long, score long"
@@ -200,6 +202,7 @@ def _route(anchors: DataFrame, index: Index, cells: pd.DataFrame, reach: Callabl
             shards.append(sorted(found))
         return pd.DataFrame({"reach": reaches, "shards": pd.Series(shards, dtype=object)})
 
+    anchors = anchors.repartition(-(-anchors.count() // ROUTED) or 1)
     routed = anchors.withColumn("r", visited("vec_id", "label", "vector", "positives"))
     return routed.select("vec_id", "label", "vector", "positives", "r.reach", F.explode("r.shards").alias("shard"))
 
@@ -343,7 +346,7 @@ def mine(vectors: DataFrame, anchors: DataFrame) -> DataFrame:
     lists = positives.groupBy("anchor_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("place", "positive_score"))), lambda p: p["positive_score"]).alias("ps"))
     again = asked.join(lists, asked["vec_id"] == lists["anchor_id"]).select(
-        "vec_id", "label", "vector", F.col("ps").alias("positives")).where(F.exists("positives", lambda p: p >= 0))
+        "vec_id", "label", "vector", F.col("ps").alias("positives")).where(F.exists("positives", lambda p: p >= 0)).checkpoint()
     found = _search(rows, _route(again, index, cells, _reach_negatives), index, negatives=True)
     best = _first(found, ["anchor_id", "place"], NEGATIVES)
     return best.join(positives, ["anchor_id", "place"]).select(

@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SPACE = "▁"
-KNOWN_CHUNKS = 600_000
-KNOWN_PAIRS = 400_000
+#: Memory for what was seen lately, in bytes: ids of chunks, and fits of pairs of pieces.
+HELD_CHUNKS, HELD_PAIRS = 64 << 20, 32 << 20
+_ENTRY, _PAIR = 240, 170  # bytes of a chunk's entry besides its characters and ids, and of a pair's
 LONG_CHUNK = 1 << 16
-FLUSH_IDS = 1 << 20
+FLUSH_IDS = 1 << 18
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
@@ -45,6 +46,7 @@ class Pieces(dict):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         super().__init__()
+        self.held = 0
         parsed = proto.ModelProto()
         parsed.ParseFromString(model)
         rules = parsed.normalizer_spec
@@ -95,7 +97,7 @@ class Pieces(dict):
         pair = (left, right)
         known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) >= KNOWN_PAIRS:
+            if len(self.fits) * _PAIR >= HELD_PAIRS:
                 self.fits.clear()
             self.fits[pair] = known = self.merge(left + right) == [left, right]
         return known
@@ -155,9 +157,11 @@ class Pieces(dict):
                 out.append(known)
             else:
                 out += [self.byte_ids[b] for b in piece.encode("utf-8", "replace")]
-        if len(self) >= KNOWN_CHUNKS:
-            self.clear()
         if len(chunk) <= 64:
+            if self.held >= HELD_CHUNKS:
+                self.clear()
+                self.held = 0
+            self.held += _ENTRY + 2 * len(chunk) + 8 * len(out)
             self[chunk] = tuple(out)
         return tuple(out)
 
@@ -212,32 +216,40 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def encode_documents(documents: DataFrame, model: bytes, end: bool = True) -> DataFrame:
-    """Adds nothing but ids: ``documents`` (doc_id, text) become (doc_id, ids). NULL text is empty."""
+def encode_documents(documents: DataFrame, model: bytes, end: bool = True, decode: bool = False) -> DataFrame:
+    """The ids of ``documents`` (doc_id, text): doc_id, ids, and with ``decode`` the text decoded from the ids.
+
+    NULL text is empty. Both directions run in one worker with one model.
+    """
+    held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(model)
+        pieces = load(held.value)
 
         def out(keys: list, arrays: list[np.ndarray]) -> pa.RecordBatch:
             offsets = np.zeros(len(arrays) + 1, dtype=np.int32)
             np.cumsum([len(a) for a in arrays], out=offsets[1:])
-            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
-            return pa.record_batch([pa.array(keys, pa.int64()), values], ["doc_id", "ids"])
+            made = {"doc_id": pa.array(keys, pa.int64()),
+                    "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))}
+            if decode:
+                made["decoded"] = pa.array([pieces.decode(a.tolist()) for a in arrays], pa.string())
+            return pa.record_batch(made)
 
         for batch in batches:
-            keys, arrays, held = [], [], 0
+            keys, arrays, count = [], [], 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = pieces.encode(text.as_py() or "", end)
                 keys.append(key)
                 arrays.append(ids)
-                held += len(ids)
-                if held > FLUSH_IDS:
+                count += len(ids)
+                if count > FLUSH_IDS:
                     yield out(keys, arrays)
-                    keys, arrays, held = [], [], 0
+                    keys, arrays, count = [], [], 0
             if keys:
                 yield out(keys, arrays)
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return documents.select("doc_id", "text").mapInArrow(
+        run, "doc_id long, ids array<int>" + (", decoded string" if decode else ""))
 
 
 def decoded(ids: Column | str, model: bytes) -> Column:

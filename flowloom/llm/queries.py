@@ -41,8 +41,7 @@ def op5_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
-    encoded = pieces.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), model)
-    return digests(encoded.withColumn("decoded", pieces.decoded("ids", model)))
+    return digests(pieces.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), model, decode=True))
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 import xxhash
 from conftest import SF
-from flowloom.llm import knn, language, lines, mixing, overlap, pieces, pii, simhash, sketch, tokenfiles, warc
+from flowloom.llm import knn, language, lines, mixing, overlap, pieces, pii, simhash, sketch, stages, tokenfiles, warc
 from flowloom.llm.common import components, new_path, prepare, word_blocks
 from flowloom.llm.queries import oracle_sql, queries
 from tokenizers import Tokenizer
@@ -162,6 +162,21 @@ def test_leaf_with_two_templates(spark):
     assert kept == {first[0], second[0], alone, "ok"}
 
 
+def test_leaf_with_three_interleaved_templates(spark):
+    """No template fits the lines of a leaf until they are parted by another token."""
+    prepare(spark)
+    rng, texts = np.random.default_rng(2), []
+    kinds = ["the user has now logged in from {} over wire", "the user has just bought {} of our best goods",
+             "the user has left room {} without his own key"]
+    for i in range(60):
+        name = "".join(rng.choice(list("abcdefgh"), 9))
+        texts.append(kinds[i % 3].format(name) + f"\nonly line of {name} number x")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    mine = lines.drop_recurring(rows).select("doc_id", "text", "n_lines", "n_dropped").collect()
+    assert key(map(tuple, mine)) == key(duck_lines(rows.collect()))
+    assert sum("the user" in r["text"] for r in mine) == 3
+
+
 def test_line_without_id_yields_to_those_with_one(spark):
     prepare(spark)
     rows = spark.createDataFrame([(None, "one two three"), (4, "one two three"), (None, "other two three")],
@@ -321,8 +336,6 @@ def check_overlap(rows, found):
 
 
 def test_near_copies_against_brute_force(spark, docs, empty, monkeypatch):
-    import corpus_pipeline
-
     check_overlap(docs.collect(), overlap.near_copies(docs).collect())
     assert overlap.near_copies(empty).collect() == []
     rng = np.random.default_rng(11)
@@ -342,11 +355,26 @@ def test_near_copies_against_brute_force(spark, docs, empty, monkeypatch):
     check_overlap(rows.collect(), overlap.near_copies(rows).collect())
     given = spark.read.parquet(f"{SF}/documents.parquet")
     roots, ids = plain_overlap([r["text"] for r in given.collect()]), [r["doc_id"] for r in given.collect()]
-    left = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, given, SF).collect()}
+    left = {r["doc_id"] for r in stages.drop_near_duplicates(spark, given, SF).collect()}
     assert left == {min(i for i, c in zip(ids, roots, strict=True) if c == root) for root in roots}
     assert len(left) < len({r["component_id"] for r in simhash.near_duplicates(given).collect()})
 
 
+def test_every_class_keeps_one_row(spark):
+    """Rows without an id, different texts under one id, and repeated rows."""
+    prepare(spark)
+    long = " ".join(f"w{i}" for i in range(40))
+    given = [(1, "first text of its own here", "a"), (None, "second text has no id at all", "a"), (None, "third text has none either", "a"),
+             (5, "fourth text under number five", "a"), (5, "fifth text under number five too", "b"), (None, long, "z"),
+             (9, long, "a"), (8, long + " end", "a"), (8, long + " end", "b"), (8, long + " end", "b"), (None, None, "a"), (None, "", "b")]
+    rows = spark.createDataFrame(given, "doc_id long, text string, version string")
+    left = stages.drop_near_duplicates(spark, rows, SF)
+    assert left.columns == rows.columns
+    found = left.collect()
+    assert key((r["doc_id"], r["text"] or None) for r in found) == key(
+        [(1, given[0][1]), (None, given[1][1]), (None, given[2][1]), (5, given[3][1]), (5, given[4][1]), (8, long + " end"), (None, None)])
+
+
 def test_parities_never_differ_more_than_their_sets():
     rng = np.random.default_rng(5)
     for size in (0, 1, 60, 64, 65, 500, 900):
@@ -687,7 +715,7 @@ def test_pipeline_against_brute_force(spark, library):
     kept = [r.asDict() for r in rows if any(c.isalpha() for c in r["text"] or "")]
     left = {r[0]: (r[1], r[3]) for r in duck_lines(kept)}
     kept = [r | {"text": left[r["doc_id"]][0]} for r in kept if left[r["doc_id"]][0] or not left[r["doc_id"]][1]]
-    roots = plain_components([plain_simhash(r["text"]) for r in kept])
+    roots = plain_overlap([r["text"] for r in kept])
     first = {}
     for r, c in zip(kept, roots, strict=True):
         first[c] = min(first.get(c, 1 << 62), r["doc_id"])
