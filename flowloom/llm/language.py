@@ -127,6 +127,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int =
         found = (presence(t) for t in text)
         return pd.Series([None if p is None else np.packbits(p).tobytes() for p in found])
 
+    packed = packed.asNondeterministic()  # else the filter would compute it a second time
     first = Window.partitionBy("lang").orderBy("order", "key")
     sample = thinned.select("lang", "order", "key", packed("text").alias("bits")).where("bits is not null").withColumn(
         "place", F.row_number().over(first)).where(F.col("place") <= per_language).select("lang", "place", "bits").collect()
@@ -168,7 +169,7 @@ def predict(model: Model):
             scores += score
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return classify
+    return classify.asNondeterministic()  # else a filter on the prediction would compute it a second time
 
 
 def held_out(doc_id: str = "doc_id"):

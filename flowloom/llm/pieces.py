@@ -2,9 +2,9 @@
 
 A sequence of pieces is what merging gives if and only if each two neighbours are: merging their joined text gives just
 those two. So a text is encoded without merging it: at each position the longest piece that fits its left neighbour is
-tried (matches come from one Aho-Corasick pass, the fit of two pieces from merging their few characters once), and on
-a dead end the encoder steps back. A bit per position marks those where no piece led on; each prefix has one encoding,
-so a position that failed need not be tried again and the work is linear.
+tried (an Aho-Corasick automaton finds it, and a table names the next shorter one; the fit of two pieces comes from merging
+their few characters once), and on a dead end the encoder steps back. A bit per position marks those where no piece led
+on; each prefix has one encoding, so a position that failed need not be tried again and the work is linear.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SPACE = "▁"
-#: Memory for what was seen lately, in bytes: ids of chunks, and fits of pairs of pieces.
-HELD_CHUNKS, HELD_PAIRS = 64 << 20, 32 << 20
+#: Memory for what was seen lately, in bytes: three quarters for the ids of chunks, the rest for fits of pairs of pieces,
+#: half of each for what is in use and half for the generation before.
+HELD = 192 << 20
 _ENTRY, _PAIR = 240, 170  # bytes of a chunk's entry besides its characters and ids, and of a pair's
-LONG_CHUNK = 1 << 16
 FLUSH_IDS = 1 << 18
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
@@ -42,11 +42,12 @@ codecs.register_error("flowloom_each_byte", _each_invalid_byte)
 class Pieces(dict):
     """A merge-type model. As a dictionary, it holds the ids of chunks of text seen lately."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, memory: int = HELD):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         super().__init__()
-        self.held = 0
+        self.held, self.older = 0, {}
+        self.most_chunks, self.most_pairs = memory * 3 // 8, memory // 8 // _PAIR
         parsed = proto.ModelProto()
         parsed.ParseFromString(model)
         rules = parsed.normalizer_spec
@@ -66,11 +67,15 @@ class Pieces(dict):
         self.controls = {i for i, p in enumerate(parsed.pieces) if p.type == _CONTROL}
         self.leads = {i for i, p in enumerate(parsed.pieces) if p.type == _NORMAL and p.piece.startswith(SPACE)}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.older_fits: dict[tuple[str, str], bool] = {}
         self.matches = ahocorasick.Automaton()
-        for piece in self.scores:
-            if self.merge(piece) == [piece]:
-                self.matches.add_word(piece, len(piece))
+        usable = {piece for piece in self.scores if self.merge(piece) == [piece]}
+        for piece in usable:
+            self.matches.add_word(piece, len(piece))
         self.matches.make_automaton()
+        # the next candidate at a place: the longest piece that begins a piece; a single character always may
+        self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 1, -1) if p[:n] in usable), p[0])
+                        for p in usable if len(p) > 1}
         inner = sorted({c for p in self.scores if len(p) > 1 for c in p} - {SPACE})
         whole = any(SPACE in p.lstrip(SPACE) for p in self.scores)
         word = f"[{re.escape(''.join(inner))}]"
@@ -97,59 +102,84 @@ class Pieces(dict):
         pair = (left, right)
         known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) * _PAIR >= HELD_PAIRS:
+            known = self.older_fits.get(pair)
+            if known is None:
+                known = self.merge(left + right) == [left, right]
+            if len(self.fits) >= self.most_pairs:  # what is still in use comes over from the older generation
+                self.older_fits = dict(self.fits)
                 self.fits.clear()
-            self.fits[pair] = known = self.merge(left + right) == [left, right]
+            self.fits[pair] = known
         return known
 
-    def lengths(self, chunk: str) -> list[list[int]]:
-        """For each position, the lengths of the pieces that begin there, ascending; a single character always may."""
-        starts: list[list[int]] = [[] for _ in chunk]
-        for end, length in self.matches.iter(chunk):
-            starts[end - length + 1].append(length)
-        for found in starts:
-            if not found or found[0] != 1:
-                found.insert(0, 1)
-        return starts
-
     def split(self, chunk: str) -> list[str]:
         """The pieces of a chunk, unknown characters as themselves."""
-        if len(chunk) == 1:
+        size, at, left, known, same = len(chunk), 0, None, self.fits.get, self.same
+        taken: list[str] = []
+        if size == 1:
             return [chunk]
-        starts = self.lengths(chunk) if len(chunk) <= LONG_CHUNK else _Starts(self, chunk)
-        failed, at, size = bytearray(len(chunk) // 8 + 1), 0, len(chunk)
-        taken: list[tuple[str, int]] = []  # the piece, and how many shorter ones are left to try at its place
-        left, tries, known, same = None, len(starts[0]), self.fits.get, self.same
-        while at < size:
-            lengths, piece = starts[at], None
-            while tries:
-                tries -= 1
-                end = at + lengths[tries]
-                if end < size and failed[end >> 3] >> (end & 7) & 1:
-                    continue
-                piece = same(chunk[at:end], "") or chunk[at:end]  # one object for each piece
-                if left is None:
-                    break
+        # the longest matches one after the other, as long as they fit
+        for end, length in self.matches.iter_long(chunk):
+            if end + 1 - length != at:
+                break
+            piece = same(chunk[at:end + 1])  # one object for each piece
+            if left is not None:
                 fits = known((left, piece))
-                if fits is None:
-                    fits = self.fit(left, piece)
-                if fits:
+                if not (self.fit(left, piece) if fits is None else fits):
                     break
-                piece = None
+            taken.append(piece)
+            left, at = piece, end + 1
+        if at == size:
+            return taken
+        # from there on with shorter pieces and steps back
+        failed, shorter, begins = bytearray(size // 8 + 1), self.shorter.get, -1
+
+        def longest(at: int) -> str:
+            nonlocal begins
+            if at >= begins:
+                end, length = next(self.matches.iter_long(chunk, at, size), (size, 0))
+                begins = end + 1 - length
+                if begins == at:
+                    return same(chunk[at:end + 1])
+            return same(chunk[at], chunk[at])
+
+        piece = longest(at)
+        while True:
+            while piece is not None:
+                end = at + len(piece)
+                if end == size or not failed[end >> 3] >> (end & 7) & 1:
+                    fits = True if left is None else known((left, piece))
+                    if self.fit(left, piece) if fits is None else fits:
+                        break
+                piece = shorter(piece)
             if piece is not None:
-                taken.append((piece, tries))
+                taken.append(piece)
                 left, at = piece, end
-                tries = len(starts[at]) if at < size else 0
+                if at == size:
+                    return taken
+                piece = longest(at)
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 if not taken:
                     raise AssertionError("no encoding")  # can't happen: merging always gives one
-                last, tries = taken.pop()
+                last = taken.pop()
                 at -= len(last)
-                left = taken[-1][0] if taken else None
-        return [piece for piece, _ in taken]
+                begins = -1
+                left = taken[-1] if taken else None
+                piece = shorter(last)
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
+        known = self.older.get(chunk)
+        if known is None:
+            known = self._ids(chunk)
+        if len(chunk) <= 64:
+            if self.held >= self.most_chunks:  # what is still in use comes over from the older generation
+                self.older, self.held = dict(self), 0
+                self.clear()
+            self.held += _ENTRY + 2 * len(chunk) + 8 * len(known)
+            self[chunk] = known
+        return known
+
+    def _ids(self, chunk: str) -> tuple[int, ...]:
         out: list[int] = []
         for piece in self.split(chunk.replace(" ", SPACE)):
             known = self.ids.get(piece)
@@ -157,12 +187,6 @@ class Pieces(dict):
                 out.append(known)
             else:
                 out += [self.byte_ids[b] for b in piece.encode("utf-8", "replace")]
-        if len(chunk) <= 64:
-            if self.held >= HELD_CHUNKS:
-                self.clear()
-                self.held = 0
-            self.held += _ENTRY + 2 * len(chunk) + 8 * len(out)
-            self[chunk] = tuple(out)
         return tuple(out)
 
     def encode(self, text: str, end: bool = False) -> np.ndarray:
@@ -188,27 +212,10 @@ class Pieces(dict):
         return text[1:] if self.prefix and first in self.leads else text
 
 
-class _Starts:
-    """``Pieces.lengths`` of a very long chunk, worked out stretch by stretch where it is asked for."""
-
-    def __init__(self, pieces: Pieces, chunk: str):
-        self.pieces, self.chunk, self.known = pieces, chunk, {}
-        self.reach = max(map(len, pieces.scores))
-
-    def __getitem__(self, at: int) -> list[int]:
-        stretch, place = divmod(at, LONG_CHUNK)
-        if stretch not in self.known:
-            begin = stretch * LONG_CHUNK
-            # a step back seldom leaves the stretch before
-            self.known = {k: v for k, v in self.known.items() if abs(k - stretch) <= 1}
-            self.known[stretch] = self.pieces.lengths(self.chunk[begin:begin + LONG_CHUNK + self.reach])
-        return self.known[stretch][place]
-
-
 @lru_cache(2)
-def load(model: bytes) -> Pieces:
+def load(model: bytes, memory: int = HELD) -> Pieces:
     """The model, built once in each process."""
-    return Pieces(model)
+    return Pieces(model, memory)
 
 
 def read_model(path: str) -> bytes:
@@ -216,15 +223,16 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def encode_documents(documents: DataFrame, model: bytes, end: bool = True, decode: bool = False) -> DataFrame:
+def encode_documents(documents: DataFrame, model: bytes, end: bool = True, decode: bool = False,
+                     memory: int = HELD) -> DataFrame:
     """The ids of ``documents`` (doc_id, text): doc_id, ids, and with ``decode`` the text decoded from the ids.
 
-    NULL text is empty. Both directions run in one worker with one model.
+    NULL text is empty. Both directions run in one worker with one model, which remembers ``memory`` bytes of what it saw.
     """
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(held.value)
+        pieces = load(held.value, memory)
 
         def out(keys: list, arrays: list[np.ndarray]) -> pa.RecordBatch:
             offsets = np.zeros(len(arrays) + 1, dtype=np.int32)

@@ -469,15 +469,14 @@ def test_pieces_are_those_of_the_library(library):
         assert model.decode(ids) == library.decode(ids)
 
 
-def test_long_chunks_are_read_in_stretches(library, monkeypatch):
-    model = pieces.Pieces(pieces.read_model(PIECES))
+def test_long_chunks_and_small_memory(library):
     rng = np.random.default_rng(9)
     texts = ["".join(rng.choice(list("theinaors"), 5000)), "ab" * 3000, " " * 3000, "e" * 4000]
-    for length in (7, 100, 1000):
-        monkeypatch.setattr(pieces, "LONG_CHUNK", length)
-        model.clear()
-        for text in texts:
+    for memory in (pieces.HELD, 1 << 12):
+        model = pieces.Pieces(pieces.read_model(PIECES), memory)
+        for text in [*texts, *hard_texts(), *texts]:
             assert model.encode(text).tolist() == library.encode(text)
+        assert memory == pieces.HELD or len(model) + len(model.older) < 40
 
 
 def test_pieces_of_all_rows(docs, empty, library):
