@@ -211,28 +211,6 @@ def _mapped(rows: list[tuple], keys: list[pa.Field]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=pa.schema(fields))
 
 
-def chain_blocks(width: int, group: Sequence[str]):
-    """Arrow function: the blocks' maps in order to the true first start of each block that has a start."""
-    def run(batches):
-        current, block, start, settled = None, None, None, False
-        for batch in batches:
-            schema = batch.schema
-            keys = list(zip(*[batch.column(schema.get_field_index(n)).to_pylist() for n in group]))
-            blocks, firsts, lasts = (batch.column(schema.get_field_index(n)).to_pylist() for n in ("_block", "first", "last"))
-            kept = []
-            for i, key in enumerate(keys):
-                if key != current:
-                    current, block, start = key, None, None
-                if blocks[i] != block:
-                    block, settled = blocks[i], False
-                if not settled and (start is None or firsts[i] > start + width):
-                    settled, start = True, lasts[i]
-                    kept.append(i)
-            if kept:
-                yield batch.take(pa.array(kept, pa.int32()))
-    return run
-
-
 def anchor_starts(width: int, group: Sequence[str]):
     """Arrow function: increasing timestamps of each group to the window starts among them."""
     def run(batches):

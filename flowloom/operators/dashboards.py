@@ -99,13 +99,73 @@ def traffic_series(scored: DataFrame, interval: str = "1 hour") -> DataFrame:
                      F.sum("total_fvolume").alias("tx_bytes"))
 
 
-def dashboard(scored: DataFrame, interval: str = "1 hour") -> dict[str, DataFrame]:
-    """The six panels of the overview.  Give it a stored or persisted table: each panel is its own query."""
-    return {
-        "dst_ip": top_terms(scored, "dstip"), "threats_detected": threats_detected(scored),
-        "dst_port": top_terms(scored, "dstport"), "destinations": destination_map(scored),
-        "sources": source_map(scored), "packet_series": packet_series(scored, interval),
-    }
+def auto_series(scored: DataFrame, buckets: int = 50) -> DataFrame:
+    """Attacks, normal flows and bytes over time, in the shortest ladder step that needs at most ``buckets`` buckets.
+
+    Flows are added up by the second first; the step comes from that table, within the same plan.
+    """
+    fine = scored.groupBy(F.unix_seconds("timestamp").alias("second")).agg(
+        F.count_if(F.col("predict") == 1).alias("attacks"), F.count_if(F.col("predict") == 0).alias("normal"),
+        F.sum("total_bvolume").alias("rx_bytes"), F.sum("total_fvolume").alias("tx_bytes"))
+    span, step = F.max("second") - F.min("second"), F.lit(_SECONDS[-1])
+    for length in reversed(_SECONDS[:-1]):
+        step = F.when(span <= buckets * length, length).otherwise(step)
+    step = fine.agg(step.cast("long").alias("step")).scalar()
+    placed = fine.withColumn("step", step).withColumn("bucket", F.col("second") - F.pmod("second", "step"))
+    return placed.groupBy("bucket", "step").agg(*[F.sum(c).alias(c) for c in ("attacks", "normal", "rx_bytes", "tx_bytes")]).select(
+        F.timestamp_seconds("bucket").alias("bucket"), "step", "attacks", "normal", "rx_bytes", "tx_bytes")
+
+
+PANELS = {"dst_ip": "dstip", "dst_port": "dstport", "destinations": "dst_cell", "sources": "src_cell", "packet_series": "bucket",
+          "threats": None}
+_SUMS = ["flows", "attacks", "threats", "fpackets", "bpackets", "lat_sum", "lon_sum"]
+
+
+def panel_partials(scored: DataFrame, interval: str = "1 hour") -> DataFrame:
+    """What the six panels of the overview need of these flows, in one pass: panel, term, bucket and sums.
+
+    One aggregation with a grouping set for each panel. Tables of parts, such as one for each batch, add up
+    (``composed``), so a stored overview never reads its flows again.
+    """
+    attack, cells = F.col("predict") == 1, []
+    for end in ("dst", "src"):
+        lat, lon = F.col(f"{end}location.lat"), F.col(f"{end}location.lon")
+        cells += [geohash2(lat, lon).alias(f"{end}_cell"), lat.alias(f"{end}_lat"), lon.alias(f"{end}_lon")]
+    rows = scored.select("dstip", "dstport", "predict", "total_fpackets", "total_bpackets", *cells,
+                         F.window("timestamp", interval)["start"].alias("bucket"))
+    keys = [c for c in PANELS.values() if c]
+    sums = {"flows": F.count(F.lit(1)), "attacks": F.count_if(attack), "threats": F.sum("predict"),
+            "fpackets": F.sum("total_fpackets"), "bpackets": F.sum("total_bpackets"),
+            **{f"{end}_{c}_sum": F.sum(F.when(attack, F.col(f"{end}_{c}"))) for end in ("dst", "src") for c in ("lat", "lon")}}
+    made = rows.groupingSets([[c] if c else [] for c in PANELS.values()], *keys).agg(
+        *[value.alias(name) for name, value in sums.items()],
+        F.coalesce(*[F.when(F.grouping(c) == 0, name) for name, c in PANELS.items() if c], F.lit("threats")).alias("panel"))
+    term = F.coalesce("dstip", F.col("dstport").cast("string"), "dst_cell", "src_cell")
+    place = {c: F.when(F.col("panel") == "sources", F.col(f"src_{c}")).otherwise(F.col(f"dst_{c}")).alias(c) for c in ("lat_sum", "lon_sum")}
+    return made.select("panel", term.alias("term"), "bucket", *_SUMS[:-2], *place.values())
+
+
+def composed(partials: DataFrame, n: int = 10) -> DataFrame:
+    """The overview from stored parts: panel, term, bucket, value, second, lat, lon.
+
+    ``value`` is the panel's number (flows, threats, or mean forward packets with mean backward ones in ``second``);
+    the two lists hold their first ``n`` terms. One scan and one aggregation give all panels: terms are ranked within 64
+    parts of a panel before the panel's own ranking, so no task sorts all terms.
+    """
+    merged = partials.groupBy("panel", "term", "bucket").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    merged = merged.where("panel not in ('destinations', 'sources') or attacks > 0")
+    listed = F.col("panel").isin("dst_ip", "dst_port")
+    order = [F.desc("flows"), F.col("term").try_cast("bigint"), F.asc("term")]
+    for by in ([F.pmod(F.xxhash64("term"), F.lit(64))], []):
+        place = F.row_number().over(Window.partitionBy("panel", *by).orderBy(*order))
+        merged = merged.withColumn("place", place).where(~listed | (F.col("place") <= n))
+    mapped, series = F.col("panel").isin("destinations", "sources"), F.col("panel") == "packet_series"
+    value = (F.when(listed, F.col("flows")).when(mapped, F.col("attacks")).when(series, F.col("fpackets") / F.col("flows"))
+             .otherwise(F.col("threats")))
+    return merged.select(
+        "panel", "term", "bucket", value.cast("double").alias("value"),
+        F.when(series, F.col("bpackets") / F.col("flows")).alias("second"),
+        *[F.when(mapped, F.col(f"{c}_sum") / F.col("attacks")).alias(c) for c in ("lat", "lon")])
 
 
 def blocklist(scored: DataFrame) -> DataFrame:

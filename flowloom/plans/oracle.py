@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from flowloom.schema import MODEL_FIELDS, RECORD_FIELDS, STAT_FIELDS
-from flowloom.sources.fixtures import GEO_RANGES, _address_value
+from flowloom.operators.dashboards import _SECONDS
+from flowloom.sources.fixtures import GEO_RANGES, NESTED_RANGES, _address_value
 
 PACKETS = """
 e as (select event_id, user_id, value, (epoch_us(ts) - 1704067200000000) // 200 as t0, user_id % 40 as k,
@@ -242,9 +243,59 @@ _REGR = """s as (select (start_us//86400000000)*86400 as bucket, sum(total_fpack
  f as (select case when count(*)>1 then regr_slope(fpackets,bucket) end as fm, case when count(*)>1 then regr_slope(bpackets,bucket) end as bm, avg(fpackets) as fy, avg(bpackets) as b_y, avg(bucket) as mx from s)"""
 
 
-# the last watermark ends what has been silent for longer than the timeout by then
+def _hexed(value: str, width: int) -> str:
+    return f"lpad(to_hex(({value})::bigint), {width * 2}, '0')"
+
+
+def _hex_address(ip: str) -> str:
+    return " || ".join(_hexed(f"split_part({ip}, '.', {i})", 1) for i in range(1, 5))
+
+
+_FRAME = " || ".join([
+    "'" + "00" * 12 + "0800'", _hexed("64 + iphlen // 4", 1), _hexed("dscp * 4", 1), _hexed("len", 2), "'00000000'", "'40'",
+    _hexed("proto", 1), "'0000'", _hex_address("srcip"), _hex_address("dstip"), _hexed("srcport", 2), _hexed("dstport", 2),
+    f"case when proto = 6 then '{'00' * 8}' || {_hexed('prhlen * 4', 1)} || {_hexed('flags', 1)} || '{'00' * 6}' "
+    f"else {_hexed('prhlen', 2)} || '0000' end"])
+
+_NESTED = "nested(ip_from, ip_to, lat) as (values " + ", ".join(
+    f"({_address_value(a)}::bigint,{_address_value(b)}::bigint,{lat}::double)" for a, b, lat, _ in NESTED_RANGES) + ")"
+
+
+def _narrowest(ip: str) -> str:
+    return (f"coalesce((select lat from nested where {_ip(ip)} between ip_from and ip_to "
+            "order by ip_to - ip_from, ip_from desc limit 1), 48.0)")
+
+
+def _listed(panel: str, column: str) -> str:
+    return (f"select '{panel}' as panel, {column}::varchar as term, null::bigint as bucket, n::double as value from "
+            f"(select {column}, count(*) as n from scored group by 1 order by 2 desc, 1 limit 10)")
+
+
+def _located(panel: str, lat: str, lon: str) -> str:
+    return (f"select '{panel}', {_cell(lat, lon)}, null, count(*), null, round(avg({lat}),6), round(avg({lon}),6) "
+            "from scored where predict=1 group by 2")
+
+
+_OVERVIEW = f"""select panel, term, bucket, value, null::double as second, null::double as lat, null::double as lon
+    from ({_listed("dst_ip", "dstip")} union all {_listed("dst_port", "dstport")})
+  union all {_located("destinations", "dst_lat", "dst_lon")} union all {_located("sources", "src_lat", "src_lon")}
+  union all select 'threats', null, null, sum(predict), null, null, null from scored
+  union all select 'packet_series', null, {_hour(3600)} as b, round(avg(total_fpackets),6), round(avg(total_bpackets),6), null, null
+    from scored group by {_hour(3600)}"""
+
+
+def _auto(span: str, where: str) -> str:
+    step = "case " + " ".join(f"when hi - lo <= 50*{n} then {n}" for n in _SECONDS[:-1]) + f" else {_SECONDS[-1]} end"
+    rows = f"(select *, start_us // 1000000 as sec from scored, (select min(start_us) as least from scored) where {where})"
+    return f"""select '{span}' as span, step::bigint as step, sec - sec % step as bucket, count(*) filter (where predict=1) as attacks,
+      count(*) filter (where predict=0) as normal, sum(total_bvolume)::bigint as rx_bytes, sum(total_fvolume)::bigint as tx_bytes
+      from {rows} r, (select {step} as step from (select min(sec) as lo, max(sec) as hi from {rows})) t group by 1, 2, 3"""
+
+
+# the last packet comes 605 s after the others and the watermark stays 600 s behind it; what has been silent for longer
+# than the timeout by then has ended
 _AFTER_WATERMARK = """select * replace (case when status='open'
-    and last_us//1000 + 600001 < (select max(ts_us)//1000 from packets) - 600000 then 'timed_out' else status end as status) from flows"""
+    and last_us//1000 + 600001 < (select max(ts_us)//1000 from packets) + 5000 then 'timed_out' else status end as status) from flows"""
 _STORED = "start_us >= epoch_us(timestamp '2024-01-01 00:00:00') and start_us < epoch_us(timestamp '2024-01-01 02:00:00')"
 _TESTED = "('0x' || substr(md5(concat_ws('|', srcip, srcport, dstip, dstport, flow_start)), 1, 8))::bigint % 10 >= 7"
 
@@ -293,6 +344,7 @@ def oracle_sql() -> dict[str, str]:
         "wire_roundtrip": with_flows("select " + ", ".join(RECORD_FIELDS) + ", 'live' as class from flows"),
         "flows_written": with_flows("select " + ", ".join(RECORD_FIELDS) + ", 'live' as class from flows"),
         "relay_lines": with_flows("""select '"'||concat_ws(',',""" + ",".join(RECORD_FIELDS) + """,'live')||'"' as value from flows"""),
+        "relay_growing": with_flows("""select '"'||concat_ws(',',""" + ",".join(RECORD_FIELDS) + """,'live')||'"' as value from flows"""),
         "labels_binary": "select doc_id, case when quality::varchar='0' then 0.0::double else 1.0::double end as label from labels",
         "split_key": with_flows(f", {_FLOW_CELLS} select srcip, srcport, dstip, dstport, flow_start, i as idx, v as value from cells join flows on row_key=flow_start"),
         "named_features": with_flows("select flow_start, unnest([" + ",".join(f"'{f}'" for f in RECORD_FIELDS[:44]) + "]) as name, unnest(["
@@ -311,6 +363,14 @@ def oracle_sql() -> dict[str, str]:
         "corr_pairs_lineitem": f"with {_LINE_PAIRS} select i, j, round(corr,6)+0.0 as corr from pairs",
         "feature_topk_lineitem": f"with {_LINE_WEIGHTS} select idx, (case when weight>0 then floor(log10(weight)) else 0 end)::int as weight_power, round(weight/pow(10.0::double, case when weight>0 then floor(log10(weight)) else 0 end),5) as weight_digits from weights order by weight desc, idx desc limit 3",
         "geo_enrich": with_scored("select flow_start, srcip, dstip, src_lat, src_lon, dst_lat, dst_lon from scored"),
+        "geo_nested": with_flows(f", {_NESTED} select flow_start, srcip, dstip, {_narrowest('srcip')} as src_lat, {_narrowest('dstip')} as dst_lat from flows"),
+        "capture_frames": with_packets("""select (num % 3)::int as part, row_number() over (partition by num % 3 order by num) as record, ts_us,
+            (case when proto = 6 then 54 else 42 end)::int as length, md5(unhex(FRAME)) as digest from packets""".replace("FRAME", _FRAME)),
+        "scored_manifest": with_scored("select srcip, srcport, dstip, dstport, duration, predict, (date '2024-01-01' + ((duration % 86400000000 * 2) // 86400000000)::int)::varchar as day from scored"),
+        "dash_composed": with_scored(_OVERVIEW),
+        "dash_auto_series": with_scored(_auto("all", "true") + " union all " + _auto("short", "start_us < least + 900000000")),
+        "stream_model_switch": with_flows("""select (flow_start % 2 + 1)::int as model_version, case when (proto=6 and dscp=0) = (flow_start % 2 = 0) then 1.0::double else 0.0::double end as predict,
+            count(*) as flows, sum(duration)::bigint as duration from flows group by 1, 2"""),
         "scored_flows": with_scored("select flow_start, srcip, dstip, total_fvolume, dst_lat, dst_lon, predict, start_us//1000 as timestamp_ms from scored"),
         "scored_written": with_scored("select flow_start, srcip, dstip, predict, start_us//1000 as timestamp_ms from scored"),
         "confusion_matrix": f"with {_PREDICTIONS} select label, count(*) filter (where prediction=0) as predicted_0, count(*) filter (where prediction=1) as predicted_1 from pr group by 1",
@@ -336,6 +396,8 @@ def oracle_sql() -> dict[str, str]:
         "stream_score": with_scored("select srcip, srcport, dstip, dstport, duration, total_fvolume, predict, dst_lat, dst_lon from scored"),
         "stream_flows": with_flows(f"select {_FLOW_COLUMNS} from ({_AFTER_WATERMARK}) flows"),
         "stream_flows_ended": with_flows(f"select {_FLOW_COLUMNS} from ({_AFTER_WATERMARK}) flows where status <> 'open'"),
+        "stream_late_rows": with_packets("""select num, ts_us, len, (num % 50 = 7 and ts_us < first + (last - first)//2)::int as late
+            from packets, (select min(ts_us) as first, max(ts_us) as last from packets)"""),
         "stream_windowed_counts": with_scored(""", w as (select max(start_us)//1000 - 600000 as last, min(start_us) + (max(start_us) - min(start_us))//2 as middle from scored)
             select (start_us//60000000)*60 as bucket, count(*) filter (where predict=1) as attacks, count(*) filter (where predict=0) as normal,
             sum(total_fpackets)::bigint as fpackets, sum(total_bpackets)::bigint as bpackets, sum(total_bvolume)::bigint as rx_bytes, sum(total_fvolume)::bigint as tx_bytes

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +14,19 @@ from flowloom.operators import dashboards, evaluate, features, packets, prepare,
 from flowloom.operators.geo import add_locations
 from flowloom.operators.segment import segment
 from flowloom.plans import model as models
+from flowloom.plans import versions
 from flowloom.plans.scoring import rule_predict, scored_flows
 from flowloom.schema import KEY_FIELDS, MODEL_FIELDS, PACKET_SCHEMA, RECORD_FIELDS, WIRE_FIELDS
 from flowloom.session import new_path
 from flowloom.session import prepare as prepare_session
-from flowloom.sources.fixtures import geo_ranges, packets_from_events
+from flowloom.sources.captures import read_captures
+from flowloom.sources.commits import Store, day_of
+from flowloom.sources.fixtures import NESTED_RANGES, geo_ranges, packets_from_events
 from flowloom.sources.flows import decode_wire, encode_wire, read_flows, wire_rejects, write_flows
+from flowloom.sources.growing import open_folder
+from flowloom.sources.pcapfiles import write_captures
 from flowloom.sources.sinks import read_scored, write_metrics, write_scored
-from flowloom.streaming import detect, meter
+from flowloom.streaming import detect, late, meter
 
 FLOW_COLUMNS = [*RECORD_FIELDS, "flow_start", "start_us", "last_us", "bursts", "status"]
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -157,6 +164,30 @@ def _relay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(f"{base}/out")
 
 
+def _grow(lines: DataFrame, folder: str, share: float) -> int:
+    """Write a file for each partition of ``lines`` up to ``share`` of its bytes; returns how many files there are."""
+    def write(batches):
+        data = b"".join(v.as_py().encode() + b"\n" for batch in batches for v in batch.column(0))
+        if data:
+            system, inner = open_folder(folder)
+            system.create_dir(inner)
+            with system.open_output_stream(f"{inner}/{TaskContext.get().partitionId()}.log") as out:
+                out.write(data[:int(len(data) * share)])
+            yield pa.record_batch([pa.array([1])], ["n"])
+
+    return lines.mapInArrow(write, "n long").count()
+
+
+def _relay_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of one relay: files are first cut off within a line, then whole."""
+    base = new_path(spark, "growing")
+    lines = _wire(spark, sf_dir).select("value").repartition(4, "value").sortWithinPartitions("value")
+    for share in (0.6, 1.0):
+        _grow(lines, f"{base}/in", share)
+        detect.relay_lines(spark, f"{base}/in", f"{base}/out", f"{base}/state", growing=True).awaitTermination()
+    return spark.read.text(f"{base}/out")
+
+
 def _cells(df: DataFrame, keep: Sequence[str], array: Column) -> DataFrame:
     return df.select(*keep, F.posexplode(array).alias("idx", "value"))
 
@@ -328,24 +359,115 @@ def _stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("dstlocation.lon").alias("dst_lon"))
 
 
+def _captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames written as capture files and read back with their record numbers."""
+    base, frames = new_path(spark, "captures"), _frames(spark, sf_dir)
+    for part in range(3):
+        share = frames.filter(F.col("num") % 3 == part).repartitionByRange(1, "num").sortWithinPartitions("num")
+        write_captures(share, f"{base}/{part}")
+    found = read_captures(spark, f"{base}/*/*.pcap", span=1 << 16)
+    return found.select(F.regexp_extract("capture", r"/(\d)/[^/]*$", 1).cast("int").alias("part"), F.col("num").alias("record"),
+                        F.round(F.col("ts") * 1_000_000).cast("long").alias("ts_us"),
+                        F.octet_length("frame").alias("length"), F.md5("frame").alias("digest"))
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = add_locations(_flows(spark, sf_dir), geo_ranges(spark, NESTED_RANGES))
+    return found.select("flow_start", "srcip", "dstip", F.col("srclocation.lat").alias("src_lat"),
+                        F.col("dstlocation.lat").alias("dst_lat"))
+
+
+def _committed(spark: SparkSession, sf_dir: str) -> tuple[Store, DataFrame]:
+    """Wire messages in four batches, each stored in one commit; the third is killed between its sinks and comes again."""
+    store, messages = Store(spark, new_path(spark, "store")), _wire(spark, sf_dir)
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("duration") % 86_400_000_000 * 2)
+    for batch in range(4):
+        share = messages.filter(F.pmod(F.xxhash64("value"), F.lit(4)) == batch).persist()
+        if batch == 2:
+            store.stage(day_of(detect.score_messages(share, rule_predict(), geo_ranges(spark), at)), "scored", batch, ["day"])
+        detect.commit_batch(store, share, rule_predict(), geo_ranges(spark), batch, at)
+        share.unpersist()
+    return store, messages
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, messages = _committed(spark, sf_dir)
+    again = messages.filter(F.pmod(F.xxhash64("value"), F.lit(4)) == 1)
+    detect.commit_batch(store, again, rule_predict(), geo_ranges(spark), 1, F.current_timestamp())  # committed before
+    for upto in (1, 2):
+        store.compact(upto, {"scored": ["day"]}, {"scored": ["day", "timestamp"]})
+    return store.read("scored").select(*KEY_FIELDS, "duration", "predict", F.to_date("timestamp").cast("string").alias("day"))
+
+
+def _composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overview from what four batches stored of their flows."""
+    store, scored = Store(spark, new_path(spark, "panels")), _scored(spark, sf_dir).persist()
+    for batch in range(4):
+        share = scored.filter(F.pmod(F.xxhash64("flow_start"), F.lit(4)) == batch)
+        store.commit(batch, {"panels": store.stage(dashboards.panel_partials(share).coalesce(1), "panels", batch)})
+    scored.unpersist()
+    return dashboards.composed(store.read("panels")).select(
+        "panel", "term", F.unix_seconds("bucket").alias("bucket"), *_r6("value", "second", "lat", "lon"))
+
+
+AUTO_SPAN_S = 900
+
+
+def _auto_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long span and a short one, each with its own length of bucket."""
+    scored = _scored(spark, sf_dir).persist()
+    begin = scored.agg(F.min("timestamp").alias("first")).scalar()
+    short = scored.filter(F.col("timestamp") < begin + F.expr(f"interval {AUTO_SPAN_S} seconds"))
+    both = [dashboards.auto_series(rows).withColumn("span", F.lit(name)) for name, rows in (("all", scored), ("short", short))]
+    return both[0].unionByName(both[1]).select("span", "step", _bucket(), "attacks", "normal", "rx_bytes", "tx_bytes")
+
+
+def _model_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream whose model is replaced by one that learned the opposite, between two of its batches."""
+    base, alert = new_path(spark, "switch"), (F.col("proto") == 6) & (F.col("dscp") == 0)
+    flows = _flows(spark, sf_dir).persist()
+    held = versions.Models(spark, f"{base}/models")
+    for number, wrong in ((1, alert), (2, ~alert)):
+        held.publish(models.train(flows.withColumn("class", F.when(wrong, "1").otherwise("0")), features=SIMPLE_FEATURES, k=2))
+        encode_wire(flows.filter(F.col("flow_start") % 2 == number - 1), "live").select("value").repartition(2).write.mode(
+            "append").text(f"{base}/in")
+        messages = detect.read_flow_stream(spark, "text", {"maxFilesPerTrigger": "1"}, f"{base}/in")
+        detect.run_versioned(messages, held, "switch", geo_ranges(spark), f"{base}/store", f"{base}/state", interval=None,
+                             features=SIMPLE_FEATURES).awaitTermination()
+    flows.unpersist()
+    return Store(spark, f"{base}/store").read("scored").groupBy("model_version", "predict").agg(
+        F.count(F.lit(1)).alias("flows"), F.sum("duration").alias("duration"))
+
+
 LATENESS = "10 minutes"
+#: Packets come up to this long after their time, and the stream ends with a packet this long after the others.
+DELAY_US, CLOSING_US = 540_000_000, 605_000_000
+STREAM_BATCHES, BATCH_FILES = 6, 3
 
 
 def _packet_stream(spark: SparkSession, sf_dir: str, base: str) -> DataFrame:
-    """The packets in four files, streamed by age, so in arrival order."""
+    """The packets as they might come: each delayed by up to nine minutes, so out of order, in batches of several files
+    whose rows are shuffled. A packet of another host comes last, so that the watermark passes them all."""
     rows = _packets(spark, sf_dir)
-    step = rows.agg(F.max("num")).head()[0] // 4 + 1
-    for part in range(4):
-        rows.filter(F.col("num").between(part * step, (part + 1) * step - 1)).coalesce(1).write.mode("append").parquet(
-            f"{base}/in")
-    return spark.readStream.schema(PACKET_SCHEMA).option("maxFilesPerTrigger", "1").parquet(f"{base}/in")
+    delay = F.pmod(F.xxhash64("num", F.lit("delay")), F.lit(DELAY_US))
+    delayed = rows.withColumn("arrival", F.col("ts_us") + delay).persist()
+    first, last, end = delayed.agg(F.min("arrival"), F.max("arrival"), F.max("ts_us")).head()
+    step = (last - first) // STREAM_BATCHES + 1
+    for part in range(STREAM_BATCHES):
+        share = delayed.filter(F.call_function("div", F.col("arrival") - first, F.lit(step)) == part).drop("arrival")
+        share.repartition(BATCH_FILES).write.mode("append").parquet(f"{base}/in")
+    closing = rows.limit(1).withColumns({
+        "num": F.lit(-1).cast("bigint"), "ts_us": F.lit(end + CLOSING_US), "srcip": F.lit("192.0.2.1"), "dstip": F.lit("192.0.2.2")})
+    closing.write.mode("append").parquet(f"{base}/in")
+    delayed.unpersist()
+    return spark.readStream.schema(PACKET_SCHEMA).option("maxFilesPerTrigger", str(BATCH_FILES)).parquet(f"{base}/in")
 
 
 def _stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = new_path(spark, "meter")
     meter.run_meter(_packet_stream(spark, sf_dir, base), f"{base}/out", f"{base}/state", interval=None,
                     lateness=LATENESS).awaitTermination()
-    return _listed(features.flow_statistics(spark.read.parquet(f"{base}/out")))
+    return _listed(features.flow_statistics(spark.read.parquet(f"{base}/out").drop("batch")))
 
 
 def _stream_ended(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,6 +477,24 @@ def _stream_ended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(spark.read.parquet(f"{base}/out"))
 
 
+def _stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every packet with whether it came too late: some of the first half come after all others."""
+    base = new_path(spark, "late")
+    rows = _packets(spark, sf_dir).withColumn("at", F.timestamp_micros("ts_us")).persist()
+    first, last = rows.agg(F.min("ts_us"), F.max("ts_us")).head()
+    behind = (F.col("num") % 50 == 7) & (F.col("ts_us") < first + (last - first) // 2)
+    for part in range(4):
+        begin, end = (first + (last - first + 1) * p // 4 for p in (part, part + 1))
+        rows.filter(~behind & (F.col("ts_us") >= begin) & (F.col("ts_us") < end)).repartition(BATCH_FILES).write.mode(
+            "append").parquet(f"{base}/in")
+    rows.filter(behind).repartition(BATCH_FILES).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", str(BATCH_FILES)).parquet(f"{base}/in")
+    rows.unpersist()
+    late.run_sorter(stream, "at", f"{base}/kept", f"{base}/late", f"{base}/state", LATENESS, interval=None).awaitTermination()
+    return spark.read.parquet(f"{base}/kept").withColumn("late", F.lit(0)).unionByName(
+        spark.read.parquet(f"{base}/late").withColumn("late", F.lit(1))).select("num", "ts_us", "len", "late")
+
+
 def _stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished buckets of a stream in time order; some flows of its first half come after all others, too late."""
     base = new_path(spark, "counts")
@@ -419,6 +559,7 @@ def queries() -> dict[str, Query]:
         "wire_roundtrip": lambda s, p: decode_wire(_wire(s, p)).select(*WIRE_FIELDS),
         "flows_written": _flow_files,
         "relay_lines": _relay,
+        "relay_growing": _relay_growing,
         "labels_binary": lambda s, p: s.read.parquet(f"{p}/labels.parquet").select(
             "doc_id", prepare.binary_label(F.col("quality").cast("string")).alias("label")),
         "split_key": lambda s, p: _cells(prepare.split_key(_flows(s, p)), [*KEY_FIELDS, "flow_start"], F.col("features")),
@@ -445,6 +586,12 @@ def queries() -> dict[str, Query]:
             select.feature_weights(_lines(s, p), LINE_FEATURES), 3).select(
                 "idx", *_scaled("weight")),
         "geo_enrich": _geo,
+        "geo_nested": _nested,
+        "capture_frames": _captured,
+        "scored_manifest": _manifest,
+        "dash_composed": _composed,
+        "dash_auto_series": _auto_series,
+        "stream_model_switch": _model_switch,
         "scored_flows": lambda s, p: _document(_scored(s, p)),
         "scored_written": _stored,
         "confusion_matrix": lambda s, p: evaluate.confusion_matrix(_predictions(s, p)),
@@ -473,6 +620,7 @@ def queries() -> dict[str, Query]:
         "stream_score": _stream_score,
         "stream_flows": _stream_flows,
         "stream_flows_ended": _stream_ended,
+        "stream_late_rows": _stream_late,
         "stream_windowed_counts": _stream_counts,
     }
     return q

@@ -33,6 +33,8 @@ def build_session(app: str = "flowloom", master: str | None = None, **extra: str
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the runtime options that results depend on in a session made elsewhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # stateful processors need it
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
     return spark
 
 

@@ -19,6 +19,20 @@ GEO_RANGES = [
     ("10.9.0.0", "10.9.255.255", 0.0, 0.0),
 ]
 
+# Ranges within ranges, some that cross, two of one size, and one whose ends are the wrong way round.
+NESTED_RANGES = [
+    ("10.0.0.0", "10.255.255.255", 1.0, 1.0),
+    ("10.0.0.0", "10.0.255.255", 2.0, 2.0),
+    ("10.0.1.0", "10.0.1.255", 3.0, 3.0),
+    ("10.0.1.16", "10.0.1.23", 4.0, 4.0),
+    ("10.0.1.20", "10.0.1.27", 5.0, 5.0),
+    ("10.0.1.5", "10.0.1.5", 6.0, 6.0),
+    ("10.0.2.0", "10.0.3.20", 7.0, 7.0),
+    ("10.1.0.0", "10.1.0.31", 8.0, 8.0),
+    ("10.1.0.8", "10.1.0.23", 9.0, 9.0),
+    ("10.1.0.40", "10.1.0.32", 10.0, 10.0),
+]
+
 
 def packets_from_events(spark: SparkSession, sf_dir: str, many_keys: bool = False) -> DataFrame:
     """Each event becomes a burst of one to six packets between a client and a server.
@@ -61,7 +75,7 @@ def _address_value(ip: str) -> int:
     return value
 
 
-def geo_ranges(spark: SparkSession) -> DataFrame:
+def geo_ranges(spark: SparkSession, ranges: list[tuple] = GEO_RANGES) -> DataFrame:
     """The small range table as a DataFrame."""
-    rows = [(_address_value(a), _address_value(b), lat, lon) for a, b, lat, lon in GEO_RANGES]
+    rows = [(_address_value(a), _address_value(b), lat, lon) for a, b, lat, lon in ranges]
     return spark.createDataFrame(rows, GEO_SCHEMA)

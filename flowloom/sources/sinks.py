@@ -1,4 +1,4 @@
-"""Sinks: scored documents, evaluation results, console."""
+"""Sinks: scored documents, evaluation results, console. ``commits`` has those that appear together."""
 
 from __future__ import annotations
 
@@ -45,12 +45,6 @@ def read_scored(spark: SparkSession, path: str, since: str | None = None, until:
     return stored.drop("batch", "day")
 
 
-def compact_scored(spark: SparkSession, path: str, target: str, batches: int) -> None:
-    """Copy the batches below ``batches``, which no restart replays any more, to a table by day with few files."""
-    done = spark.read.parquet(path).filter(F.col("batch") < batches).drop("batch")
-    done.repartition("day").write.partitionBy("day").mode("overwrite").parquet(target)
-
-
 def write_blocklist(scored: DataFrame, path: str, batch_id: int) -> None:
     """Pairs to block, one directory per batch; replaying a batch rewrites its own directory."""
     blocklist(scored).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")

@@ -1,25 +1,26 @@
-"""Flow metering on a packet stream."""
+"""Flow metering on a packet stream, whatever order its packets come in."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from decimal import Decimal
 
-import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from flowloom.functions import folds, tracking
+from flowloom.functions import folds, tracking, waiting
 from flowloom.operators.features import capture_windows, finish_flows, flow_records, sum_flows
-from flowloom.operators.packets import FLAG_BITS, KEY, TCP, canonical
+from flowloom.operators.packets import KEY, canonical
 from flowloom.operators.segment import FLOW_TIMEOUT, IDLE_THRESHOLD, symbol
+from flowloom.streaming import late, ordered
 
 register_pickle_by_value(folds)
 register_pickle_by_value(tracking)
+register_pickle_by_value(waiting)
+register_pickle_by_value(ordered)
+register_pickle_by_value(late)
 
 
 def _start(writer, interval: str | None) -> StreamingQuery:
@@ -34,7 +35,11 @@ def meter_batches(packets: DataFrame, sink: Callable[[DataFrame, int], None], ch
     recomputed from its packets, so a replayed batch gives the same flows.
     """
     def meter(batch: DataFrame, batch_id: int) -> None:
-        sink(flow_records(batch, policy=policy), batch_id)
+        batch.persist()  # hot keys are counted before the packets are metered
+        try:
+            sink(flow_records(batch, policy=policy), batch_id)
+        finally:
+            batch.unpersist()
 
     return _start(packets.writeStream.foreachBatch(meter).option("checkpointLocation", checkpoint), interval)
 
@@ -46,140 +51,82 @@ def meter_windows(packets: DataFrame, seconds: int = 2, policy: str = "all") ->
                         hot_rows=None).withColumn("window_start_us", F.col("capture_window") * seconds * 1_000_000)
 
 
-def _numbered(schema: T.StructType) -> dict[str, str]:
-    """Pandas kinds that keep whole numbers and booleans beside NULLs."""
-    kinds = {f.name: "Int64" for f in schema
-             if isinstance(f.dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))}
-    return kinds | {f.name: "boolean" for f in schema if isinstance(f.dataType, T.BooleanType)}
-
-
 def _labelled_schema(fields: list) -> T.StructType:
     return T.StructType(fields + [T.StructField(n, T.StructType.fromDDL(f"x {t}")[0].dataType)
                                   for n, _, t in folds.LABELS])
 
 
-def _keyed(packets: DataFrame, lateness: str) -> DataFrame:
-    return (canonical(packets).withColumn("symbol", symbol()).drop("srcip", "srcport", "dstip", "dstport")
-            .withColumn("chunk", F.lit(0).cast("bigint"))
-            .withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", lateness))
+def _metered(packets: DataFrame, make: Callable[[list], tuple[T.StructType, type]], lateness: str, timeout: int, idle: int,
+             skew: int, width: int) -> DataFrame:
+    if width < skew:
+        raise ValueError("a slice must be at least as long as a clock may run back")
+    keyed = (canonical(packets).withColumn("symbol", symbol()).drop("srcip", "srcport", "dstip", "dstport")
+             .withColumn("chunk", F.lit(0).cast("bigint"))
+             .withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", lateness))
+    fields = [f for f in keyed.schema.fields if f.name != "event_time"]
+    out, kind = make(fields)
+    # an expired flow and a late packet have few values
+    out = T.StructType([T.StructField(f.name, f.dataType) for f in out])
+    meter = kind(KEY, T.StructType(fields), out, timeout, idle, skew, width)
+    # without the watermark's column the operator sees late rows too
+    return keyed.select(*[f.name for f in fields]).groupBy(*KEY).transformWithStateInPandas(
+        meter, T.StructType([*out, T.StructField("late", T.StringType())]), "append", "EventTime")
 
 
-def _wake(state, last_us: int, timeout: int) -> None:
-    """Call again once the watermark says that the flow has been silent for too long."""
-    state.setTimeoutTimestamp(max(last_us // 1000 + timeout // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+def segment_stream(packets: DataFrame, timeout: int = FLOW_TIMEOUT, idle: int = IDLE_THRESHOLD,
+                   lateness: str = "10 minutes", skew: int = ordered.SKEW, width: int = ordered.WIDTH) -> DataFrame:
+    """``segment`` on a stream: packets may come in any order within ``lateness`` and are taken by their numbers.
 
+    A packet waits in the state until the watermark says that no earlier one of its key can come; a clock may run back
+    by ``skew`` microseconds. A key that has been silent for longer than the timeout leaves the state, after a row that
+    says its flow expired. A packet that comes too late is a row of its own, with the packet as JSON in ``late``.
+    """
+    return _metered(packets, lambda fields: (_labelled_schema(fields), ordered.Segmenter), lateness, timeout, idle, skew, width)
 
-def segment_stream(packets: DataFrame, timeout: int = FLOW_TIMEOUT, idle: int = IDLE_THRESHOLD,
-                   lateness: str = "10 minutes") -> DataFrame:
-    """``segment`` on a stream: flows go on across batches, with one small state per key.
 
-    Packets of a batch are taken in arrival order.  A key that has been silent for longer than the timeout
-    (by the watermark) leaves the state, after a row that says its flow expired.
+def flow_stream(packets: DataFrame, timeout: int = FLOW_TIMEOUT, idle: int = IDLE_THRESHOLD,
+                lateness: str = "10 minutes", skew: int = ordered.SKEW, width: int = ordered.WIDTH) -> DataFrame:
+    """Flow records of a packet stream, and late packets: each flow leaves when it closes or times out.
+
+    Packets wait as in ``segment_stream``. The state of a key is its waiting packets, its machine and the sums of its open
+    flow, a few hundred numbers however long the flow is. A flow that only silence ends leaves once the watermark is past
+    its timeout. ``late`` is NULL for flows, and the packet as JSON for rows that stand for a late packet.
     """
-    keyed = _keyed(packets, lateness)
-    kept = [f for f in keyed.schema.fields if f.name != "event_time"]
-    names = [f.name for f in kept]
-    out = _labelled_schema(kept)
-    added = [n for n, _, _ in folds.LABELS]
-    nullable = _numbered(out)
-
-    def frame(rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[*names, *added], dtype=object).astype(nullable)
-
-    def update(key, batches, state):
-        track = (tracking.Track.from_row(folds.json.loads(state.get[0]), timeout, idle) if state.exists
-                 else tracking.Track(timeout, idle))
-        if state.hasTimedOut:
-            state.remove()
-            if track.pairs is not None:
-                named = dict(zip(KEY, key))
-                yield frame([[named.get(n) for n in names] + list(folds.ended(track.start, track.front))])
-            return
-        batch = pd.concat(list(batches)).sort_values("num")
-        columns = [batch[n].tolist() for n in names]
-        at = {n: columns[names.index(n)] for n in ("num", "ts_us", "side", "symbol", "len")}
-        rows = []
-        for i in range(len(batch)):
-            for label in folds.advance(track, at["num"][i], at["ts_us"][i], at["side"][i], at["symbol"][i],
-                                       at["len"][i]):
-                rows.append([column[i] for column in columns] + list(label))
-        state.update((folds.json.dumps(track.to_row()),))
-        _wake(state, track.last, timeout)
-        if rows:
-            yield frame(rows)
-
-    return keyed.groupBy(*KEY).applyInPandasWithState(
-        update, out, "track string", "append", GroupStateTimeout.EventTimeTimeout)
+    nothing = packets.sparkSession
 
+    def make(fields: list) -> tuple[T.StructType, type]:
+        rows = nothing.createDataFrame([], _labelled_schema(fields))
+        return sum_flows(rows, idle=idle).schema, ordered.FlowSummer
 
-def run_meter(packets: DataFrame, path: str, checkpoint: str, interval: str | None = "2 seconds",
-              lateness: str = "10 minutes", **limits) -> StreamingQuery:
-    """Store segmented packets as they come; ``flow_statistics`` over the stored table gives the flows."""
-    writer = (segment_stream(packets, lateness=lateness, **limits).writeStream.format("parquet")
-              .option("path", path).option("checkpointLocation", checkpoint))
-    return _start(writer, interval)
+    sums = _metered(packets, make, lateness, timeout, idle, skew, width)
+    return finish_flows(sums, ["late"])
 
 
-def flow_stream(packets: DataFrame, timeout: int = FLOW_TIMEOUT, idle: int = IDLE_THRESHOLD,
-                lateness: str = "10 minutes") -> DataFrame:
-    """Flow records of a packet stream: each flow leaves when it closes or times out.
+def _store(stream: DataFrame, path: str, checkpoint: str, interval: str | None, rejects: str | None) -> StreamingQuery:
+    """Store a metered stream in a folder for each batch; a replay rewrites its own."""
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            batch.where("late is null").drop("late").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            if rejects:
+                batch.where("late is not null").select(F.col("late").alias("packet")).write.mode("overwrite").parquet(
+                    f"{rejects}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return _start(stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint), interval)
+
+
+def run_meter(packets: DataFrame, path: str, checkpoint: str, interval: str | None = "2 seconds",
+              lateness: str = "10 minutes", rejects: str | None = None, **limits) -> StreamingQuery:
+    """Store segmented packets as their turn comes; ``flow_statistics`` over the stored table gives the flows.
 
-    The state of a key is its machine and the sums of its open flow, a few hundred numbers however long the flow
-    is.  A flow that only silence ends leaves once the watermark is past its timeout.
+    Packets that come too late are stored under ``rejects``.
     """
-    keyed = _keyed(packets, lateness)
-    kept = [f for f in keyed.schema.fields if f.name != "event_time"]
-    nothing = packets.sparkSession.createDataFrame([], _labelled_schema(kept))
-    out = sum_flows(nothing, idle=idle).schema
-    names, nullable = [f.name for f in kept], _numbered(out)
-    wide = [f.name for f in out if isinstance(f.dataType, T.DecimalType)]
-    psh, urg = FLAG_BITS["psh"], FLAG_BITS["urg"]
-
-    def frame(key: tuple, done: list[folds.FlowSums]) -> pd.DataFrame:
-        named = dict(zip(KEY, key))
-        rows = [named | flow.values | {n: Decimal(flow.values[n]) for n in wide} for flow in done]
-        return pd.DataFrame(rows, columns=out.names, dtype=object).astype(nullable)
-
-    def update(key, batches, state):
-        track, flow = tracking.Track(timeout, idle), None
-        if state.exists:
-            held, sums = folds.json.loads(state.get[0])
-            track = tracking.Track.from_row(held, timeout, idle)
-            flow = None if sums is None else folds.FlowSums(sums)
-        if state.hasTimedOut:
-            state.remove()
-            if flow is not None:
-                flow.values["expired"] = True
-                yield frame(key, [flow])
-            return
-        done = []
-        for packet in pd.concat(list(batches))[names].sort_values("num").to_dict("records"):
-            for label in folds.advance(track, packet["num"], packet["ts_us"], packet["side"], packet["symbol"],
-                                       packet["len"]):
-                if label[8]:
-                    flow.values["expired"] = True
-                    done.append(flow)
-                    flow = None
-                    continue
-                if flow is None:
-                    flow = folds.FlowSums.opened(label[0], label[1])
-                flow.add(packet, label, idle, TCP, psh, urg)
-                if label[7]:
-                    done.append(flow)
-                    flow = None
-        state.update((folds.json.dumps([track.to_row(), None if flow is None else flow.values]),))
-        _wake(state, track.last, timeout)
-        if done:
-            yield frame(key, done)
-
-    sums = keyed.groupBy(*KEY).applyInPandasWithState(
-        update, out, "state string", "append", GroupStateTimeout.EventTimeTimeout)
-    return finish_flows(sums)
+    return _store(segment_stream(packets, lateness=lateness, **limits), path, checkpoint, interval, rejects)
 
 
 def run_flow_meter(packets: DataFrame, path: str, checkpoint: str, interval: str | None = "2 seconds",
-                   lateness: str = "10 minutes", **limits) -> StreamingQuery:
-    """Store the flows of a packet stream as they end."""
-    writer = (flow_stream(packets, lateness=lateness, **limits).writeStream.format("parquet")
-              .option("path", path).option("checkpointLocation", checkpoint))
-    return _start(writer, interval)
+                   lateness: str = "10 minutes", rejects: str | None = None, **limits) -> StreamingQuery:
+    """Store the flows of a packet stream as they end, and packets that come too late under ``rejects``."""
+    return _store(flow_stream(packets, lateness=lateness, **limits), path, checkpoint, interval, rejects)

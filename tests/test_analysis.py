@@ -4,13 +4,13 @@ import pytest
 
 from flowloom.functions.columns import ip_to_long
 from flowloom.operators import dashboards, evaluate, prepare, select
-from flowloom.operators.geo import locate
+from flowloom.operators.geo import locate, unusable_ranges
 from flowloom.plans import model as models
 from flowloom.plans.scoring import document_time
 from flowloom.schema import GEO_SCHEMA, MODEL_FIELDS, WIRE_FIELDS
 from flowloom.sources.flows import (decode_wire, encode_wire, read_feature_dictionary, read_flows, wire_rejects,
                                     write_flows)
-from flowloom.sources.sinks import compact_scored, read_scored, write_metrics, write_scored
+from flowloom.sources.sinks import read_scored, write_metrics, write_scored
 from pyspark.sql import functions as F
 
 
@@ -120,11 +120,19 @@ def test_every_message_is_accepted_or_rejected(spark, labelled_flows):
     assert rejected.count() == len(odd) + 1 and rejected.filter("reason is null").count() == 0
 
 
-def test_overlapping_ranges_are_refused(spark):
-    table = spark.createDataFrame([("0.0.0.7",)], "ip string")
-    ranges = spark.createDataFrame([(5, 9, 1.0, 1.0), (7, 70_000, 2.0, 2.0)], GEO_SCHEMA)
-    with pytest.raises(ValueError, match="overlap"):
-        locate(table, ranges, "ip", "at")
+def test_the_narrowest_range_counts(spark):
+    r = random.Random(11)
+    ranges = [(a, min(a + r.choice([0, 3, 40, 700, 70_000, 200_000]), 400_000), float(i), 0.0)
+              for i, a in enumerate(r.randrange(0, 400_000) for _ in range(150))]
+    broken = [(9, 3, 1.0, 1.0), (None, 5, 1.0, 1.0), (7, 8, None, 1.0)]
+    points = sorted({p for a, b, _, _ in ranges for p in (a - 1, a, b, b + 1) if 0 <= p <= 400_000})
+    table = spark.createDataFrame([(".".join(str(p >> s & 255) for s in (24, 16, 8, 0)), p) for p in points],
+                                  "ip string, value bigint")
+    given = spark.createDataFrame(ranges + broken, GEO_SCHEMA)
+    for row in locate(table, given, "ip", "at").collect():
+        inside = [(b - a, -a, lat) for a, b, lat, _ in ranges if a <= row.value <= b]
+        assert row["at"].lat == (min(inside)[2] if inside else 48.0)
+    assert sorted(x.reason for x in unusable_ranges(given).collect()) == ["no address", "no location", "reversed"]
 
 
 def test_stored_range_prunes_days(spark, tmp_path):
@@ -138,11 +146,9 @@ def test_stored_range_prunes_days(spark, tmp_path):
     assert part.count() == 19
     plan = part._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan
-    panels = dashboards.dashboard(part)
-    assert set(panels) == {"dst_ip", "threats_detected", "dst_port", "destinations", "sources", "packet_series"}
-    assert panels["threats_detected"].head()[0] == 19 and all(p.count() for p in panels.values())
-    compact_scored(spark, str(tmp_path / "s"), str(tmp_path / "days"), 4)
-    assert spark.read.parquet(str(tmp_path / "days")).count() == 98
+    panels = dashboards.composed(dashboards.panel_partials(part)).collect()
+    assert {r.panel for r in panels} == set(dashboards.PANELS)
+    assert [r.value for r in panels if r.panel == "threats"] == [19.0]
 
 
 def test_replayed_batch_is_stored_once(spark, tmp_path):

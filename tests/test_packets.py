@@ -110,3 +110,17 @@ def test_anchored_windows_without_silence(spark):
     table = spark.createDataFrame(rows, "num bigint, ts_us bigint")
     placed = anchored_windows(table, [], 50, scan_span=64, block_windows=4)
     assert {x.num: x.window_start for x in placed.collect()} == _chain(rows, 50)
+
+
+def test_anchored_windows_of_many_blocks(spark):
+    """Thousands of blocks, some of them empty, found in a dozen rounds of doubling."""
+    import random
+    r = random.Random(3)
+    ts, rows = 0, []
+    for num in range(9000):
+        ts += r.choice([1, 20, 45, 60, 900 if r.random() < 0.05 else 7])
+        rows.append((num, ts))
+    assert ts // 50 > 1 << 12
+    table = spark.createDataFrame(rows, "num bigint, ts_us bigint")
+    placed = anchored_windows(table, [], 50, scan_span=512, block_windows=1)
+    assert {x.num: x.window_start for x in placed.collect()} == _chain(rows, 50)

@@ -1,12 +1,20 @@
+import io
+import json
+import random
+
 from conftest import SF
+from pyspark.sql import functions as F
 
+from flowloom.functions.waiting import due_ms, released
 from flowloom.operators.features import flow_records, flow_statistics
 from flowloom.plans.registry import queries
 from flowloom.schema import PACKET_SCHEMA
 from flowloom.sources.fixtures import packets_from_events
 from flowloom.sources.flows import write_flows
-from flowloom.streaming.meter import meter_batches, run_meter
-from helpers import frame_of, udp
+from flowloom.sources.growing import lines_between, read_growing, whole_lines_end
+from flowloom.streaming.late import run_sorter
+from flowloom.streaming.meter import meter_batches, run_flow_meter, run_meter
+from helpers import ACK, FINACK, frame_of, handshake, tcp, udp
 
 
 def test_streamed_flows_equal_batch(spark):
@@ -18,18 +26,74 @@ def test_streamed_flows_equal_batch(spark):
     assert "closed" in ended
 
 
-def test_silent_keys_leave_the_state(spark, tmp_path):
-    parts = [[udp(1, 1_000_000)], [udp(2, 2_000_000_000, ends=(("10.9.9.9", 1), ("10.9.9.8", 2)))],
-             [udp(3, 4_000_000_000, ends=(("10.9.9.9", 1), ("10.9.9.8", 2)))]]
+OTHER = (("10.9.9.9", 1), ("10.9.9.8", 2))
+
+
+def streamed(spark, tmp_path, parts):
     for part in parts:
         frame_of(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(PACKET_SCHEMA).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+    return spark.readStream.schema(PACKET_SCHEMA).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+
+
+def test_silent_keys_leave_the_state(spark, tmp_path):
+    stream = streamed(spark, tmp_path, [
+        [udp(1, 1_000_000)], [udp(2, 2_000_000_000, ends=OTHER)], [udp(3, 4_000_000_000, ends=OTHER)], [udp(4, 4_100_000_000)]])
     run_meter(stream, str(tmp_path / "out"), str(tmp_path / "state"), interval=None, lateness="1 second").awaitTermination()
-    rows = flow_statistics(spark.read.parquet(str(tmp_path / "out"))).orderBy("flow_start").collect()
+    rows = flow_statistics(spark.read.parquet(str(tmp_path / "out")).drop("batch")).orderBy("flow_start").collect()
     assert [(r.srcip, r.status) for r in rows] == [
         ("10.0.0.1", "timed_out"), ("10.9.9.9", "timed_out"), ("10.9.9.9", "open")]
 
 
+def test_packets_are_taken_by_number_and_late_ones_are_kept_apart(spark, tmp_path):
+    """A handshake in four batches that come backwards; a reply of the same key comes after the watermark has passed."""
+    shake = handshake(at=50_000_000) + [tcp(5, 50_000_050, "s", FINACK), tcp(6, 50_000_060, "c", FINACK), tcp(7, 50_000_070, "s", ACK)]
+    parts = [[p] for p in reversed(shake)] + [[udp(20, 200_000_000, ends=OTHER)], [tcp(8, 50_000_080, "s", ACK)],
+                                              [udp(21, 201_000_000, ends=OTHER)]]
+    for name, run in (("packets", run_meter), ("flows", run_flow_meter)):
+        stream = streamed(spark, tmp_path / name, parts)
+        run(stream, str(tmp_path / name / "out"), str(tmp_path / name / "state"), interval=None, lateness="1 minute",
+            rejects=str(tmp_path / name / "late")).awaitTermination()
+        late = spark.read.parquet(str(tmp_path / name / "late")).collect()
+        assert [json.loads(r.packet)["num"] for r in late] == [8]
+    rows = spark.read.parquet(str(tmp_path / "packets" / "out")).where("not expires").orderBy("num").collect()
+    assert [r.num for r in rows] == [p[0] for p in shake]
+    want = flow_records(frame_of(spark, shake)).collect()
+    assert spark.read.parquet(str(tmp_path / "flows" / "out")).drop("batch").select(*want[0].asDict()).collect() == want
+    assert want[0].status == "closed" and want[0].is_valid
+
+
+def test_waiting_slices_give_the_order_of_numbers():
+    rng = random.Random(5)
+    packets = [{"num": n, "ts_us": 1000 * n + rng.randrange(-2000, 2000)} for n in range(300)]
+    width = skew = 5000
+    slices = {}
+    for p in rng.sample(packets, len(packets)):
+        slices.setdefault(p["ts_us"] // width, []).append(p)
+    out, mark, left = [], 100, {}
+    for mark in (100, 101, 180, 320):
+        ready = {n for n in slices if due_ms(n, width, skew) <= mark}
+        for taken, left in released(list(slices), ready, slices.pop, width):
+            out += taken
+            assert sum(map(len, left.values())) <= 12
+        slices.update({n: p for n, p in left.items() if p})
+        left = {}
+    assert [p["num"] for p in out] == list(range(300))
+
+
+def test_rows_without_a_time_and_odd_names(spark, tmp_path):
+    rows = [(1, 5, "a"), (2, 100, "b"), (3, None, "c"), (4, 300, "d"), (5, 10, "e")]
+    for part in ([0, 1, 2], [3], [4]):
+        spark.createDataFrame([rows[i] for i in part], "`part` long, `_at` long, `odd name` string").withColumn(
+            "time", F.timestamp_seconds("_at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+    run_sorter(stream, "time", str(tmp_path / "kept"), str(tmp_path / "late"), str(tmp_path / "state"), "1 minute",
+               interval=None).awaitTermination()
+    kept, late = (spark.read.parquet(str(tmp_path / n)).drop("batch") for n in ("kept", "late"))
+    assert kept.columns == schema.names
+    assert sorted(r[0] for r in kept.collect()) == [1, 2, 3, 4] and [r[0] for r in late.collect()] == [5]
+
+
 def test_each_batch_is_a_capture(spark, tmp_path):
     packets = packets_from_events(spark, SF)
     packets.filter("num < 4000").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -39,3 +103,35 @@ def test_each_batch_is_a_capture(spark, tmp_path):
                   str(tmp_path / "state"), interval=None).awaitTermination()
     want = sum(flow_records(packets.filter(f), policy="open").count() for f in ("num < 4000", "num >= 4000"))
     assert spark.read.csv(str(tmp_path / "out/*")).count() == want
+
+
+def test_growing_files_are_read_once_by_whole_lines(spark, tmp_path):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+
+    def run():
+        stream = read_growing(spark, str(folder), partBytes="7")
+        stream.writeStream.format("text").option("path", str(out)).option("checkpointLocation", str(tmp_path / "state")).trigger(
+            availableNow=True).start().awaitTermination()
+        return sorted(r.value for r in spark.read.text(str(out)).collect())
+
+    first, second = folder / "a.log", folder / "b.log"
+    first.write_bytes(b"one\ntwo\r\n\nthree and a ha")
+    assert run() == ["", "one", "two"]
+    assert run() == ["", "one", "two"]
+    with first.open("ab") as file:
+        file.write(b"lf\nfour")
+    second.write_bytes("é\nfive\n".encode())
+    (folder / "_hidden").write_bytes(b"no\n")
+    assert run() == sorted(["", "one", "two", "three and a half", "é", "five"])
+    second.write_bytes(b"new\n")  # shorter than before: another file
+    assert run() == sorted(["", "one", "two", "three and a half", "é", "five", "new"])
+
+
+def test_stretches_of_a_file_share_its_lines():
+    data = b"".join(bytes([97 + i % 26]) * (i * 7 % 23) + b"\n" for i in range(200))
+    for length in (1, 5, 64, 1000):
+        found = [line for a in range(0, len(data), length)
+                 for line in lines_between(io.BytesIO(data), a, min(a + length, len(data)), len(data))]
+        assert found == data.split(b"\n")[:-1]
+    assert whole_lines_end(io.BytesIO(b"ab\ncd"), 5, 0) == 3 and whole_lines_end(io.BytesIO(b"abcd"), 4, 2) == 2
