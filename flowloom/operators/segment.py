@@ -1,7 +1,8 @@
 """Split each key's packets into flows.
 
-A packet's flow depends on all earlier packets of its key, so keys are the unit of work: one exchange on the
-key, one sort on arrival order, one pass in constant memory.  That alone would put a key holding a third of
+Datagrams take built-in running values (``datagrams``). A TCP packet's flow depends on all earlier packets of its key
+through the state machines, so keys are the unit of work: one exchange on the key, one sort on arrival order, one pass in
+constant memory.  That alone would put a key holding a third of
 the rows into one task.  Such hot keys are cut into chunks by arrival number instead:
 
 1. ``hot_keys`` counts the packets of each key once and finds those above ``HOT_ROWS``, a fixed number.
@@ -28,7 +29,9 @@ from pyspark.sql import types as T
 from flowloom.functions import folds, tracking
 from flowloom.functions.folds import LABELS, chain, go_through, label, summarise
 from flowloom.functions.tracking import HEAD_LIMIT, UDP_SYMBOL
-from flowloom.operators.packets import KEY, TCP, canonical
+from flowloom.operators.datagrams import label_datagrams
+from flowloom.operators.packets import KEY, TCP, UDP, canonical
+from flowloom.session import shared_folder
 
 # executors need no copy of the package: the task-side helpers travel with the job
 register_pickle_by_value(folds)
@@ -123,8 +126,8 @@ def _chunk_entries(hot: DataFrame, key: Sequence[str], timeout: int, idle: int,
 
 def segment(packets: DataFrame, within: Sequence[str] = (), timeout: int = FLOW_TIMEOUT,
             idle: int = IDLE_THRESHOLD, hot_rows: int | None = HOT_ROWS,
-            chunk_span: int = CHUNK_SPAN, head_limit: int = HEAD_LIMIT) -> DataFrame:
-    """Accepted packets with the flow they belong to.
+            chunk_span: int = CHUNK_SPAN, head_limit: int = HEAD_LIMIT, only: int | None = None) -> DataFrame:
+    """Accepted packets with the flow they belong to. ``only`` one protocol's packets, or all.
 
     ``within`` names extra grouping columns (a capture id, a capture window): flows never span them.
     Looking for hot keys runs a counting job over the packets; ``hot_rows=None`` skips it, for groups that are
@@ -136,17 +139,40 @@ def segment(packets: DataFrame, within: Sequence[str] = (), timeout: int = FLOW_
     ``burst_no``, ``client_ready``, ``closes``, and the minima so far.  A row with ``expires`` carries no packet: it says
     that its flow ended by timeout.
     """
+    shared_folder(packets.sparkSession)
     key = [*within, *KEY]
     # the key and the side give the endpoints back, so they needn't go through the exchange
     keyed = canonical(packets).withColumn("symbol", symbol()).drop("srcip", "srcport", "dstip", "dstport")
     hot = None if hot_rows is None else hot_keys(packets, within, hot_rows)
+    datagrams = _datagrams(keyed.filter(F.col("proto") != TCP), key, hot, timeout, idle, chunk_span)
+    if only == UDP:
+        return datagrams
+    streams = _streams(keyed.filter(F.col("proto") == TCP), key, hot, timeout, idle, chunk_span, head_limit)
+    return streams if only == TCP else streams.unionByName(datagrams)
+
+
+def _number(chunk_span: int) -> Column:
+    return F.call_function("div", F.col("num"), F.lit(chunk_span)).cast("bigint")
+
+
+def _datagrams(keyed: DataFrame, key: Sequence[str], hot: DataFrame | None, timeout: int, idle: int, chunk_span: int) -> DataFrame:
+    """All keys but the hot ones as one window each, the hot ones in stretches."""
+    whole = keyed.withColumn("chunk", F.lit(0).cast("bigint"))
+    if hot is None:
+        return label_datagrams(whole, key, timeout, idle)
+    cut = keyed.join(hot, key, "left_semi").withColumn("chunk", _number(chunk_span))
+    return label_datagrams(whole.join(hot, key, "left_anti"), key, timeout, idle).unionByName(
+        label_datagrams(cut, key, timeout, idle, cut=True))
+
+
+def _streams(keyed: DataFrame, key: Sequence[str], hot: DataFrame | None, timeout: int, idle: int, chunk_span: int,
+             head_limit: int) -> DataFrame:
     if hot is None:
         rows = keyed.withColumns({"chunk": F.lit(0).cast("bigint"), "entry": F.lit(None).cast(_ENTRY)})
     else:
-        number = F.call_function("div", F.col("num"), F.lit(chunk_span))
         marked = keyed.join(hot.withColumn("hot", F.lit(True)), key, "left").withColumn(
-            "chunk", F.when(F.col("hot"), number).otherwise(0).cast("bigint")).drop("hot")
-        cut = keyed.join(hot, key, "left_semi").withColumn("chunk", number.cast("bigint"))
+            "chunk", F.when(F.col("hot"), _number(chunk_span)).otherwise(0).cast("bigint")).drop("hot")
+        cut = keyed.join(hot, key, "left_semi").withColumn("chunk", _number(chunk_span))
         entries = _chunk_entries(cut, key, timeout, idle, head_limit).withColumn("num", F.lit(-1).cast("bigint"))
         rows = marked.unionByName(entries, allowMissingColumns=True).fillna(
             0, ["ts_us", "side", "symbol", "len"])

@@ -313,6 +313,7 @@ def oracle_sql() -> dict[str, str]:
         "short_frames": with_packets("""select num, 'short_ip_header' as reason from packets where num%10=3"""),
         "segment_packets": f"with recursive {PACKETS},{_segments('0')} select num, flow_start, dir, gap, iat, sub::bigint as burst_no, done::int as closes from a3",
         "flows_udp": with_flows(flows + " where proto=17"),
+        "flows_udp_hot": with_flows(flows + " where proto=17"),
         "flows_all": with_flows(flows),
         "flows_hot_keys": with_flows(flows),
         "flows_clock_jump": with_flows(flows).replace("select num, ts_us,", "select num, ts_us + case when num % 1688 = 800 then 3600000000 else 0 end as ts_us,", 1),

@@ -529,7 +529,8 @@ def queries() -> dict[str, Query]:
         "decode_encapsulated": _encapsulated,
         "short_frames": _short,
         "segment_packets": _segmented,
-        "flows_udp": lambda s, p: _listed(features.flow_records(_packets(s, p).filter("proto = 17"))),
+        "flows_udp": lambda s, p: _listed(features.flow_records(_packets(s, p), only=packets.UDP)),
+        "flows_udp_hot": lambda s, p: _listed(features.flow_records(_packets(s, p), only=packets.UDP, hot_rows=100, chunk_span=2000)),
         "flows_all": lambda s, p: _listed(_flows(s, p)),
         "flows_hot_keys": lambda s, p: _listed(features.flow_records(_packets(s, p), hot_rows=200, chunk_span=5000)),
         "flows_clock_jump": lambda s, p: _listed(features.flow_records(
