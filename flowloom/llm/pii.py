@@ -3,7 +3,8 @@
 Numbers that validate (card numbers, bank accounts, addresses of machines, telephone and social-security numbers),
 dates, mail addresses and secrets are replaced by others of the same format. A keyed Feistel network permutes all
 values of a format, so equal values get equal pseudonyms in every document, whatever their punctuation, and different
-values stay different; check digits are made anew, dates stay dates.
+values stay different; check digits are made anew, dates stay dates. Every function takes the key, which is the caller's
+secret.
 """
 
 from __future__ import annotations
@@ -13,26 +14,33 @@ from collections.abc import Callable
 from datetime import date
 from functools import lru_cache
 from hashlib import blake2b
+from ipaddress import IPv6Address
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-KEY = b"flowloom-demonstration-key"
 ROUNDS = 8
 MARGIN = 96
 _FIRST_DAY, _LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 _SENSITIVE = StructType([StructField("text", StringType()), StructField("n_replaced", LongType())])
 
 
+def checked_key(key: bytes) -> bytes:
+    """The key as the permutations take it. One is required; of a long key, a digest of all of it counts."""
+    if not key:
+        raise ValueError("a key is required: without one, pseudonyms could be undone by anybody")
+    return key if len(key) <= 64 else blake2b(key).digest()
+
+
 class Permutation:
     """A keyed permutation of the numbers below ``size``: Feistel rounds on a rectangle, walked until inside."""
 
     def __init__(self, key: bytes, kind: str, size: int):
         self.size, self.left = size, max(1, int(size ** 0.5) if size < 1 << 40 else 1 << (size.bit_length() // 2))
         self.right = -(-size // self.left)
-        self.base = blake2b(f"{kind}|{size}".encode(), key=key[:64], digest_size=16)
+        self.base = blake2b(f"{kind}|{size}".encode(), key=checked_key(key), digest_size=16)
         self.reach = max(self.left, self.right).bit_length() // 8 + 9
 
     def _value(self, turn: int, half: int) -> int:
@@ -129,22 +137,30 @@ def _card(key: bytes, found: str) -> str | None:
 
 def _card_spans(found: re.Match) -> list[tuple[int, int]]:
     """Where in a run of digit groups the card numbers lie: whole groups, the most digits first, none in another."""
-    groups = [m.span() for m in re.finditer(r"\d+", found[0])]
+    run = found[0]
+    groups = [m.span() for m in re.finditer(r"\d+", run)]
     fitting = []
     for i, (start, _) in enumerate(groups):
         size = 0
-        for low, stop in groups[i:]:
+        for low, stop in groups[i:i + 19]:
             size += stop - low
             if size > 19:
                 break
             if size >= 13:
                 fitting.append((-size, start, stop))
+    taken = [False] * len(groups)  # spans are whole groups, so those that overlap share one
+    number = {start: i for i, (start, _) in enumerate(groups)}
     spans: list[tuple[int, int]] = []
     for _, start, stop in sorted(fitting):
-        digits = re.sub(r"\D", "", found[0][start:stop])
-        if luhn_digit(digits[:-1]) == digits[-1] and digits.strip("0") and all(
-                stop <= low or high <= start for low, high in spans):
+        first = last = number[start]
+        while last + 1 < len(groups) and groups[last + 1][1] <= stop:
+            last += 1
+        if taken[first] or taken[last] or any(taken[first:last]):
+            continue
+        digits = re.sub(r"\D", "", run[start:stop])
+        if luhn_digit(digits[:-1]) == digits[-1] and digits.strip("0"):
             spans.append((start, stop))
+            taken[first:last + 1] = [True] * (last + 1 - first)
     return [(found.start() + start, found.start() + stop) for start, stop in sorted(spans)]
 
 
@@ -204,6 +220,39 @@ def _date(key: bytes, found: str) -> str | None:
     return None
 
 
+_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+
+
+def _written_date(key: bytes, found: str) -> str | None:
+    """A date with its month as an English word; the same permutation of days as dates in numbers."""
+    day, name, year = re.search(r"\d{1,2}(?!\d)", found), re.search(r"[A-Za-z]{3,}", found), re.search(r"\d{4}", found)
+    short = len(name[0]) == 3
+    month = next(i for i, m in enumerate(_MONTHS, 1) if m[:3].lower() == name[0][:3].lower())
+    try:
+        ordinal = date(int(year[0]), month, int(day[0])).toordinal()
+    except ValueError:
+        return None
+    if not _FIRST_DAY <= ordinal <= _LAST_DAY:
+        return None
+    moved = date.fromordinal(_FIRST_DAY + _permutation(key, "date", _LAST_DAY - _FIRST_DAY + 1)(ordinal - _FIRST_DAY))
+    word = _MONTHS[moved.month - 1][:3 if short else None]
+    word = word.upper() if name[0].isupper() else word
+    fresh = {day.span(): str(moved.day), name.span(): word, year.span(): f"{moved.year:04d}"}
+    out, at = [], 0
+    for low, high in sorted(fresh):
+        out += [found[at:low], fresh[low, high]]
+        at = high
+    return "".join([*out, found[at:]])
+
+
+def _machine_6(key: bytes, found: str) -> str | None:
+    try:
+        number = int(IPv6Address(found))
+    except ValueError:
+        return None
+    return str(IPv6Address(_permutation(key, "machine 6", 1 << 128)(number))) if number > 1 else None
+
+
 def _mail(key: bytes, found: str) -> str | None:
     name, _, place = found.rpartition("@")
     labels, _, top = place.rpartition(".")
@@ -220,23 +269,30 @@ def _secret(key: bytes, found: str) -> str | None:
 #: Kinds in the order in which they are tried at a place; each function says None where the value doesn't validate.
 KINDS: dict[str, tuple[str, Callable[[bytes, str], str | None]]] = {
     "mail": (r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,6}[A-Za-z]{2,24}", _mail),
-    "named": (r"(?i:(?<=password=)[^\s\"'<>,;]{4,}|(?<=token=)[^\s\"'<>,;]{4,}|(?<=api_key=)[^\s\"'<>,;]{4,}"
-              r"|(?<=secret=)[^\s\"'<>,;]{4,}|(?<=password = \")[^\s\"]{4,}|(?<=token = \")[^\s\"]{4,}"
-              r"|(?<=api_key = \")[^\s\"]{4,}|(?<=secret = \")[^\s\"]{4,})", _secret),
+    # after a colon, only what has a digit; after an equals sign, anything
+    "named": (r"(?i:(?<![A-Za-z0-9])(?:password|passwd|token|api[_-]?key|secret))[\"']?"
+              r"(?: ?= ?\"(?P<quoted>[^\s\"]{4,})|=(?P<plain>[^\s\"'<>,;]{4,})|: ?[\"']?(?P<listed>(?=[^\s\"'<>,;]*\d)[^\s\"'<>,;]{6,}))",
+              _secret),
     "access": (r"(?<=(?<![A-Za-z0-9])AKIA)[0-9A-Z]{16}(?![A-Za-z0-9])", _secret),
     "hexadecimal": (r"(?<![A-Za-z0-9])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,128}(?![A-Za-z0-9])", _secret),
     "account": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _account),
-    "machine": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", _machine),
+    "machine": (r"(?<![\w.])(?<!ection )(?<!hapter )(?<!ersion )(?<!§ )(?<!Nr\. )\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", _machine),
+    "machine 6": (r"(?<![\w:.])(?=[0-9A-Fa-f]{0,3}\d[0-9A-Fa-f]{0,3}:)[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){2,7}(?::(?!\w))?(?![\w:])"
+                  r"|(?<![\w:.])(?=[0-9A-Fa-f]{0,3}\d[0-9A-Fa-f]{0,3}:)[0-9A-Fa-f]{1,4}(?:(?::[0-9A-Fa-f]{1,4}){0,5}::)(?![\w:])", _machine_6),
+    "written date": (r"(?<!\w)(?:\d{1,2}(?:st|nd|rd|th|\.)? (?:%s) \d{4}|(?:%s) \d{1,2}(?:st|nd|rd|th)?, \d{4})(?!\w)"
+                     % ((_WORDS := "|".join(w for m in _MONTHS for w in (m, m.upper(), m[:3], m[:3].upper()))), _WORDS), _written_date),
     "date": (r"(?<![\w.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?:(?![\w-])|(?=T\d))", _date),
     "social": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _social),
     "card": (r"(?<![\w])\d(?:[ -]?\d){12,}(?![\w])", _card),
     "telephone": (r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)"
                   r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"
-                  r"|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])", _telephone),
+                  r"|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])"
+                  r"|(?<![\w+./-])0[1-9]\d{1,3}[ /-]\d{6,8}(?![\w-])", _telephone),
 }
-_HINT = re.compile(r"[0-9@]|(?i:password|token|api_key|secret) ?=")
+_HINT = re.compile(r"[0-9@]|(?i:password|passwd|token|api[_-]?key|secret)[\"']? ?[=:]")
 #: Kinds whose pattern finds a run that can hold several values, or values beside something else.
-_SPANS: dict[str, Callable[[re.Match], list[tuple[int, int]]]] = {"card": _card_spans}
+_SPANS: dict[str, Callable[[re.Match], list[tuple[int, int]]]] = {
+    "card": _card_spans, "named": lambda found: [found.span(found.lastgroup)]}
 _SEARCHES = {name: (re.compile(pattern), replace, _SPANS.get(name, lambda found: [found.span()]))
              for name, (pattern, replace) in KINDS.items()}
 
@@ -263,9 +319,9 @@ def _windows(text: str):
         yield start, stop
 
 
-def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, int]:
+def pseudonymise(text: str, key: bytes) -> tuple[str, int]:
     """``text`` with pseudonyms, and how many values were replaced. A replaced value isn't searched again."""
-    out, done, count = [], 0, 0
+    key, out, done, count = checked_key(key), [], 0, 0
     for start, stop in _windows(text):
         out.append(text[done:start])
         parts: list[tuple[str, bool]] = [(text[start:stop], False)]
@@ -291,8 +347,9 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, int]:
     return "".join(out), count
 
 
-def pseudonyms(text: Column | str, key: bytes = KEY) -> Column:
-    """A struct (text, n_replaced); NULL text stays NULL with nothing replaced."""
+def pseudonyms(text: Column | str, key: bytes) -> Column:
+    """A struct (text, n_replaced); NULL text stays NULL with nothing replaced. ``key`` is required."""
+    key = checked_key(key)
 
     @F.pandas_udf(_SENSITIVE)
     def run(values: pd.Series) -> pd.DataFrame:
@@ -302,6 +359,6 @@ def pseudonyms(text: Column | str, key: bytes = KEY) -> Column:
     return run(text)
 
 
-def protect(documents: DataFrame, key: bytes = KEY) -> DataFrame:
+def protect(documents: DataFrame, key: bytes) -> DataFrame:
     """``documents`` (doc_id, text) with pseudonyms: doc_id, text, n_replaced. Rows are independent of each other."""
     return documents.select("doc_id", pseudonyms("text", key).alias("p")).select("doc_id", "p.text", "p.n_replaced")

@@ -15,8 +15,12 @@ from flowloom.llm.common import new_path, table
 TOKENIZERS = "/opt/tokenizers"
 
 
+#: The registered query's key; a real run takes a secret of its own.
+EXAMPLE_KEY = b"flowloom-demonstration-key"
+
+
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.protect(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return pii.protect(table(spark, sf_dir, "documents", "doc_id", "text"), EXAMPLE_KEY)
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

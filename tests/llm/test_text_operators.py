@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -18,6 +19,7 @@ from flowloom.llm.common import components, new_path, prepare, word_blocks
 from flowloom.llm.queries import oracle_sql, queries
 from tokenizers import Tokenizer
 
+KEY = b"a key for tests"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 LONG = " ".join(f"word{i % 977} and\tmore{i}" for i in range(70_000))
@@ -67,17 +69,17 @@ def test_permutations_are_permutations():
 
 
 def test_pseudonyms_keep_format_and_links():
-    text, n = pii.pseudonymise("4111 1111 1111 1111, 4111-1111-1111-1111 and 4111111111111111")
+    text, n = pii.pseudonymise("4111 1111 1111 1111, 4111-1111-1111-1111 and 4111111111111111", KEY)
     assert n == 3 and len({re.sub(r"\D", "", part) for part in re.split(", | and ", text)}) == 1
     digits = re.sub(r"\D", "", text)[:16]
     assert pii.luhn_digit(digits[:-1]) == digits[-1] and re.fullmatch(r"\d{4} \d{4} \d{4} \d{4},.*", text[:25] + text[25:])
-    text, n = pii.pseudonymise("DE89370400440532013000")
+    text, n = pii.pseudonymise("DE89370400440532013000", KEY)
     assert n == 1 and pii._iban_rest(text[4:] + text[:4]) == 1 and text.startswith("DE")
-    text, n = pii.pseudonymise("on 2024-02-29 or 29.02.2024")
+    text, n = pii.pseudonymise("on 2024-02-29 or 29.02.2024", KEY)
     moved = re.fullmatch(r"on (\d{4})-(\d\d)-(\d\d) or (\d\d)\.(\d\d)\.(\d{4})", text)
     assert n == 2 and moved[1] == moved[6] and moved[2] == moved[5] and moved[3] == moved[4]
-    a, _ = pii.pseudonymise("mail jo.1@mail5.example.com now")
-    b, _ = pii.pseudonymise("jo.1@mail5.example.com")
+    a, _ = pii.pseudonymise("mail jo.1@mail5.example.com now", KEY)
+    b, _ = pii.pseudonymise("jo.1@mail5.example.com", KEY)
     assert a == f"mail {b} now" and re.fullmatch(r"[a-z]{2}\.\d@[a-z]{4}\d\.[a-z]{7}\.com", b) and b[:4] != "jo.1"
     assert pii.pseudonymise("x", b"k") == ("x", 0)
     assert pii.pseudonymise("10.20.30.40", b"k1") != pii.pseudonymise("10.20.30.40", b"k2")
@@ -85,15 +87,15 @@ def test_pseudonyms_keep_format_and_links():
 
 def test_values_that_do_not_validate_stay():
     for text in ("2123465659789240", "version 1.2.300.4", "2023-02-30", "000-12-3456", "", "a" * 500 + " 7" * 400):
-        assert pii.pseudonymise(text) == (text, 0)
+        assert pii.pseudonymise(text, KEY) == (text, 0)
 
 
 def test_pseudonyms_of_all_rows(docs, empty):
-    done = pii.protect(docs)
+    done = pii.protect(docs, KEY)
     assert done.columns == ["doc_id", "text", "n_replaced"]
-    assert key((r[0], r[1]) for r in done.collect()) == key((r["doc_id"], pii.pseudonymise(r["text"])[0] if r["text"]
+    assert key((r[0], r[1]) for r in done.collect()) == key((r["doc_id"], pii.pseudonymise(r["text"], KEY)[0] if r["text"]
                                                              is not None else None) for r in docs.collect())
-    assert pii.protect(empty).collect() == []
+    assert pii.protect(empty, KEY).collect() == []
 
 
 # --- 2
@@ -102,7 +104,7 @@ def test_pseudonyms_of_all_rows(docs, empty):
 def test_cards_beside_other_numbers_and_secrets_in_capitals():
     card, value = "4111 1111 1111 1111", "9233A8EC71B04D5F9233A8EC71B04D5F"
     for text in (f"{card} 12/25", f"{card} 123", f"order 7 {card}", f"12 35 {card} 12/25 or", f"{card}-5500-0000-0000-0004"):
-        out, count = pii.pseudonymise(text)
+        out, count = pii.pseudonymise(text, KEY)
         assert count == 1 + text.count("5500") and card not in out and "5500" not in out
         assert re.sub(r"\d", "0", out) == re.sub(r"\d", "0", text)
         left, right = text.split(card)
@@ -110,10 +112,70 @@ def test_cards_beside_other_numbers_and_secrets_in_capitals():
         number = re.sub(r"\D", "", out[len(left):len(left) + len(card)])
         assert pii.luhn_digit(number[:-1]) == number[-1]
     for text in (f'TOKEN = "{value}"', f"Password={value}", f"seen {value} here", f"seen {value.lower()[:16]}{value[16:]} here"):
-        out, count = pii.pseudonymise(text)
+        out, count = pii.pseudonymise(text, KEY)
         assert count == 1 and value[16:] not in out and len(out) == len(text)
         assert re.search(r"[0-9A-F]{32}" if value in text else r"[0-9A-Fa-f]{32}", out)
-    assert pii.pseudonymise("4111 1111 1111 1112 12/25") == ("4111 1111 1111 1112 12/25", 0)
+    assert pii.pseudonymise("4111 1111 1111 1112 12/25", KEY) == ("4111 1111 1111 1112 12/25", 0)
+
+
+def test_secrets_dates_and_machines_in_other_words():
+    for text, value in (("password: hunter22", "hunter22"), ('"api_key": "a1b2c3d4e5"', "a1b2c3d4e5"), ("born 5 March 1990.", "5 March 1990"),
+                        ("on May 17th, 2003 he", "May 17th, 2003"), ("12 FEB 1999", "12 FEB 1999"), ("ping 2001:db8::1 now", "2001:db8::1"),
+                        ("fe80::1ff:fe23:4567:890a", "fe80::1ff:fe23:4567:890a"), ("call 030 1234567 now", "030 1234567")):
+        out, count = pii.pseudonymise(text, KEY)
+        assert count == 1 and value not in out, text
+        left, right = text.split(value)
+        assert out.startswith(left) and out.endswith(right)
+    for text in ("section 12.34.56.78", "Version 1.2.3.4 of", "at 12:34:56 o'clock", "std::abc::def", "secret: a garden", "token: none given",
+                 "31 February 2001", "May 2003", "the secret of 2003", "::1 is home", "a ratio of 1:2:3"):
+        assert pii.pseudonymise(text, KEY) == (text, 0), text
+    moved = [re.search(r"\d{4}", pii.pseudonymise(t, KEY)[0])[0] for t in ("1990-03-05", "5 March 1990", "Mar 5, 1990")]
+    assert len(set(moved)) == 1
+
+
+def test_a_key_is_required_and_counts_whole():
+    for key_ in (b"", None):
+        with pytest.raises(ValueError):
+            pii.pseudonymise("10.20.30.40", key_)
+    one, two = (b"k" * 64 + tail for tail in (b"a", b"b"))
+    assert pii.pseudonymise("10.20.30.40", one) != pii.pseudonymise("10.20.30.40", two)
+
+
+def test_long_runs_of_digits_take_linear_time():
+    def seconds(text):
+        start = time.process_time()
+        pii.pseudonymise(text, KEY)
+        return time.process_time() - start
+
+    short, long = "1234 5678 9012 3457 " * 4_000, "1234 5678 9012 3457 " * 32_000
+    assert seconds(long) < 20 * max(seconds(short), 0.5)
+
+
+def plain_cards(text):
+    """All runs of whole digit groups with 13 to 19 digits that pass the check digit, the most digits first."""
+    groups = [m.span() for m in re.finditer(r"\d+", text)]
+    found = []
+    for i in range(len(groups)):
+        for j in range(i, len(groups)):
+            digits = "".join(text[a:b] for a, b in groups[i:j + 1])
+            odd = [int(c) for c in digits[::-1]]
+            total = sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(odd))
+            if 13 <= len(digits) <= 19 and total % 10 == 0 and set(digits) != {"0"}:
+                found.append((-len(digits), groups[i][0], groups[j][1]))
+    spans = []
+    for _, low, high in sorted(found):
+        if all(high <= a or b <= low for a, b in spans):
+            spans.append((low, high))
+    return sorted(spans)
+
+
+def test_cards_in_runs_of_groups_against_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        groups = ["".join(map(str, rng.integers(0, 10, rng.integers(1, 6)))) for _ in range(rng.integers(4, 14))]
+        text = " ".join(groups)
+        match = re.fullmatch(r".*", text)
+        assert pii._card_spans(match) == plain_cards(text)
 
 
 def duck_lines(rows):
