@@ -23,17 +23,21 @@ FLUSH_BYTES = 8 << 20
 _EMPTY = np.zeros(0, dtype=np.uint64)
 
 
-class _Hashes(dict):
+class WordHashes(dict):
     """Hashes of words, kept for the words seen lately."""
 
+    def __init__(self, limit: int = KNOWN_WORDS):
+        super().__init__()
+        self.limit = limit
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
+        if len(self) >= self.limit:
             self.clear()
         self[word] = value = xxh64_intdigest(word)
         return value
 
 
-_HASHES = _Hashes()
+_HASHES = WordHashes()
 
 
 def _mix(columns: list[np.ndarray]) -> np.ndarray:
@@ -44,13 +48,13 @@ def _mix(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sketch(text: str | None, k: int = K) -> np.ndarray:
+def sketch(text: str | None, k: int = K, hashes: WordHashes = _HASHES) -> np.ndarray:
     """The ``k`` smallest shingle hashes, ascending. Fewer than five words are one shingle; no words, no shingle."""
     if not text:
         return _EMPTY
     least, tail, any_shingle = _EMPTY, _EMPTY, False
     for words in word_blocks(text.encode("utf-8", "surrogatepass").lower()):
-        fresh = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+        fresh = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
         ids = np.concatenate([tail, fresh]) if tail.size else fresh
         count = len(ids) - SHINGLE + 1
         if count > 0:
