@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,12 +68,12 @@ def hot_keys(packets: DataFrame, within: Sequence[str] = (), hot_rows: int = HOT
     The table has at most one row for every ``hot_rows`` packets.  It is marked for broadcast while its size,
     which is known here, is below ``BROADCAST_KEYS``.
     """
+    shared_folder(packets.sparkSession)
     key = [*within, *KEY]
     found = (canonical(packets).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-             .filter(F.col("n") > hot_rows).select(*key).persist(StorageLevel.MEMORY_AND_DISK))
+             .filter(F.col("n") > hot_rows).select(*key).checkpoint())
     count = found.count()
     if not count:
-        found.unpersist()
         return None
     return F.broadcast(found) if count <= BROADCAST_KEYS else found
 
@@ -105,13 +104,11 @@ def _chunk_entries(hot: DataFrame, key: Sequence[str], timeout: int, idle: int,
     entry = T.StructType(named.fields + [T.StructField("entry", _ENTRY), T.StructField("stuck", T.BooleanType())])
     leaving = T.StructType(named.fields + [T.StructField("leaves", _ENTRY)])
     summaries = _ranked(rows, group).mapInArrow(
-        summarise(key, timeout, idle, _arrow_schema(summary), head_limit), summary).persist(
-            StorageLevel.MEMORY_AND_DISK)
+        summarise(key, timeout, idle, _arrow_schema(summary), head_limit), summary).checkpoint()
     known = hot.sparkSession.createDataFrame([], leaving)
     while True:
         entries = (summaries.join(known, group, "left").repartition(*key).sortWithinPartitions(*group)
-                   .mapInArrow(chain(key, timeout, idle, _arrow_schema(entry)), entry)
-                   .persist(StorageLevel.MEMORY_AND_DISK))
+                   .mapInArrow(chain(key, timeout, idle, _arrow_schema(entry)), entry).checkpoint())
         stuck = entries.filter("stuck")
         if stuck.isEmpty():
             return entries.drop("stuck")
@@ -121,7 +118,7 @@ def _chunk_entries(hot: DataFrame, key: Sequence[str], timeout: int, idle: int,
             stuck.select(*group), group, "left_semi").unionByName(start, allowMissingColumns=True).fillna(
                 0, ["ts_us", "side", "symbol", "len"])
         more = _ranked(through, group).mapInArrow(go_through(key, timeout, idle, _arrow_schema(leaving)), leaving)
-        known = known.unionByName(more).persist(StorageLevel.MEMORY_AND_DISK)
+        known = known.unionByName(more).checkpoint()
 
 
 def segment(packets: DataFrame, within: Sequence[str] = (), timeout: int = FLOW_TIMEOUT,

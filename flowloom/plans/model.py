@@ -18,6 +18,7 @@ from flowloom.operators.evaluate import overall_metrics
 from flowloom.operators.prepare import binary_label, to_float, usable_rows
 from flowloom.operators.select import select_features
 from flowloom.schema import KEY_FIELDS, MODEL_FIELDS
+from flowloom.session import shared_folder
 
 
 def keyed_split(df: DataFrame, key: Sequence[str], train_tenths: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -119,6 +120,7 @@ def evaluate(model: PipelineModel, flows: DataFrame,
 
 def offline_run(flows: DataFrame, key: Sequence[str], **training) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Offline training and evaluation on labelled flows: 70/30 split by ``key``, model, predictions, metrics."""
-    for_training, for_testing = keyed_split(flows, key)
+    shared_folder(flows.sparkSession)
+    for_training, for_testing = keyed_split(flows.checkpoint(), key)  # the flows are made once
     model = train(for_training, **training)
     return (model, *evaluate(model, for_testing, training.get("features", MODEL_FIELDS)))

@@ -239,7 +239,7 @@ def _map(table: DataFrame) -> DataFrame:
 
 
 def _trained(spark: SparkSession, sf_dir: str):
-    flows = _labelled(_flows(spark, sf_dir))
+    flows = _labelled(_flows(spark, sf_dir)).checkpoint()  # metered once, for training and testing
     training, testing = models.keyed_split(flows, [*KEY_FIELDS, "flow_start"])
     return models.train(training), testing
 
