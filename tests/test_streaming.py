@@ -1,17 +1,23 @@
 import io
 import json
 import random
+import time
 
+import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
 from flowloom.functions.waiting import due_ms, released
+from flowloom.operators.dashboards import blocklist, composed
 from flowloom.operators.features import flow_records, flow_statistics
 from flowloom.plans.registry import queries
+from flowloom.plans.scoring import rule_predict
 from flowloom.schema import PACKET_SCHEMA
-from flowloom.sources.fixtures import packets_from_events
-from flowloom.sources.flows import write_flows
+from flowloom.sources.commits import Store
+from flowloom.sources.fixtures import geo_ranges, packets_from_events
+from flowloom.sources.flows import encode_wire, write_flows
 from flowloom.sources.growing import lines_between, read_growing, whole_lines_end
+from flowloom.streaming.detect import read_flow_stream, relay_lines, run_committed
 from flowloom.streaming.late import run_sorter
 from flowloom.streaming.meter import meter_batches, run_flow_meter, run_meter
 from helpers import ACK, FINACK, frame_of, handshake, tcp, udp
@@ -135,3 +141,52 @@ def test_stretches_of_a_file_share_its_lines():
                  for line in lines_between(io.BytesIO(data), a, min(a + length, len(data)), len(data))]
         assert found == data.split(b"\n")[:-1]
     assert whole_lines_end(io.BytesIO(b"ab\ncd"), 5, 0) == 3 and whole_lines_end(io.BytesIO(b"abcd"), 4, 2) == 2
+
+
+def until(condition, seconds=60):
+    end = time.monotonic() + seconds
+    while not condition() and time.monotonic() < end:
+        time.sleep(0.5)
+    assert condition()
+
+
+def test_a_running_relay_follows_its_files(spark, tmp_path):
+    """A trigger every second; lines are appended while the stream runs."""
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    (folder / "a.log").write_text("1\n2\nhal")
+
+    def seen():
+        return sorted(r.value for r in spark.read.text(str(out)).collect()) if list(out.glob("part-*")) else []
+
+    query = relay_lines(spark, str(folder), str(out), str(tmp_path / "state"), interval="1 second", growing=True)
+    try:
+        until(lambda: seen() == ["1", "2"])
+        with (folder / "a.log").open("a") as file:
+            file.write("f\n3\n")
+        (folder / "b.log").write_text("4\n")
+        until(lambda: seen() == ["1", "2", "3", "4", "half"])
+    finally:
+        query.stop()
+
+
+def test_committed_detection_survives_a_restart(spark, tmp_path):
+    """A batch that failed before its commit is scored again and seen once; a finished one is not scored again."""
+    messages = encode_wire(queries()["flows_all"](spark, SF), "live").select("value")
+    messages.repartition(3).write.text(str(tmp_path / "in"))
+    stream = read_flow_stream(spark, "text", {"maxFilesPerTrigger": "1"}, str(tmp_path / "in"))
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000))
+
+    def run(ranges):
+        run_committed(stream, rule_predict(), ranges, str(tmp_path / "store"), str(tmp_path / "state"), interval=None,
+                      at=at).awaitTermination()
+
+    with pytest.raises(Exception, match="ip_from"):
+        run(geo_ranges(spark).drop("ip_from"))
+    run(geo_ranges(spark))
+    run(geo_ranges(spark))
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.read("scored").count() == messages.count() and not store.committed(3)
+    panels = {r.panel: r.value for r in composed(store.read("panels")).where("panel = 'threats'").collect()}
+    assert panels["threats"] == store.read("scored").agg(F.sum("predict")).head()[0]
+    assert store.read("blocked").distinct().count() == blocklist(store.read("scored")).count()
