@@ -40,7 +40,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sketch.compare_with_edit(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
-                        "edited_fingerprint", "near_edited", "near_next")
+                        "edited_fingerprint", "near_edited", "near_next", "shingles", "in_edited")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from flowloom.llm.common import word_blocks
@@ -121,8 +123,9 @@ def _in_order(documents: DataFrame) -> DataFrame:
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with their successor. Holds one document and its sketch."""
-    names = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "shingles",
+             "in_edited"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
     rows: list[tuple] = []
     held, size = None, 0
 
@@ -132,7 +135,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edited = before[:len(before) - half] + text[:half]
         other = sketch(edited)
         return (doc_id, len(before), edited, as_text(seen), as_text(other), resemblance(seen, other),
-                resemblance(seen, own))
+                resemblance(seen, own), distinct(seen), containment(seen, other))
 
     place = None
     for batch in batches:
@@ -156,12 +159,63 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compare_with_edit(documents: DataFrame) -> DataFrame:
     """Fingerprints of ``documents`` (doc_id, text) and of an edited form of each.
 
-    Returns doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next. The edited text has its last
-    floor(n / 2) characters replaced by the first as many of the next document, in descending doc_id order and round
-    from the last to the first; ``near_*`` estimate the resemblance to the edited text and to the next document. NULL
+    Returns doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next, shingles,
+    in_edited. The edited text has its last floor(n / 2) characters replaced by the first as many of the next document, in
+    descending doc_id order and round from the last to the first; ``near_*`` estimate the resemblance to the edited text and to the next document,
+    ``shingles`` the number of distinct shingles and ``in_edited`` the share of them that the edited text has. NULL
     text is empty. Rows that share a doc_id follow each other by a hash of their text; rows without one have an empty
     text as their next. A table of one row is its own next. The texts are exchanged once.
     """
     return _in_order(documents).mapInArrow(
         _compare, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double")
+        "near_edited double, near_next double, shingles double, in_edited double")
+
+
+_SIGN = np.uint64(1 << 63)
+
+
+def _partial_sketches(k: int, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def out() -> pa.RecordBatch:
+            # signed numbers in the order of the unsigned hashes
+            hashes = [(h ^ _SIGN).view(np.int64) for h, _ in held.values()]
+            return pa.record_batch([pa.array(held.keys(), pa.string()), pa.array(hashes, pa.list_(pa.int64())),
+                                    pa.array([n for _, n in held.values()], pa.int64())], ["part", "hashes", "n"])
+
+        for batch in batches:
+            for part, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                before, n = held.get(part, (_EMPTY, 0))
+                held[part] = merge(before, sketch(text.as_py(), k), k), n + 1
+                if len(held) >= limit:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    return run
+
+
+def group_sketches(documents: DataFrame, part: str, k: int = K, limit: int = 10_000) -> DataFrame:
+    """One sketch for each value of ``part``, merged from those of its ``documents`` (text and that column).
+
+    Returns the part's value, documents, fingerprint, shingles (estimated number of distinct ones). Tasks merge before
+    the exchange, so a part that holds most rows sends ``k`` hashes from each task. NULL is a part of its own.
+    """
+    fields = documents.schema
+    partial = documents.select(F.col(part).cast("string").alias("part"), "text").mapInArrow(
+        _partial_sketches(k, limit), "part string, hashes array<long>, n long").checkpoint()
+    counts = partial.groupBy("part").agg(F.sum("n").alias("documents"))
+    least = Window.partitionBy("part").orderBy("hash")
+    kept = partial.select("part", F.explode("hashes").alias("hash")).distinct().withColumn(
+        "place", F.row_number().over(least)).where(F.col("place") <= k).groupBy("part").agg(
+        F.sort_array(F.collect_list("hash")).alias("hashes")).withColumnRenamed("part", "_part")
+
+    @F.pandas_udf("fingerprint string, shingles double")
+    def finish(hashes: pd.Series) -> pd.DataFrame:
+        found = [(_EMPTY if h is None else np.array(h, dtype=np.int64).view(np.uint64) ^ _SIGN) for h in hashes]
+        return pd.DataFrame({"fingerprint": [as_text(h) for h in found], "shingles": [distinct(h, k) for h in found]})
+
+    joined = counts.join(kept, F.col("part").eqNullSafe(F.col("_part")), "left").withColumn("f", finish("hashes"))
+    return joined.select(F.col("part").cast(fields[part].dataType).alias(part), "documents", "f.fingerprint", "f.shingles")

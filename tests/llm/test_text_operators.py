@@ -472,9 +472,14 @@ def check_edits(rows, found):
             union = sorted(set(x) | set(y))[:sketch.K]
             return len(set(union) & set(x) & set(y)) / len(union) if x and y else float(not x and not y)
 
+        def count(x):
+            return float(len(x)) if len(x) < sketch.K else (sketch.K - 1) / (x[-1] / 2 ** 64)
+
+        both = count(sorted(set(a) | set(b))[:sketch.K])
+        inside = min(1.0, near(a, b) * both / count(a)) if a else 1.0
         expected.append((r["doc_id"], len(text), edited, "".join(f"{v:016x}" for v in a),
-                         "".join(f"{v:016x}" for v in b), near(a, b), near(a, c)))
-    assert key(map(tuple, found)) == key(expected)
+                         "".join(f"{v:016x}" for v in b), near(a, b), near(a, c), round(count(a), 6), round(inside, 9)))
+    assert key((*r[:7], round(r[7], 6), round(r[8], 9)) for r in found) == key(expected)
 
 
 def test_edits_and_sketches(spark):
@@ -494,6 +499,20 @@ def test_edits_of_all_rows(docs, empty):
     assert sketch.compare_with_edit(empty).collect() == []
 
 
+def test_sketches_of_groups(docs, empty):
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r["source"], []).append(r["text"])
+    for limit in (1, 10_000):
+        found = {r["source"]: r for r in sketch.group_sketches(docs, "source", limit=limit).collect()}
+        assert set(found) == set(texts)
+        for part, all_texts in texts.items():
+            merged = sorted(set().union(*map(plain_sketch, all_texts)))[:sketch.K]
+            assert found[part]["documents"] == len(all_texts)
+            assert found[part]["fingerprint"] == "".join(f"{v:016x}" for v in merged)
+    assert sketch.group_sketches(empty, "source").collect() == []
+
+
 def test_sketches_merge_and_estimate():
     a = sketch.sketch(" ".join(f"w{i}" for i in range(3000)))
     b = sketch.sketch(" ".join(f"w{i}" for i in range(1500, 4500)))
@@ -561,6 +580,27 @@ def test_knn_against_sql(spark):
     assert key(map(tuple, found.select("query_id", "rank", "vec_id", "score").collect())) == key(expected)
 
 
+def test_bounds_spare_groups_of_clustered_vectors(spark):
+    """Where vectors lie in clusters, a query visits few groups; on random directions it visits all."""
+    prepare(spark)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 16)) * 900
+    rows = [(i, (centres[i % 40] + rng.normal(size=16) * 25).round().tolist()) for i in range(4000)]
+    made = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    pivots = knn.choose_pivots(made, 128)
+    data = knn.assign(made, pivots).toPandas()
+    summary = data.groupby("home").agg(radius=("away", "max"), n=("away", "size"),
+                                       near=("away", lambda a: sorted(a)[:11])).reset_index()
+    asked = knn.visits(made.where("vec_id % 100 = 0"), pivots, summary, 10).groupBy("home").count().toPandas()
+    compared = asked.merge(summary, on="home").eval("count * n").sum()
+    assert compared < 0.25 * 40 * 4000
+    found = {(r["query_id"], r["rank"]): r["score"] for r in knn.top_k(made, made.where("vec_id % 100 = 0"), 10, pivots=128).collect()}
+    x = np.array([r[1] for r in rows])
+    for q in range(0, 4000, 100):
+        best = np.sort(np.delete(x @ x[q], q))[::-1][:10]
+        assert [found[q, i] for i in range(1, 11)] == best.astype(int).tolist()
+
+
 def test_knn_ties_blocks_and_bad_vectors(spark):
     prepare(spark)
     rng = np.random.default_rng(1)
