@@ -330,6 +330,9 @@ def oracle_sql() -> dict[str, str]:
         "dash_stored_dst_ip": with_scored(f"select dstip, count(*) as flows from scored where {_STORED} group by 1 order by flows desc, dstip limit 10"),
         "dash_stored_threats": with_scored(f"select sum(predict) as threats from scored where {_STORED}"),
         "offline_metrics": with_flows(f"select 1.0::double as accuracy, 1.0::double as precision, 1.0::double as recall, 1.0::double as f_measure, 0.0::double as test_error, count(*) as \"rows\" from flows where {_TESTED}"),
+        "dt_described_rules": with_flows("""select proto, (dscp=0)::int as no_dscp, count(*) as flows,
+            case when proto=6 and dscp=0 then 1.0::double else 0.0::double end as predicted, 5::int as nodes, 2::int as depth, '0,1' as indices
+            from flows group by 1, 2, 4"""),
         "dt_rules_agree": with_flows(f"select case when total_bpackets>0 then 0.0::double else 1.0::double end as label, count(*) as flows, 0::bigint as mismatches from flows where {_TESTED} group by 1"),
         "stream_score_model": with_flows("""select case when proto=6 and dscp=0 then 1.0::double else 0.0::double end as predict, count(*) as flows, sum(duration)::bigint as duration,
             (select count(*) from flows where flow_start % 17 in (3, 7, 11, 13)) as rejected from flows where flow_start % 17 not in (3, 7, 11, 13) group by 1"""),

@@ -259,6 +259,18 @@ def _describe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(models.tree_of(again).toDebugString.split("\n", 1)[1]))
 
 
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shape and rules of the tree that two splits must give, stored and loaded, and what it says of each kind of flow."""
+    held = versions.Models(spark, new_path(spark, "described"))
+    held.publish(_offline(spark, sf_dir)[0])
+    model = held.load(held.current())
+    shape = models.describe_model(spark, model).select("nodes", "depth", F.array_join(F.array_sort("indices"), ",").alias("indices"))
+    kinds = _flows(spark, sf_dir).groupBy("proto", (F.col("dscp") == 0).cast("int").alias("no_dscp")).agg(
+        F.min("dscp").alias("dscp"), F.count(F.lit(1)).alias("flows"))
+    ruled = kinds.withColumn("predicted", models.rules_column(model, SIMPLE_FEATURES))
+    return ruled.select("proto", "no_dscp", "flows", "predicted").join(F.broadcast(shape))
+
+
 def _jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets, some of them with a clock an hour ahead."""
     ahead = F.when(F.col("num") % 1688 == 800, 3_600_000_000).otherwise(0)
@@ -618,6 +630,7 @@ def queries() -> dict[str, Query]:
         "blocklist": lambda s, p: d.blocklist(_scored(s, p)),
         "dt_train_predict": _predict,
         "dt_describe_model": _describe,
+        "dt_described_rules": _described,
         "stream_score": _stream_score,
         "stream_flows": _stream_flows,
         "stream_flows_ended": _stream_ended,
