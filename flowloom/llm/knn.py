@@ -2,8 +2,10 @@
 
 Vectors are grouped by their nearest pivot. A few numbers for each group (its size, its radius, the distances of its
 nearest members) bound every score between a query and a group from both sides, so a query visits only the groups that
-can hold one of its k best. Groups are cut into blocks and the queries into slices of bounded size, so that a task
-multiplies a block by a slice whatever a group's share of the rows.
+can hold one of its k best. In a group that it visits, a member scores at most the pivot's score and as much more as its own
+distance from the pivot allows, so members nearer than some distance are spared too: a group's rows are sent only from the
+least distance that any of its queries needs. Groups are cut into blocks and the queries into slices of bounded size, so
+that a task multiplies a block by a slice whatever a group's share of the rows.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PIVOTS = 64
+#: As many pivots as the square root of the rows, between these bounds.
+PIVOTS = 64, 1024
 BLOCK_ROWS = 4096
 SLICE_ROWS = 2048
 SCALE = 1024
@@ -36,8 +39,10 @@ def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return rows.select("vec_id", F.transform(x, lambda v: F.floor(v * scale).cast("double")).alias("vector"))
 
 
-def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
+def choose_pivots(vectors: DataFrame, pivots: int | None = None) -> np.ndarray:
     """``pivots`` vectors, chosen by a hash of vec_id. Any choice is right; it only decides how much is pruned."""
+    if pivots is None:
+        pivots = min(PIVOTS[1], max(PIVOTS[0], round(vectors.count() ** 0.5)))
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("vector").collect()
     return np.unique(np.array([r[0] for r in rows], dtype=float), axis=0) if rows else np.zeros((0, 0))
 
@@ -60,7 +65,7 @@ def assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def visits(queries: DataFrame, pivots: np.ndarray, summary: pd.DataFrame, k: int) -> DataFrame:
-    """The groups that each query must visit: adds ``group``.
+    """The groups that each query must visit: adds ``home`` and ``least``, the distance that members must have.
 
     A member at distance d from its pivot p scores between q.p - |q| d and q.p + |q| d. The k + 1 best lower bounds
     among the listed members (one may be the query itself) give the score to reach.
@@ -70,7 +75,7 @@ def visits(queries: DataFrame, pivots: np.ndarray, summary: pd.DataFrame, k: int
     near = np.array(near.to_list(), dtype=float).reshape(len(summary), k + 1)
     radius, groups = summary["radius"].to_numpy(float), summary["home"].to_numpy(int)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<struct<home int, least double>>")
     def wanted(vector: pd.Series) -> pd.Series:
         q = _matrix(vector)
         norm = np.sqrt((q ** 2).sum(1))
@@ -80,10 +85,13 @@ def visits(queries: DataFrame, pivots: np.ndarray, summary: pd.DataFrame, k: int
             low = (c[:, None] - (n * near if n else np.where(np.isinf(near), np.inf, 0))).ravel()
             reach = np.partition(low, -(k + 1))[-(k + 1)] if low.size > k else -np.inf
             high = c + n * radius
-            out.append(groups[high >= reach - norm_slack * (1 + np.abs(high))].tolist())
+            visited = high >= reach - norm_slack * (1 + np.abs(high))
+            least = np.zeros(len(c)) if not n or np.isinf(reach) else (reach - c) / n
+            least -= 1e-6 * (1 + np.abs(least))
+            out.append([{"home": int(g), "least": float(d)} for g, d in zip(groups[visited], least[visited], strict=True)])
         return pd.Series(out)
 
-    return queries.withColumn("home", F.explode(wanted("vector")))
+    return queries.withColumn("visit", F.explode(wanted("vector"))).select(*queries.columns, "visit.home", "visit.least")
 
 
 def _block_topk(k: int):
@@ -108,7 +116,7 @@ def _block_topk(k: int):
     return search
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS,
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int | None = None, block_rows: int = BLOCK_ROWS,
           slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The ``k`` highest inner products of each query with all other vectors: query_id, rank, vec_id, score.
 
@@ -125,20 +133,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
     radius = data.groupBy("home").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n"))
     # one row and k + 1 numbers for each of at most ``pivots`` groups
     summary = radius.join(listed.groupBy("home").agg(F.sort_array(F.collect_list("away")).alias("near")), "home").toPandas()
-    blocks = {int(h): -(-int(n) // block_rows) for h, n in zip(summary["home"], summary["n"], strict=True)}
-    of_home = F.element_at(F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]), F.col("home"))
-    asked = visits(queries.select("vec_id", "vector"), centres, summary, k)
-    load = {int(r[0]): -(-int(r[1]) // slice_rows) for r in asked.groupBy("home").count().collect()}
-    slices = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in (load or {-1: 1}).items() for x in pair]),
-                                     F.col("home")), F.lit(0))
+    asked = visits(queries.select("vec_id", "vector"), centres, summary, k).checkpoint()
+    # one row for each of at most as many groups as pivots: blocks of the rows, slices of the queries, least distance
+    sizes = {int(h): -(-int(n) // block_rows) for h, n in zip(summary["home"], summary["n"], strict=True)}
+    load = [(int(r[0]), sizes[int(r[0])], -(-int(r[1]) // slice_rows), float(r[2])) for r in asked.groupBy("home").agg(
+        F.count(F.lit(1)), F.min("least")).collect()]
+    plan = F.broadcast(vectors.sparkSession.createDataFrame(load, "home int, blocks int, slices int, nearest double"))
     zero = F.lit(0)
-    cells = data.select(
-        "home", F.pmod(F.xxhash64("vec_id"), of_home).alias("block"),
-        F.explode(F.when(slices > 0, F.sequence(zero, slices - 1)).otherwise(F.array().cast("array<int>"))).alias("slice"),
-        "vec_id", "vector")
-    questions = asked.select(
-        "home", F.explode(F.sequence(zero, of_home - 1)).alias("block"),
-        F.pmod(F.xxhash64("vec_id", zero), slices).alias("slice"), "vec_id", "vector")
+    cells = data.join(plan, "home").where(F.col("away") >= F.col("nearest")).select(
+        "home", F.pmod(F.xxhash64("vec_id"), "blocks").alias("block"),
+        F.explode(F.sequence(zero, F.col("slices") - 1)).alias("slice"), "vec_id", "vector")
+    questions = asked.join(plan, "home").select(
+        "home", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("vec_id", zero), "slices").alias("slice"), F.col("vec_id").alias("vec_id"), F.col("vector").alias("vector"))
     cell = ["home", "block", "slice"]
     cells = cells.withColumn("block", F.col("block").cast("int"))
     questions = questions.withColumn("slice", F.col("slice").cast("int"))
