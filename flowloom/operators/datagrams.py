@@ -25,15 +25,18 @@ Running = tuple[str, Column, bool]
 _COMBINE = {"max": F.max, "sum": F.sum}
 
 
-def _scan(rows: DataFrame, key: Sequence[str], columns: dict[str, Running], cut: bool) -> DataFrame:
-    """Adds running values in order of ``num``; with ``cut``, over the stretches (``chunk``) of each key."""
+def _scan(rows: DataFrame, key: Sequence[str], columns: dict[str, Running], cut: bool, first: bool = False) -> DataFrame:
+    """Adds running values in order of ``num``; with ``cut``, over the stretches (``chunk``) of each key.
+
+    Then the rows are read twice, so all layers but the ``first`` write what they get.
+    """
     place = [*key, "chunk"]
     order = Window.partitionBy(*place).orderBy("num")
     frames = {own: order.rowsBetween(Window.unboundedPreceding, 0 if own else -1) for own in (True, False)}
     running = {name: _COMBINE[kind](value).over(frames[own]) for name, (kind, value, own) in columns.items()}
     if not cut:
         return rows.withColumns(running)
-    rows = rows.checkpoint()
+    rows = rows if first else rows.checkpoint()
     earlier = Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*place).agg(*[_COMBINE[kind](value).alias(f"_{name}") for name, (kind, value, _) in columns.items()])
     carried = totals.select(*place, *[_COMBINE[kind](f"_{name}").over(earlier).alias(f"_{name}")
@@ -54,7 +57,7 @@ def label_datagrams(rows: DataFrame, key: Sequence[str], timeout: int, idle: int
     """Accepted packets of ``rows`` (canonical, with ``chunk``) with the labels of ``segment``."""
     c, num = F.col, F.col("num")
     kept = rows.columns
-    scanned = _scan(rows, key, {"_top": ("max", c("ts_us"), False)}, cut)
+    scanned = _scan(rows, key, {"_top": ("max", c("ts_us"), False)}, cut, first=True)
     found = scanned.filter("_top is null or ts_us >= _top").withColumn("_gap", c("ts_us") - c("_top"))
     found = found.withColumn("_opens", c("_top").isNull() | (c("_gap") > timeout))
     found = found.withColumn("_breaks", ~c("_opens") & (c("_gap") > idle))

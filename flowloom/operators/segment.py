@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,21 +105,26 @@ def _chunk_entries(hot: DataFrame, key: Sequence[str], timeout: int, idle: int,
     entry = T.StructType(named.fields + [T.StructField("entry", _ENTRY), T.StructField("stuck", T.BooleanType())])
     leaving = T.StructType(named.fields + [T.StructField("leaves", _ENTRY)])
     summaries = _ranked(rows, group).mapInArrow(
-        summarise(key, timeout, idle, _arrow_schema(summary), head_limit), summary).checkpoint()
-    known = hot.sparkSession.createDataFrame([], leaving)
+        summarise(key, timeout, idle, _arrow_schema(summary), head_limit), summary).persist(StorageLevel.MEMORY_AND_DISK)
+    known, held = hot.sparkSession.createDataFrame([], leaving), [summaries]
     while True:
         entries = (summaries.join(known, group, "left").repartition(*key).sortWithinPartitions(*group)
-                   .mapInArrow(chain(key, timeout, idle, _arrow_schema(entry)), entry).checkpoint())
+                   .mapInArrow(chain(key, timeout, idle, _arrow_schema(entry)), entry).persist(StorageLevel.MEMORY_AND_DISK))
+        held.append(entries)
         stuck = entries.filter("stuck")
         if stuck.isEmpty():
-            return entries.drop("stuck")
+            found = entries.drop("stuck").checkpoint()
+            for table in held:
+                table.unpersist()
+            return found
         # one chunk of a key at a time, but all such keys together
         start = stuck.select(*group, "entry").withColumn("num", F.lit(-1).cast("bigint"))
         through = hot.select(*group, "num", "ts_us", "side", "symbol", "len").join(
             stuck.select(*group), group, "left_semi").unionByName(start, allowMissingColumns=True).fillna(
                 0, ["ts_us", "side", "symbol", "len"])
         more = _ranked(through, group).mapInArrow(go_through(key, timeout, idle, _arrow_schema(leaving)), leaving)
-        known = known.unionByName(more).checkpoint()
+        known = known.unionByName(more).persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(known)
 
 
 def segment(packets: DataFrame, within: Sequence[str] = (), timeout: int = FLOW_TIMEOUT,
