@@ -455,6 +455,8 @@ LATENESS = "10 minutes"
 #: Packets come up to this long after their time, and the stream ends with a packet this long after the others.
 DELAY_US, CLOSING_US = 540_000_000, 605_000_000
 STREAM_BATCHES, BATCH_FILES = 6, 3
+#: Parts of the streams' state; the given tables have some 80 keys.
+STREAM_PARTITIONS = 16
 
 
 def _packet_stream(spark: SparkSession, sf_dir: str, base: str) -> DataFrame:
@@ -478,14 +480,14 @@ def _packet_stream(spark: SparkSession, sf_dir: str, base: str) -> DataFrame:
 def _stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = new_path(spark, "meter")
     meter.run_meter(_packet_stream(spark, sf_dir, base), f"{base}/out", f"{base}/state", interval=None,
-                    lateness=LATENESS).awaitTermination()
+                    lateness=LATENESS, partitions=STREAM_PARTITIONS).awaitTermination()
     return _listed(features.flow_statistics(spark.read.parquet(f"{base}/out").drop("batch")))
 
 
 def _stream_ended(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = new_path(spark, "flow-meter")
     meter.run_flow_meter(_packet_stream(spark, sf_dir, base), f"{base}/out", f"{base}/state", interval=None,
-                         lateness=LATENESS).awaitTermination()
+                         lateness=LATENESS, partitions=STREAM_PARTITIONS).awaitTermination()
     return _listed(spark.read.parquet(f"{base}/out"))
 
 
@@ -502,7 +504,8 @@ def _stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.filter(behind).repartition(BATCH_FILES).write.mode("append").parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", str(BATCH_FILES)).parquet(f"{base}/in")
     rows.unpersist()
-    late.run_sorter(stream, "at", f"{base}/kept", f"{base}/late", f"{base}/state", LATENESS, interval=None).awaitTermination()
+    late.run_sorter(stream, "at", f"{base}/kept", f"{base}/late", f"{base}/state", LATENESS, interval=None,
+                    partitions=STREAM_PARTITIONS).awaitTermination()
     return spark.read.parquet(f"{base}/kept").withColumn("late", F.lit(0)).unionByName(
         spark.read.parquet(f"{base}/late").withColumn("late", F.lit(1))).select("num", "ts_us", "len", "late")
 

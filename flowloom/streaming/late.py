@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -33,6 +34,20 @@ class Sorter(StatefulProcessor):
         pass
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """A stream started within has its state in so many partitions, which its checkpoint then fixes; None leaves the
+    session's number of shuffle partitions."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    try:
+        if partitions is not None:
+            spark.conf.set(name, str(partitions))
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def mark_late(stream: DataFrame, time: str, lateness: str = "10 minutes", parts: int = PARTS) -> DataFrame:
     """The rows of ``stream`` with ``late``: whether timestamp ``time`` lies before the watermark, ``lateness`` behind the
     latest time of earlier batches. No row is lost; a row without a time is not late."""
@@ -47,7 +62,7 @@ def mark_late(stream: DataFrame, time: str, lateness: str = "10 minutes", parts:
 
 
 def run_sorter(stream: DataFrame, time: str, kept: str, late: str, checkpoint: str, lateness: str = "10 minutes",
-               interval: str | None = "2 seconds", parts: int = PARTS) -> StreamingQuery:
+               interval: str | None = "2 seconds", parts: int = PARTS, partitions: int | None = None) -> StreamingQuery:
     """Store rows in time under ``kept`` and late ones under ``late``, a folder for each batch; a replay rewrites its own."""
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -58,4 +73,5 @@ def run_sorter(stream: DataFrame, time: str, kept: str, late: str, checkpoint: s
             batch.unpersist()
 
     writer = mark_late(stream, time, lateness, parts).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+    with state_partitions(stream.sparkSession, partitions):
+        return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

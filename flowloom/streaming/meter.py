@@ -102,7 +102,8 @@ def flow_stream(packets: DataFrame, timeout: int = FLOW_TIMEOUT, idle: int = IDL
     return finish_flows(sums, ["late"])
 
 
-def _store(stream: DataFrame, path: str, checkpoint: str, interval: str | None, rejects: str | None) -> StreamingQuery:
+def _store(stream: DataFrame, path: str, checkpoint: str, interval: str | None, rejects: str | None,
+           partitions: int | None) -> StreamingQuery:
     """Store a metered stream in a folder for each batch; a replay rewrites its own."""
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -114,19 +115,22 @@ def _store(stream: DataFrame, path: str, checkpoint: str, interval: str | None,
         finally:
             batch.unpersist()
 
-    return _start(stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint), interval)
+    with late.state_partitions(stream.sparkSession, partitions):
+        return _start(stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint), interval)
 
 
 def run_meter(packets: DataFrame, path: str, checkpoint: str, interval: str | None = "2 seconds",
-              lateness: str = "10 minutes", rejects: str | None = None, **limits) -> StreamingQuery:
+              lateness: str = "10 minutes", rejects: str | None = None,
+              partitions: int | None = None, **limits) -> StreamingQuery:
     """Store segmented packets as their turn comes; ``flow_statistics`` over the stored table gives the flows.
 
-    Packets that come too late are stored under ``rejects``.
+    Packets that come too late are stored under ``rejects``. The state is kept in ``partitions`` parts.
     """
-    return _store(segment_stream(packets, lateness=lateness, **limits), path, checkpoint, interval, rejects)
+    return _store(segment_stream(packets, lateness=lateness, **limits), path, checkpoint, interval, rejects, partitions)
 
 
 def run_flow_meter(packets: DataFrame, path: str, checkpoint: str, interval: str | None = "2 seconds",
-                   lateness: str = "10 minutes", rejects: str | None = None, **limits) -> StreamingQuery:
+                   lateness: str = "10 minutes", rejects: str | None = None,
+                   partitions: int | None = None, **limits) -> StreamingQuery:
     """Store the flows of a packet stream as they end, and packets that come too late under ``rejects``."""
-    return _store(flow_stream(packets, lateness=lateness, **limits), path, checkpoint, interval, rejects)
+    return _store(flow_stream(packets, lateness=lateness, **limits), path, checkpoint, interval, rejects, partitions)
