@@ -115,8 +115,9 @@ def summarise(key: Sequence[str], timeout: int, idle: int, schema: pa.Schema, he
 def chain(key: Sequence[str], timeout: int, idle: int, schema: pa.Schema):
     """Arrow function: a key's summaries in chunk order to the state on entry of every chunk but the first.
 
-    A row's ``leaves`` is its state on leaving, where it is known already.  At a chunk whose summary can't tell,
-    ``stuck`` is set on the entry and the rest of the key is left for another round.
+    A row's ``leaves`` is its state on leaving after the entry ``taken``. At a chunk whose summary can't tell and that was
+    not followed from this entry, ``stuck`` is set, and the chain goes on with a guess: what it left last time, or what
+    it leaves if its first packet opens a flow. Up to a key's first such chunk the entries are certain.
     """
     def run(batches):
         group, track = None, None
@@ -127,25 +128,50 @@ def chain(key: Sequence[str], timeout: int, idle: int, schema: pa.Schema):
                 first = this != group
                 if first:
                     group, track = this, Track(timeout, idle)
-                elif track is None:
-                    continue
                 entry = json.dumps(track.to_row())
-                if row["leaves"] is not None:
-                    after = Track.from_row(json.loads(row["leaves"]), timeout, idle)
-                else:
-                    after = apply_summary(track, row)
-                if not first or after is None:
-                    out.append({**{n: row[n] for n in key}, "chunk": row["chunk"], "entry": entry, "stuck": after is None})
+                after = None if row["taken"] == entry else apply_summary(track, row)
+                stuck = after is None and row["taken"] != entry
+                if after is None:
+                    after = Track.from_row(json.loads(row["leaves"] or row["opened"]), timeout, idle)
+                if not first or stuck:
+                    out.append({**{n: row[n] for n in key}, "chunk": row["chunk"], "entry": entry, "stuck": stuck})
                 track = after
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
     return run
 
 
+def enter(key: Sequence[str], timeout: int, idle: int, schema: pa.Schema):
+    """Arrow function: a key's rows after an entry row to the state on entry of that chunk and all later ones."""
+    def run(batches):
+        track = chunk = None
+        for batch, (rank, num, ts, side, symbol, size, chunks) in _groups(
+                batches, ["rank", "num", "ts_us", "side", "symbol", "len", "chunk"]):
+            entries = batch.column(batch.schema.get_field_index("entry"))
+            keys = [batch.column(batch.schema.get_field_index(n)) for n in key]
+            out = []
+            for i in range(batch.num_rows):
+                if rank[i] == 1:
+                    track, chunk = Track.from_row(json.loads(entries[i].as_py()), timeout, idle), None
+                if chunks[i] != chunk:
+                    chunk = chunks[i]
+                    out.append({**{n: k[i].as_py() for n, k in zip(key, keys)}, "chunk": chunk,
+                                "entry": json.dumps(track.to_row()), "stuck": False})
+                if rank[i] != 1:
+                    follow(track, num[i], ts[i], side[i], symbol[i], size[i])
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+    return run
+
+
 def go_through(key: Sequence[str], timeout: int, idle: int, schema: pa.Schema):
     """Arrow function: rows of (key, chunk) groups after their entry row to the state on leaving."""
     def run(batches):
         track, group, done = None, None, []
+
+        def left() -> dict:
+            return {**group, "leaves": json.dumps(track.to_row())}
+
         for batch, (rank, num, ts, side, symbol, size) in _groups(
                 batches, ["rank", "num", "ts_us", "side", "symbol", "len"]):
             entries = batch.column(batch.schema.get_field_index("entry"))
@@ -153,13 +179,13 @@ def go_through(key: Sequence[str], timeout: int, idle: int, schema: pa.Schema):
             for i in range(batch.num_rows):
                 if rank[i] == 1:
                     if track is not None:
-                        done.append({**group, "leaves": json.dumps(track.to_row())})
-                    group = {n: k[i].as_py() for n, k in zip([*key, "chunk"], keys)}
+                        done.append(left())
+                    group = {n: k[i].as_py() for n, k in zip([*key, "chunk"], keys)} | {"taken": entries[i].as_py()}
                     track = Track.from_row(json.loads(entries[i].as_py()), timeout, idle)
                     continue
                 follow(track, num[i], ts[i], side[i], symbol[i], size[i])
         if track is not None:
-            done.append({**group, "leaves": json.dumps(track.to_row())})
+            done.append(left())
             yield pa.RecordBatch.from_pylist(done, schema)
     return run
 

@@ -8,8 +8,10 @@ the rows into one task.  Such hot keys are cut into chunks by arrival number ins
 1. ``hot_keys`` counts the packets of each key once and finds those above ``HOT_ROWS``, a fixed number.
 2. ``_chunk_entries``: every chunk of a hot key is summarised independently, for all states it may be
    entered with; the short list of summaries is then chained per key and gives each chunk its real entry.
-   A summary is bounded; where it can't tell (a clock ran far ahead and a flow closed meanwhile), the chunk is
-   followed from its entry and the chain goes on after it.
+   A summary is bounded; where it can't tell (a clock ran far ahead and a flow closed meanwhile), the chain goes on
+   with a guess, and all such chunks are followed at once from the entries they seem to have. A chunk forgets its
+   entry soon, so a few of these rounds settle the guesses. Keys that ``ROUNDS`` leave unsettled are followed from
+   their first open chunk, each in one pass in constant memory.
 3. The final pass treats (key, chunk) as its group; a chunk starts from its entry row, which sorts first.
 
 No packet row is collected, dropped or capped on either path, and both give the same rows.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom.functions import folds, tracking
-from flowloom.functions.folds import LABELS, chain, go_through, label, summarise
+from flowloom.functions.folds import LABELS, chain, enter, go_through, label, summarise
 from flowloom.functions.tracking import HEAD_LIMIT, UDP_SYMBOL
 from flowloom.operators.datagrams import label_datagrams
 from flowloom.operators.packets import KEY, TCP, UDP, canonical
@@ -45,6 +47,8 @@ HOT_ROWS = 4_000_000
 #: Up to this many hot keys (at least HOT_ROWS packets each) are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 CHUNK_SPAN = 4_000_000
+#: Rounds in which chunks are followed from the entries they seem to have.
+ROUNDS = 6
 
 _MINIMA = T.ArrayType(T.LongType())
 # JSON text: a nullable struct column is slow to hand to Python when almost every row is NULL
@@ -103,28 +107,42 @@ def _chunk_entries(hot: DataFrame, key: Sequence[str], timeout: int, idle: int,
     named = T.StructType([T.StructField(n, fields[n]) for n in group])
     summary = T.StructType(named.fields + _SUMMARY.fields)
     entry = T.StructType(named.fields + [T.StructField("entry", _ENTRY), T.StructField("stuck", T.BooleanType())])
-    leaving = T.StructType(named.fields + [T.StructField("leaves", _ENTRY)])
+    leaving = T.StructType(named.fields + [T.StructField("taken", _ENTRY), T.StructField("leaves", _ENTRY)])
     summaries = _ranked(rows, group).mapInArrow(
         summarise(key, timeout, idle, _arrow_schema(summary), head_limit), summary).persist(StorageLevel.MEMORY_AND_DISK)
-    known, held = hot.sparkSession.createDataFrame([], leaving), [summaries]
-    while True:
-        entries = (summaries.join(known, group, "left").repartition(*key).sortWithinPartitions(*group)
-                   .mapInArrow(chain(key, timeout, idle, _arrow_schema(entry)), entry).persist(StorageLevel.MEMORY_AND_DISK))
-        held.append(entries)
-        stuck = entries.filter("stuck")
-        if stuck.isEmpty():
-            found = entries.drop("stuck").checkpoint()
-            for table in held:
-                table.unpersist()
-            return found
-        # one chunk of a key at a time, but all such keys together
-        start = stuck.select(*group, "entry").withColumn("num", F.lit(-1).cast("bigint"))
-        through = hot.select(*group, "num", "ts_us", "side", "symbol", "len").join(
-            stuck.select(*group), group, "left_semi").unionByName(start, allowMissingColumns=True).fillna(
-                0, ["ts_us", "side", "symbol", "len"])
-        more = _ranked(through, group).mapInArrow(go_through(key, timeout, idle, _arrow_schema(leaving)), leaving)
-        known = known.unionByName(more).persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(known)
+    packet = [*group, "num", "ts_us", "side", "symbol", "len"]
+
+    def after_entries(begun: DataFrame, chosen: DataFrame) -> DataFrame:
+        """The ``chosen`` packets behind rows that hold the state they are entered with."""
+        start = begun.select(*group, "entry").withColumn("num", F.lit(-1).cast("bigint"))
+        return chosen.select(*packet).unionByName(start, allowMissingColumns=True).fillna(0, ["ts_us", "side", "symbol", "len"])
+
+    known = None
+    try:
+        for last in (*[False] * ROUNDS, True):
+            told = (summaries.join(known, group, "left") if known is not None else
+                    summaries.withColumns({n: F.lit(None).cast(_ENTRY) for n in ("taken", "leaves")}))
+            entries = (told.repartition(*key).sortWithinPartitions(*group)
+                       .mapInArrow(chain(key, timeout, idle, _arrow_schema(entry)), entry).checkpoint())
+            stuck = entries.filter("stuck")
+            if stuck.isEmpty():
+                return entries.drop("stuck")
+            if last:
+                break
+            # each with the state it seems to be entered with, all at once
+            through = after_entries(stuck, hot.join(stuck.select(*group), group, "left_semi"))
+            more = _ranked(through, group).mapInArrow(go_through(key, timeout, idle, _arrow_schema(leaving)), leaving)
+            known = (more if known is None else more.unionByName(known.join(stuck.select(*group), group, "left_anti"))).checkpoint()
+    finally:
+        summaries.unpersist()
+    # what the first stuck chunk of a key is entered with is certain; the key is followed from there in one pass
+    first = F.min(F.struct("chunk", "entry"))
+    begun = stuck.groupBy(*key).agg(first.alias("f")).select(*key, "f.*").checkpoint()
+    bound = begun.select(*key, F.col("chunk").alias("_from"))
+    rest = after_entries(begun, hot.join(bound, key).filter("chunk >= _from"))
+    followed = _ranked(rest, key).mapInArrow(enter(key, timeout, idle, _arrow_schema(entry)), entry)
+    sure = entries.join(bound, key, "left").filter("_from is null or chunk < _from").select(*entries.columns)
+    return sure.unionByName(followed).drop("stuck").checkpoint()
 
 
 def segment(packets: DataFrame, within: Sequence[str] = (), timeout: int = FLOW_TIMEOUT,

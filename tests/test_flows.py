@@ -1,6 +1,7 @@
 import pytest
 from helpers import ACK, CLIENT, DATA, FINACK, RST, SYN, URG, frame_of, handshake, tcp, udp
 
+from flowloom.operators import segment
 from flowloom.operators.features import emit, expire_idle, flow_records
 from flowloom.operators.segment import hot_keys
 from flowloom.schema import RECORD_FIELDS
@@ -114,6 +115,19 @@ def test_clocks_that_jump(spark, limit):
     assert sorted(map(str, chunked.collect())) == sorted(map(str, plain.collect()))
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 6])
+def test_rounds_do_not_grow_with_the_chunks_after_a_jump(spark, monkeypatch, rounds):
+    """One clock jumps an hour ahead; its flow is reset, and the other clocks take 60 chunks without reaching that hour."""
+    packets = [tcp(0, 0, "c", SYN), tcp(1, 3_600_000_000, "c", SYN), tcp(2, 3_600_000_001, "c", RST)]
+    packets += [tcp(n, n * 1000, "cs"[n % 2], [SYN, ACK, DATA, URG, RST, SYN, ACK][n % 7], 40 + n % 7) for n in range(3, 600)]
+    rows, followed, inner = frame_of(spark, packets), [], segment.go_through
+    monkeypatch.setattr(segment, "ROUNDS", rounds, raising=False)
+    monkeypatch.setattr(segment, "go_through", lambda *a: followed.append(1) or inner(*a))
+    chunked = flow_records(rows, hot_rows=20, chunk_span=10, head_limit=2)
+    assert sorted(map(str, chunked.collect())) == sorted(map(str, flow_records(rows, hot_rows=None).collect()))
+    assert len(followed) <= rounds
+
+
 def test_a_large_key_is_hot_whatever_the_total(spark):
     packets = [udp(i, i * 10) for i in range(40)] + [
         udp(1000 + i, i * 10, ends=((f"10.1.{i // 250}.{i % 250}", 5), ("10.2.2.2", 6))) for i in range(3000)]
