@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator, Sequence
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import types as T
@@ -17,6 +18,8 @@ from flowloom.operators.packets import FLAG_BITS, TCP
 
 #: How far a capture's clock may run back between two packets, and the slices of packet time in which packets wait (µs).
 SKEW, WIDTH = 2_000_000, 2_000_000
+#: Packets in one entry of the state, and rows handed on at once.
+BLOCK, ROWS = 4096, 8192
 
 
 def whole_numbers(schema: T.StructType) -> dict[str, str]:
@@ -29,8 +32,9 @@ def whole_numbers(schema: T.StructType) -> dict[str, str]:
 class OrderedMeter(StatefulProcessor):
     """Holds the packets of a key until their turn comes; ``Segmenter`` and ``FlowSummer`` say what becomes of them.
 
-    State of a key: the machine of its current flow as JSON, and the waiting packets as Arrow batches in a map by (slice of
-    packet time, part). A timer wakes the key when the watermark has passed a slice.
+    State of a key: the machine of its current flow as JSON, and the waiting packets in blocks of neighbours in packet time,
+    with the slices that each block has packets of. One timer at a time wakes the key, when the watermark has passed its
+    first waiting slice; it then goes through all slices that the watermark has passed.
     """
 
     def __init__(self, key: Sequence[str], packet: T.StructType, out: T.StructType, timeout: int, idle: int, skew: int,
@@ -46,7 +50,7 @@ class OrderedMeter(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.held = handle.getValueState("held", "value string")
-        self.chunks = handle.getMapState("chunks", "slice long, part long", "packets binary")
+        self.chunks = handle.getMapState("chunks", "block long", "packets binary")
 
     def close(self) -> None:
         pass
@@ -55,28 +59,50 @@ class OrderedMeter(StatefulProcessor):
 
     def _load(self) -> dict:
         held = self.held.get() if self.held.exists() else None
-        return json.loads(held[0]) if held else {"track": None, "flow": None, "slices": {}, "wake": None}
-
-    def _keep(self, slices: dict, number: int, packets: pa.RecordBatch) -> None:
-        part = slices.get(str(number), 0)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, self.arrow) as writer:
-            writer.write_batch(packets)
-        self.chunks.updateValue((number, part), (sink.getvalue().to_pybytes(),))
-        slices[str(number)] = part + 1
-
-    def _take(self, slices: dict, number: int) -> list[dict]:
-        out: list[dict] = []
-        for part in range(slices.pop(str(number))):
-            out += pa.ipc.open_stream(self.chunks.getValue((number, part))[0]).read_all().to_pylist()
-            self.chunks.removeKey((number, part))
-        return out
+        return json.loads(held[0]) if held else {
+            "track": None, "flow": None, "blocks": {}, "next": 0, "due": None, "wake": None}
+
+    def _keep(self, state: dict, packets: pa.RecordBatch) -> None:
+        """Store packets that are in order of time."""
+        times = packets.column(packets.schema.get_field_index("ts_us")).to_numpy()
+        for at in range(0, packets.num_rows, BLOCK):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, self.arrow) as writer:
+                writer.write_batch(packets.slice(at, BLOCK))
+            self.chunks.updateValue((state["next"],), (sink.getvalue().to_pybytes(),))
+            state["blocks"][str(state["next"])] = np.unique(times[at:at + BLOCK] // self.width).tolist()
+            state["next"] += 1
+
+    def _taker(self, blocks: dict, loaded: dict[int, list[dict]]):
+        """Hands out the packets of a slice; other slices of the blocks that it takes from the state wait in ``loaded``."""
+        having: dict[int, list[str]] = {}
+        for block, slices in blocks.items():
+            for number in slices:
+                having.setdefault(number, []).append(block)
+
+        def take(number: int) -> list[dict]:
+            for block in having.get(number, []):
+                if blocks.pop(block, None) is not None:
+                    for packet in pa.ipc.open_stream(self.chunks.getValue((int(block),))[0]).read_all().to_pylist():
+                        loaded.setdefault(packet["ts_us"] // self.width, []).append(packet)
+                    self.chunks.removeKey((int(block),))
+            return loaded.pop(number, [])
+
+        return take
+
+    def _wait(self, state: dict) -> None:
+        """Set the timer for the first waiting slice."""
+        first = min((slices[0] for slices in state["blocks"].values()), default=None)
+        due = None if first is None else due_ms(first, self.width, self.skew)
+        if due != state["due"]:
+            if due is not None:
+                self.handle.registerTimer(due)
+            state["due"] = due
 
     # -- calls
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state, mark = self._load(), timerValues.getCurrentWatermarkInMs()
-        slices = state["slices"]
         for frame in rows:
             late = frame["ts_us"] // 1000 < mark
             if late.any():
@@ -88,39 +114,39 @@ class OrderedMeter(StatefulProcessor):
                 made["late"] = lost.to_json(orient="records", lines=True).splitlines()
                 yield made[self.columns].astype(self.kinds)
                 frame = frame[~late]
-            for number, part in frame.groupby(frame["ts_us"] // self.width, sort=True):
-                number = int(number)
-                if str(number) not in slices:
-                    self.handle.registerTimer(due_ms(number, self.width, self.skew))
-                self._keep(slices, number, pa.RecordBatch.from_pandas(
-                    part[self.arrow.names], schema=self.arrow, preserve_index=False))
+            self._keep(state, pa.RecordBatch.from_pandas(
+                frame.sort_values("ts_us")[self.arrow.names], schema=self.arrow, preserve_index=False))
+        self._wait(state)
         self.held.update((json.dumps(state),))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.held.exists():
             return
         state, mark = self._load(), timerValues.getCurrentWatermarkInMs()
-        slices, named = state["slices"], dict(zip(self.key_names, key, strict=True))
+        named, blocks = dict(zip(self.key_names, key, strict=True)), state["blocks"]
         track = (tracking.Track(self.timeout, self.idle) if state["track"] is None
                  else tracking.Track.from_row(state["track"], self.timeout, self.idle))
         self.open(state["flow"])
-        waiting = [int(s) for s in slices]
+        waiting = sorted({number for slices in blocks.values() for number in slices})
         ready = {n for n in waiting if due_ms(n, self.width, self.skew) <= mark}
+        loaded: dict[int, list[dict]] = {}
         left: dict[int, list[dict]] = {}
-        for packets, left in released(waiting, ready, lambda n: self._take(slices, n), self.width):
+        for packets, left in released(waiting, ready, self._taker(blocks, loaded), self.width):
             for packet in packets:
                 packet.update(named)
                 for label in folds.advance(track, packet["num"], packet["ts_us"], packet["side"], packet["symbol"], packet["len"]):
                     self.packet(packet, label)
-            yield from self.done(named)
-        for number, packets in left.items():  # of the slice after the last one
-            if packets:
-                self._keep(slices, number, pa.RecordBatch.from_pylist(packets, self.arrow))
+            if len(self.rows) >= ROWS:
+                yield from self.done(named)
+        back = sorted((p for packets in (*left.values(), *loaded.values()) for p in packets), key=lambda p: p["ts_us"])
+        if back:
+            self._keep(state, pa.RecordBatch.from_pylist(back, self.arrow))
+        self._wait(state)
         if track.pairs is not None and self._silent_ms(track) < mark:
             self.packet(None, folds.ended(track.start, track.front))
             track.pairs = None
-            yield from self.done(named)
-        if track.pairs is None and not slices:
+        yield from self.done(named)
+        if track.pairs is None and not blocks:
             self.held.clear()
             return
         wake = None if track.pairs is None else self._silent_ms(track) + 1
@@ -145,7 +171,8 @@ class OrderedMeter(StatefulProcessor):
 
     def done(self, named: dict) -> Iterator[pd.DataFrame]:
         if self.rows:
-            yield pd.DataFrame(self.rows, columns=self.columns, dtype=object).astype(self.kinds)
+            rows = [[row.get(c) for c in self.columns] for row in self.rows]
+            yield pd.DataFrame(rows, columns=self.columns, dtype=object).astype(self.kinds)
             self.rows = []
 
 

@@ -6,10 +6,13 @@ import time
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.functions.waiting import due_ms, released
 from flowloom.operators.dashboards import blocklist, composed
 from flowloom.operators.features import flow_records, flow_statistics
+from flowloom.operators.packets import KEY, canonical
+from flowloom.operators.segment import symbol
 from flowloom.plans.registry import queries
 from flowloom.plans.scoring import rule_predict
 from flowloom.schema import PACKET_SCHEMA
@@ -17,6 +20,7 @@ from flowloom.sources.commits import Store
 from flowloom.sources.fixtures import geo_ranges, packets_from_events
 from flowloom.sources.flows import encode_wire, write_flows
 from flowloom.sources.growing import lines_between, read_growing, whole_lines_end
+from flowloom.streaming import meter, ordered
 from flowloom.streaming.detect import read_flow_stream, relay_lines, run_committed
 from flowloom.streaming.late import run_sorter
 from flowloom.streaming.meter import meter_batches, run_flow_meter, run_meter
@@ -86,6 +90,41 @@ def test_waiting_slices_give_the_order_of_numbers():
     assert [p["num"] for p in out] == list(range(300))
 
 
+class Held(dict):
+    """A value or a map of a stream's state, and the timers that are set."""
+
+    def __init__(self):
+        super().__init__()
+        self.timers = []
+        self.removeKey, self.updateValue, self.getValue = self.pop, self.__setitem__, self.__getitem__
+        self.registerTimer, self.update = self.timers.append, lambda row: self.__setitem__("row", row)
+
+    def exists(self):
+        return "row" in self
+
+    def get(self):
+        return self["row"]
+
+
+def test_a_key_with_many_slices_has_few_entries_and_one_timer(spark):
+    from types import SimpleNamespace
+
+    packets = canonical(frame_of(spark, [tcp(i, i * 3_000_000, "cs"[i % 2], ACK, 40 + i % 9) for i in range(500)])).withColumn(
+        "symbol", symbol()).drop("srcip", "srcport", "dstip", "dstport").withColumn("chunk", F.lit(0).cast("bigint"))
+    out = meter._labelled_schema(packets.schema.fields)
+    kind = ordered.Segmenter(KEY, packets.schema, T.StructType([T.StructField(f.name, f.dataType) for f in out]),
+                             600_000_000, 1_000_000, 2_000_000, 2_000_000)
+    held, chunks, at = Held(), Held(), lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    kind.init(SimpleNamespace(getValueState=lambda *_: held, getMapState=lambda *_: chunks, registerTimer=held.registerTimer))
+    rows = packets.toPandas()
+    key = tuple(rows[KEY].iloc[0])
+    assert list(kind.handleInputRows(key, iter([rows[250:], rows[:250]]), at(0))) == []
+    assert len(chunks) == 2 and len(held.timers) == 1
+    made = [*kind.handleExpiredTimer(key, at(700_000), None), *kind.handleExpiredTimer(key, at(1_500_000), None)]
+    assert [len(m) for m in made] == [232, 267] and [n for m in made for n in m["num"]] == list(range(499))
+    assert len(chunks) == 1 and len(held.timers) <= 5
+
+
 def test_rows_without_a_time_and_odd_names(spark, tmp_path):
     rows = [(1, 5, "a"), (2, 100, "b"), (3, None, "c"), (4, 300, "d"), (5, 10, "e")]
     for part in ([0, 1, 2], [3], [4]):
