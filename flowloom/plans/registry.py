@@ -260,9 +260,13 @@ def _describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shape and rules of the tree that two splits must give, stored and loaded, and what it says of each kind of flow."""
+    """Shape and rules of the tree that two splits must give, stored and loaded, and what it says of each kind of flow.
+
+    It learns from captures of two seconds: the longer a datagram flow, the likelier a DSCP that is not zero, and whole
+    tables may have no other, where one split would do.
+    """
     held = versions.Models(spark, new_path(spark, "described"))
-    held.publish(_offline(spark, sf_dir)[0])
+    held.publish(_offline(spark, sf_dir, meter.meter_windows(_packets(spark, sf_dir)))[0])
     model = held.load(held.current())
     shape = models.describe_model(spark, model).select("nodes", "depth", F.array_join(F.array_sort("indices"), ",").alias("indices"))
     kinds = _flows(spark, sf_dir).groupBy("proto", (F.col("dscp") == 0).cast("int").alias("no_dscp")).agg(
@@ -325,10 +329,11 @@ def _stored_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 SIMPLE_FEATURES = ["proto", "dscp"]
 
 
-def _offline(spark: SparkSession, sf_dir: str):
+def _offline(spark: SparkSession, sf_dir: str, metered: DataFrame | None = None):
     """Features with so few values that every split is tried, and a label that two splits give."""
     alert = (F.col("proto") == 6) & (F.col("dscp") == 0)
-    flows = _flows(spark, sf_dir).withColumn("class", F.when(alert, "1").otherwise("0"))
+    metered = _flows(spark, sf_dir) if metered is None else metered
+    flows = metered.withColumn("class", F.when(alert, "1").otherwise("0"))
     return models.offline_run(flows, [*KEY_FIELDS, "flow_start"], features=SIMPLE_FEATURES, k=2)
 
 

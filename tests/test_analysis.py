@@ -1,11 +1,13 @@
 import random
 
 import pytest
+from conftest import SF
 
 from flowloom.functions.columns import ip_to_long
 from flowloom.operators import dashboards, evaluate, prepare, select
 from flowloom.operators.geo import locate, unusable_ranges
 from flowloom.plans import model as models
+from flowloom.plans.registry import queries
 from flowloom.plans.scoring import document_time
 from flowloom.schema import GEO_SCHEMA, MODEL_FIELDS, WIRE_FIELDS
 from flowloom.sources.flows import (decode_wire, encode_wire, read_feature_dictionary, read_flows, wire_rejects,
@@ -166,3 +168,13 @@ def test_times_and_intervals(spark):
     got = [r[0] for r in table.select(F.unix_seconds(document_time(F.col("t")))).collect()]
     assert got == [1704164645, 1704153600, 1704164645]
     assert dashboards.auto_interval(60) == "5 seconds" and dashboards.auto_interval(86400) == "30 minutes"
+
+
+def test_the_described_tree_has_two_splits_without_datagram_flows_of_dscp_zero(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")  # all datagrams of one user: a flow with replies that have a DSCP
+    events.withColumn("user_id", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id"))).write.parquet(
+        f"{tmp_path}/events.parquet")
+    rows = queries()["dt_described_rules"](spark, str(tmp_path)).collect()
+    assert (17, 1) not in {(r.proto, r.no_dscp) for r in rows}
+    assert {(r.nodes, r.depth, r.indices) for r in rows} == {(5, 2, "0,1")}
+    assert all(r.predicted == float((r.proto, r.no_dscp) == (6, 1)) for r in rows)
