@@ -422,6 +422,21 @@ def test_near_copies_against_brute_force(spark, docs, empty, monkeypatch):
     assert len(left) < len({r["component_id"] for r in simhash.near_duplicates(given).collect()})
 
 
+def test_near_duplicates_of_the_pipeline_go_through_their_fingerprints(spark, monkeypatch):
+    prepare(spark)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words) + " ", " ".join([*words, "end"]), "quite another text of a few words", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held, confirmed, inner, confirm = [], [], simhash.links, overlap._confirmed
+    monkeypatch.setattr(simhash, "links", lambda codes, *a: held.append({r[0] for r in codes.collect()}) or inner(codes, *a))
+    monkeypatch.setattr(overlap, "_confirmed", lambda pairs, *a: confirmed.append(pairs.count()) or confirm(pairs, *a))
+    monkeypatch.setattr(overlap, "_met", lambda batches: iter(()))  # nothing meets at a leading shingle
+    prints = {simhash.simhash(t) for t in texts}
+    assert bin((simhash.simhash(texts[0]) ^ simhash.simhash(texts[2])) & (1 << 64) - 1).count("1") <= simhash.RADIUS
+    left = {r["doc_id"] for r in stages.drop_near_duplicates(spark, rows, SF).collect()}
+    assert left == {0, 3, 4} and held == [prints] and confirmed == [1, 0]
+
+
 def test_every_class_keeps_one_row(spark):
     """Rows without an id, different texts under one id, and repeated rows."""
     prepare(spark)
