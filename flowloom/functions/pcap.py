@@ -134,12 +134,12 @@ def number_stretches(batches):
             if row["guess"] != expected:
                 with open_capture(current) as handle:
                     count, after, cut = hop(handle, layout(handle)[0], expected, row["stop"], row["length"])
-            out.append((current, expected, row["stop"], number, after if cut else None))
+            out.append((current, expected, row["stop"], number, after if cut else None, count))
             expected, number = None if cut else after, number + count
         if out:
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            kinds = [pa.string(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
-                                             ["path", "begin", "stop", "first", "cut_at"])
+                                             ["path", "begin", "stop", "first", "cut_at", "records"])
 
 
 def read_stretches(batches):

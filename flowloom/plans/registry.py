@@ -377,12 +377,12 @@ def _stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _captured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames written as capture files and read back with their record numbers."""
+    """Frames written as three captures, each in files for ranges of its frames, and read back with their record numbers."""
     base, frames = new_path(spark, "captures"), _frames(spark, sf_dir)
     for part in range(3):
-        share = frames.filter(F.col("num") % 3 == part).repartitionByRange(1, "num").sortWithinPartitions("num")
+        share = frames.filter(F.col("num") % 3 == part).repartitionByRange("num").sortWithinPartitions("num")
         write_captures(share, f"{base}/{part}")
-    found = read_captures(spark, f"{base}/*/*.pcap", span=1 << 16)
+    found = read_captures(spark, f"{base}/*/*.pcap", span=1 << 16, rotated=True)
     return found.select(F.regexp_extract("capture", r"/(\d)/[^/]*$", 1).cast("int").alias("part"), F.col("num").alias("record"),
                         F.round(F.col("ts") * 1_000_000).cast("long").alias("ts_us"),
                         F.octet_length("frame").alias("length"), F.md5("frame").alias("digest"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions import pcap
 from flowloom.schema import FRAME_SCHEMA
+from flowloom.session import shared_folder
 
 register_pickle_by_value(pcap)
 
@@ -23,18 +24,28 @@ def _stretches(spark: SparkSession, paths: str | Sequence[str], span: int) -> Da
         pcap.probe_stretches, "path string, length bigint, part bigint, stop bigint, guess bigint, count bigint, "
         "after bigint, cut boolean")
     return probed.repartition("path").sortWithinPartitions("path", "part").mapInArrow(
-        pcap.number_stretches, "path string, begin bigint, stop bigint, first bigint, cut_at bigint")
+        pcap.number_stretches, "path string, begin bigint, stop bigint, first bigint, cut_at bigint, records bigint")
 
 
-def read_captures(spark: SparkSession, paths: str | Sequence[str], span: int = pcap.STRETCH) -> DataFrame:
+def read_captures(spark: SparkSession, paths: str | Sequence[str], span: int = pcap.STRETCH, rotated: bool = False) -> DataFrame:
     """Frames of pcap files: ``capture`` (file), ``num`` (record number in it, from 1), ``ts``, ``frame``.
 
     Only the file listing goes through the driver.  Files are cut into stretches of ``span`` bytes.  Each stretch
     finds, on its own, where its first record seems to begin and counts from there; one row per stretch is then
     put together per file, where a wrong guess is noticed and mended.  No task reads a whole file, frames are
-    streamed.  ``capture`` belongs in ``within`` when flows must not span files.
+    streamed.  With ``rotated``, the files of a folder are one capture in the order of their names, whose record numbers
+    go on from file to file.  ``capture`` belongs in ``within`` when flows must not span files.
     """
-    return _stretches(spark, paths, span).drop("cut_at").repartition("path", "first").mapInArrow(
+    found = _stretches(spark, paths, span)
+    if rotated:
+        shared_folder(spark)
+        found = found.checkpoint()  # a row for each stretch, read twice
+        before = Window.partitionBy(F.regexp_extract("path", "^(.*)/", 1)).orderBy("path").rowsBetween(
+            Window.unboundedPreceding, -1)
+        files = found.groupBy("path").agg(F.sum("records").alias("n")).select(
+            "path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        found = found.join(files, "path").withColumn("first", F.col("first") + F.col("before")).drop("before")
+    return found.select("path", "begin", "stop", "first").repartition("path", "first").mapInArrow(
         pcap.read_stretches, CAPTURE_SCHEMA)
 
 

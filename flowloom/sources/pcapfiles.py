@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -43,7 +44,7 @@ class CaptureWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, folder = growing.open_folder(self.draft)
-        name, count, out = f"{uuid.uuid4().hex}.pcap", 0, None
+        name, count, out = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.pcap", 0, None
         try:
             for batch in iterator:
                 if out is None and batch.num_rows:
@@ -96,6 +97,7 @@ class CaptureFiles(DataSource):
 
 
 def write_captures(frames: DataFrame, path: str, mode: str = "append") -> None:
-    """Frames (``ts`` in seconds, ``frame``) as capture files below ``path``, in the order they have in their partitions."""
+    """Frames (``ts`` in seconds, ``frame``) as capture files below ``path``, one for each partition; their names have the order of the
+    partitions, so sorted frames make one capture in several files (``read_captures`` with ``rotated``)."""
     frames.sparkSession.dataSource.register(CaptureFiles)
     frames.select("ts", "frame").write.format(FORMAT).mode(mode).save(path)

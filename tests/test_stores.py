@@ -122,3 +122,16 @@ def test_the_bucket_follows_the_span(spark):
         names = dict(zip(dashboards.LADDER, dashboards._SECONDS, strict=True))
         assert {r.step for r in rows} == {names[dashboards.auto_interval(seconds)]}
         assert sum(r.attacks for r in rows) == 20 and len(rows) <= 52 or seconds > 100_000_000
+
+
+def test_one_capture_in_several_files_has_one_count(spark, tmp_path):
+    frames = spark.range(3000).selectExpr("id * 1.0D as ts", "cast(repeat('x', 20 + id % 50) as binary) as frame")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_captures(frames.repartitionByRange("ts").sortWithinPartitions("ts"), f"{tmp_path}/one")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert len(list((tmp_path / "one").glob("*.pcap"))) > 1
+    found = read_captures(spark, f"{tmp_path}/one/*.pcap", span=4096, rotated=True)
+    assert {(r.num, r.ts) for r in found.collect()} == {(i + 1, float(i)) for i in range(3000)}
