@@ -40,8 +40,11 @@ def short_frames(frames: DataFrame) -> DataFrame:
 
 
 def _ipv4(frames: DataFrame, **more: Column) -> DataFrame:
-    """IPv4 frames with their fixed header read as a few whole numbers, each exactly once per row."""
-    frame = F.col("frame")
+    """IPv4 frames with their fixed header read as a few whole numbers, each exactly once per row.
+
+    A frame that is itself computed is too: else each filter and each field would compute it anew.
+    """
+    frames, frame = frames.withColumn("frame", once(F.col("frame"))), F.col("frame")
     words = {"w0": unsigned(frame, IP_AT, 4), "w1": unsigned(frame, IP_AT + 9, 7),
              "dst": unsigned(frame, IP_AT + 16, 4), "left": F.length(frame), **more}
     read = F.inline(F.array(F.struct(*[v.alias(n) for n, v in words.items()])))

@@ -1,6 +1,7 @@
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import frame_of, tcp, udp
 
@@ -124,3 +125,10 @@ def test_anchored_windows_of_many_blocks(spark):
     table = spark.createDataFrame(rows, "num bigint, ts_us bigint")
     placed = anchored_windows(table, [], 50, scan_span=512, block_windows=1)
     assert {x.num: x.window_start for x in placed.collect()} == _chain(rows, 50)
+
+
+def test_a_computed_frame_is_computed_once(spark):
+    frames = spark.createDataFrame([(1, 0.0, b"")], "num long, ts double, frame binary")
+    computed = frames.withColumn("frame", F.concat("frame", F.sha2(F.col("frame"), 256).cast("binary")))
+    for decode in (decode_frames, decode_headers):
+        assert decode(computed)._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
