@@ -33,7 +33,7 @@ from flowloom.functions.folds import LABELS, chain, enter, go_through, label, su
 from flowloom.functions.tracking import HEAD_LIMIT, UDP_SYMBOL
 from flowloom.operators.datagrams import label_datagrams
 from flowloom.operators.packets import KEY, TCP, UDP, canonical
-from flowloom.session import shared_folder
+from flowloom.session import new_path, shared_folder
 
 # executors need no copy of the package: the task-side helpers travel with the job
 register_pickle_by_value(folds)
@@ -165,37 +165,44 @@ def segment(packets: DataFrame, within: Sequence[str] = (), timeout: int = FLOW_
     # the key and the side give the endpoints back, so they needn't go through the exchange
     keyed = canonical(packets).withColumn("symbol", symbol()).drop("srcip", "srcport", "dstip", "dstport")
     hot = None if hot_rows is None else hot_keys(packets, within, hot_rows)
-    datagrams = _datagrams(keyed.filter(F.col("proto") != TCP), key, hot, timeout, idle, chunk_span)
+    if hot is None:
+        marked = keyed.withColumns({"chunk": F.lit(0).cast("bigint"), "hot": F.lit(False)})
+    else:
+        kept = keyed if only is None else keyed.filter(F.col("proto") == TCP if only == TCP else F.col("proto") != TCP)
+        marked = _marked(kept, key, hot, chunk_span)
+    datagrams = _datagrams(marked.filter(F.col("proto") != TCP), key, hot is not None, timeout, idle)
     if only == UDP:
         return datagrams
-    streams = _streams(keyed.filter(F.col("proto") == TCP), key, hot, timeout, idle, chunk_span, head_limit)
+    streams = _streams(marked.filter(F.col("proto") == TCP), key, hot is not None, timeout, idle, head_limit)
     return streams if only == TCP else streams.unionByName(datagrams)
 
 
-def _number(chunk_span: int) -> Column:
-    return F.call_function("div", F.col("num"), F.lit(chunk_span)).cast("bigint")
+def _marked(keyed: DataFrame, key: Sequence[str], hot: DataFrame, chunk_span: int) -> DataFrame:
+    """The packets with ``hot`` and their ``chunk`` (0 for other keys), stored: hot keys are read several times, and a
+    filter on a key that is computed would compute it anew for each condition."""
+    number = F.call_function("div", F.col("num"), F.lit(chunk_span))
+    marked = keyed.join(hot.withColumn("hot", F.lit(True)), key, "left").withColumns({
+        "chunk": F.when(F.col("hot"), number).otherwise(0).cast("bigint"), "hot": F.coalesce("hot", F.lit(False))})
+    path = new_path(keyed.sparkSession, "packets")
+    marked.write.parquet(path)
+    return keyed.sparkSession.read.schema(marked.schema).parquet(path)
 
 
-def _datagrams(keyed: DataFrame, key: Sequence[str], hot: DataFrame | None, timeout: int, idle: int, chunk_span: int) -> DataFrame:
+def _datagrams(marked: DataFrame, key: Sequence[str], cut: bool, timeout: int, idle: int) -> DataFrame:
     """All keys but the hot ones as one window each, the hot ones in stretches."""
-    whole = keyed.withColumn("chunk", F.lit(0).cast("bigint"))
-    if hot is None:
-        return label_datagrams(whole, key, timeout, idle)
-    cut = keyed.join(hot, key, "left_semi").withColumn("chunk", _number(chunk_span))
-    return label_datagrams(whole.join(hot, key, "left_anti"), key, timeout, idle).unionByName(
-        label_datagrams(cut, key, timeout, idle, cut=True))
+    whole = label_datagrams(marked.filter(~F.col("hot")).drop("hot"), key, timeout, idle)
+    if not cut:
+        return whole
+    return whole.unionByName(label_datagrams(marked.filter("hot").drop("hot"), key, timeout, idle, cut=True))
 
 
-def _streams(keyed: DataFrame, key: Sequence[str], hot: DataFrame | None, timeout: int, idle: int, chunk_span: int,
-             head_limit: int) -> DataFrame:
-    if hot is None:
-        rows = keyed.withColumns({"chunk": F.lit(0).cast("bigint"), "entry": F.lit(None).cast(_ENTRY)})
+def _streams(marked: DataFrame, key: Sequence[str], cut: bool, timeout: int, idle: int, head_limit: int) -> DataFrame:
+    if not cut:
+        rows = marked.drop("hot").withColumn("entry", F.lit(None).cast(_ENTRY))
     else:
-        marked = keyed.join(hot.withColumn("hot", F.lit(True)), key, "left").withColumn(
-            "chunk", F.when(F.col("hot"), _number(chunk_span)).otherwise(0).cast("bigint")).drop("hot")
-        cut = keyed.join(hot, key, "left_semi").withColumn("chunk", _number(chunk_span))
-        entries = _chunk_entries(cut, key, timeout, idle, head_limit).withColumn("num", F.lit(-1).cast("bigint"))
-        rows = marked.unionByName(entries, allowMissingColumns=True).fillna(
+        entries = _chunk_entries(marked.filter("hot").drop("hot"), key, timeout, idle, head_limit).withColumn(
+            "num", F.lit(-1).cast("bigint"))
+        rows = marked.drop("hot").unionByName(entries, allowMissingColumns=True).fillna(
             0, ["ts_us", "side", "symbol", "len"])
     ranked = _ranked(rows, [*key, "chunk"])
     kept = [f for f in ranked.schema.fields if f.name not in ("rank", "entry")]

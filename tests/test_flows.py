@@ -106,6 +106,20 @@ def test_hot_keys_give_the_same_flows(spark, plain, hot_rows, span):
     assert sorted(rows, key=lambda r: (r.flow_start, r.proto)) == plain
 
 
+def test_hot_keys_read_the_packets_twice(spark):
+    """Once to count the keys, once to mark the packets: what comes after reads what was stored."""
+    taken, rows = spark.sparkContext.accumulator(0), packets_from_events(spark, SF)
+
+    def counted(batches):
+        for batch in batches:
+            taken.add(batch.num_rows)
+            yield batch
+
+    flows = flow_records(rows.mapInArrow(counted, rows.schema), hot_rows=20, chunk_span=1000)
+    assert flows.count() > 0
+    assert taken.value == 2 * rows.count()
+
+
 @pytest.mark.parametrize("limit", [1, 16])
 def test_clocks_that_jump(spark, limit):
     rows = packets_from_events(spark, SF).selectExpr(
