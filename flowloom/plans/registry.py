@@ -509,8 +509,8 @@ def _stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.filter(behind).repartition(BATCH_FILES).write.mode("append").parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", str(BATCH_FILES)).parquet(f"{base}/in")
     rows.unpersist()
-    late.run_sorter(stream, "at", f"{base}/kept", f"{base}/late", f"{base}/state", LATENESS, interval=None,
-                    partitions=STREAM_PARTITIONS).awaitTermination()
+    late.run_sorter(stream, "at", f"{base}/kept", f"{base}/late", f"{base}/state", LATENESS,
+                    interval=None).awaitTermination()
     return spark.read.parquet(f"{base}/kept").withColumn("late", F.lit(0)).unionByName(
         spark.read.parquet(f"{base}/late").withColumn("late", F.lit(1))).select("num", "ts_us", "len", "late")
 

@@ -4,35 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
-
-#: Parts of the stream that are compared with the watermark side by side.
-PARTS = 64
-
-
-class Sorter(StatefulProcessor):
-    """Adds ``late``: whether a row's time lies before the watermark of the batch in which it came."""
-
-    def __init__(self, names: list[str]):
-        self.names = names
-
-    def init(self, handle) -> None:
-        pass
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        for frame in rows:
-            out = frame[[f"c{i}" for i in range(len(self.names))]].set_axis(self.names, axis=1)
-            yield out.assign(late=(frame["time_us"] // 1000 < mark).fillna(False).astype(bool))
-
-    def close(self) -> None:
-        pass
-
+from pyspark.sql.streaming import StreamingQuery
 
 @contextmanager
 def state_partitions(spark: SparkSession, partitions: int | None) -> Iterator[None]:
@@ -48,30 +24,38 @@ def state_partitions(spark: SparkSession, partitions: int | None) -> Iterator[No
         spark.conf.set(name, before)
 
 
-def mark_late(stream: DataFrame, time: str, lateness: str = "10 minutes", parts: int = PARTS) -> DataFrame:
-    """The rows of ``stream`` with ``late``: whether timestamp ``time`` lies before the watermark, ``lateness`` behind the
-    latest time of earlier batches. No row is lost; a row without a time is not late."""
-    # the operator gets the time as a number: it would drop late rows itself if it saw the watermark's column
-    marked = stream.withColumn("_event_time", F.col(time)).withWatermark("_event_time", lateness)
-    # and it reads rows as named tuples, whose names may not be any
-    keyed = marked.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(stream.columns)],
-                          F.pmod(F.xxhash64(*stream.columns), F.lit(parts)).alias("part"),
-                          F.unix_micros("_event_time").alias("time_us"))
-    out = T.StructType([*stream.schema.fields, T.StructField("late", T.BooleanType())])
-    return keyed.groupBy("part").transformWithStateInPandas(Sorter(stream.columns), out, "append", "EventTime")
+def _mark_late(batch: DataFrame, batch_id: int, time: str, wait: timedelta, marks: str) -> DataFrame:
+    """The rows of ``batch`` with ``late``. The latest time up to each batch is stored under ``marks`` and read by the next, so
+    a batch that is repeated is compared with the same time."""
+    latest = F.unix_millis(F.max(time))
+    if batch_id > 0:
+        before = batch.sparkSession.read.parquet(f"{marks}/batch={batch_id - 1}").head()[0]
+        latest = F.greatest(latest, F.lit(before).cast("bigint"))
+    else:
+        before = None
+    batch.agg(latest.alias("latest")).coalesce(1).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+    late = F.lit(False) if before is None else F.coalesce(
+        F.unix_millis(time) < before - wait // timedelta(milliseconds=1), F.lit(False))
+    return batch.withColumn("late", late)
 
 
 def run_sorter(stream: DataFrame, time: str, kept: str, late: str, checkpoint: str, lateness: str = "10 minutes",
-               interval: str | None = "2 seconds", parts: int = PARTS, partitions: int | None = None) -> StreamingQuery:
-    """Store rows in time under ``kept`` and late ones under ``late``, a folder for each batch; a replay rewrites its own."""
+               interval: str | None = "2 seconds") -> StreamingQuery:
+    """Store rows in time under ``kept`` and late ones under ``late``, a folder for each batch; a replay rewrites its own.
+
+    A row is late if timestamp ``time`` lies more than ``lateness`` before the latest time of earlier batches. No row is
+    lost; a row without a time is not late. The rows need no state: what a batch has to know is one number.
+    """
+    wait = stream.sparkSession.sql(f"select interval {lateness}").head()[0]
+
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            batch.where("not late").drop("late").write.mode("overwrite").parquet(f"{kept}/batch={batch_id}")
-            batch.where("late").drop("late").write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+            marked = _mark_late(batch, batch_id, time, wait, f"{checkpoint}/latest")
+            marked.where("not late").drop("late").write.mode("overwrite").parquet(f"{kept}/batch={batch_id}")
+            marked.where("late").drop("late").write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
         finally:
             batch.unpersist()
 
-    writer = mark_late(stream, time, lateness, parts).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
-    with state_partitions(stream.sparkSession, partitions):
-        return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+    writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

@@ -139,6 +139,20 @@ def test_rows_without_a_time_and_odd_names(spark, tmp_path):
     assert sorted(r[0] for r in kept.collect()) == [1, 2, 3, 4] and [r[0] for r in late.collect()] == [5]
 
 
+def test_rows_are_late_after_a_restart_too(spark, tmp_path):
+    """The second run knows the latest time of the first; rows without a time are not late."""
+    folders = [str(tmp_path / n) for n in ("kept", "late", "state")]
+    for number, rows in enumerate(([(1, 1000, 1), (2, None, 2)], [(3, 2000, 3), (4, 939, 4), (5, 940, 5)], [(6, 1939, 6), (7, None, 7)])):
+        spark.createDataFrame(rows, "id int, _at long, of int").select("id", F.timestamp_seconds("_at").alias("time"), "of").coalesce(
+            1).write.parquet(str(tmp_path / f"in/{number}"))
+        stream = spark.readStream.schema("id int, time timestamp, of int").parquet(str(tmp_path / "in/*"))
+        query = run_sorter(stream, "time", *folders, "1 minute", interval=None)
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"] == []
+    kept, late = (spark.read.parquet(n) for n in folders[:2])
+    assert {r.id for r in kept.collect()} == {1, 2, 3, 5, 7} and {r.id for r in late.collect()} == {4, 6}
+
+
 def test_each_batch_is_a_capture(spark, tmp_path):
     packets = packets_from_events(spark, SF)
     packets.filter("num < 4000").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
