@@ -41,20 +41,6 @@ def ip_to_long(ip: Column) -> Column:
     return F.when(valid, value)
 
 
-def whole_stddev(squares: str, total: str, count: str) -> str:
-    """SQL for the truncated sample deviation with floored integer quotients; 0 for fewer than two values.
-
-    ``squares`` is DECIMAL, the others BIGINT expressions.  Quotients are taken in DECIMAL(38,0) after removing
-    the remainder, which is exact; ``div`` on wide decimals would be cut to 64 bits.
-    """
-    wide = "decimal(38,0)"
-    n = f"cast({count} as decimal(19,0))"
-    square = f"cast(cast({total} as decimal(19,0)) * cast({total} as decimal(19,0)) as {wide})"
-    rest = f"({squares} - cast(({square} - {square} % {n}) / {n} as {wide}))"
-    variance = f"cast(({rest} - {rest} % ({n} - 1)) / ({n} - 1) as {wide})"
-    return f"if({count} > 1, cast(floor(sqrt(cast({variance} as double))) as bigint), 0L)"
-
-
 # The geohash alphabet.
 GEOHASH_ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 

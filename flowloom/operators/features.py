@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.functions.columns import whole_stddev
 from flowloom.operators.packets import FLAG_BITS, KEY, TCP, UDP
 from flowloom.operators.segment import FLOW_TIMEOUT, IDLE_THRESHOLD, segment
 from flowloom.schema import RECORD_FIELDS
@@ -53,6 +52,38 @@ def _square_sum(name: str) -> str:
     return f"cast(cast({name}_qh as decimal(19,0)) * {_TOP} + {name}_ql as decimal(38,0))"
 
 
+def _once(rows: DataFrame, values: dict[str, str]) -> DataFrame:
+    """``rows`` with more columns, computed in a step of their own: merged into one, the steps of ``finish_flows`` copy each
+    other's expressions and make a method that is too long to be compiled."""
+    return rows.select("*", F.inline(F.array(F.struct(*[F.expr(e).alias(n) for n, e in values.items()]))))
+
+
+def _with_stddevs(rows: DataFrame, series: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """Truncated sample deviations with floored integer quotients; 0 for fewer than two values.
+
+    ``series`` has the square sum (DECIMAL), total and count (BIGINT) of each. Quotients are taken in DECIMAL(38,0) after
+    removing the remainder, which is exact; ``div`` on wide decimals would be cut to 64 bits.
+    """
+    wide = "decimal(38,0)"
+
+    def number(count: str) -> str:
+        return f"cast({count} as decimal(19,0))"
+
+    rows = _once(rows, {f"_{name}_of_sum": f"cast({number(total)} * {number(total)} as {wide})"
+                        for name, (_, total, _) in series.items()})
+    rest = {}
+    for name, (squares, _, count) in series.items():
+        square, n = f"_{name}_of_sum", f"nullif({number(count)}, 0)"
+        rest[f"_{name}_rest"] = f"{squares} - cast(({square} - {square} % {n}) / {n} as {wide})"
+    rows = _once(rows, rest)
+    out = {}
+    for name, (_, _, count) in series.items():
+        left, less = f"_{name}_rest", f"({number(count)} - 1)"
+        variance = f"cast(({left} - {left} % {less}) / {less} as {wide})"
+        out[name] = f"if({count} > 1, cast(floor(sqrt(cast({variance} as double))) as bigint), 0L)"
+    return _once(rows, out)
+
+
 def flow_statistics(segmented: DataFrame, within: Sequence[str] = (),
                     idle: int = IDLE_THRESHOLD) -> DataFrame:
     """Flow records from ``segment`` output: 45 fields, plus ``flow_start``, ``start_us``, ``last_us``,
@@ -89,20 +120,20 @@ def sum_flows(segmented: DataFrame, within: Sequence[str] = (), idle: int = IDLE
 def finish_flows(grouped: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """Flow records from their sums, row by row; works on streams too."""
     # the last burst ends with the flow
-    flows = grouped.selectExpr(
-        "*", "last_us - last_burst as final", "span_n + 1 as bursts",
-        "span_s + last_us - last_burst as active_s",
-        """cast(span_q + cast(last_us - last_burst as decimal(19,0)) * cast(last_us - last_burst as decimal(19,0))
-           as decimal(38,0)) as active_q""")
+    flows = _once(grouped, {
+        "final": "last_us - last_burst", "bursts": "span_n + 1", "active_s": "span_s + last_us - last_burst",
+        "active_q": """cast(span_q + cast(last_us - last_burst as decimal(19,0)) * cast(last_us - last_burst as decimal(19,0))
+           as decimal(38,0))"""})
+    flows = _with_stddevs(flows, {
+        "std_active": ("active_q", "active_s", "bursts"), "std_idle": ("idle_q", "idle_s", "idle_n"),
+        **{f"std_{d}{v}": (_square_sum(f"{d}{v}"), f"{d}{v}_s", f"{d}{v}_n") for d in "fb" for v in ("pktl", "iat")}})
     out = {
         "srcip": "if(front = 1, ip_b, ip_a)", "srcport": "if(front = 1, port_b, port_a)",
         "dstip": "if(front = 1, ip_a, ip_b)", "dstport": "if(front = 1, port_a, port_b)",
         "duration": "last_us - start_us",
         "min_active": "if(coalesce(low_burst, 0L) = 0 or final < low_burst, final, low_burst)",
         "mean_active": _mean("active_s", "bursts"), "max_active": "greatest(span_max, final)",
-        "std_active": whole_stddev("active_q", "active_s", "bursts"),
         "min_idle": "idle_low", "mean_idle": _mean("idle_s", "idle_n"), "max_idle": "idle_max",
-        "std_idle": whole_stddev("idle_q", "idle_s", "idle_n"),
         "dscp": "cast(if(first_dscp <> 0, first_dscp, coalesce(back_dscp, 0)) as int)",
         "status": "case when closed then 'closed' when expired then 'timed_out' else 'open' end",
         "is_valid": f"if(proto = {UDP}, has_data and bpktl_n > 0, tcp_valid)",
@@ -112,10 +143,8 @@ def finish_flows(grouped: DataFrame, within: Sequence[str] = ()) -> DataFrame:
         out |= {
             f"total_{d}packets": n, f"total_{d}volume": s,
             f"min_{d}pktl": f"{d}pktl_min", f"mean_{d}pktl": _mean(s, n, empty), f"max_{d}pktl": f"{d}pktl_max",
-            f"std_{d}pktl": whole_stddev(_square_sum(f"{d}pktl"), s, n),
             f"min_{d}iat": f"{d}iat_min", f"mean_{d}iat": _mean(f"{d}iat_s", f"{d}iat_n"),
             f"max_{d}iat": f"{d}iat_max",
-            f"std_{d}iat": whole_stddev(_square_sum(f"{d}iat"), f"{d}iat_s", f"{d}iat_n"),
             f"sflow_{d}packets": f"{n} div bursts", f"sflow_{d}bytes": f"{s} div bursts",
         }
     wanted = [*RECORD_FIELDS, "flow_start", "start_us", "last_us", "bursts", "status", "is_valid"]

@@ -281,14 +281,15 @@ def _jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packets(spark, sf_dir).withColumn("ts_us", F.col("ts_us") + ahead)
 
 
-def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _damaged(spark: SparkSession, sf_dir: str, metered: DataFrame | None = None) -> DataFrame:
     """Wire messages, some of them cut, garbled or without class."""
     number = F.col("flow_start")
     broken = (F.when(number % 17 == 3, F.concat(F.substring("value", 1, 40), F.lit('"')))
               .when(number % 17 == 7, F.concat(F.lit('"x'), F.replace("value", F.lit('"'), F.lit(",9")), F.lit('"')))
               .when(number % 17 == 11, F.replace("value", F.lit('"'), F.lit("")))
               .when(number % 17 == 13, F.replace("value", F.lit(',live"'), F.lit(',"'))))
-    return encode_wire(_flows(spark, sf_dir), "live", keep=["flow_start", "proto"]).withColumn(
+    flows = _flows(spark, sf_dir) if metered is None else metered
+    return encode_wire(flows, "live", keep=["flow_start", "proto"]).withColumn(
         "value", F.coalesce(broken, "value"))
 
 
@@ -354,8 +355,11 @@ def _rules_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, model = new_path(spark, "detect-model"), _offline(spark, sf_dir)[0]
-    _damaged(spark, sf_dir).select("value").repartition(4).write.text(f"{base}/in")
+    base = new_path(spark, "detect-model")
+    _flows(spark, sf_dir).write.parquet(f"{base}/flows")  # metered once, for the model and for the messages
+    flows = spark.read.parquet(f"{base}/flows")
+    model = _offline(spark, sf_dir, flows)[0]
+    _damaged(spark, sf_dir, flows).select("value").repartition(4).write.text(f"{base}/in")
     messages = detect.read_flow_stream(spark, "text", {"maxFilesPerTrigger": "2"}, f"{base}/in")
     detect.run_detection(messages, model, geo_ranges(spark), f"{base}/store", f"{base}/state", interval=None,
                          rejects=f"{base}/rejects", features=SIMPLE_FEATURES).awaitTermination()

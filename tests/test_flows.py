@@ -85,6 +85,16 @@ def test_long_bursts_do_not_overflow(spark):
     assert flow.duration > hour and flow.max_active == flow.duration and flow.std_fiat == 0
 
 
+def test_flow_statistics_are_compiled(spark):
+    """A generated method above 8000 bytes is never compiled to machine code, but interpreted for each flow."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        code = flow_records(packets_from_events(spark, SF))._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert 0 < max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) < 8000
+
+
 def test_emission_and_expiry(spark):
     table = flow_records(frame_of(spark, [udp(1, 0), udp(2, TIMEOUT + 1), udp(3, TIMEOUT + 2, "s")]))
     assert emit(table, "open").count() == emit(table, "valid").count() == 1

@@ -13,6 +13,7 @@ from flowloom.operators.dashboards import blocklist, composed
 from flowloom.operators.features import flow_records, flow_statistics
 from flowloom.operators.packets import KEY, canonical
 from flowloom.operators.segment import symbol
+from flowloom.plans import registry
 from flowloom.plans.registry import queries
 from flowloom.plans.scoring import rule_predict
 from flowloom.schema import PACKET_SCHEMA
@@ -36,6 +37,13 @@ def test_streamed_flows_equal_batch(spark):
     assert "closed" in ended
 
 
+def test_scoring_with_a_model_meters_once(spark, monkeypatch):
+    metered, inner = [], registry._flows
+    monkeypatch.setattr(registry, "_flows", lambda *a: metered.append(1) or inner(*a))
+    assert queries()["stream_score_model"](spark, SF).count() == 2
+    assert len(metered) == 1
+
+
 OTHER = (("10.9.9.9", 1), ("10.9.9.8", 2))
 
 
